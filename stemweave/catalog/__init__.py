@@ -6,7 +6,7 @@ import importlib
 
 from stemweave.catalog.base import Query
 
-TOPICS = ["ranking"]
+TOPICS = ["ranking", "splits"]
 
 
 def all_queries() -> list[Query]:

@@ -25,3 +25,8 @@ def portable_hash_sql(seed, a: str, b: str = "0") -> str:
         f"((((((CAST({a} AS BIGINT) % {m}) * {FIRST_MULTIPLIER} + {seed}) % {m}) + (CAST({b} AS BIGINT) % {m})) % {m})"
         f" * {SECOND_MULTIPLIER}) % {m}"
     )
+
+
+def counting(n: int) -> Column:
+    """The array 0, 1, ..., n-1 as 64-bit integers."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemweave.plans.skew import attach_groups, exact_quantiles, running_totals
+from stemweave.plans.durable import written
+from stemweave.plans.skew import exact_quantiles, running_totals
 
 MODEL = ["model"]
 
@@ -24,9 +25,9 @@ def score_counts(df: DataFrame, by: Sequence[str], weight: Column | None = None)
 
 def cumulative_by_score(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Running rows ``above`` and positives ``tp`` from the highest score down, with the totals."""
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("p_all"))
-    running = running_totals(counts, by, [F.col("score").desc()], {"above": F.col("n"), "tp": F.col("pos")})
-    return attach_groups(running, totals, by)
+    return running_totals(
+        counts, by, [F.col("score").desc()], {"above": F.col("n"), "tp": F.col("pos")}, whole={"n_all": "above", "p_all": "tp"}
+    )
 
 
 def curve_areas(cumulative: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -157,19 +158,21 @@ def _scan_thresholds(counts: DataFrame, by: Sequence[str], grid: DataFrame) -> D
     Thresholds and scores form one ordered list; a running sum from the top gives the rows at or
     above each threshold without pairing thresholds with scores.
     """
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("p_all"))
     marks = grid.select(*by, F.col("threshold").alias("score"), F.lit(0).cast("long").alias("n"),
                         F.lit(0).cast("long").alias("pos"), F.lit(1).alias("mark"))
     merged = counts.select(*by, "score", "n", "pos", F.lit(0).alias("mark")).unionByName(marks)
-    running = running_totals(merged, by, [F.col("score").desc(), F.col("mark")], {"above": F.col("n"), "tp": F.col("pos")})
-    return attach_groups(running.filter("mark = 1"), totals, by).select(
+    running = running_totals(
+        merged, by, [F.col("score").desc(), F.col("mark")], {"above": F.col("n"), "tp": F.col("pos")},
+        whole={"n_all": "above", "p_all": "tp"},
+    )
+    return running.filter("mark = 1").select(
         *by, F.col("score").alias("threshold"), _macro(F.col("tp"), F.col("above")).alias("macro_f1")
     )
 
 
 def choose_threshold_grid(df: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
     """Best macro-F1 on the fixed grid; of equal values the threshold nearest one half."""
-    counts = score_counts(df, by)
+    counts = written(score_counts(df, by), "scores")
     grid = counts.select(*by).distinct().withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in threshold_grid()])))
     scanned = _scan_thresholds(counts, by, grid)
     order = F.struct(F.col("macro_f1"), -F.abs(F.col("threshold") - 0.5), -F.col("threshold"))
@@ -186,8 +189,8 @@ def quantile_candidates() -> list[float]:
 
 def choose_threshold_quantile(df: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
     """Best macro-F1 over 0, 0.5, 1 and 300 score quantiles; of equal values the highest threshold."""
-    counts = score_counts(df, by)
-    quantiles = exact_quantiles(df.select(*by, "score"), by, "score", quantile_candidates(), "threshold").select(*by, "threshold")
+    counts = written(score_counts(df, by), "scores")
+    quantiles = exact_quantiles(counts, by, "score", quantile_candidates(), "threshold", weight="n").select(*by, "threshold")
     fixed = counts.select(*by).distinct().withColumn("threshold", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
     scanned = _scan_thresholds(counts, by, quantiles.unionByName(fixed).distinct())
     return scanned.groupBy(*by).agg(F.max(F.struct("macro_f1", "threshold")).alias("b")).select(

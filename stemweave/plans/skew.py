@@ -27,6 +27,7 @@ def running_totals(
     order: Sequence[Column],
     totals: Mapping[str, Column],
     exclusive: bool = False,
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add cumulative sums of ``totals`` in ``order`` within ``keys``.
 
@@ -34,7 +35,8 @@ def running_totals(
     partitions. Each partition sums on its own; the sums of a key's earlier partitions are then
     added. Only the first key of a partition can continue from an earlier one, so the table of
     offsets has fewer rows than there are partitions and is broadcast.
-    ``exclusive`` leaves the current row out of its own sum.
+    ``exclusive`` leaves the current row out of its own sum. ``whole`` names columns for the sums
+    over the whole key, taken from the same written rows so that the source is read once.
     """
     parts = _parts(df)
     staged = df
@@ -49,10 +51,10 @@ def running_totals(
     block = ranged.groupBy("_part", *keys).agg(
         *[F.sum(f"_v_{name}").alias(f"_b_{name}") for name in totals]
     )
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = blocks.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        block.withColumn("_first", F.min("_part").over(whole))
+        block.withColumn("_first", F.min("_part").over(blocks))
         .select(
             "_part",
             *keys,
@@ -74,13 +76,19 @@ def running_totals(
         "left",
     )
     zero = F.lit(0)
-    return joined.select(
+    result = joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
         *[
             (F.coalesce(F.col(f"r._l_{n}"), zero) + F.coalesce(F.col(f"o._o_{n}"), zero)).alias(n)
             for n in totals
         ],
     )
+    if not whole:
+        return result
+    sums = [F.sum(f"_b_{name}").alias(column) for column, name in whole.items()]
+    if keys:
+        return attach_groups(result, block.groupBy(*keys).agg(*sums), keys)
+    return attach_scalars(result, block.agg(*sums))
 
 
 def _all_equal(pairs) -> Column:
@@ -112,25 +120,30 @@ def attach_groups(
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("_n"))
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], name: str = "quantile"
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    name: str = "quantile",
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per (keys, prob).
 
     Equal values are counted first; each distinct value then knows the index range it covers and
     emits only the probabilities whose lower or upper order statistic falls into that range.
+    ``weight`` is the number of times a row counts, for input that is already a histogram.
     """
     if not keys:
-        pooled = df.select(F.lit(0).alias("_all"), value)
-        return exact_quantiles(pooled, ["_all"], value, probs, name).drop("_all")
-    counts = value_counts(df, keys, value)
-    ranked = running_totals(counts, keys, [F.col(value)], {"_upto": F.col("_n")})
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    joined = attach_groups(ranked, sizes, keys)
+        pooled = df.withColumn("_all", F.lit(0))
+        return exact_quantiles(pooled, ["_all"], value, probs, name, weight).drop("_all")
+    counts = value_counts(df, keys, value, weight)
+    joined = running_totals(counts, keys, [F.col(value)], {"_upto": F.col("_n")}, whole={"_size": "_upto"})
     asked = F.array(*[F.lit(float(p)) for p in probs])
     position = lambda p: p * (F.col("_size") - F.lit(1)).cast("double")
     inside = lambda i: (i >= F.col("_upto") - F.col("_n")) & (i < F.col("_upto"))
@@ -146,3 +159,9 @@ def exact_quantiles(
         .agg(low.alias("_lo"), high.alias("_hi"), share.alias("_w"))
         .select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(name))
     )
+
+
+def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate next to every row (the broadcast is that one row)."""
+    one = scalars.withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
