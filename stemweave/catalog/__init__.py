@@ -6,7 +6,7 @@ import importlib
 
 from stemweave.catalog.base import Query
 
-TOPICS = ["ranking", "splits"]
+TOPICS = ["ranking", "splits", "records"]
 
 
 def all_queries() -> list[Query]:

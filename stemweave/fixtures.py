@@ -71,3 +71,69 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("m.score") >= 0.5).cast("long").alias("prediction"),
         )
     )
+
+
+# --- events as strokes, marks and cut lines ----------------------------------------------------
+
+EPOCH_2024_US = 1704067200000000
+
+SQL["strokes"] = f"""
+SELECT user_id AS sample_id, event_id AS edge_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       (epoch_us(ts) - {EPOCH_2024_US}) / 3600000000.0::DOUBLE AS x0, value AS y0,
+       (epoch_us(ts) - {EPOCH_2024_US}) / 3600000000.0::DOUBLE + CAST(json_extract(props, '$.k') AS BIGINT) / 10.0::DOUBLE AS x1,
+       value + (CAST(json_extract(props, '$.k') AS BIGINT) - 50) / 5.0::DOUBLE AS y1
+FROM events"""
+
+
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a short stroke: x in hours, y its value."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    x = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_2024_US)) / F.lit(3600000000.0)
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("sample_id"), F.col("event_id").alias("edge_id"), "event_type", k.alias("k"),
+        x.alias("x0"), F.col("value").alias("y0"),
+        (x + k / F.lit(10.0)).alias("x1"), (F.col("value") + (k - 50) / F.lit(5.0)).alias("y1"),
+    )
+
+
+SQL["cut_lines"] = f"""
+SELECT CAST(sample_id AS VARCHAR) AS sample_id, CASE WHEN k = 3 THEN '' ELSE concat('c', edge_id % 40) END AS cut_id, [x0, y0] AS p0,
+       CASE WHEN k % 19 = 0 THEN [x1] WHEN k % 23 = 0 THEN [x0, y0] ELSE [x1, y1] END AS p1,
+       CASE WHEN k % 17 = 0 THEN NULL WHEN k % 7 = 0 THEN [1.1::DOUBLE, 0.0::DOUBLE] ELSE [0.6::DOUBLE, 0.8::DOUBLE] END AS normal_pruned_side,
+       CASE WHEN k % 29 = 0 THEN NULL WHEN k % 11 = 0 THEN [0.6::DOUBLE, 0.8::DOUBLE] ELSE [-0.6::DOUBLE, -0.8::DOUBLE] END AS normal_retained_side,
+       CASE WHEN k % 13 = 0 THEN NULL ELSE k % 5 <> 0 END AS confirmed
+FROM ({SQL["strokes"]}) s"""
+
+
+def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut lines with every kind of defect, decided by the number each event carries."""
+    k = F.col("k")
+    pair = lambda a, b: F.array(F.lit(a), F.lit(b))
+    return strokes(spark, sf_dir).select(
+        F.col("sample_id").cast("string").alias("sample_id"),
+        F.when(k == 3, "").otherwise(F.concat(F.lit("c"), (F.col("edge_id") % 40).cast("string"))).alias("cut_id"),
+        F.array("x0", "y0").alias("p0"),
+        F.when(k % 19 == 0, F.array("x1")).when(k % 23 == 0, F.array("x0", "y0")).otherwise(F.array("x1", "y1")).alias("p1"),
+        F.when(k % 17 == 0, None).when(k % 7 == 0, pair(1.1, 0.0)).otherwise(pair(0.6, 0.8)).alias("normal_pruned_side"),
+        F.when(k % 29 == 0, None).when(k % 11 == 0, pair(0.6, 0.8)).otherwise(pair(-0.6, -0.8)).alias("normal_retained_side"),
+        F.when(k % 13 == 0, None).otherwise(k % 5 != 0).alias("confirmed"),
+    )
+
+
+# --- documents as files and runs ----------------------------------------------------------------
+
+SQL["files"] = """
+SELECT doc_id, concat(source, '/', doc_id) AS path, CAST(doc_id AS VARCHAR) AS sample_id, source AS tree_id, lang AS task,
+       concat('s', doc_id) AS source_id, sha256(text) AS sha256, n_chars, quality, toxic
+FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "n_chars"
+    )
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
+        F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("tree_id"), F.col("lang").alias("task"),
+        F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), "sha256", "n_chars", "quality", "toxic",
+    )

@@ -28,6 +28,7 @@ def running_totals(
     totals: Mapping[str, Column],
     exclusive: bool = False,
     whole: Mapping[str, str] | None = None,
+    running: str = "sum",
 ) -> DataFrame:
     """Add cumulative sums of ``totals`` in ``order`` within ``keys``.
 
@@ -37,7 +38,9 @@ def running_totals(
     offsets has fewer rows than there are partitions and is broadcast.
     ``exclusive`` leaves the current row out of its own sum. ``whole`` names columns for the sums
     over the whole key, taken from the same written rows so that the source is read once.
+    ``running="max"`` keeps running maxima instead of sums.
     """
+    gather = {"sum": F.sum, "max": F.max}[running]
     parts = _parts(df)
     staged = df
     for name, value in totals.items():
@@ -49,7 +52,7 @@ def running_totals(
         "running",
     )
     block = ranged.groupBy("_part", *keys).agg(
-        *[F.sum(f"_v_{name}").alias(f"_b_{name}") for name in totals]
+        *[gather(f"_v_{name}").alias(f"_b_{name}") for name in totals]
     )
     blocks = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = blocks.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +62,7 @@ def running_totals(
             "_part",
             *keys,
             "_first",
-            *[F.sum(f"_b_{name}").over(earlier).alias(f"_o_{name}") for name in totals],
+            *[gather(f"_b_{name}").over(earlier).alias(f"_o_{name}") for name in totals],
         )
         .filter(F.col("_part") > F.col("_first"))
         .drop("_first")
@@ -68,7 +71,7 @@ def running_totals(
     frame = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     summed = ranged
     for name in totals:
-        summed = summed.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(frame))
+        summed = summed.withColumn(f"_l_{name}", gather(f"_v_{name}").over(frame))
     joined = summed.alias("r").join(
         F.broadcast(offsets.alias("o")),
         F.col("r._part").eqNullSafe(F.col("o._part"))
@@ -76,16 +79,22 @@ def running_totals(
         "left",
     )
     zero = F.lit(0)
+
+    def both(own: Column, carried: Column) -> Column:
+        if running == "max":
+            return F.greatest(own, carried)
+        return F.coalesce(own, zero) + F.coalesce(carried, zero)
+
     result = joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
         *[
-            (F.coalesce(F.col(f"r._l_{n}"), zero) + F.coalesce(F.col(f"o._o_{n}"), zero)).alias(n)
+            both(F.col(f"r._l_{n}"), F.col(f"o._o_{n}")).alias(n)
             for n in totals
         ],
     )
     if not whole:
         return result
-    sums = [F.sum(f"_b_{name}").alias(column) for column, name in whole.items()]
+    sums = [gather(f"_b_{name}").alias(column) for column, name in whole.items()]
     if keys:
         return attach_groups(result, block.groupBy(*keys).agg(*sums), keys)
     return attach_scalars(result, block.agg(*sums))
