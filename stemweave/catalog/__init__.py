@@ -6,7 +6,7 @@ import importlib
 
 from stemweave.catalog.base import Query
 
-TOPICS = ["ranking", "splits", "records"]
+TOPICS = ["ranking", "splits", "records", "geometry"]
 
 
 def all_queries() -> list[Query]:

@@ -137,3 +137,53 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("tree_id"), F.col("lang").alias("task"),
         F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), "sha256", "n_chars", "quality", "toxic",
     )
+
+
+# --- embeddings as polylines, lineitem as boxes and pixels ---------------------------------------
+
+SQL["path_points"] = """
+SELECT vec_id // 8 AS sample_id, vec_id AS group_id, label, i AS pos, embedding[2 * i + 1]::DOUBLE * 1000 AS x, embedding[2 * i + 2]::DOUBLE * 1000 AS y
+FROM embeddings, range(32) r(i)"""
+# consecutive points of a path, with the arc length up to the edge
+SQL["path_edges"] = f"""
+SELECT *, sum(len) OVER (PARTITION BY group_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+FROM (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM (
+  SELECT sample_id, group_id, label, pos, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ({SQL["path_points"]}) p
+  WINDOW w AS (PARTITION BY group_id ORDER BY pos)) q WHERE x1 IS NOT NULL) e"""
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a polyline of half its length: (e0, e1), (e2, e3), ... in thousandths."""
+    at = lambda i: F.get("embedding", i).cast("double") * 1000
+    poly = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1),
+        lambda i: F.struct(at(2 * i).alias("x"), at(2 * i + 1).alias("y")),
+    )
+    return table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 8").alias("sample_id"), F.col("vec_id").alias("group_id"), "label", poly.alias("poly")
+    )
+
+
+SQL["boxes"] = """
+SELECT l_suppkey AS sample_id, segment_id AS box_id, sample_id AS view, l_quantity AS x1, 100 * l_discount AS y1,
+       l_quantity + 4 + 50 * l_tax AS x2, 100 * l_discount + 2 + l_linenumber AS y2, l_extendedprice AS score, l_linenumber % 2 AS label, l_partkey AS partkey, tree_id AS tree_id
+FROM (""" + SQL["lines"] + ") l"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return lines(spark, sf_dir).select(
+        c("l_suppkey").alias("sample_id"), c("segment_id").alias("box_id"), c("sample_id").alias("view"), c("l_quantity").alias("x1"),
+        (100 * c("l_discount")).alias("y1"), (c("l_quantity") + 4 + 50 * c("l_tax")).alias("x2"),
+        (100 * c("l_discount") + 2 + c("l_linenumber")).alias("y2"), c("l_extendedprice").alias("score"), (c("l_linenumber") % 2).alias("label"),
+        c("l_partkey").alias("partkey"), "tree_id",
+    )
+
+
+SQL["pixels"] = "SELECT DISTINCT l_suppkey AS sample_id, l_returnflag AS layer, l_partkey % 64 AS x, l_orderkey % 64 AS y FROM lineitem"
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("sample_id"), F.col("l_returnflag").alias("layer"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_orderkey") % 64).alias("y")
+    ).distinct()
