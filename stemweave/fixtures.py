@@ -187,3 +187,29 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("sample_id"), F.col("l_returnflag").alias("layer"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_orderkey") % 64).alias("y")
     ).distinct()
+
+
+# --- strokes as edges, purchases as points, errors as cut lines ------------------------------------
+
+SQL["marks"] = f"SELECT sample_id, edge_id AS mark_id, k, x0 AS px, y0 AS py, concat('g', k % 4) AS group_id FROM ({SQL['strokes']}) s WHERE event_type = 'purchase'"
+SQL["edges"] = f"""SELECT sample_id, edge_id AS segment_id, 0 AS pos, concat('g', k % 5) AS group_id, k, x0, y0, x1, y1 FROM ({SQL['strokes']}) s WHERE event_type NOT IN ('purchase', 'error')"""
+SQL["cuts"] = f"SELECT sample_id, edge_id AS cut_id, k, x0 AS ax0, y0 - 30 AS ay0, x1 + 4 AS ax1, y1 + 30 AS ay1, 0.6::DOUBLE AS nx, 0.8::DOUBLE AS ny FROM ({SQL['strokes']}) s WHERE event_type = 'error'"
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strokes(spark, sf_dir).filter("event_type = 'purchase'").select(
+        "sample_id", F.col("edge_id").alias("mark_id"), "k", F.col("x0").alias("px"), F.col("y0").alias("py"), F.concat(F.lit("g"), (F.col("k") % 4).cast("string")).alias("group_id")
+    )
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strokes(spark, sf_dir).filter("event_type NOT IN ('purchase', 'error')").select(
+        "sample_id", F.col("edge_id").alias("segment_id"), F.lit(0).alias("pos"), F.concat(F.lit("g"), (F.col("k") % 5).cast("string")).alias("group_id"), "k", "x0", "y0", "x1", "y1"
+    )
+
+
+def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strokes(spark, sf_dir).filter("event_type = 'error'").select(
+        "sample_id", F.col("edge_id").alias("cut_id"), "k", F.col("x0").alias("ax0"), (F.col("y0") - 30).alias("ay0"), (F.col("x1") + 4).alias("ax1"), (F.col("y1") + 30).alias("ay1"),
+        F.lit(0.6).alias("nx"), F.lit(0.8).alias("ny"),
+    )

@@ -154,16 +154,16 @@ def project_point(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1
 def project_on_polyline(px: Column, py: Column, poly: Column) -> Column:
     """struct(arc, x, y, distance): nearest place of a polyline, the first of equal ones."""
     start = F.struct(
-        F.lit(0.0).alias("offset"), F.lit(0.0).alias("arc"), F.lit(None).cast("double").alias("x"),
+        px.cast("double").alias("px"), py.cast("double").alias("py"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("arc"), F.lit(None).cast("double").alias("x"),
         F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("distance"),
     )
 
     def step(acc: Column, e: Column) -> Column:
-        p = project_point(px, py, e.x0, e.y0, e.x1, e.y1)
+        p = project_point(acc.px, acc.py, e.x0, e.y0, e.x1, e.y1)
         closer = acc.distance.isNull() | (p.distance < acc.distance)
         pick = lambda new, old: F.when(closer, new).otherwise(old)
         return F.struct(
-            (acc.offset + e.len).alias("offset"), pick(acc.offset + p.fraction * e.len, acc.arc).alias("arc"),
+            acc.px.alias("px"), acc.py.alias("py"), (acc.offset + e.len).alias("offset"), pick(acc.offset + p.fraction * e.len, acc.arc).alias("arc"),
             pick(p.x, acc.x).alias("x"), pick(p.y, acc.y).alias("y"), pick(p.distance, acc.distance).alias("distance"),
         )
 
@@ -183,20 +183,24 @@ def dedupe_consecutive(poly: Column, tolerance: float = 0.0) -> Column:
 
 
 def poly_slice(poly: Column, a: Column, b: Column) -> Column:
-    """Part of a polyline between two arc positions with interpolated ends."""
-    state = F.struct(F.lit(0.0).alias("offset"), F.array().cast("array<struct<x:double,y:double>>").alias("points"))
+    """Part of a polyline between two arc positions with interpolated ends.
+
+    The two positions travel in the fold's state, so an expensive expression is evaluated once.
+    """
+    state = F.struct(a.alias("a"), b.alias("b"), F.lit(0.0).alias("offset"), F.array().cast("array<struct<x:double,y:double>>").alias("points"))
 
     def step(acc: Column, e: Column) -> Column:
-        lo, hi = F.greatest(a, acc.offset), F.least(b, acc.offset + e.len)
+        lo, hi = F.greatest(acc.a, acc.offset), F.least(acc.b, acc.offset + e.len)
         at = lambda s: point(e.x0 + (s - acc.offset) / e.len * (e.x1 - e.x0), e.y0 + (s - acc.offset) / e.len * (e.y1 - e.y0))
         hit = (hi + EPSILON >= lo) & (e.len > EPSILON)
         return F.struct(
-            (acc.offset + e.len).alias("offset"),
+            acc.a.alias("a"), acc.b.alias("b"), (acc.offset + e.len).alias("offset"),
             F.when(hit, F.concat(acc.points, F.array(at(lo), at(hi)))).otherwise(acc.points).alias("points"),
         )
 
-    taken = F.aggregate(edges(poly), state, step, lambda acc: dedupe_consecutive(acc.points, EPSILON))
-    return F.when(b - a > EPSILON, taken).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    empty = F.array().cast("array<struct<x:double,y:double>>")
+    finish = lambda acc: F.when(acc.b - acc.a > EPSILON, dedupe_consecutive(acc.points, EPSILON)).otherwise(empty)
+    return F.aggregate(edges(poly), state, step, finish)
 
 
 def intersect_segments(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
