@@ -6,7 +6,7 @@ import importlib
 
 from stemweave.catalog.base import Query
 
-TOPICS = ["ranking", "splits", "records", "geometry", "spatial"]
+TOPICS = ["ranking", "splits", "records", "geometry", "spatial", "graph"]
 
 
 def all_queries() -> list[Query]:

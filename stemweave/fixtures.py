@@ -213,3 +213,23 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sample_id", F.col("edge_id").alias("cut_id"), "k", F.col("x0").alias("ax0"), (F.col("y0") - 30).alias("ay0"), (F.col("x1") + 4).alias("ax1"), (F.col("y1") + 30).alias("ay1"),
         F.lit(0.6).alias("nx"), F.lit(0.8).alias("ny"),
     )
+
+
+# --- embeddings as annotated groups on a pixel grid ------------------------------------------------
+
+SQL["vertices"] = """
+SELECT vec_id // 8 AS sample_id, vec_id AS group_id, i AS pos, round_even(embedding[2 * i + 1]::DOUBLE * 1000 / 1000 * 60, 0)::BIGINT AS x, round_even(embedding[2 * i + 2]::DOUBLE * 1000 / 1000 * 60, 0)::BIGINT AS y,
+       (round_even(embedding[2 * i + 1]::DOUBLE * 1000 / 1000 * 60, 0)::BIGINT + 1048576) * 4194304 + round_even(embedding[2 * i + 2]::DOUBLE * 1000 / 1000 * 60, 0)::BIGINT + 1048576 AS node_id
+FROM embeddings, range(32) r(i)"""
+SQL["gedges"] = f"""
+SELECT DISTINCT a.sample_id, a.group_id, least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst
+FROM ({SQL["vertices"]}) a JOIN ({SQL["vertices"]}) b ON a.group_id = b.group_id AND b.pos = a.pos + 1 AND a.node_id <> b.node_id"""
+SQL["uedges"] = f"SELECT DISTINCT sample_id, src, dst FROM ({SQL['gedges']}) g"
+SQL["unodes"] = f"SELECT DISTINCT sample_id, node_id, x, y FROM ({SQL['vertices']}) v"
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight embeddings to a sample; every one a group whose points snap to a coarse pixel grid."""
+    p = paths(spark, sf_dir)
+    pixel = F.transform("poly", lambda q: F.struct(F.rint(q.x / 1000 * 60).alias("x"), F.rint(q.y / 1000 * 60).alias("y")))
+    return p.select("sample_id", "group_id", pixel.alias("points"), F.array().cast("array<array<int>>").alias("edges"), F.when(F.col("group_id") % 8 == 0, "trunk").otherwise("branch").alias("group_type"))
