@@ -6,7 +6,7 @@ import importlib
 
 from stemweave.catalog.base import Query
 
-TOPICS = ["ranking", "splits", "records", "geometry", "spatial", "graph"]
+TOPICS = ["ranking", "splits", "records", "geometry", "spatial", "graph", "pixels", "features"]
 
 
 def all_queries() -> list[Query]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemweave import fixtures as fx
 from stemweave.catalog.base import Query, rounded, rsql
 from stemweave.operators import graph
+from stemweave.plans.durable import written
 
 c = F.col
 V = fx.with_views("vertices", "gedges", "uedges", "unodes")
@@ -29,7 +30,9 @@ TRACE = """ky AS (SELECT sample_id, node_id, degree <> 2 OR (sample_id, node_id)
 
 
 def base(s, sf):
-    return graph.build_graph(fx.groups(s, sf))
+    """Nodes and edges, written once: every graph operator reads them several times."""
+    nodes, edges = graph.build_graph(fx.groups(s, sf))
+    return written(nodes, "nodes"), written(edges, "edges")
 
 
 def trunk_nodes(s, sf):
@@ -49,7 +52,7 @@ def traced(s, sf):
 
 def segments(s, sf):
     t, roots, nodes = traced(s, sf)
-    return graph.segment_table(graph.segment_edges(t)), roots, nodes
+    return written(graph.segment_table(graph.segment_edges(t)), "segments"), roots, nodes
 
 
 def _landmarks(s, sf):
@@ -186,8 +189,8 @@ ANG = """av AS (SELECT h.sample_id, h.src AS node_id, h.dst AS other, round(atan
  pr AS (SELECT a.sample_id, a.node_id, least(abs(a.t - b.t), 6283185308 - abs(a.t - b.t)) AS d FROM aw a JOIN aw b ON a.sample_id = b.sample_id AND a.node_id = b.node_id AND a.other < b.other)"""
 
 QUERIES = [
-    Query("graph_nodes", lambda s, sf: base(s, sf)[0], V + "SELECT sample_id, node_id, any_value(x) AS x, any_value(y) AS y, count(DISTINCT group_id) AS groups FROM vertices GROUP BY sample_id, node_id"),
-    Query("graph_edges", lambda s, sf: base(s, sf)[1], V + "SELECT sample_id, src, dst, count(*) AS groups FROM gedges GROUP BY ALL"),
+    Query("graph_nodes", lambda s, sf: graph.build_graph(fx.groups(s, sf))[0], V + "SELECT sample_id, node_id, any_value(x) AS x, any_value(y) AS y, count(DISTINCT group_id) AS groups FROM vertices GROUP BY sample_id, node_id"),
+    Query("graph_edges", lambda s, sf: graph.build_graph(fx.groups(s, sf))[1], V + "SELECT sample_id, src, dst, count(*) AS groups FROM gedges GROUP BY ALL"),
     Query("components", lambda s, sf: graph.components(*base(s, sf)), VR + " SELECT * FROM comp"),
     Query("choose_roots", lambda s, sf: rooted(s, sf)[3], VR + " SELECT * FROM root"),
     Query("landmarks", _landmarks, VR + """ SELECT sample_id, node_id, degree, CASE WHEN concat_ws(',', CASE WHEN degree <= 1 THEN 'endpoint' END, CASE WHEN degree >= 3 THEN 'junction' END, CASE WHEN r THEN 'root' END) = '' THEN 'anchor'
@@ -224,7 +227,7 @@ QUERIES = [
           b AS (SELECT sample_id, node_id, arg_min(owner, (hops, owner)) AS owner, min(hops) AS hops FROM fl GROUP BY ALL) SELECT n.sample_id, n.node_id, owner, hops FROM unodes n LEFT JOIN b ON b.sample_id = n.sample_id AND b.node_id = n.node_id"""),
     Query("contract_groups", _contract,
           VR + f""", {TRACE}, sg AS (SELECT DISTINCT tr.sample_id, start_node, first_node, end_node, group_id FROM tr JOIN gedges g ON g.sample_id = tr.sample_id AND g.src = least(tr.src, tr.dst) AND g.dst = greatest(tr.src, tr.dst)),
-          at AS (SELECT DISTINCT sample_id, unnest([start_node, end_node]) AS node, group_id FROM sg) SELECT DISTINCT a.sample_id, a.group_id AS group_a, b.group_id AS group_b FROM at a JOIN at b ON a.sample_id = b.sample_id AND a.node = b.node AND a.group_id < b.group_id"""),
+          meet AS (SELECT DISTINCT sample_id, unnest([start_node, end_node]) AS node, group_id FROM sg) SELECT DISTINCT a.sample_id, a.group_id AS group_a, b.group_id AS group_b FROM meet a JOIN meet b ON a.sample_id = b.sample_id AND a.node = b.node AND a.group_id < b.group_id"""),
     Query("typed_nodes", _typed,
           V + f"""SELECT * FROM (WITH {H}, o AS (SELECT sample_id, node_id, bool_and(group_id % 8 = 0) AS t FROM vertices GROUP BY ALL)
           SELECT dg.sample_id, dg.node_id, degree, CASE WHEN t THEN 'trunk' WHEN degree >= 3 THEN 'junction' WHEN degree <= 1 THEN 'endpoint' ELSE 'path' END AS node_type FROM dg JOIN o USING (sample_id, node_id)) z"""),

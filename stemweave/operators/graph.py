@@ -610,5 +610,6 @@ def incident_angles(edges: DataFrame) -> DataFrame:
     folded = F.least(gap, F.lit(FULL_TURN) - gap)
     lone = F.max("m") > 1
     return run.groupBy("sample_id", "node_id").agg(
-        F.when(lone, 0.0).otherwise(F.min(folded) * turn).alias("min_angle"), F.max(F.greatest(wide, folded)).alias("_w")
-    ).withColumn("max_angle", F.coalesce(c("_w"), F.lit(0)) * turn).drop("_w")
+        F.when(lone, 0.0).otherwise(F.min(folded) * turn).alias("min_angle"), F.max(F.greatest(wide, folded)).alias("_w"),
+        F.sum(F.when(c("q") == -1, c("m"))).alias("_edges"),
+    ).filter("_edges > 1").drop("_edges").withColumn("max_angle", F.coalesce(c("_w"), F.lit(0)) * turn).drop("_w")
