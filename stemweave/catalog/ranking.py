@@ -25,10 +25,6 @@ def on_candidates(fn, *args):
     return lambda spark, sf: rounded(fn(fx.candidates(spark, sf), *args))
 
 
-def _vs_random(df):
-    return ranking.ranking_metrics(df).join(ranking.random_baseline(df), "model")
-
-
 RANDOM_TREE = """random_views AS (SELECT model, tree_id,
    (p::DOUBLE / n) AS r1,
    CASE WHEN 3 >= n OR 3 > n - p THEN 1.0 ELSE 1.0 - ((n-p)::DOUBLE/n) * ((n-p-1)::DOUBLE/(n-1)) * ((n-p-2)::DOUBLE/(n-2)) END AS r3,
@@ -39,7 +35,7 @@ RANDOM_TREE = """random_views AS (SELECT model, tree_id,
 QUERIES = [
     Query(
         "ranking_vs_random",
-        on_candidates(_vs_random),
+        on_candidates(ranking.ranking_against_random),
         fx.with_views("candidates", extra=f"{RANKED}, {VIEWS}, {RANDOM_TREE}")
         + f"""SELECT m.model, {rsql('avg(s1)', 'success_at_1')}, {rsql('avg(s3)', 'success_at_3')}, {rsql('avg(m)', 'mrr')},
         count(*) AS trees, any_value(pv) AS positive_views, any_value(zv) AS zero_positive_views,

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemweave.plans.durable import written
 from stemweave.plans.skew import attach_groups, grouped_rank
 
 VIEW = ["model", "tree_id", "sample_id"]
@@ -20,18 +21,21 @@ def _place() -> Column:
     return F.struct((-F.col("score")).alias("falling"), F.col("segment_id").alias("tie"))
 
 
-def first_positive_rank(df: DataFrame, keys: Sequence[str] = VIEW) -> DataFrame:
-    """Rank of the best positive of every view that has one.
+def view_ranks(df: DataFrame, keys: Sequence[str] = VIEW) -> DataFrame:
+    """Per view: rows ``n``, positives ``p`` and the rank of the first positive (null without one).
 
-    The best positive is an aggregate; its rank is one plus the number of rows placed before it,
-    again an aggregate, so a view is never sorted in one task.
+    The best positive is an aggregate over the positives; the rank is one plus the number of rows
+    placed before it, counted together with n and p, so a view is never sorted in one task and the
+    source is read twice in all.
     """
     placed = df.select(*keys, "label", _place().alias("place"))
     best = placed.filter(F.col("label") == 1).groupBy(*keys).agg(F.min("place").alias("best"))
+    before = F.count_if(F.col("place") < F.col("best"))
     return (
-        attach_groups(placed.drop("label"), best, keys)
+        attach_groups(placed, best, keys, "left")
         .groupBy(*keys)
-        .agg((F.count_if(F.col("place") < F.col("best")) + 1).alias("first_rank"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"), before.alias("_before"))
+        .select(*keys, "n", "p", F.when(F.col("p") > 0, F.col("_before") + 1).alias("first_rank"))
     )
 
 
@@ -45,19 +49,11 @@ def tree_macro(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("mode
     return per_tree.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("trees"))
 
 
-def ranking_metrics(df: DataFrame, ks: Sequence[int] = (1, 3)) -> DataFrame:
-    """Success@k and MRR per model, with counts of views with and without a positive."""
-    views = first_positive_rank(df).select(*VIEW, *success_columns(ks), (1 / F.col("first_rank")).alias("mrr"))
-    macro = tree_macro(views, [f"success_at_{k}" for k in ks] + ["mrr"])
-    counts = (
-        df.groupBy(*VIEW)
-        .agg(F.max("label").alias("any_positive"))
-        .groupBy("model")
-        .agg(
-            F.count_if(F.col("any_positive") == 1).alias("positive_views"),
-            F.count_if(F.col("any_positive") == 0).alias("zero_positive_views"),
-        )
-    )
+def ranking_metrics(views: DataFrame, ks: Sequence[int] = (1, 3)) -> DataFrame:
+    """Success@k and MRR per model from ``view_ranks``, with views that have and lack a positive."""
+    scored = views.filter("p > 0").select(*VIEW, *success_columns(ks), (1 / F.col("first_rank")).alias("mrr"))
+    macro = tree_macro(scored, [f"success_at_{k}" for k in ks] + ["mrr"])
+    counts = views.groupBy("model").agg(F.count_if(F.col("p") > 0).alias("positive_views"), F.count_if(F.col("p") == 0).alias("zero_positive_views"))
     return macro.join(counts, "model")
 
 
@@ -71,11 +67,10 @@ def random_success(n: Column, p: Column, k: int) -> Column:
     return F.when((p <= 0) | (n <= 0), 0.0).when((k >= n) | (k > n - p), 1.0).otherwise(1.0 - missed)
 
 
-def random_baseline(df: DataFrame, ks: Sequence[int] = (1, 3)) -> DataFrame:
-    """Analytic success@k and (p+1)/(n+1) of a random order, averaged like the models."""
-    views = df.groupBy(*VIEW).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).filter("p > 0")
+def random_baseline(views: DataFrame, ks: Sequence[int] = (1, 3)) -> DataFrame:
+    """Analytic success@k and (p+1)/(n+1) of a random order from ``view_ranks``, averaged like the models."""
     n, p = F.col("n"), F.col("p")
-    scored = views.select(
+    scored = views.filter("p > 0").select(
         *VIEW,
         *[random_success(n, p, k).alias(f"random_success_at_{k}") for k in ks],
         ((p + 1.0) / (n + 1.0)).alias("random_mrr_reference"),
@@ -83,6 +78,12 @@ def random_baseline(df: DataFrame, ks: Sequence[int] = (1, 3)) -> DataFrame:
     return tree_macro(scored, [f"random_success_at_{k}" for k in ks] + ["random_mrr_reference"]).drop("trees")
 
 
+def ranking_against_random(df: DataFrame, ks: Sequence[int] = (1, 3)) -> DataFrame:
+    """Both side by side; the table of views is written once and read for each part."""
+    views = written(view_ranks(df), "views")
+    return ranking_metrics(views, ks).join(random_baseline(views, ks), "model")
+
+
 def ranked_views(df: DataFrame) -> DataFrame:
     """Every row with its rank in the view."""
     return grouped_rank(df, VIEW, [F.col("score").desc(), F.col("segment_id")])

@@ -22,22 +22,39 @@ GROWTH = 8.0
 MAX_ROUNDS = 30
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / F.lit(size)).cast("long")
+# a cell is one number, column * 2^32 + row: cheap to hash, compare and make distinct
+COLUMN = 1 << 32
+
+
+def cell_key(x: Column, y: Column, size: float) -> Column:
+    index = lambda v: F.floor(v / F.lit(size)).cast("long")
+    return index(x) * COLUMN + index(y)
 
 
 def edge_cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float, spacing: float) -> Column:
     """Distinct cells within one cell of the samples of an edge."""
     n = F.greatest(F.ceil(norm(x1 - x0, y1 - y0) / F.lit(spacing)), F.lit(1)).cast("long")
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-
-    def sample(i: Column) -> Column:
-        cx, cy = _cell(x0 + (x1 - x0) * i / n, size), _cell(y0 + (y1 - y0) * i / n, size)
-        return F.transform(around, lambda d: F.struct((cx + d.dx).alias("cx"), (cy + d.dy).alias("cy")))
-
+    around = F.array(*[F.lit(dx * COLUMN + dy).cast("long") for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     still = (x0 == x1) & (y0 == y1)
     steps = F.when(still, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), n))
-    return F.array_distinct(F.flatten(F.transform(steps, sample)))
+    walked = F.array_distinct(F.transform(steps, lambda i: cell_key(x0 + (x1 - x0) * i / n, y0 + (y1 - y0) * i / n, size)))
+    return F.array_distinct(F.flatten(F.transform(walked, lambda k: F.transform(around, lambda d: k + d))))
+
+
+def passed_cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
+    """Distinct cells an edge passes, with a margin far above the tolerance of a crossing.
+
+    Samples are half a cell apart, so every point of the edge is in the box of a quarter cell
+    around one of them, and that box touches only the cells of its four corners.
+    """
+    n = F.greatest(F.ceil(norm(x1 - x0, y1 - y0) / F.lit(size / 2)), F.lit(1)).cast("long")
+    reach = size / 4 + size * 1e-3
+    corners = F.array(*[F.struct(F.lit(a * reach).alias("x"), F.lit(b * reach).alias("y")) for a in (-1, 1) for b in (-1, 1)])
+
+    def around(i: Column) -> Column:
+        return F.transform(corners, lambda d: cell_key(x0 + (x1 - x0) * i / n + d.x, y0 + (y1 - y0) * i / n + d.y, size))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n), around)))
 
 
 def as_edges(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -53,16 +70,16 @@ def within(points: DataFrame, edges: DataFrame, keys: Sequence[str], radius: flo
     both with ``distance, fx, fy, fraction``.
     """
     size = 1.5 * radius
-    left = points.withColumn("_cx", _cell(F.col("px"), size)).withColumn("_cy", _cell(F.col("py"), size))
+    left = points.withColumn("_cell", cell_key(F.col("px"), F.col("py"), size))
     cells = edge_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, radius)
-    right = edges.withColumn("_c", F.explode(cells)).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
-    joined = left.join(right, [*keys, "_cx", "_cy"])
+    right = edges.withColumn("_cell", F.explode(cells))
+    joined = left.join(right, [*keys, "_cell"])
     p = project_point(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return (
         joined.withColumn("_p", p)
         .filter(F.col("_p.distance") <= radius)
         .withColumns({"distance": F.col("_p.distance"), "fx": F.col("_p.x"), "fy": F.col("_p.y"), "fraction": F.col("_p.fraction")})
-        .drop("_p", "_cx", "_cy")
+        .drop("_p", "_cell")
     )
 
 
@@ -119,13 +136,12 @@ def crossings(lines: DataFrame, edges: DataFrame, keys: Sequence[str], size: flo
     from stemweave.functions.geometry import intersect_segments
 
     def celled(df: DataFrame, names: Sequence[str]) -> DataFrame:
-        cells = edge_cells(*[F.col(n) for n in names], size, size / 2)
-        return df.withColumn("_c", F.explode(cells)).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")).drop("_c")
+        return df.withColumn("_cell", F.explode(passed_cells(*[F.col(n) for n in names], size)))
 
-    joined = celled(lines, ["ax0", "ay0", "ax1", "ay1"]).join(celled(edges, ["x0", "y0", "x1", "y1"]), [*keys, "_cx", "_cy"])
+    joined = celled(lines, ["ax0", "ay0", "ax1", "ay1"]).join(celled(edges, ["x0", "y0", "x1", "y1"]), [*keys, "_cell"])
     hit = intersect_segments(*[F.col(n) for n in ("ax0", "ay0", "ax1", "ay1", "x0", "y0", "x1", "y1")])
     return (
         joined.withColumn("hit", hit)
-        .filter(F.col("hit").isNotNull() & (_cell(F.col("hit.x"), size) == F.col("_cx")) & (_cell(F.col("hit.y"), size) == F.col("_cy")))
-        .drop("_cx", "_cy")
+        .filter(F.col("hit").isNotNull() & (cell_key(F.col("hit.x"), F.col("hit.y"), size) == F.col("_cell")))
+        .drop("_cell")
     )
