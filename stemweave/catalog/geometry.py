@@ -12,7 +12,12 @@ from stemweave.functions import geometry as g
 from stemweave.operators import orientation
 
 c = F.col
-P = c("poly")
+
+
+def P():
+    return c("poly")
+
+
 PE = fx.with_views("path_points", "path_edges")
 ENDS = """ends AS (SELECT group_id, arg_min(x, pos) AS ax, arg_min(y, pos) AS ay, arg_max(x, pos) AS bx, arg_max(y, pos) AS "by" FROM path_points GROUP BY 1)"""
 TURNS = """tn AS (SELECT group_id, pos, x1 - x0 AS dx, y1 - y0 AS dy, len, lead(x1 - x0) OVER w AS ex, lead(y1 - y0) OVER w AS ey, lead(len) OVER w AS elen FROM path_edges WINDOW w AS (PARTITION BY group_id ORDER BY pos)),
@@ -20,24 +25,28 @@ TURNS = """tn AS (SELECT group_id, pos, x1 - x0 AS dx, y1 - y0 AS dy, len, lead(
 PROJ = lambda px, py: f"""greatest(0.0, least(1.0, (({px} - x0) * (x1 - x0) + ({py} - y0) * (y1 - y0)) / (len * len)))"""
 
 
-def on_paths(*columns):
-    return lambda s, sf: rounded(fx.paths(s, sf).select("group_id", *columns))
+def on_paths(columns):
+    return lambda s, sf: rounded(fx.paths(s, sf).select("group_id", *columns()))
 
 
 # a point per path to project: the middle of its first and its 20th point
-PX, PY = (F.get(P, 0).x + F.get(P, 20).x) / 2, (F.get(P, 0).y + F.get(P, 20).y) / 2
+def middle(axis: str):
+    at = lambda i: F.get(P(), i).getField(axis)
+    return (at(0) + at(20)) / 2
+
+
 TARGET = "tg AS (SELECT group_id, (max(x) FILTER (pos = 0) + max(x) FILTER (pos = 20)) / 2 AS px, (max(y) FILTER (pos = 0) + max(y) FILTER (pos = 20)) / 2 AS py FROM path_points GROUP BY 1)"
 
 
 def _slice(s, sf):
-    poly = fx.paths(s, sf).withColumn("len", g.poly_length(P))
-    cut = poly.select("group_id", g.poly_slice(P, c("len") * 0.25, c("len") * 0.75).alias("part"))
+    poly = fx.paths(s, sf).withColumn("len", g.poly_length(P()))
+    cut = poly.select("group_id", g.poly_slice(P(), c("len") * 0.25, c("len") * 0.75).alias("part"))
     return rounded(cut.select("group_id", F.posexplode("part").alias("pos", "p")).select("group_id", c("pos").cast("long").alias("pos"), "p.x", "p.y"))
 
 
 def _pairs(s, sf):
     """Edges of a path against the edge eight positions later."""
-    e = fx.paths(s, sf).select("group_id", g.edges(P).alias("e"))
+    e = fx.paths(s, sf).select("group_id", g.edges(P()).alias("e"))
     return e.select("group_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("e") - 9), lambda i: F.struct(i.cast("long").alias("pos"), F.get("e", i).alias("a"), F.get("e", i + 8).alias("b")))).alias("p")).select("group_id", "p.*")
 
 
@@ -93,7 +102,7 @@ def _axis(s, sf):
 
 def _directed(s, sf):
     pts = fx.paths(s, sf)
-    at = lambda i: F.get(P, i)
+    at = lambda i: F.get(P(), i)
     df = pts.select(
         "group_id", at(0).x.alias("ax"), at(0).y.alias("ay"), at(1).x.alias("bx"), at(1).y.alias("by"), (F.abs(at(2).x) / 3).alias("distance_a"),
         (F.abs(at(2).y) / 3).alias("distance_b"), (F.abs(at(3).x) / 300).alias("score"), (1 + F.abs(at(3).y) / 100).alias("aspect_ratio"))
@@ -107,13 +116,13 @@ def _angles(s, sf):
 
 
 def _islands(s, sf):
-    v = fx.paths(s, sf).select("group_id", F.explode(g.exit_islands(F.transform(P, lambda p: p.x), 20.0)).alias("i"))
+    v = fx.paths(s, sf).select("group_id", F.explode(g.exit_islands(F.transform(P(), lambda p: p.x), 20.0)).alias("i"))
     return v.select("group_id", c("i.first").cast("long").alias("first"), c("i.last").cast("long").alias("last"))
 
 
 def _profile(s, sf):
-    path = F.transform(P, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), (F.abs(p.x + p.y) + 1).alias("r")))
-    return rounded(fx.paths(s, sf).select("group_id", g.path_profile(path, F.get(P, 0).y, F.lit(-400.0), F.lit(1000.0), F.lit(800.0)).alias("v")).select("group_id", "v.*"))
+    path = F.transform(P(), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), (F.abs(p.x + p.y) + 1).alias("r")))
+    return rounded(fx.paths(s, sf).select("group_id", g.path_profile(path, F.get(P(), 0).y, F.lit(-400.0), F.lit(1000.0), F.lit(800.0)).alias("v")).select("group_id", "v.*"))
 
 
 def _centers(s, sf):
@@ -124,18 +133,18 @@ def _centers(s, sf):
 
 Q = "quantile_cont"
 QUERIES = [
-    Query("poly_length", on_paths(g.poly_length(P).alias("length"), g.group_length(P, F.concat(g.linear_chain(P), F.array(F.array(F.lit(0), F.lit(31)), F.array(F.lit(0), F.lit(99))))).alias("closed_length")),
+    Query("poly_length", on_paths(lambda: [g.poly_length(P()).alias("length"), g.group_length(P(), F.concat(g.linear_chain(P()), F.array(F.array(F.lit(0), F.lit(31)), F.array(F.lit(0), F.lit(99))))).alias("closed_length")]),
           PE.rstrip() + f", {ENDS} SELECT e.group_id, {rsql('sum(len)', 'length')}, {rsql('sum(len) + sqrt((any_value(bx) - any_value(ax)) ** 2 + (any_value(\"by\") - any_value(ay)) ** 2)', 'closed_length')} FROM path_edges e JOIN ends ON ends.group_id = e.group_id GROUP BY 1"),
-    Query("tortuosity", on_paths(g.chord(P).alias("chord"), g.tortuosity(P).alias("tortuosity"), g.tortuosity(P, 1e-6).alias("sinuosity"), g.straightness(P).alias("straightness")),
+    Query("tortuosity", on_paths(lambda: [g.chord(P()).alias("chord"), g.tortuosity(P()).alias("tortuosity"), g.tortuosity(P(), 1e-6).alias("sinuosity"), g.straightness(P()).alias("straightness")]),
           PE + f", {ENDS}, l AS (SELECT group_id, sum(len) AS len FROM path_edges GROUP BY 1), z AS (SELECT l.group_id, len, sqrt((bx - ax) ** 2 + (\"by\" - ay) ** 2) AS ch FROM l JOIN ends USING (group_id)) "
           f"SELECT group_id, {rsql('ch', 'chord')}, {rsql('len / greatest(ch, 1)', 'tortuosity')}, {rsql('len / greatest(ch, 1e-6)', 'sinuosity')}, {rsql('ch / greatest(len, 1e-6)', 'straightness')} FROM z"),
-    Query("turning_angles", on_paths(g.turning_mean(P).alias("mean_turn"), g.turning_max(P).alias("max_turn"), g.turning_sum(P).alias("sum_turn")),
+    Query("turning_angles", on_paths(lambda: [g.turning_mean(P()).alias("mean_turn"), g.turning_max(P()).alias("max_turn"), g.turning_sum(P()).alias("sum_turn")]),
           PE + f", {TURNS} SELECT group_id, {rsql('avg(a)', 'mean_turn')}, {rsql('max(a)', 'max_turn')}, {rsql('sum(a)', 'sum_turn')} FROM ta GROUP BY 1"),
-    Query("tangents", on_paths(g.tangent(P).x.alias("tx"), g.tangent(P).y.alias("ty"), g.weighted_tangent(P).x.alias("wx"), g.weighted_tangent(P).y.alias("wy"), g.end_tangent(P, False, 3).x.alias("ex"), g.end_tangent(P, False, 3).y.alias("ey")),
+    Query("tangents", on_paths(lambda: [g.tangent(P()).x.alias("tx"), g.tangent(P()).y.alias("ty"), g.weighted_tangent(P()).x.alias("wx"), g.weighted_tangent(P()).y.alias("wy"), g.end_tangent(P(), False, 3).x.alias("ex"), g.end_tangent(P(), False, 3).y.alias("ey")]),
           PE + f""", {ENDS}, w AS (SELECT group_id, sum((x1 - x0) * len) AS sx, sum((y1 - y0) * len) AS sy, sum((x0 - x1) * len) FILTER (pos >= 28) AS qx, sum((y0 - y1) * len) FILTER (pos >= 28) AS qy FROM path_edges GROUP BY 1),
           z AS (SELECT *, sqrt((bx - ax) ** 2 + ("by" - ay) ** 2) AS ch, sqrt(sx * sx + sy * sy) AS sn, sqrt(qx * qx + qy * qy) AS qn FROM w JOIN ends USING (group_id))
           SELECT group_id, {rsql('(bx - ax) / ch', 'tx')}, {rsql('("by" - ay) / ch', 'ty')}, {rsql('sx / sn', 'wx')}, {rsql('sy / sn', 'wy')}, {rsql('qx / qn', 'ex')}, {rsql('qy / qn', 'ey')} FROM z"""),
-    Query("project_on_polyline", lambda s, sf: rounded(fx.paths(s, sf).select("group_id", g.project_on_polyline(PX, PY, P).alias("p")).select("group_id", "p.*")),
+    Query("project_on_polyline", lambda s, sf: rounded(fx.paths(s, sf).select("group_id", g.project_on_polyline(middle("x"), middle("y"), P()).alias("p")).select("group_id", "p.*")),
           PE + f""", {TARGET}, j AS (SELECT e.*, px, py, {PROJ('px', 'py')} AS f FROM path_edges e JOIN tg USING (group_id)),
           k AS (SELECT *, x0 + f * (x1 - x0) AS fx, y0 + f * (y1 - y0) AS fy FROM j), m AS (SELECT *, sqrt((px - fx) ** 2 + (py - fy) ** 2) AS d FROM k),
           r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY d, pos) AS rn FROM m)
@@ -149,17 +158,17 @@ QUERIES = [
           PE + f", {PAIR_SQL} SELECT group_id, pos, {rsql('x0 + t * (x1 - x0)', 'x')}, {rsql('y0 + t * (y1 - y0)', 'y')} FROM ih WHERE hit"),
     Query("segment_distance", lambda s, sf: rounded(_pairs(s, sf).select("group_id", "pos", _both(g.segment_distance).alias("distance"))),
           PE + f", {PAIR_SQL} SELECT group_id, pos, {rsql('CASE WHEN hit THEN 0.0 ELSE least(' + ', '.join([_pd('x0', 'y0', 'u0', 'v0', 'u1', 'v1'), _pd('x1', 'y1', 'u0', 'v0', 'u1', 'v1'), _pd('u0', 'v0', 'x0', 'y0', 'x1', 'y1'), _pd('u1', 'v1', 'x0', 'y0', 'x1', 'y1')]) + ') END', 'distance')} FROM ih"),
-    Query("max_chord_deviation", on_paths(g.max_chord_deviation(P).alias("deviation")),
+    Query("max_chord_deviation", on_paths(lambda: [g.max_chord_deviation(P()).alias("deviation")]),
           PE + f", {ENDS} SELECT p.group_id, {rsql('max(' + _pd('x', 'y', 'ax', 'ay', 'bx', chr(34) + 'by' + chr(34)) + ')', 'deviation')} FROM path_points p JOIN ends USING (group_id) WHERE pos BETWEEN 1 AND 30 GROUP BY 1"),
     Query("densify", _densify,
           fx.with_views("strokes") + """, n AS (SELECT *, greatest(ceil(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 2.0), 1)::BIGINT AS n FROM strokes)
           SELECT DISTINCT sample_id, round_even(x0 + (x1 - x0) * i / n, 0)::BIGINT AS x, round_even(y0 + (y1 - y0) * i / n, 0)::BIGINT AS y FROM n, LATERAL (SELECT unnest(range(n + 1)) AS i) r"""),
-    Query("rescale_clamp", lambda s, sf: rounded(fx.paths(s, sf).select("group_id", F.posexplode(g.clamp_points(g.rescale_points(P, F.lit(0.5), F.lit(2.0)), F.lit(60.0), F.lit(90.0))).alias("pos", "p")).select("group_id", c("pos").cast("long").alias("pos"), "p.x", "p.y")),
+    Query("rescale_clamp", lambda s, sf: rounded(fx.paths(s, sf).select("group_id", F.posexplode(g.clamp_points(g.rescale_points(P(), F.lit(0.5), F.lit(2.0)), F.lit(60.0), F.lit(90.0))).alias("pos", "p")).select("group_id", c("pos").cast("long").alias("pos"), "p.x", "p.y")),
           PE + f"SELECT group_id, pos, {rsql('greatest(0, least(59, x * 0.5))', 'x')}, {rsql('greatest(0, least(89, y * 2.0))', 'y')} FROM path_points"),
-    Query("dedupe_consecutive", lambda s, sf: fx.paths(s, sf).select("group_id", F.size(g.dedupe_consecutive(F.transform(P, lambda p: g.point(F.rint(p.x / 200), F.rint(p.y / 200))))).cast("long").alias("points")),
+    Query("dedupe_consecutive", lambda s, sf: fx.paths(s, sf).select("group_id", F.size(g.dedupe_consecutive(F.transform(P(), lambda p: g.point(F.rint(p.x / 200), F.rint(p.y / 200))))).cast("long").alias("points")),
           PE + """, q AS (SELECT group_id, pos, round_even(x / 200, 0) + 0.0 AS x, round_even(y / 200, 0) + 0.0 AS y FROM path_points), l AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM q WINDOW w AS (PARTITION BY group_id ORDER BY pos))
           SELECT group_id, count_if(lx IS NULL OR x <> lx OR y <> ly) AS points FROM l GROUP BY 1"""),
-    Query("border_distance", on_paths(g.border_distance(P, F.lit(500.0), F.lit(400.0)).alias("border_distance"), g.mean_point(P).x.alias("mean_x"), g.mean_point(P).y.alias("mean_y")),
+    Query("border_distance", on_paths(lambda: [g.border_distance(P(), F.lit(500.0), F.lit(400.0)).alias("border_distance"), g.mean_point(P()).x.alias("mean_x"), g.mean_point(P()).y.alias("mean_y")]),
           PE + f"SELECT group_id, {rsql('min(least(x, y, 499 - x, 399 - y))', 'border_distance')}, {rsql('avg(x)', 'mean_x')}, {rsql('avg(y)', 'mean_y')} FROM path_points GROUP BY 1"),
     Query("box_overlap", _boxes,
           fx.with_views("boxes") + f""", o AS (SELECT *, (x2 - x1) * (y2 - y1) AS a, (x2 + 3 - x1 - 2) * (y2 + 2 - y1 - 1) AS b, greatest(least(x2, x2 + 3) - greatest(x1, x1 + 2), 0) * greatest(least(y2, y2 + 2) - greatest(y1, y1 + 1), 0) AS i FROM boxes)
@@ -185,7 +194,7 @@ QUERIES = [
           d AS (SELECT vec_id, coalesce(least(abs(a - t), pi() - abs(a - t)), pi() / 2) AS td, least(abs(a - n), pi() - abs(a - n)) AS nd FROM t),
           e AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 0.3 END * (greatest(0, 1 - least(td, pi() - td) / (pi() / 3)) + greatest(0, 1 - least(nd, pi() - nd) / (pi() / 4))) AS sc FROM d)
           SELECT vec_id, {rsql('td', 'tangent_difference')}, {rsql('nd', 'normal_difference')}, {rsql('sc', 'consistency_score')}, sc >= 0.5 AS is_consistent FROM e"""),
-    Query("max_false_run", lambda s, sf: fx.paths(s, sf).select("group_id", g.max_false_run(F.transform(P, lambda p: p.x > 0)).cast("long").alias("longest")),
+    Query("max_false_run", lambda s, sf: fx.paths(s, sf).select("group_id", g.max_false_run(F.transform(P(), lambda p: p.x > 0)).cast("long").alias("longest")),
           PE + """, f AS (SELECT group_id, pos, pos - row_number() OVER (PARTITION BY group_id ORDER BY pos) AS isl FROM path_points WHERE NOT x > 0), k AS (SELECT group_id, isl, count(*) AS n FROM f GROUP BY ALL)
           SELECT group_id, coalesce((SELECT max(n) FROM k WHERE k.group_id = g.group_id), 0) AS longest FROM (SELECT DISTINCT group_id FROM path_points) g"""),
     Query("exit_islands", _islands,

@@ -467,3 +467,46 @@ QUERIES = [
         fx.with_views("candidates") + f"""SELECT sample_id, {rsql('count_if(prediction = 1) / count(*)', 'success_rate')}, count_if(label = 1 AND score > 0.9) AS trunk_fork_nodes, count_if(label = 1 AND score > 0.9) = 0 AS single_trunk_path FROM candidates GROUP BY 1""",
     ),
 ]
+
+
+def _routing(s, sf):
+    g = fx.strokes(s, sf).select("sample_id", F.concat_ws("_root_", (c("k") % 12).cast("string"), (c("k") % 3).cast("string")).alias("group_id"), "k", F.floor(c("x0") / 24).alias("x"), F.floor(c("y0") / 40).alias("y"))
+    e = g.select("sample_id", c("x").alias("x0"), c("y").alias("y0"), (c("x") + c("k") % 2).alias("x1"), (c("y") + 1).alias("y1"))
+    return audit.routing_quality(g.select("sample_id", "group_id"), e, g, 8)
+
+
+ROUTE = """g AS (SELECT sample_id, k, concat(k % 12, '_root_', k % 3) AS group_id, CAST(k % 12 AS VARCHAR) AS fam, floor(x0 / 24)::BIGINT AS x, floor(y0 / 40)::BIGINT AS y FROM strokes),
+ e AS (SELECT sample_id, x AS x0, y AS y0, x + k % 2 AS x1, y + 1 AS y1 FROM g)"""
+
+
+def _undeclared(s, sf):
+    g = fx.strokes(s, sf).select("sample_id", "k", F.floor(c("x0") / 48).alias("x"), F.floor(c("y0") / 80).alias("y"))
+    e = g.select("sample_id", "k", c("x").alias("x0"), c("y").alias("y0"), (c("x") + 1).alias("x1"), (c("y") + 1).alias("y1"))
+    return audit.undeclared_duplicate_edges(e.drop("k"), e.filter("k % 4 = 0").withColumn("corridor_id", c("k") % 3))
+
+
+def _hierarchy(s, sf):
+    kind = F.when(c("k") % 10 == 0, "trunk").when(c("k") % 3 == 0, "secondary_branch").otherwise("branch")
+    return audit.hierarchy_audit(fx.strokes(s, sf).select("sample_id", kind.alias("group_type"), F.when(c("k") % 2 == 0, "p").alias("parent_group_id")))
+
+
+def _rulebook(s, sf):
+    p = table(s, sf, "part").select(c("p_brand").alias("section"), c("p_type").alias("field"), c("p_name").alias("statistic"), "p_retailprice")
+    rows = p.groupBy("section", "field", "statistic").agg(F.max("p_retailprice").cast("string").alias("value"))
+    return rounded(audit.load_rulebook(rows.withColumns({"samples_total": F.lit(100), "samples_valid": F.lit(99)}), 100, 99))
+
+
+QUERIES += [
+    Query("routing_quality", _routing,
+          fx.with_views("strokes", extra=ROUTE) + """, d AS (SELECT sample_id, sum(n - 1)::BIGINT AS v FROM (SELECT sample_id, count(*) AS n FROM e GROUP BY sample_id, x0, y0, x1, y1) q WHERE n > 1 GROUP BY 1),
+          s AS (SELECT sample_id, count(*) AS v FROM (SELECT sample_id FROM g GROUP BY sample_id, x, y HAVING count(DISTINCT group_id) > 1) q GROUP BY 1), f AS (SELECT sample_id, count(*) AS v FROM (SELECT sample_id FROM g GROUP BY sample_id, fam HAVING count(*) > 8) q GROUP BY 1),
+          a AS (SELECT DISTINCT sample_id FROM g) SELECT a.sample_id, coalesce(d.v, 0) AS duplicate_edges, coalesce(s.v, 0) AS shared_points, coalesce(f.v, 0) AS oversize_families, coalesce(d.v, 0) = 0 AND coalesce(f.v, 0) = 0 AS passed
+          FROM a LEFT JOIN d USING (sample_id) LEFT JOIN s USING (sample_id) LEFT JOIN f USING (sample_id)"""),
+    Query("undeclared_duplicate_edges", _undeclared,
+          fx.with_views("strokes") + """, e AS (SELECT sample_id, k, floor(x0 / 48)::BIGINT AS x0, floor(y0 / 80)::BIGINT AS y0 FROM strokes), c AS (SELECT sample_id, x0, y0, count(*) AS copies, count(DISTINCT CASE WHEN k % 4 = 0 THEN k % 3 END) AS corridors FROM e GROUP BY ALL)
+          SELECT sample_id, x0, y0, x0 + 1 AS x1, y0 + 1 AS y1, copies, corridors FROM c WHERE copies > 1 AND corridors <> 1"""),
+    Query("hierarchy_audit", _hierarchy,
+          fx.with_views("strokes") + """SELECT sample_id, count(*) AS groups, count_if(k % 10 = 0) AS trunks, count_if(k % 10 <> 0 AND k % 3 <> 0) AS branches, count_if(k % 10 <> 0 AND k % 3 = 0) AS secondary_branches,
+          count_if(k % 10 <> 0 AND k % 3 = 0 AND k % 2 <> 0) AS orphan_secondary FROM strokes GROUP BY 1"""),
+    Query("load_rulebook", _rulebook, f"SELECT p_brand AS section, p_type AS field, p_name AS statistic, {rsql('max(p_retailprice)', 'value')} FROM part GROUP BY ALL"),
+]

@@ -274,7 +274,8 @@ def compare_rankings(a: DataFrame, b: DataFrame, keys: Sequence[str], item: str,
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Undirected form: the smaller end point first."""
-    a, b = F.struct("x0", "y0"), F.struct("x1", "y1")
+    a = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))
+    b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
     return edges.withColumn("_lo", F.least(a, b)).withColumn("_hi", F.greatest(a, b))
 
 
@@ -303,7 +304,7 @@ def undeclared_duplicate_edges(edges: DataFrame, corridors: DataFrame) -> DataFr
     declared = canonical_edges(corridors).groupBy("sample_id", "_lo", "_hi").agg(F.count_distinct("corridor_id").alias("corridors"))
     joined = physical.join(declared, ["sample_id", "_lo", "_hi"], "left")
     return joined.filter(F.coalesce("corridors", F.lit(0)) != 1).select(
-        "sample_id", F.col("_lo.x0").alias("x0"), F.col("_lo.y0").alias("y0"), F.col("_hi.x0").alias("x1"), F.col("_hi.y0").alias("y1"), "copies",
+        "sample_id", F.col("_lo.x").alias("x0"), F.col("_lo.y").alias("y0"), F.col("_hi.x").alias("x1"), F.col("_hi.y").alias("y1"), "copies",
         F.coalesce("corridors", F.lit(0)).alias("corridors"),
     )
 

@@ -17,10 +17,6 @@ from stemweave.plans.durable import written
 SALTS = 16
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,19 +30,19 @@ def running_totals(
 
     Rows are range-partitioned by (keys, order), so a heavy key is spread over consecutive
     partitions. Each partition sums on its own; the sums of a key's earlier partitions are then
-    added. Only the first key of a partition can continue from an earlier one, so the table of
+    added. The number of partitions is left to the session, so small tables are coalesced. Only the
+    first key of a partition can continue from an earlier one, so the table of
     offsets has fewer rows than there are partitions and is broadcast.
     ``exclusive`` leaves the current row out of its own sum. ``whole`` names columns for the sums
     over the whole key, taken from the same written rows so that the source is read once.
     ``running="max"`` keeps running maxima instead of sums.
     """
     gather = {"sum": F.sum, "max": F.max}[running]
-    parts = _parts(df)
     staged = df
     for name, value in totals.items():
         staged = staged.withColumn(f"_v_{name}", value)
     ranged = written(
-        staged.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
+        staged.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
             "_part", F.spark_partition_id()
         ),
         "running",

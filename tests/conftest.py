@@ -10,4 +10,7 @@ from stemweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", 4, partitions=4)
+    session = local_session("tests", 4, partitions=4)
+    # keep small tables in several partitions, so that carrying sums across them is exercised
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    return session
