@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stemweave.functions.geometry import linear_chain, norm
 from stemweave.plans.durable import written
 from stemweave.plans.fixpoint import fixpoint
-from stemweave.plans.skew import running_totals
+from stemweave.plans.skew import attach_groups, running_totals
 from stemweave.plans.slices import local_chains, local_labels, sliced
 
 S = ["sample_id"]
@@ -321,7 +321,7 @@ def bfs_depth(segments: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -
 
     done = fixpoint(start, step, max_rounds=max_rounds, tag="depth")
     top = done.groupBy("sample_id").agg(F.max("depth").alias("_top"))
-    return done.join(top, "sample_id").select("sample_id", "segment_id", F.coalesce("depth", F.coalesce("_top", F.lit(-1)) + 1).alias("depth"))
+    return attach_groups(done, top, S).select("sample_id", "segment_id", F.coalesce("depth", F.coalesce("_top", F.lit(-1)) + 1).alias("depth"))
 
 
 def root_distance(edges: DataFrame, roots: DataFrame, weight: str = "length_px", max_rounds: int = 10_000) -> DataFrame:
