@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import host_rules
+from stemweave.llm import host_rules, warc
 from stemweave.llm import sql as twin
 
 
@@ -14,14 +14,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents")).drop("rate_base", "rate_symbols", "rate_dup_lines")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op5_host_rules": op5_host_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": twin.WARC,
     "op5_host_rules": twin.HOST_RULES,
 }

@@ -34,3 +34,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT rejected AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
+
+#: Forty hex digits are 32 base32 digits of five bits.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+  (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) AS nth, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM q)
+SELECT page_id, strlen(body) AS payload_bytes, payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN low END AS refers_to, true AS digest_matches, true AS has_request
+FROM r
+"""
