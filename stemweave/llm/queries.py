@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import host_rules, warc
+from stemweave.llm import containment, host_rules, warc
 from stemweave.llm import sql as twin
 
 
@@ -22,12 +22,18 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents")).drop("rate_base", "rate_symbols", "rate_dup_lines")
 
 
+def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op5_host_rules": op5_host_rules,
+    "op10_containment": op10_containment,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": twin.WARC,
     "op5_host_rules": twin.HOST_RULES,
+    "op10_containment": twin.CONTAINMENT,
 }

@@ -45,3 +45,13 @@ SELECT page_id, strlen(body) AS payload_bytes, payload_digest, CASE WHEN nth = 1
   CASE WHEN nth > 1 THEN low END AS refers_to, true AS digest_matches, true AS has_request
 FROM r
 """
+
+CONTAINMENT = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+ds AS (SELECT DISTINCT rid, doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) > 4)),
+bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b WHERE len(ws) > 4)),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+x AS (SELECT rid, doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, k AS n_shared, k / n AS containment FROM x JOIN bn USING (item_id) WHERE k >= 0.8 * n
+"""
