@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import containment, host_rules, warc
+from stemweave.llm import containment, fst, host_rules, warc, wordpiece
 from stemweave.llm import sql as twin
 
+PIECE_MODEL = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +25,14 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents")).drop("rate_base", "rate_symbols", "rate_dup_lines")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), wordpiece.pieces_of_model(PIECE_MODEL))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst.encode(_table(spark, sf_dir, "documents"), fst.load_model(PIECE_MODEL))
+
+
 def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +40,8 @@ def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op5_host_rules": op5_host_rules,
+    "op6_token_counts": op6_token_counts,
+    "op7_sentencepiece": op7_sentencepiece,
     "op10_containment": op10_containment,
 }
 
