@@ -123,7 +123,8 @@ def load_model(path: str) -> tuple[tuple[tuple[int, str, float], ...], tuple[int
     plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     scores = [model.get_score(i) for i in plain]
     byte_ids = [i for i in range(size) if model.is_byte(i)]
-    if all(a - b == 1 for a, b in zip(scores, scores[1:], strict=False)):
+    # runs of spaces are outside the ranking (score -1e9) and take the rank of their place
+    if all(s == -r for r, s in enumerate(scores) if s > -1e8):
         total = log(sum(1 / (r + 1) for r in range(len(plain))))
         scores = [-(log(r + 1) + total) for r in range(len(plain))]
     return tuple((i, model.id_to_piece(i), -s) for i, s in zip(plain, scores, strict=True)), tuple(byte_ids) if len(byte_ids) == 256 else ()
