@@ -230,10 +230,12 @@ def round_trip(pages: DataFrame, id_kind: str = "long") -> DataFrame:
         F.element_at("capture.headers", "measured-digest").alias("digest"),
         F.element_at("capture.headers", "warc-payload-digest").alias("stated"),
     ).withColumn("page_id", F.when(F.col("page") != "", F.col("page")).cast(id_kind))
+    # only revisits look for another capture; a response stands under its own id, so no null key gathers
+    found = written(found.withColumn("refers_id", F.coalesce("refers_id", "capture_id")), "captures")
     originals = found.filter("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("first_page"), F.col("bytes").alias("first_bytes"), F.col("digest").alias("first_digest"))
     return found.join(originals, "refers_id", "left").select(
         "page_id", F.coalesce("bytes", "first_bytes").alias("payload_bytes"), F.coalesce("digest", "first_digest").alias("payload_digest"),
-        "record_type", F.col("first_page").alias("refers_to"),
+        "record_type", F.when(F.col("record_type") == "revisit", F.col("first_page")).alias("refers_to"),
         (F.concat(F.lit("sha1:"), F.coalesce("digest", "first_digest")) == F.col("stated")).alias("digest_matches"),
         F.col("request_id").isNotNull().alias("has_request"),
     )
