@@ -111,7 +111,10 @@ class Transducer:
         return raw.removeprefix(first).decode("utf-8", "replace")
 
 
-transducer = lru_cache(maxsize=2)(Transducer)
+@lru_cache(maxsize=2)
+def transducer(pieces: tuple[tuple[int, str, float], ...], byte_ids: tuple[int, ...]) -> Transducer:
+    """Compiled once per Python worker."""
+    return Transducer(pieces, byte_ids)
 
 
 def load_model(path: str) -> tuple[tuple[tuple[int, str, float], ...], tuple[int, ...]]:

@@ -86,7 +86,10 @@ class Automaton:
         return count
 
 
-automaton = lru_cache(maxsize=2)(Automaton)
+@lru_cache(maxsize=2)
+def automaton(first: tuple[str, ...], later: tuple[str, ...]) -> Automaton:
+    """Built once per Python worker."""
+    return Automaton(first, later)
 
 
 def pieces_of_model(path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
