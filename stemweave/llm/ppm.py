@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from stemweave.llm.texts import LOWER_TABLE, U64, flat, prefix_hashes, range_hashes, ragged, slices, word_spans
 from stemweave.plans.durable import written
 
-ORDER = 6
+ORDER = 5
 KEEP = 1e-6
 FREQUENT = 1e-6
 LANES = 4096
@@ -80,7 +80,9 @@ def windows(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 class Tally:
-    """Distinct keys with counts, compacted as they grow."""
+    """Distinct keys with counts, of a bounded number of keys: what is full is handed on."""
+
+    MOST = 2_500_000
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -89,19 +91,27 @@ class Tally:
     def add(self, keys: np.ndarray) -> None:
         self.parts.append(np.unique(keys, return_counts=True))
         self.held += len(self.parts[-1][0])
-        if self.held > 8_000_000:
-            self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        order = np.argsort(keys, kind="stable")
+        if self.held > 2 * self.MOST:
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *[k for k, _ in self.parts]])
+        counts = np.concatenate([np.zeros(0, dtype=np.int64), *[c for _, c in self.parts]])
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.parts = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
+        self.held = len(first)
+
+    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """What is held, if it is the last or many; the keys' counts are summed downstream anyway."""
+        if last:
+            self.merge()
+        if self.held > self.MOST or last:
+            for keys, counts in self.parts:
+                for i in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], names=["key", "n"])
+            self.parts, self.held = [], 0
 
 
 def count_training(training: DataFrame) -> DataFrame:
@@ -114,9 +124,9 @@ def count_training(training: DataFrame) -> DataFrame:
                 symbols, _, hashes, _ = stream(part.column(0))
                 tally.add(windows(symbols))
                 tally.add(hashes | WORD_BIT)
-        keys, counts = tally.merged()
-        for i in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000].astype(np.int64))], names=["key", "n"])
+                if len(tally.parts) == 1:  # just merged
+                    yield from tally.rows(last=False)
+        yield from tally.rows(last=True)
 
     return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
