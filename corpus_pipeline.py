@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import host_rules
+from stemweave.llm import containment, fst, host_rules, probminhash, repeats
+from stemweave.llm.queries import PIECE_MODEL
 from stemweave.plans.durable import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,8 +22,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.keep_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return probminhash.keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 or more that occur again are taken out of the texts, wherever they stand."""
+    return repeats.without_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return containment.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their pieces."""
+    return fst.encode(docs, fst.load_model(PIECE_MODEL), carry=tuple(docs.columns))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
 ]
 
 #: Minima of random arrivals, suffix order and the shortest path are beyond SQL; tests compare with brute force.
