@@ -16,6 +16,9 @@ from stemweave.plans.durable import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Fifty short words.
+REPEATED_BYTES = 250
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules themselves or come from a rejected host go."""
@@ -28,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 or more that occur again are taken out of the texts, wherever they stand."""
-    return repeats.without_repeats(docs)
+    """Strings of ``REPEATED_BYTES`` or more that occur again are taken out of the texts, wherever they stand."""
+    return repeats.without_repeats(docs, length=REPEATED_BYTES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

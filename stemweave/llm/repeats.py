@@ -135,14 +135,14 @@ def _common(a: bytes, b: bytes, least: int) -> int:
     return int(np.argmax(x != y))
 
 
-def _scan(stored: DataFrame) -> DataFrame:
+def _scan(stored: DataFrame, length: int) -> DataFrame:
     """(row, n_bytes, sha, pieces) of stored (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, at = flat(part.column(1))
-                text, key, start, count, twice = pieces_of(data, at)
+                text, key, start, count, twice = pieces_of(data, at, length)
                 whole = data.tobytes()
                 sha = [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 begin = np.searchsorted(text, np.arange(part.num_rows + 1))
@@ -155,7 +155,7 @@ def _scan(stored: DataFrame) -> DataFrame:
     return stored.select("row", "text").mapInArrow(run, "row long, n_bytes long, sha string, key array<long>, start array<int>, count array<int>, twice array<boolean>")
 
 
-def _texts(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+def _texts(candidates: DataFrame, stored: DataFrame, length: int) -> DataFrame:
     """Pieces with their bytes: (row, key, start, count, pid, piece); ``candidates`` has a list of places per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def _texts(candidates: DataFrame, stored: DataFrame) -> DataFrame:
                 columns: list[list] = [[], [], [], [], [], []]
                 for row, places, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     for p in places:
-                        piece = text[p["start"] : p["start"] + p["count"] + LENGTH - 1]
+                        piece = text[p["start"] : p["start"] + p["count"] + length - 1]
                         for values, value in zip(columns, (row, p["key"], p["start"], p["count"], hashlib.blake2b(piece, digest_size=16).digest(), piece), strict=True):
                             values.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -193,17 +193,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int,
         yield heads, *rest
 
 
-def _repeats(pieces: DataFrame) -> DataFrame:
+def _repeats(pieces: DataFrame, length: int) -> DataFrame:
     """Occurrences of maximal repeats as (pid, begin, length), and window classes of dealt keys as (key, fingerprint,
     pid, begin); pid is null there if the block has the class more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"pid": pa.binary(), "begin": pa.int32(), "length": pa.int32(), "key": pa.int64(), "fingerprint": pa.int64()}
         for heads, pids, windows, texts in _blocks(batches):
-            suffixes, longest, _, fingerprint, (piece, offset) = maximal_repeats(texts, windows)
+            suffixes, longest, _, fingerprint, (piece, offset) = maximal_repeats(texts, windows, length)
             hits = [(pids[p], o, n) for (p, o), n in zip(suffixes, longest, strict=True) if n]
-            pid, begin, length = ([h[i] for h in hits] for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((pid, begin, length, [None] * len(hits), [None] * len(hits)), kinds.values(), strict=True)], names=list(kinds))
+            pid, begin, size = ([h[i] for h in hits] for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((pid, begin, size, [None] * len(hits), [None] * len(hits)), kinds.values(), strict=True)], names=list(kinds))
             dealt = np.array([h[2] for h in heads])[piece]
             if dealt.any():
                 piece, offset, fingerprint = piece[dealt], offset[dealt], fingerprint[dealt]
@@ -218,16 +218,16 @@ def _repeats(pieces: DataFrame) -> DataFrame:
     return arranged.mapInArrow(run, "pid binary, begin int, length int, key long, fingerprint long")
 
 
-def find(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def find(stored: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """Of stored (row, text): (row, n_bytes, sha, copies, first) of every row, and (row, begin, end) byte ranges that
     are covered by repeats, for the first row of each text. Ranges may overlap; texts with copies are repeated whole."""
-    scanned = written(_scan(stored), "scanned")
+    scanned = written(_scan(stored, length), "scanned")
     same = written(scanned.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "same")
     firsts = scanned.join(same.select(F.col("first").alias("row")), "row", "left_semi")
     runs = firsts.select("row", F.explode(F.arrays_zip("key", "start", "count", "twice")).alias("p")).select("row", "p.*")
     many = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any")).filter("n > 1 OR any").select("key"), "keys")
     wanted = runs.join(many, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("key", "start", "count")).alias("places"))
-    occurrences = written(_texts(wanted, stored), "pieces")
+    occurrences = written(_texts(wanted, stored, length), "pieces")
     distinct = written(occurrences.groupBy("key", "pid").agg(F.first("piece").alias("piece"), F.first("count").alias("count"), F.count(F.lit(1)).alias("n")), "distinct")
     sizes = distinct.groupBy("key").agg(F.sum(F.octet_length("piece")).alias("bytes")).filter(F.col("bytes") > BLOCK)
     lanes = written(sizes.select("key", F.ceil(F.col("bytes") / BLOCK).alias("lanes")), "lanes")
@@ -235,15 +235,15 @@ def find(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
         "key", "pid", "count", "piece", F.col("lanes").isNotNull().alias("dealt"),
         F.pmod(F.xxhash64("pid"), F.coalesce("lanes", F.lit(1))).alias("lane"),
     )
-    found = written(_repeats(placed), "repeats")
+    found = written(_repeats(placed, length), "repeats")
     inside = found.filter("length IS NOT NULL").select("pid", "begin", (F.col("begin") + F.col("length")).alias("end"))
     # classes that several blocks of one key have
     across = (
         found.filter("length IS NULL").groupBy("key", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("pid", "begin")).alias("one"))
         .filter("n > 1").select(F.explode("one").alias("o")).filter("o.pid IS NOT NULL")
-        .select("o.pid", "o.begin", (F.col("o.begin") + LENGTH).alias("end"))
+        .select("o.pid", "o.begin", (F.col("o.begin") + length).alias("end"))
     )
-    whole = distinct.filter("n > 1").select("pid", F.lit(0).alias("begin"), (F.col("count") + LENGTH - 1).alias("end"))
+    whole = distinct.filter("n > 1").select("pid", F.lit(0).alias("begin"), (F.col("count") + length - 1).alias("end"))
     marks = inside.unionByName(across).unionByName(whole)
     ranges = occurrences.select("row", "start", "pid").join(marks, "pid").select("row", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))
     return scanned.select("row", "n_bytes", "sha").join(same, "sha"), ranges
@@ -298,12 +298,12 @@ def _down(text: bytes, at: int) -> int:
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, SHA-256 of what is left."""
     stored = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "docs")
-    rows, ranges = find(stored)
+    rows, ranges = find(stored, length)
     cut = written(_cut(ranges, stored, whole_characters=False).drop("text"), "cut")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     joined = rows.join(cut, "row", "left").join(stored.select("row", "id"), "row")
     return joined.select(
         F.col("id").alias(id_col), "n_bytes",
@@ -313,15 +313,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """The documents with repeated ranges taken out of their texts (to whole characters, so texts stay valid) and
     their number of characters counted anew; those of which nothing but spaces is left go."""
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.monotonically_increasing_id().alias("row"))
     stored = written(whole, "docs").withColumn("text", F.col("_row").getField(text_col))
-    rows, ranges = find(stored)
+    rows, ranges = find(stored, length)
     cut = written(_cut(ranges, stored, whole_characters=True).select("row", F.col("text").alias("rest")), "cut")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     fate = written(rows.filter(gone | (F.col("row") != F.col("first"))).select("row", gone.alias("gone")).filter("gone").select("row"), "gone")
     left = stored.join(fate, "row", "left_anti").join(cut, "row", "left")
     text = F.when(F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("text"))
