@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import containment, fst, host_rules, ppm, probminhash, repeats, warc, wordpiece
+from stemweave.llm import containment, fst, host_rules, langmix, ppm, probminhash, repeats, warc, wordpiece
 from stemweave.llm import sql as twin
 
 PIECE_MODEL = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
@@ -41,6 +41,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.encode(_table(spark, sf_dir, "documents"), fst.load_model(PIECE_MODEL))
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.held_out_languages(_table(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.spans(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_host_rules": op5_host_rules,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_language_mixture": op8_language_mixture,
     "op9_repeats": op9_repeats,
     "op10_containment": op10_containment,
 }
