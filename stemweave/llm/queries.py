@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import containment, fst, host_rules, langmix, ppm, probminhash, repeats, warc, wordpiece
+from stemweave.llm import containment, fst, host_rules, langmix, ppm, probminhash, repeats, toxicity, warc, wordpiece
 from stemweave.llm import sql as twin
 
 PIECE_MODEL = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
@@ -25,6 +25,10 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ppm": op2_ppm,
+    "op3_toxicity": op3_toxicity,
     "op4_probminhash": op4_probminhash,
     "op5_host_rules": op5_host_rules,
     "op6_token_counts": op6_token_counts,
