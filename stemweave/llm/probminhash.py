@@ -9,7 +9,9 @@ component with a chance equal to their probability Jaccard.
 Equal word sequences are one text from the start. Texts that agree in all components of a band meet in a bucket. No
 bucket is expanded into pairs: its members are verified against its head, and what stays apart from the head's class
 is compared, leader by leader, with the members of other classes, until nobody is left (so every pair of a bucket
-either was verified or is in one class already). Verification computes the probability Jaccard of the whole texts.
+either was verified, or is in one class already, or can't reach the threshold). Two texts can't reach it if too much
+of their weight, u and v, lies on shingles that no other text of the mixed buckets has: their probability Jaccard is at
+most (1 - u)(1 - v) / (1 - uv). Verification computes the probability Jaccard of the whole texts.
 
 Defined results: a text without words (null, empty) is a class of its own. The class id is the smallest document id
 in it; repeated rows are copies. With null ids the class id is the smallest other id, or null. An empty table gives
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemweave.llm.components import components
@@ -130,6 +132,26 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _reachable(threshold: float) -> Column:
+    u, v = F.col("u"), F.col("v")
+    return (1 - u) * (1 - v) >= threshold * (1 - u * v) - 1e-9
+
+
+def own_shares(docs: DataFrame) -> DataFrame:
+    """(row, own): the share of each text's weight on shingles that no other of the texts (row, text) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, element, weight, _, _ = weighted(part.column(1))
+                share = weight / np.bincount(text, weight, part.num_rows)[text]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(share)], names=["row", "shingle", "share"])
+
+    shingle = docs.select("row", "text").mapInArrow(run, "row long, shingle long, share double")
+    single = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("row").alias("row"), F.first("share").alias("share")).filter("n = 1")
+    return single.groupBy("row").agg(F.sum("share").alias("own"))
+
+
 def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row, comp) of the texts (row, bands) that have a near duplicate; ``docs`` has (row, text)."""
     member = texts.select("row", F.explode("bands").alias("bucket"))
@@ -141,7 +163,7 @@ def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     best = votes.groupBy("row").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
     pairs = written(best.select(F.col("head").alias("a"), F.col("row").alias("b")), "pairs")
     tested, links = pairs, written(verify(pairs, some, threshold), "links")
-    used = None
+    used = shares = None
     step = 0
     while True:
         labels = components(links)
@@ -149,22 +171,30 @@ def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
             buckets.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
             .join(labels.toDF("head", "home"), "head", "left").withColumn("home", F.coalesce("home", "head"))
         )
-        outside = written(placed.filter("comp != home").select("bucket", "row", "head", "comp"), "outside")
+        placed = written(placed, "placed")
+        outside = placed.filter("comp != home")
         if outside.isEmpty():
             return labels
+        if shares is None:
+            mixed = buckets.join(outside.select("bucket").distinct(), "bucket", "left_semi").select("row").distinct()
+            shares = written(own_shares(some.join(mixed, "row", "left_semi")), "shares")
         if step == 0:  # what is left of members against heads
             pairs = outside.select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
+            own = pairs.join(shares.toDF("a", "u"), "a", "left").join(shares.toDF("b", "v"), "b", "left").fillna(0.0, ["u", "v"])
+            pairs = own.filter(_reachable(threshold)).select("a", "b")
         else:  # leaders among those outside the head's class, more of them each time
+            placed = placed.join(shares, "row", "left").fillna(0.0, ["own"]).filter(F.col("own") <= 1 - threshold)
+            outside = placed.filter("comp != home")
             rest = outside if used is None else outside.join(used, ["bucket", "row"], "left_anti")
             lanes = 4 ** min(step, 12)
             leaders = written(
-                rest.groupBy("bucket", F.pmod(F.xxhash64("row", F.lit(step)), F.lit(lanes))).agg(F.min_by(F.struct(F.col("row").alias("row"), F.col("comp").alias("comp")), "row").alias("l"))
-                .select("bucket", F.col("l.row").alias("row"), F.col("l.comp").alias("comp")), "leaders")
+                rest.groupBy("bucket", F.pmod(F.xxhash64("row", F.lit(step)), F.lit(lanes))).agg(F.min_by(F.struct("row", "comp", "own"), "row").alias("l"))
+                .select("bucket", "l.row", "l.comp", F.col("l.own").alias("u")), "leaders")
             if leaders.isEmpty():
                 return labels
             used = leaders.select("bucket", "row") if used is None else written(used.unionByName(leaders.select("bucket", "row")), "used")
-            other = outside.select("bucket", F.col("row").alias("other"), F.col("comp").alias("theirs"))
-            pairs = leaders.join(other, "bucket").filter("comp != theirs").select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+            other = placed.select("bucket", F.col("row").alias("other"), F.col("comp").alias("theirs"), F.col("own").alias("v"))
+            pairs = leaders.join(other, "bucket").filter((F.col("comp") != F.col("theirs")) & _reachable(threshold)).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
         step += 1
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
