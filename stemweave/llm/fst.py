@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from stemweave.llm.texts import slices
 
 MARK = "▁"
-MEMO = 300_000  # segments remembered by a Python worker
+MEMO = 600_000  # segments in a generation of what a Python worker remembers
+PIECE_COST = 1e-9  # of every piece or byte, which settles ties
 BYTE_COST = 4.0  # added to a fallback byte's weight, so that pieces win wherever they reach
 
 
@@ -43,15 +44,18 @@ class Transducer:
         self.prefix = prefix
         self.byte_ids = byte_ids
         self.surface = {i: s.replace(MARK, " ").encode() for i, s, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        # a state is a dict of arcs by character; under 0 it has the id and weight with which a piece ends there
-        self.start: dict = {}
+        # a state is its arcs by character, and the id and weight with which a piece ends there
+        self.start: list = [{}, None, 0.0]
         for i, s, weight in pieces:
             node = self.start
             for c in s:
-                node = node.setdefault(c, {})
-            if 0 not in node or weight < node[0][1]:
-                node[0] = (i, weight)
+                node = node[0].setdefault(c, [{}, None, 0.0])
+            if node[1] is None or weight < node[2]:
+                node[1], node[2] = i, weight + PIECE_COST
         self.byte_weight = BYTE_COST + max((w for *_, w in pieces), default=0.0)
+        self.longest = max((len(s) for _, s, _ in pieces), default=0)
+        self.memo: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.segment = self._links([s for _, s, _ in pieces])
 
     def _links(self, pieces: list[str]) -> re.Pattern[str]:
@@ -68,41 +72,48 @@ class Transducer:
     def path(self, segment: str) -> list[int]:
         """Ids on the shortest path through the lattice of a normalised segment."""
         n = len(segment)
-        weights, counts = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        back: list[int] = [0] * (n + 1)
-        taken: list[tuple[int, ...]] = [()] * (n + 1)
-        for at in range(n):
-            node, weight, count = self.start, weights[at], counts[at] + 1
-            covered = not self.byte_ids
-            for to in range(at, n):
-                if (node := node.get(segment[to])) is None:
+        weights = [0.0] + [float("inf")] * n
+        back, taken = [0] * (n + 1), [0] * (n + 1)
+        raw: dict[int, bytes] = {}
+        first, bytewise = self.start[0], bool(self.byte_ids)
+        for at, c in enumerate(segment):
+            weight, arcs, end = weights[at], first, at
+            covered = not bytewise
+            for c in segment[at : at + self.longest]:
+                if (node := arcs.get(c)) is None:
                     break
-                if (final := node.get(0)) is not None:
-                    covered |= to == at
-                    total, end = weight + final[1], to + 1
-                    if total < weights[end] or (total == weights[end] and count < counts[end]):
-                        weights[end], counts[end], back[end], taken[end] = total, count, at, (final[0],)
+                arcs, piece, cost = node
+                end += 1
+                if piece is not None:
+                    if end == at + 1:
+                        covered = True
+                    if weight + cost < weights[end]:
+                        weights[end], back[end], taken[end] = weight + cost, at, piece
             if not covered:  # where a piece covers the character, its fallback bytes weigh more
-                raw = segment[at].encode()
-                total, count = weight + self.byte_weight * len(raw), count - 1 + len(raw)
-                if total < weights[at + 1] or (total == weights[at + 1] and count < counts[at + 1]):
-                    weights[at + 1], counts[at + 1], back[at + 1] = total, count, at
-                    taken[at + 1] = tuple(self.byte_ids[b] for b in raw)
+                own = segment[at].encode()
+                if (total := weight + (self.byte_weight + PIECE_COST) * len(own)) < weights[at + 1]:
+                    weights[at + 1], back[at + 1], raw[at + 1] = total, at, own
+                    taken[at + 1] = -1
         if weights[n] == float("inf"):
             raise ValueError("a character is neither in a piece nor covered by byte fallback")
-        out: list[tuple[int, ...]] = []
+        out: list[int] = []
         while n:
-            out.append(taken[n])
+            if taken[n] >= 0:
+                out.append(taken[n])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(raw[n]))
             n = back[n]
-        return list(chain.from_iterable(reversed(out)))
+        out.reverse()
+        return out
 
-    def encode(self, text: str, memo: dict[str, list[int]]) -> list[int]:
+    def encode(self, text: str) -> list[int]:
         links = self.segment.findall(self.normalise(text))
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(self.memo) > MEMO:  # what was used of late is kept, so memory is bounded by two generations
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         for link in set(links):
             if link not in memo:
-                memo[link] = self.path(link)
+                memo[link] = old.get(link) or self.path(link)
         return list(chain.from_iterable(map(memo.__getitem__, links)))
 
     def decode(self, ids: list[int]) -> str:
@@ -145,12 +156,11 @@ def encode(docs: DataFrame, model: tuple, text_col: str = "text", carry: tuple[s
         machine = transducer(*shared.value)
         fallback = np.zeros(1 + max([*machine.surface, 0]), dtype=bool)
         fallback[list(machine.byte_ids)] = True
-        memo: dict[str, list[int]] = {}
         for batch in batches:
             for part in slices(batch, "_text"):
                 at, arrays, digests, exact = [0], [], [], []
                 for text in part.column(part.schema.get_field_index("_text")).to_pylist():
-                    ids = machine.encode(text, memo) if text else []
+                    ids = machine.encode(text) if text else []
                     array = np.array(ids, dtype=np.int32)
                     arrays.append(array)
                     at.append(at[-1] + len(ids))
