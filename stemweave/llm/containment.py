@@ -5,10 +5,11 @@ carriage return), in lower case. An item's MinHash values are kept as the shingl
 a uniform draw from the item: the share of draws found in a document estimates |item and document| / |item| at any
 document length, where a symmetric estimate would vanish for short items in long documents. Items are partitioned by
 size: a class (powers of two of the shingle count) sets how many draws an item has, how many of them must be found and
-the least number of shingles of a document. Candidates are verified by exact containment of shingle strings.
+the least number of shingles of a document. A second pass verifies candidates by exact containment: it counts the distinct
+shingles, as 64-bit hashes, that a text shares with the item.
 
-Only DataFrame functions. Texts are matched by their SHA-1, so copies of a text are verified once. The draws and the
-item shingles are written tables: a join broadcasts them only when the file is below the session's threshold.
+Only DataFrame functions. Both passes join exploded shingles to tables of the items (written, so a join broadcasts
+them only when the file is below the session's threshold) and shuffle hits alone; texts are told apart by SHA-1.
 
 Defined results: null and short texts (under five words) have no shingles and neither match nor are matched. Repeated
 item rows give repeated results only if their ids differ; repeated documents give a row each. Rows with a null id are
@@ -54,14 +55,10 @@ def _hashes(array: str) -> Column:
     return F.transform(_starts(array), lambda w, i: F.xxhash64(w, *[F.get(array, i + j) for j in range(1, SIZE)]))
 
 
-def _strings(array: str) -> Column:
-    return F.transform(_starts(array), lambda w, i: F.concat_ws(" ", w, *[F.get(array, i + j) for j in range(1, SIZE)]))
-
-
 def item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (item, shingle) with the item's number of shingles."""
+    """Distinct (item, shingle hash) with the item's number of shingles."""
     split = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w"))
-    single = split.select("item", F.explode(_strings("w")).alias("shingle")).distinct()
+    single = split.select("item", F.explode(_hashes("w")).alias("shingle")).distinct()
     sizes = single.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
     return single.alias("s").join(sizes.alias("z"), F.col("s.item").eqNullSafe(F.col("z.item"))).select("s.item", "shingle", "size")
 
@@ -71,7 +68,7 @@ def signatures(shingled: DataFrame, threshold: float) -> DataFrame:
     exponent = F.least(F.floor(F.log2("size") + 1e-9), F.lit(max(DRAWS)))
     draws = F.element_at(F.create_map(*[F.lit(x) for kv in DRAWS.items() for x in kv]), exponent.cast("int"))
     need = F.element_at(F.create_map(*[F.lit(x) for n in set(DRAWS.values()) for x in (n, needed(n, threshold))]), F.col("draws"))
-    hashed = shingled.select("item", "size", F.xxhash64(*[F.get(F.split("shingle", " "), i) for i in range(SIZE)]).alias("hash"), draws.alias("draws"))
+    hashed = shingled.select("item", "size", F.col("shingle").alias("hash"), draws.alias("draws"))
     least = F.ceil(F.col("size") * threshold - 1e-9)
     ranked = hashed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
     return (
@@ -95,12 +92,11 @@ def search(
         .filter("found >= need").select("key", "item"),
         "candidates",
     )
-    some = texts.join(candidates.select("key").distinct(), "key", "left_semi").withColumn("w", words(F.col("text")))
-    inside = some.select("key", F.explode(_strings("w")).alias("shingle")).distinct().join(shingled, "shingle")
-    exact = inside.groupBy("key", "item", "size").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
-    found = exact.alias("e").join(
-        candidates.alias("c"), (F.col("e.key") == F.col("c.key")) & F.col("e.item").eqNullSafe(F.col("c.item")), "left_semi"
+    inside = probes.select("key", F.col("hash").alias("shingle")).join(shingled, "shingle").distinct()
+    wanted = inside.alias("i").join(
+        candidates.alias("c"), (F.col("i.key") == F.col("c.key")) & F.col("i.item").eqNullSafe(F.col("c.item")), "left_semi"
     )
+    found = wanted.groupBy("key", "item", "size").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
     return found.select(F.col("key").alias("text_key"), "item", "size", "shared")
 
 
@@ -122,5 +118,6 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_
     found = written(search(docs, items, threshold, text_col).select("text_key").distinct(), "leaks")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.sha1(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"))
-    kept = rows.join(found, F.col("_key") == F.col("text_key"), "left_anti")
+    # the keys grow with the documents, so they are shuffled at every size and never broadcast
+    kept = rows.join(found.hint("merge"), F.col("_key") == F.col("text_key"), "left_anti")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
