@@ -42,7 +42,14 @@ def _split_counts(df):
 
 def _paired(df):
     per_tree = curves.tree_metrics(df).groupBy("tree_id").pivot("model", ["A", "B"]).agg(F.max("macro_f1"))
-    return resample.paired_delta(per_tree, "A", "B", n=50, seed=7)
+    return resample.paired_delta(per_tree, "A", "B", n=2000, seed=7)
+
+
+def _means(df):
+    """Every tree has a column per model and metric."""
+    per_tree = curves.classification_metrics(df, ["model", "tree_id"])
+    wide = per_tree.groupBy("tree_id").pivot("model", ["A", "B"]).agg(F.max("macro_f1").alias("macro_f1"), F.max("precision").alias("precision"))
+    return resample.bootstrap_mean(wide, [c for c in wide.columns if c != "tree_id"], n=2000, seed=9)
 
 
 def _row_hash():
@@ -154,16 +161,15 @@ QUERIES = [
     ),
     Query(
         "bootstrap_mean",
-        on_candidates(lambda df: resample.bootstrap_mean(
-            curves.classification_metrics(df.filter("model = 'A'"), ["tree_id"]), ["macro_f1", "precision"], n=50, seed=9)),
-        CAND + f""", {TREE_F1}, src AS (SELECT 'macro_f1' AS metric, tree_id, mf AS value FROM tf WHERE model = 'A' UNION ALL SELECT 'precision', tree_id, pr FROM tf WHERE model = 'A'),
-        {_boot_sql('src', 50, 9)} SELECT metric, {rsql('(SELECT avg(value) FROM src WHERE src.metric = ci.metric)', 'mean')}, {rsql('lo', 'ci95_low')}, {rsql('hi', 'ci95_high')} FROM ci""",
+        on_candidates(_means),
+        CAND + f""", {TREE_F1}, src AS (SELECT model || '_macro_f1' AS metric, tree_id, mf AS value FROM tf UNION ALL SELECT model || '_precision', tree_id, pr FROM tf),
+        {_boot_sql('src', 2000, 9)} SELECT metric, {rsql('(SELECT avg(value) FROM src WHERE src.metric = ci.metric)', 'mean')}, {rsql('lo', 'ci95_low')}, {rsql('hi', 'ci95_high')} FROM ci""",
     ),
     Query(
         "paired_delta",
         on_candidates(_paired),
         CAND + f""", {TREE_F1}, src AS (SELECT 'delta' AS metric, a.tree_id, b.mf - a.mf AS value FROM tf a JOIN tf b ON a.tree_id = b.tree_id AND a.model = 'A' AND b.model = 'B'),
-        {_boot_sql('src', 50, 7)},
+        {_boot_sql('src', 2000, 7)},
         tie AS (SELECT abs(value) AS s, count(*) AS n, count_if(value > 0) AS ups FROM src WHERE abs(value) > 1e-12 GROUP BY 1),
         rk AS (SELECT *, sum(n) OVER (ORDER BY s) - (n - 1) / 2.0::DOUBLE AS r FROM tie),
         sm AS (SELECT sum(ups * r) AS up, sum(n)::DOUBLE AS m, sum(n::DOUBLE * n * n - n) AS tie FROM rk),
@@ -172,9 +178,9 @@ QUERIES = [
     ),
     Query(
         "cluster_bootstrap",
-        on_candidates(lambda df: resample.cluster_bootstrap(df, n=20, seed=42)),
+        on_candidates(lambda df: resample.cluster_bootstrap(df, n=1000, seed=42)),
         CAND + f""", ix AS (SELECT tree_id, row_number() OVER (ORDER BY tree_id) - 1 AS i, count(*) OVER () AS sz FROM (SELECT DISTINCT tree_id FROM candidates) d),
-        dr AS (SELECT rep, j, count(*) AS times FROM (SELECT rep, {ph(42, 'rep', 'i')} % sz AS j FROM ix, range(20) r(rep)) x GROUP BY ALL),
+        dr AS (SELECT rep, j, count(*) AS times FROM (SELECT rep, {ph(42, 'rep', 'i')} % sz AS j FROM ix, range(1000) r(rep)) x GROUP BY ALL),
         hist AS (SELECT model, tree_id, score, count(*) AS n, sum(label) AS pos FROM candidates GROUP BY ALL),
         wt AS (SELECT model, rep, score, sum(n * times) AS n, sum(pos * times) AS pos FROM hist JOIN ix USING (tree_id) JOIN dr ON dr.j = ix.i GROUP BY ALL),
         cum AS (SELECT *, sum(n) OVER w AS above, sum(pos) OVER w AS tp FROM wt WINDOW w AS (PARTITION BY model, rep ORDER BY score DESC)),

@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the Mersenne prime 2^31-1 and two multipliers with full period modulo it
-MODULUS = 2147483647
-FIRST_MULTIPLIER = 48271
-SECOND_MULTIPLIER = 69621
+MODULUS = 1 << 60
 
 
 def portable_hash(seed: int | Column, a: Column, b: Column | None = None) -> Column:
-    """Non-negative hash below 2^31-1 of one or two non-negative integers."""
-    m = F.lit(MODULUS).cast("long")
-    start = (F.pmod(a.cast("long"), m) * F.lit(FIRST_MULTIPLIER) + (seed if isinstance(seed, Column) else F.lit(seed))) % m
-    second = F.lit(0) if b is None else F.pmod(b.cast("long"), m)
-    return (((start + second) % m) * F.lit(SECOND_MULTIPLIER)) % m
+    """Hash below 2^60 of one or two integers: the first 15 hex digits of an MD5, so every bit depends on all input."""
+    parts = [seed if isinstance(seed, Column) else F.lit(seed), a, F.lit(0) if b is None else b]
+    text = F.concat_ws("|", *[F.coalesce(x.cast("long").cast("string"), F.lit("-")) for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def portable_hash_sql(seed, a: str, b: str = "0") -> str:
-    m = MODULUS
-    return (
-        f"((((((CAST({a} AS BIGINT) % {m}) * {FIRST_MULTIPLIER} + {seed}) % {m}) + (CAST({b} AS BIGINT) % {m})) % {m})"
-        f" * {SECOND_MULTIPLIER}) % {m}"
-    )
+    parts = ", ".join(f"coalesce(CAST(CAST({x} AS BIGINT) AS VARCHAR), '-')" for x in (seed, a, b))
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 15) AS BIGINT)"
 
 
 def counting(n: int) -> Column:

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from stemweave.functions.hashing import counting, portable_hash
 from stemweave.operators.curves import cumulative_by_score, curve_areas, score_counts
@@ -33,18 +38,35 @@ def _interval(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataF
     return df.groupBy(*by).agg(*aggs)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _dense(reps: pd.Series, times: pd.Series, n: pd.Series) -> pd.Series:
+    """Times by resample, from the lists of a tree."""
+    out = []
+    for r, t, size in zip(reps, times, n, strict=True):
+        row = np.zeros(size)
+        row[r] = t
+        out.append(row)
+    return pd.Series(out)
+
+
 def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "tree_id", by: Sequence[str] = ("model",)) -> DataFrame:
     """Intervals of average precision and AUROC when trees are resampled.
 
-    Rows are counted per (tree, score) before the resamples multiply them, and counted again per
-    (resample, score) before the running sums.
+    A tree brings one vector of n multiplicities. Rows are counted per (tree, score), the counts weigh the tree's
+    vector, and vectors are summed per score; only these sums, n for each distinct score, are expanded.
     """
-    counts = df.groupBy(*by, key, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    counts = df.groupBy(*by, key, "score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("pos"))
     draws = tree_draws(df.select(key).distinct(), key, n, seed)
+    vectors = draws.groupBy(key).agg(F.collect_list("rep").alias("reps"), F.collect_list("times").alias("times")).select(
+        key, array_to_vector(_dense("reps", "times", F.lit(n))).alias("_times")
+    )
+    summed = counts.join(vectors, key).groupBy(*by, "score").agg(
+        Summarizer.sum(F.col("_times"), F.col("n")).alias("n"), Summarizer.sum(F.col("_times"), F.col("pos")).alias("pos")
+    )
     weighted = (
-        counts.join(draws, key)
-        .groupBy(*by, "rep", "score")
-        .agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("pos") * F.col("times")).alias("pos"))
+        summed.select(*by, "score", F.posexplode(F.arrays_zip(vector_to_array("n").alias("n"), vector_to_array("pos").alias("pos"))).alias("rep", "v"))
+        .select(*by, F.col("rep").cast("long").alias("rep"), "score", F.rint("v.n").cast("long").alias("n"), F.rint("v.pos").cast("long").alias("pos"))
+        .filter("n > 0")
     )
     keys = [*by, "rep"]
     values = curve_areas(cumulative_by_score(weighted, keys), keys).filter(F.col("auroc").isNotNull())

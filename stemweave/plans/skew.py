@@ -1,7 +1,7 @@
 """Plans that stay balanced when one key holds a large part of all rows.
 
 ``running_totals``  cumulative sums and ranks inside a key without giving a key to one task
-``attach_groups``   one-row-per-key table joined to rows through salted keys
+``attach_groups``   one-row-per-key table joined to rows, null keys included
 ``exact_quantiles`` interpolated percentiles from a distributed histogram
 """
 
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from stemweave.plans.durable import written
 
-SALTS = 16
-
-
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,21 +105,15 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     return running_totals(df, keys, order, {name: F.lit(1).cast("long")})
 
 
-def attach_groups(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a table with one row per key to many rows per key.
+def attach_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table with one row per key to many rows per key; null keys match each other.
 
-    The many side is spread over ``salts`` sub-keys by a hash of its own values and the one side
-    is repeated once per sub-key, so no task receives a whole heavy key.
+    A plain equality join: adaptive execution broadcasts a small side and splits the partitions of a heavy key, so
+    the one side is copied only where rows are many.
     """
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    renamed = groups.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in groups.columns])
+    same = _all_equal([(F.col(k), F.col(f"_k_{k}")) for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
