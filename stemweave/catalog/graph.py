@@ -179,9 +179,9 @@ def _uncross(s, sf):
     d = graph.degrees(nodes, edges)
     members = d.filter("degree >= 4").select("sample_id", "node_id", (c("x") + 200).alias("cluster_id"))
     outside = d.filter("degree < 4 AND y > 0").select("sample_id", c("node_id").alias("arm_node"))
-    pairings = outside.join(members.select("sample_id", "cluster_id").distinct(), "sample_id").select("sample_id", "cluster_id", "arm_node", (c("arm_node") % 3).alias("pair_no"))
     touching = graph.half_edges(edges.select("sample_id", "src", "dst")).join(members.withColumnRenamed("node_id", "src"), ["sample_id", "src"]).select("sample_id", "cluster_id", c("dst").alias("arm_node")).distinct()
-    return graph.uncross(edges, members, pairings.join(touching, ["sample_id", "cluster_id", "arm_node"], "left_semi"))
+    pairings = touching.join(outside, ["sample_id", "arm_node"], "left_semi").withColumn("pair_no", c("arm_node") % 3)
+    return graph.uncross(edges, members, pairings)
 
 
 ANG = """av AS (SELECT h.sample_id, h.src AS node_id, h.dst AS other, round(atan2((dst % 4194304 - src % 4194304)::DOUBLE, (floor(dst / 4194304) - floor(src / 4194304))::DOUBLE) * 1e9)::BIGINT AS t0 FROM h),
@@ -238,8 +238,8 @@ QUERIES = [
           V + f"""SELECT * FROM (WITH {H}, mb AS (SELECT sample_id, node_id, x + 200 AS cl FROM dg WHERE degree >= 4), o AS (SELECT sample_id, node_id FROM dg WHERE degree < 4 AND y > 0),
           e AS (SELECT u.*, a.cl AS ca, b.cl AS cb FROM uedges u LEFT JOIN mb a ON a.sample_id = u.sample_id AND a.node_id = src LEFT JOIN mb b ON b.sample_id = u.sample_id AND b.node_id = dst),
           x AS (SELECT DISTINCT sample_id, coalesce(ca, cb) AS cl, CASE WHEN ca IS NULL THEN src ELSE dst END AS arm FROM e WHERE (ca IS NULL) <> (cb IS NULL)),
-          n AS (SELECT x.sample_id, arm, -(cl * 1000 + CASE WHEN o.node_id IS NULL THEN 999 ELSE arm % 3 END) AS nn FROM x LEFT JOIN o ON o.sample_id = x.sample_id AND o.node_id = arm)
-          SELECT sample_id, src, dst FROM e WHERE ca IS NULL AND cb IS NULL UNION ALL SELECT DISTINCT sample_id, least(nn, arm), greatest(nn, arm) FROM n) z"""),
+          n AS (SELECT x.sample_id, arm, cl, CASE WHEN o.node_id IS NOT NULL THEN arm % 3 END AS pair FROM x LEFT JOIN o ON o.sample_id = x.sample_id AND o.node_id = arm)
+          SELECT sample_id, src, dst, NULL::BIGINT AS cluster_id, NULL::BIGINT AS pair_no FROM e WHERE ca IS NULL AND cb IS NULL UNION ALL SELECT DISTINCT sample_id, arm, NULL::BIGINT, cl, pair FROM n) z"""),
     Query("angle_priors", lambda s, sf: rounded(graph.fit_angle_priors(base(s, sf)[1]).withColumns({"mean_deg": F.round("mean_deg", 4), "std_deg": F.round("std_deg", 4)})),
           V + f"""SELECT * FROM (WITH {H}, {ANG}, k AS (SELECT CASE WHEN d >= round(120.0 * 6283185308 / 360) THEN 'crossing' WHEN d >= round(15.0 * 6283185308 / 360) THEN 'branching' END AS kind, d * 360.0 / 6283185308 AS a FROM pr)
           SELECT kind, count(*) AS pairs, round(avg(a), 4) AS mean_deg, round(greatest(stddev_pop(a), 1), 4) AS std_deg FROM k WHERE kind IS NOT NULL GROUP BY kind) z"""),

@@ -52,7 +52,7 @@ QUERIES = [
     Query("line_metrics_sweep", lambda s, sf: rounded(pixels.line_metrics_sweep(*sides(s, sf))),
           PG + f", {DIST}, t AS (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in TOL)}]) AS t), a AS (SELECT sample_id, t, avg((d <= t)::INT) AS p FROM dpg, t GROUP BY ALL), b AS (SELECT sample_id, t, avg((d <= t)::INT) AS r FROM dgp, t GROUP BY ALL)"
           ", j AS (SELECT *, 2 * p * r / (p + r + 1e-6) AS f, lag(p) OVER w AS p0, lag(r) OVER w AS r0 FROM a JOIN b USING (sample_id, t) WINDOW w AS (PARTITION BY sample_id ORDER BY r, p)) SELECT sample_id, "
-          + ", ".join(rsql(f"max(f) FILTER (t = {t})", f"f1_{int(t)}px") for t in TOL) + f", {rsql('sum((r - r0) * (p0 + p) * 0.5)', 'pr_auc')} FROM j GROUP BY 1"),
+          + ", ".join(rsql(f"max({v}) FILTER (t = {t})", f"{n}_{int(t)}px") for t in TOL for v, n in (("f", "f1"), ("p", "p"), ("r", "r"))) + f", {rsql('sum((r - r0) * (p0 + p) * 0.5)', 'pr_auc')} FROM j GROUP BY 1"),
     Query("hausdorff", lambda s, sf: rounded(pixels.hausdorff(*sides(s, sf))),
           PG + f", {DIST} SELECT sample_id, {rsql('quantile_cont(d, 0.95)', 'hausdorff_95')}, {rsql('max(d)', 'hausdorff_max')} FROM (SELECT sample_id, d FROM dpg UNION ALL SELECT sample_id, d FROM dgp) u GROUP BY 1"),
     Query("group_consistency", lambda s, sf: rounded(pixels.group_consistency(*grouped(s, sf))),

@@ -310,9 +310,13 @@ QUERIES = [
     ),
     Query(
         "dedupe_by_content", lambda s, sf: manifest.dedupe_by_content(fx.files(s, sf).select(c("sha256").alias("digest"), "task", "source_id")),
-        FILES + """SELECT sha256 AS digest, 0::BIGINT AS part, array_to_string(list_sort(list(DISTINCT task)), ';') AS tasks, array_to_string(list_sort(list(DISTINCT source_id)), ';') AS source_ids, count(*) AS source_count
+        FILES + """SELECT sha256 AS digest, array_to_string(list_sort(list(DISTINCT task)), ';') AS tasks, min(source_id) AS first_source, count(DISTINCT source_id) AS sources, count(*) AS source_count
         FROM files GROUP BY sha256""",
     ),
+    Query(
+        "content_sources", lambda s, sf: manifest.content_sources(fx.files(s, sf).select(c("sha256").alias("digest"), "task", "source_id")),
+        FILES + "SELECT sha256 AS digest, source_id, row_number() OVER (PARTITION BY sha256 ORDER BY source_id) AS place FROM (SELECT DISTINCT sha256, source_id FROM files) z",
+    ),
     Query(
         "scan_documents", lambda s, sf: fx.files(s, sf).select("path", "n_chars", "sha256"),
         FILES + "SELECT path, n_chars, sha256 FROM files",

@@ -236,7 +236,7 @@ QUERIES = [
     Query("tile_grid", _tiles,
           """WITH i AS (SELECT doc_id AS sample_id, n_chars % 900 + 1 AS w, n_chars % 700 + 1 AS h FROM documents), t AS (SELECT DISTINCT sample_id, w, h, greatest(least(x, w - 256), 0) AS x1, greatest(least(y, h - 256), 0) AS y1
             FROM i, LATERAL (SELECT unnest(range(0, w, 128)) AS x) a, LATERAL (SELECT unnest(range(0, h, 128)) AS y) b), u AS (SELECT sample_id, x1, y1, least(x1 + 256, w) AS x2, least(y1 + 256, h) AS y2 FROM t)
-          SELECT * FROM u WHERE ((x1 + y1 + sample_id) % 7 * 10000) / ((x2 - x1) * (y2 - y1)) <= 0.8"""),
+          SELECT * FROM u WHERE ((x1 + y1 + sample_id) % 7 * 10000) / 65536 <= 0.8"""),
     Query("classify_support", lambda s, sf: rounded(_support(s, sf).select("view", "box_id", "support_state")),
           fx.with_views("boxes") + "SELECT view, box_id, CASE WHEN x1 / 200 >= 0.2 OR y1 <= 1 THEN 'supported' WHEN x2 <= 24 THEN 'border_candidate' ELSE 'background_reject' END AS support_state FROM boxes"),
     Query("extension_evidence", lambda s, sf: spatial.extension_evidence(_support(s, sf)),
@@ -254,9 +254,10 @@ QUERIES = [
           f"""WITH {COMPS}, p AS (SELECT sample_id, component_label, x, y + component_label * 30 AS y FROM px), g AS (SELECT sample_id, component_label, count(*) AS n, min(y) AS lo, max(y) AS hi FROM p GROUP BY ALL),
           b AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, component_label) AS rn FROM g) SELECT p.* FROM p JOIN b ON b.sample_id = p.sample_id AND rn = 1 AND p.y BETWEEN lo - 5 AND hi + 5"""),
     Query("bottom_component", lambda s, sf: spatial.bottom_component(comp_boxes(s, sf)),
-          f"""WITH {COMPS}, {COMP_BOXES}, m AS (SELECT *, max(area) OVER w AS ma, max(y2 - y1 + 1) OVER w AS mt FROM cb WINDOW w AS (PARTITION BY sample_id)), k AS (SELECT *, max(y2) OVER (PARTITION BY sample_id) AS low FROM m WHERE area >= 0.08 * ma OR y2 - y1 + 1 >= 0.25 * mt),
-          r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY area DESC, y2 DESC, component_label) AS rn FROM k WHERE y2 >= low - greatest(24, 0.03 * 200)) SELECT sample_id, component_label, area, y2 FROM r WHERE rn = 1"""),
+          f"""WITH {COMPS}, {COMP_BOXES}, m AS (SELECT *, max(area) OVER w AS ma, max(y2 - y1 + 1) OVER w AS mt FROM cb WINDOW w AS (PARTITION BY sample_id)), g AS (SELECT *, area >= greatest(32, round_even(0.08::DOUBLE * ma, 0)) OR y2 - y1 + 1 >= greatest(24, round_even(0.25::DOUBLE * mt, 0)) AS big FROM m),
+          k AS (SELECT *, max(y2) OVER (PARTITION BY sample_id) AS low FROM (SELECT *, bool_or(big) OVER (PARTITION BY sample_id) AS any_big FROM g) s WHERE big OR NOT any_big),
+          r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY area DESC, y2 - y1 DESC, y2 DESC, component_label) AS rn FROM k WHERE y2 >= low - greatest(24, 0.03 * 200)) SELECT sample_id, component_label, area, y2 FROM r WHERE rn = 1"""),
     Query("root_point", _root_point,
           f"""WITH {COMPS}, p AS (SELECT sample_id, x, y, sum(component_label + 1)::DOUBLE AS th FROM px GROUP BY ALL), l AS (SELECT *, max(y) OVER (PARTITION BY sample_id) AS low FROM p), b AS (SELECT *, avg(x) OVER (PARTITION BY sample_id) AS mx FROM l WHERE y >= low - 8),
-          r AS (SELECT *, th - 0.15 * abs(x - mx) AS v, row_number() OVER (PARTITION BY sample_id ORDER BY th - 0.15 * abs(x - mx) DESC, y DESC, x) AS rn FROM b) SELECT sample_id, x, y, {rsql('v', 'value')} FROM r WHERE rn = 1"""),
+          r AS (SELECT *, th - 0.15 * abs(x - mx) AS v, row_number() OVER (PARTITION BY sample_id ORDER BY th - 0.15 * abs(x - mx) DESC, y, x) AS rn FROM b) SELECT sample_id, x, y, {rsql('v', 'value')} FROM r WHERE rn = 1"""),
 ]

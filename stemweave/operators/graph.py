@@ -514,20 +514,22 @@ def uncross(edges: DataFrame, members: DataFrame, pairings: DataFrame) -> DataFr
     """Replace each junction cluster by one node per paired arms and one for the rest.
 
     ``members(sample_id, node_id, cluster_id)``, ``pairings(sample_id, cluster_id, arm_node,
-    pair_no)`` with arms named by their first node outside the cluster. New nodes are negative:
-    arms without a pair meet in node -(cluster*1000+999).
+    pair_no)`` with arms named by their first node outside the cluster. A new node is known by
+    (cluster_id, pair_no), null pair_no for the arms without a pair; an edge to it has the arm as
+    src and no dst. Other edges have no cluster_id.
     """
     inside = members.select("sample_id", "node_id", "cluster_id").distinct()
     a = inside.select("sample_id", F.col("node_id").alias("src"), F.col("cluster_id").alias("ca"))
     b = inside.select("sample_id", F.col("node_id").alias("dst"), F.col("cluster_id").alias("cb"))
     marked = edges.select("sample_id", "src", "dst").join(a, ["sample_id", "src"], "left").join(b, ["sample_id", "dst"], "left")
-    untouched = marked.filter("ca IS NULL AND cb IS NULL").select("sample_id", "src", "dst")
+    none = F.lit(None).cast("long")
+    untouched = marked.filter("ca IS NULL AND cb IS NULL").select("sample_id", "src", "dst", none.alias("cluster_id"), none.alias("pair_no"))
     crossing = marked.filter("(ca IS NULL) <> (cb IS NULL)").select(
         "sample_id", F.coalesce("ca", "cb").alias("cluster_id"), F.when(F.col("ca").isNull(), F.col("src")).otherwise(F.col("dst")).alias("arm_node")
     ).distinct()
     linked = crossing.join(pairings, ["sample_id", "cluster_id", "arm_node"], "left")
-    new = -(F.col("cluster_id") * 1000 + F.coalesce("pair_no", F.lit(999)))
-    return untouched.unionByName(linked.select("sample_id", F.least(new, "arm_node").alias("src"), F.greatest(new, "arm_node").alias("dst")).distinct())
+    new = linked.select("sample_id", F.col("arm_node").alias("src"), none.alias("dst"), F.col("cluster_id").cast("long"), F.col("pair_no").cast("long"))
+    return untouched.unionByName(new.distinct())
 
 
 # --- angles at nodes --------------------------------------------------------------------------------

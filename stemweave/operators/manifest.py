@@ -12,23 +12,22 @@ from stemweave.plans.skew import attach_groups, grouped_rank
 DONE_STATES = ("complete", "auto_excluded", "manual_quality_review")
 
 
-def dedupe_by_content(files: DataFrame, chunk: int = 1000) -> DataFrame:
-    """One row per content with its sorted tasks and sources and the number of records.
+def dedupe_by_content(files: DataFrame) -> DataFrame:
+    """One row per content: its sorted tasks, first source, numbers of sources and of records.
 
-    ``files(digest, task, source_id)``; task names are a closed vocabulary. A content with more
-    than ``chunk`` sources continues in further parts, so no list grows with the data.
+    ``files(digest, task, source_id)``; task names are a closed vocabulary. The sources themselves
+    are rows of ``content_sources``, as their number grows with the data.
     """
-    heads = files.groupBy("digest").agg(
-        F.array_join(F.sort_array(F.collect_set("task")), ";").alias("tasks"), F.count(F.lit(1)).alias("source_count")
+    return files.groupBy("digest").agg(
+        F.array_join(F.sort_array(F.collect_set("task")), ";").alias("tasks"), F.min("source_id").alias("first_source"),
+        F.count_distinct("source_id").alias("sources"), F.count(F.lit(1)).alias("source_count"),
     )
+
+
+def content_sources(files: DataFrame) -> DataFrame:
+    """(digest, source_id, place): the sources of each content in order, one row each."""
     sources = files.select("digest", "source_id").distinct()
-    ranked = grouped_rank(sources, ["digest"], [F.col("source_id")], "_rank")
-    parts = (
-        ranked.withColumn("part", F.floor((F.col("_rank") - 1) / chunk))
-        .groupBy("digest", "part")
-        .agg(F.array_join(F.sort_array(F.collect_list("source_id")), ";").alias("source_ids"))
-    )
-    return attach_groups(parts, heads, ["digest"]).select("digest", "part", "tasks", "source_ids", "source_count")
+    return grouped_rank(sources, ["digest"], [F.col("source_id")], "place")
 
 
 def row_text(columns: Sequence[str]) -> Column:

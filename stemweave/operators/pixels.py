@@ -77,10 +77,11 @@ def _present(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return _marked(pred, gt).groupBy("sample_id").agg((F.max("p") + F.max("g") == 2).alias("both"))
 
 
-def line_metrics(pred: DataFrame, gt: DataFrame, tolerance: float, distances: DataFrame | None = None) -> DataFrame:
+def line_metrics(pred: DataFrame, gt: DataFrame, tolerance: float, distances: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """Precision, recall and F1 within a tolerance and the Chamfer distance.
 
-    A sample with only one side scores 0 and has no Chamfer distance.
+    A sample with only one side scores 0; its Chamfer distance is the longer side of its image if
+    ``images(sample_id, width, height)`` has it, else null.
     """
     d = line_distances(pred, gt) if distances is None else distances
     is_pred = F.col("side") == "pred"
@@ -91,14 +92,18 @@ def line_metrics(pred: DataFrame, gt: DataFrame, tolerance: float, distances: Da
     )
     joined = _present(pred, gt).join(agg, "sample_id", "left")
     p, r = F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0))
-    return joined.select("sample_id", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-6)).alias("f1"), ((F.col("_a") + F.col("_b")) / 2).alias("chamfer"))
+    chamfer = (F.col("_a") + F.col("_b")) / 2
+    if images is not None:
+        joined = joined.join(images.select("sample_id", F.greatest("width", "height").cast("double").alias("_side")), "sample_id", "left")
+        chamfer = F.when(F.col("both"), chamfer).otherwise(F.col("_side"))
+    return joined.select("sample_id", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-6)).alias("f1"), chamfer.alias("chamfer"))
 
 
 TOLERANCES = (1.0, 3.0, 5.0, 8.0, 12.0, 16.0, 24.0)
 
 
 def line_metrics_sweep(pred: DataFrame, gt: DataFrame, tolerances: Sequence[float] = TOLERANCES, distances: DataFrame | None = None) -> DataFrame:
-    """Precision and recall at several tolerances and the trapezoid area over recall.
+    """Precision, recall and F1 at several tolerances and the trapezoid area over recall; 0 with one side only.
 
     The distances are found once; a sample's few (recall, precision) points are sorted in a row.
     """
@@ -107,7 +112,8 @@ def line_metrics_sweep(pred: DataFrame, gt: DataFrame, tolerances: Sequence[floa
     aggs = []
     for t in tolerances:
         within_t = (F.col("distance") <= t).cast("double")
-        aggs += [F.avg(F.when(is_pred, within_t)).alias(f"p{t}".replace(".", "_")), F.avg(F.when(~is_pred, within_t)).alias(f"r{t}".replace(".", "_"))]
+        for side, name in ((is_pred, "p"), (~is_pred, "r")):
+            aggs.append(F.coalesce(F.avg(F.when(side, within_t)), F.lit(0.0)).alias(f"{name}{t}".replace(".", "_")))
     wide = d.groupBy("sample_id").agg(*aggs)
     pts = F.array_sort(F.array(*[F.struct(F.col(f"r{t}".replace(".", "_")).alias("r"), F.col(f"p{t}".replace(".", "_")).alias("p")) for t in tolerances]))
     n = len(tolerances)
@@ -115,7 +121,7 @@ def line_metrics_sweep(pred: DataFrame, gt: DataFrame, tolerances: Sequence[floa
     cols = []
     for t in tolerances:
         p, r = F.col(f"p{t}".replace(".", "_")), F.col(f"r{t}".replace(".", "_"))
-        cols.append((2 * p * r / (p + r + 1e-6)).alias(f"f1_{int(t)}px"))
+        cols += [p.alias(f"p_{int(t)}px"), r.alias(f"r_{int(t)}px"), (2 * p * r / (p + r + 1e-6)).alias(f"f1_{int(t)}px")]
     return wide.select("sample_id", *cols, area.alias("pr_auc"))
 
 

@@ -305,11 +305,10 @@ def tile_grid(images: DataFrame, size: int = 256, stride: int = 128) -> DataFram
     ).distinct()
 
 
-def drop_blank_tiles(tiles: DataFrame, blanks: DataFrame, share: float = 0.8) -> DataFrame:
-    """Leave out tiles whose blank share ``blanks(sample_id, x1, y1, blank_pixels)`` is too high."""
+def drop_blank_tiles(tiles: DataFrame, blanks: DataFrame, share: float = 0.8, size: int = 256) -> DataFrame:
+    """Leave out tiles whose blank share ``blanks(sample_id, x1, y1, blank_pixels)`` of a full tile is too high."""
     joined = tiles.join(blanks, ["sample_id", "x1", "y1"], "left")
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return joined.filter(F.coalesce("blank_pixels", F.lit(0)) / area <= share).select(*tiles.columns)
+    return joined.filter(F.coalesce("blank_pixels", F.lit(0)) / (size * size) <= share).select(*tiles.columns)
 
 
 def classify_support(df: DataFrame, min_overlap: float = 0.2, mask_limit: float = 12.0, edge_limit: float = 24.0) -> DataFrame:
@@ -379,29 +378,33 @@ def bottom_component(components: DataFrame) -> DataFrame:
     """The root component of a sample: structural in size, near the lowest, then the largest.
 
     ``components(sample_id, component_label, area, y1, y2, image_height)``. Structural is 8 % of the
-    largest area or 25 % of the tallest height; near is max(24, 3 % of the image height).
+    largest area and 32 pixels, or 25 % of the tallest height and 24 pixels; a sample without any takes
+    all. Near is max(24, 3 % of the image height). Ties go to the taller, the lower, the first label.
     """
     c = F.col
     tall = c("y2") - c("y1") + 1
     most = components.groupBy("sample_id").agg(F.max("area").alias("_area"), F.max(tall).alias("_tall"))
-    kept = attach_groups(components, most, S).filter((c("area") >= 0.08 * c("_area")) | (tall >= 0.25 * c("_tall")))
+    big = (c("area") >= F.greatest(F.lit(32.0), F.rint(0.08 * c("_area")))) | (tall >= F.greatest(F.lit(24.0), F.rint(0.25 * c("_tall"))))
+    marked = attach_groups(components, most, S).withColumn("_big", big)
+    some = marked.groupBy("sample_id").agg(F.max("_big").alias("_some"))
+    kept = attach_groups(marked, some, S).filter(c("_big") | ~c("_some")).drop("_big", "_some")
     low = kept.groupBy("sample_id").agg(F.max("y2").alias("_low"))
-    near = attach_groups(kept.drop("_area", "_tall"), low, S).filter(c("y2") >= c("_low") - F.greatest(F.lit(24.0), 0.03 * c("image_height")))
-    best = near.groupBy("sample_id").agg(F.max(F.struct("area", "y2", (-c("component_label")).alias("neg"))).alias("b"))
+    near = attach_groups(kept.drop("_area", "_tall"), low, S).filter(c("y2") >= c("_low") - F.greatest(F.lit(24.0), F.rint(0.03 * c("image_height"))))
+    best = near.groupBy("sample_id").agg(F.max(F.struct("area", tall.alias("tall"), "y2", (-c("component_label")).alias("neg"))).alias("b"))
     return best.select("sample_id", (-c("b.neg")).alias("component_label"), c("b.area").alias("area"), c("b.y2").alias("y2"))
 
 
-def root_point(pixels: DataFrame, band: int = 20) -> DataFrame:
+def root_point(pixels: DataFrame, band: int = 12) -> DataFrame:
     """In the bottom band the pixel with the best thickness less 0.15 per pixel off the mean column.
 
-    ``pixels(sample_id, x, y, thickness)``; ties go to the lowest, then the leftmost pixel.
+    ``pixels(sample_id, x, y, thickness)``; ties go to the first pixel in row order.
     """
     low = pixels.groupBy("sample_id").agg(F.max("y").alias("_low"))
     inside = attach_groups(pixels, low, S).filter(F.col("y") >= F.col("_low") - band).drop("_low")
     mean = inside.groupBy("sample_id").agg(F.avg("x").alias("_mean"))
     scored = attach_groups(inside, mean, S).withColumn("value", F.col("thickness") - 0.15 * F.abs(F.col("x") - F.col("_mean")))
-    best = scored.groupBy("sample_id").agg(F.max(F.struct("value", "y", (-F.col("x")).alias("neg"))).alias("b"))
-    return best.select("sample_id", (-F.col("b.neg")).alias("x"), F.col("b.y").alias("y"), F.col("b.value").alias("value"))
+    best = scored.groupBy("sample_id").agg(F.max(F.struct("value", (-F.col("y")).alias("up"), (-F.col("x")).alias("neg"))).alias("b"))
+    return best.select("sample_id", (-F.col("b.neg")).alias("x"), (-F.col("b.up")).alias("y"), F.col("b.value").alias("value"))
 
 
 def trunk_side(points: DataFrame, trunk: DataFrame, radius: float, neutral: float = 5.0) -> DataFrame:

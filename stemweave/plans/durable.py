@@ -13,11 +13,13 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the session names in ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """Folder the session names in ``spark.checkpoint.dir``; a private one only in local mode, where it may be unset."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)

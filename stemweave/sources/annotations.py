@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,12 @@ CUT_FILE = T.StructType([
 COCO = T.StructType([
     T.StructField("images", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("file_name", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))),
     T.StructField("annotations", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("image_id", T.LongType()), T.StructField("segmentation", T.StringType())]))),
+    T.StructField("_corrupt_record", T.StringType()),
 ])
 LABELME = T.StructType([
     T.StructField("imageWidth", T.IntegerType()), T.StructField("imageHeight", T.IntegerType()), T.StructField("imagePath", T.StringType()),
     T.StructField("shapes", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("points", T.ArrayType(NUMBERS))]))),
+    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 
@@ -75,15 +78,23 @@ def read_cut_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_coco(spark: SparkSession, path: str | Sequence[str], pattern: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, polygons with at least three points, and images whose name does not match.
+    """Images, polygons with at least three points, and rejects with a ``reason``.
 
-    A run-length segmentation stays as text in ``rle``.
+    A run-length segmentation stays as text in ``rle``. Rejects are images whose name does not match, annotations
+    of images that are not in their file, and files that do not parse.
     """
     raw = _json(spark, path, COCO)
     images = raw.select("path", F.explode("images").alias("i")).select("path", "i.*")
+    broken = raw.filter("_corrupt_record IS NOT NULL").select("path", F.when(F.col("images").isNull(), "invalid_json").otherwise("invalid_fields").alias("reason"))
     good = images.filter(F.col("file_name").rlike(pattern))
     bad = images.filter(~F.coalesce(F.col("file_name").rlike(pattern), F.lit(False)))
     anns = raw.select("path", F.explode("annotations").alias("a")).select("path", F.col("a.id").alias("annotation_id"), "a.image_id", "a.segmentation")
+    lost = anns.join(images.select("path", F.col("id").alias("image_id")), ["path", "image_id"], "left_anti")
+    bad = (
+        bad.withColumn("reason", F.lit("name_mismatch"))
+        .unionByName(lost.select("path", F.col("image_id").alias("id"), F.lit("missing_image").alias("reason")).distinct(), allowMissingColumns=True)
+        .unionByName(broken, allowMissingColumns=True)
+    )
     joined = good.withColumnRenamed("id", "image_id").join(anns, ["path", "image_id"], "left")
     polygon = F.from_json("segmentation", T.ArrayType(NUMBERS))
     is_rle = F.col("segmentation").startswith("{")
@@ -96,11 +107,16 @@ def read_coco(spark: SparkSession, path: str | Sequence[str], pattern: str) -> t
 
 
 def read_labelme(spark: SparkSession, path: str | Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """Polygons of the wanted labels with at least three points, clamped to the image."""
+    """Polygons of the wanted labels with at least three points, clamped to the image.
+
+    Files that do not parse come back as one row with ``_corrupt_record``.
+    """
     raw = _json(spark, path, LABELME)
     s = raw.select("path", "imagePath", "imageWidth", "imageHeight", F.posexplode("shapes").alias("shape_no", "s")).filter(F.lower(F.col("s.label")).isin([v.lower() for v in labels]))
     inside = F.transform("s.points", lambda p: F.struct(clamp(F.get(p, F.lit(0)), 0.0, F.col("imageWidth") - 1.0).alias("x"), clamp(F.get(p, F.lit(1)), 0.0, F.col("imageHeight") - 1.0).alias("y")))
-    return s.filter(F.size("s.points") >= 3).select("path", "imagePath", "shape_no", F.col("s.label").alias("label"), inside.alias("polygon"))
+    shaped = s.filter(F.size("s.points") >= 3).select("path", "imagePath", "shape_no", F.col("s.label").alias("label"), inside.alias("polygon"))
+    broken = raw.filter("_corrupt_record IS NOT NULL").select("path", "imagePath", "_corrupt_record")
+    return shaped.unionByName(broken, allowMissingColumns=True)
 
 
 def read_feature_csv(spark: SparkSession, path: str | Sequence[str], key: str) -> DataFrame:
@@ -120,6 +136,24 @@ def scan_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace a table at once: the committer makes the new files visible together."""
-    writer = df.write.mode("overwrite")
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    """Replace a table: the new one is written beside it, and takes its place by renaming when it is complete.
+
+    A failed write leaves the old table as it was.
+    """
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{tag}" for tag in ("new", "old"))
+    writer = df.write.mode("errorifexists")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(fresh)
+    except Exception:
+        files.delete(hadoop(fresh), True)
+        raise
+    kept = files.exists(hadoop(path))
+    if kept and not files.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(hadoop(fresh), hadoop(path)):
+        raise OSError(f"{fresh} can't take the place of {path}")
+    if kept:
+        files.delete(hadoop(old), True)

@@ -12,13 +12,13 @@ from stemweave.sources.annotations import CUT, CUT_FILE
 def audit_stream(spark: SparkSession, incoming: str, images: DataFrame, issues_path: str, checkpoint: str):
     """Audit every new file content once and append its issues; stops when nothing is left.
 
-    The file source remembers the files it has seen, ``dropDuplicates`` the contents: state is one
-    key per content. A batch writes to its own folder and replaces it when it is run again, so a
+    The file source remembers the files it has seen, ``dropDuplicates`` the contents by SHA-256 of all
+    fields: state is one key per content. A batch writes to its own folder and replaces it when it is run again, so a
     restart after a failure adds nothing twice.
     """
     names = [f.name for f in CUT.fields]
     stream = spark.readStream.schema(CUT_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(incoming)
-    signed = stream.withColumn("signature", F.xxhash64("tree_id", "view", F.to_json("cut_lines"), F.col("_corrupt_record"))).dropDuplicates(["signature"])
+    signed = stream.withColumn("signature", F.sha2(F.to_json(F.struct(*[F.col(f.name) for f in CUT_FILE.fields])), 256)).dropDuplicates(["signature"])
 
     def audit(batch: DataFrame, number: int) -> None:
         lines = batch.filter("_corrupt_record IS NULL").select(F.concat_ws("_", "tree_id", "view").alias("sample_id"), F.explode("cut_lines").alias("c")).select(

@@ -31,7 +31,7 @@ def test_coco_labelme_csv_and_files(spark, tmp_path):
     }
     put(tmp_path / "coco", "c.json", coco)
     images, polygons, bad = src.read_coco(spark, str(tmp_path / "coco"), r"tree_\d+")
-    assert images.count() == 1 and [r.file_name for r in bad.collect()] == ["other.jpg"]
+    assert images.count() == 1 and [(r.file_name, r.reason) for r in bad.collect()] == [("other.jpg", "name_mismatch")]
     rows = polygons.collect()
     assert sorted(len(r.polygon) for r in rows if r.polygon) == [3] and sum(r.rle is not None for r in rows) == 1
     put(tmp_path / "lm", "l.json", {"imageWidth": 10, "imageHeight": 8, "imagePath": "x", "shapes": [{"label": "Branch", "points": [[-1, 0], [20, 20], [3, 3]]}, {"label": "sky", "points": [[0, 0], [1, 1], [2, 2]]}]})
@@ -45,6 +45,48 @@ def test_coco_labelme_csv_and_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_broken_files_are_reported(spark, tmp_path):
+    put(tmp_path / "coco", "a.json", "{broken")
+    put(tmp_path / "coco", "b.json", {"images": [{"id": 1, "file_name": "tree_1.jpg", "width": 9, "height": 9}], "annotations": [{"id": 5, "image_id": 7, "segmentation": [[0, 0, 4, 0, 4, 4]]}]})
+    images, polygons, bad = src.read_coco(spark, str(tmp_path / "coco"), "tree")
+    assert images.count() == 1 and polygons.count() == 0 and sorted((r.id, r.reason) for r in bad.collect() if r.id) + [r.reason for r in bad.collect() if not r.id] == [(7, "missing_image"), "invalid_json"]
+    put(tmp_path / "lm", "l.json", "{broken")
+    assert [r._corrupt_record is not None for r in src.read_labelme(spark, str(tmp_path / "lm"), ["branch"]).collect()] == [True]
+
+
+def test_failed_write_keeps_the_old_table(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "t")
+    src.write_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        src.write_table(spark.range(5).selectExpr("if(id = 4, raise_error('no'), id) AS id"), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    src.write_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_many_sources_of_one_content(spark):
+    from pyspark.sql import functions as F
+
+    from stemweave.operators import manifest
+
+    files = spark.range(5000).select(F.lit("x").alias("digest"), F.lit("t").alias("task"), F.format_string("s%05d", "id").alias("source_id"))
+    head = manifest.dedupe_by_content(files).collect()
+    assert len(head) == 1 and head[0].sources == 5000 and head[0].first_source == "s00000"
+    places = manifest.content_sources(files).orderBy("place").collect()
+    assert [r.place for r in places] == list(range(1, 5001)) and places[-1].source_id == "s04999"
+
+
+def test_paired_arms_keep_apart(spark):
+    from stemweave.operators import graph
+
+    edges = spark.createDataFrame([(1, 10 + i, 50) for i in range(4)], "sample_id long, src long, dst long")
+    members = spark.createDataFrame([(1, 50, 7)], "sample_id long, node_id long, cluster_id long")
+    pairs = spark.createDataFrame([(1, 7, 10, 999), (1, 7, 11, 5000), (1, 7, 12, 5000)], "sample_id long, cluster_id long, arm_node long, pair_no long")
+    assert sorted(((r.src, r.pair_no) for r in graph.uncross(edges, members, pairs).collect()), key=str) == [(10, 999), (11, 5000), (12, 5000), (13, None)]
+
+
 def cut_file(view, cut_id="c1", p1=(5, 5)):
     line = {"cut_id": cut_id, "p0": [1, 1], "p1": list(p1), "normal_pruned_side": [1, 0], "normal_retained_side": [-1, 0], "confirmed": True}
     return {"tree_id": "tree_1", "view": view, "image_stage": "before", "image_path": "", "reference_after_path": "", "cut_lines": [line, line]}
@@ -62,11 +104,15 @@ def test_cut_lines_and_stream(spark, tmp_path):
     issues = lambda: sorted((r.sample_id, r.code) for r in spark.read.json(str(out)).collect())
     first = [("tree_1_v1", "duplicate_cut_id"), ("tree_1_v2", "duplicate_cut_id"), ("tree_1_v2", "zero_length_cut"), ("tree_1_v2", "zero_length_cut")]
     assert issues() == first
+    put(inbox, "4.json", cut_file("v1") | {"image_stage": "after"})
+    run()
+    assert issues().count(("tree_1_v1", "duplicate_cut_id")) == 2
+    first = issues()
     put(inbox, "3.json", "{broken")
     run()
     assert issues() == sorted(first + [("", "invalid_json")])
     run()
-    assert len(issues()) == 5
+    assert len(issues()) == len(first) + 1
 
 
 def test_driver_side_checks():
