@@ -54,6 +54,11 @@ def _full(s, sf):
     return features.segment_features(seg, images, depths, buds(s, sf), branches)
 
 
+def _small(s, sf):
+    seg = segments(s, sf)
+    return rounded(features.segment_features_min(seg, seg.select("sample_id").distinct().select("sample_id", F.lit(1000).alias("width"), F.lit(800).alias("height"))))
+
+
 def type_has(v: str, i: int) -> str:
     return f"(({v}) % {i + 2} = 0)"
 
@@ -167,8 +172,9 @@ def _attach_stats(s, sf):
 
 QUERIES = [
     Query("segment_features", lambda s, sf: rounded(_full(s, sf)), FULL_SQL),
-    Query("segment_features_min", lambda s, sf: rounded(features.segment_features_min(_full(s, sf)).select("sample_id", "segment_id", "is_cut_segment", "label_mask", "length_norm", "relative_height")),
-          FULL_SQL.split(" SELECT sg.sample_id")[0] + f" SELECT sample_id, group_id AS segment_id, (group_id % 3 = 0)::INT AS is_cut_segment, (group_id % 5 <> 0 AND group_id % 7 <> 0)::INT AS label_mask, {rsql(f'len / {DIAG}', 'length_norm')}, {rsql('1 - my / 800', 'relative_height')} FROM sg"),
+    Query("segment_features_min", _small,
+          FULL_SQL.split(" SELECT sg.sample_id")[0] + f" SELECT sample_id, group_id AS segment_id, (group_id % 3 = 0)::INT AS is_cut_segment, (group_id % 5 <> 0 AND group_id % 7 <> 0)::INT AS label_mask, {rsql(f'len / {DIAG}', 'length_norm')}, (group_id % 7 <> 0)::INT::DOUBLE AS is_candidate, "
+          + ", ".join(f"{HAS[side][t]}::INT::DOUBLE AS {side}_{t}" for t in features.END_TYPES for side in ("start", "end")) + " FROM sg"),
     Query("branch_features", _branch,
           fx.with_views("path_points", "path_edges") + f""", l AS (SELECT group_id, sum(len) AS len FROM path_edges GROUP BY 1), p AS (SELECT sample_id, group_id, avg(y) AS cy FROM path_points WHERE group_id % 8 <> 0 GROUP BY ALL),
           b AS (SELECT *, CASE WHEN group_id % 6 <> 0 THEN group_id % 5 + 1 ELSE 0 END AS n, CASE WHEN group_id % 6 <> 0 THEN group_id % 5 // 2 + 1 ELSE 0 END AS fl FROM p JOIN l USING (group_id))

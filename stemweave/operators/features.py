@@ -114,14 +114,26 @@ def segment_features(
     )
 
 
-def segment_features_min(features: DataFrame) -> DataFrame:
-    """Ids, labels and the ten columns of the small node table."""
-    return features.select(
-        "sample_id", "segment_id", "is_cut_segment", "label_mask", "length_norm", "mid_x_norm", "relative_height", "orientation_x", "orientation_y",
-        "candidate_bud_bud", "candidate_junction_bud", "candidate_bud_endpoint", "candidate_junction_endpoint", "candidate_junction_junction",
+END_TYPES = ("bud", "junction", "endpoint", "root")
+
+
+def segment_features_min(segments: DataFrame, images: DataFrame) -> DataFrame:
+    """Ids, labels and the ten columns of the small node table: length over the diagonal, candidate, types of both ends."""
+    diagonal = F.greatest(g.norm(F.col("width").cast("double"), F.col("height").cast("double")), F.lit(1.0))
+    j = attach_groups(segments, images.select("sample_id", "width", "height"), ["sample_id"])
+    flags = [F.array_contains(f"{side}_types", t).cast("double").alias(f"{side}_{t}") for t in END_TYPES for side in ("start", "end")]
+    return j.select(
+        "sample_id", "segment_id", "is_cut_segment", ((F.col("label_mask") != 0) & (F.col("is_candidate") != 0)).cast("int").alias("label_mask"),
+        (F.col("length_px") / diagonal).alias("length_norm"), F.col("is_candidate").cast("double").alias("is_candidate"), *flags,
     )
 
 
+def segment_edges(segments: DataFrame) -> DataFrame:
+    """(sample_id, node_id, segment_id): segments that share a node are neighbours; pairs are not listed."""
+    ends = segments.select("sample_id", "segment_id", F.explode(F.array("start_node", "end_node")).alias("node_id"))
+    return ends.distinct().select("sample_id", "node_id", "segment_id")
+
+
 def branch_features(groups: DataFrame, attachments: DataFrame, images: DataFrame, crowding: DataFrame) -> DataFrame:
     """Length, height, bud numbers and crowding of every group that is not a trunk.
 
