@@ -7,11 +7,11 @@ the latest arrival that still stands, so long texts cost little more than one po
 component with a chance equal to their probability Jaccard.
 
 Equal word sequences are one text from the start. Texts that agree in all components of a band meet in a bucket. No
-bucket is expanded into pairs: its members are verified against its head, and what stays apart from the head's class
-is compared, leader by leader, with the members of other classes, until nobody is left (so every pair of a bucket
-either was verified, or is in one class already, or can't reach the threshold). Two texts can't reach it if too much
-of their weight, u and v, lies on shingles that no other text of the mixed buckets has: their probability Jaccard is at
-most (1 - u)(1 - v) / (1 - uv). Verification computes the probability Jaccard of the whole texts.
+bucket is expanded into pairs: its members are verified against a head, and what stays apart from the head's class is
+compared by signatures, block by block, with the members of other classes; pairs that agree in nearly the threshold
+are verified too. So every pair of a bucket was verified, or is in one class already, or its signatures differ by four
+standard deviations, or a text's weight on shingles that no other text there has (own) is above 1 - threshold, which
+bounds its probability Jaccard below the threshold. Verification computes the probability Jaccard of the whole texts.
 
 Defined results: a text without words (null, empty) is a class of its own. The class id is the smallest document id
 in it; repeated rows are copies. With null ids the class id is the smallest other id, or null. An empty table gives
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemweave.llm.components import components
@@ -34,6 +34,8 @@ from stemweave.plans.durable import written
 BANDS, ROWS = 40, 6
 THRESHOLD = 0.8
 HASH_BITS = 40  # of a shingle, in the key that also holds its text's place in a slice
+BLOCK = 256
+SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 SIGNED = "row long, words long, key1 long, key2 long, bands array<long>"
 
 
@@ -132,11 +134,6 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _reachable(threshold: float) -> Column:
-    u, v = F.col("u"), F.col("v")
-    return (1 - u) * (1 - v) >= threshold * (1 - u * v) - 1e-9
-
-
 def own_shares(docs: DataFrame) -> DataFrame:
     """(row, own): the share of each text's weight on shingles that no other of the texts (row, text) has."""
 
@@ -152,6 +149,45 @@ def own_shares(docs: DataFrame) -> DataFrame:
     return single.groupBy("row").agg(F.sum("share").alias("own"))
 
 
+def compared(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different classes whose signatures agree in nearly the threshold or more.
+
+    ``mixed`` has (bucket, row, comp, inside), inside for members of the head's class. Members stand in blocks of
+    about ``BLOCK``; each block of outsiders meets every block of its bucket once, and what agrees too little is
+    dropped where the two blocks are compared, so no list of a bucket's pairs is ever made. Members of the head's
+    class are not compared with each other. ``SLACK`` is four standard deviations of the estimate.
+    """
+    m = BANDS * ROWS
+    least = threshold - SLACK
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, element, weight, _, _ = weighted(part.column(1))
+                sample = signatures(text, element, weight, part.num_rows, m)
+                yield pa.RecordBatch.from_arrays([part.column(0), ragged(sample.astype(np.uint32).view(np.int32).reshape(-1), np.arange(part.num_rows + 1) * m, pa.int32())], names=["row", "sig"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = (batch.column(i).slice(k, 1).flatten() for i in range(2))
+                rows, comps, sigs = zip(*[(b.field(0).to_numpy(), b.field(1).to_numpy(), b.field(2).flatten().to_numpy().reshape(-1, m)) for b in (left, right)], strict=True)
+                same = np.stack([(sigs[1] == one).sum(axis=1) for one in sigs[0]])
+                x, y = np.nonzero((same >= least * m) & (comps[0][:, None] != comps[1][None, :]))
+                a, b = rows[0][x], rows[1][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    able = written(own_shares(texts).filter(F.col("own") > 1 - threshold).select("row"), "unable")
+    mixed = mixed.join(able, "row", "left_anti")
+    lanes = mixed.groupBy("bucket", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lanes"))
+    signs = written(texts.select("row", "text").mapInArrow(signed, "row long, sig array<int>"), "signatures")
+    dealt = mixed.join(lanes, ["bucket", "inside"]).withColumn("lane", F.pmod(F.xxhash64("row"), F.col("lanes"))).join(signs, "row")
+    blocks = written(dealt.groupBy("bucket", "inside", "lane").agg(F.collect_list(F.struct("row", "comp", "sig")).alias("block")), "blocks")
+    other = blocks.select("bucket", F.col("inside").alias("theirs"), F.col("lane").alias("at"), F.col("block").alias("other"))
+    meet = blocks.filter("NOT inside").join(other, "bucket").filter("theirs OR lane <= at").select("block", "other")
+    return meet.mapInArrow(close, "a long, b long").distinct()
+
+
 def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row, comp) of the texts (row, bands) that have a near duplicate; ``docs`` has (row, text)."""
     member = texts.select("row", F.explode("bands").alias("bucket"))
@@ -163,44 +199,16 @@ def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     best = votes.groupBy("row").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
     pairs = written(best.select(F.col("head").alias("a"), F.col("row").alias("b")), "pairs")
     tested, links = pairs, written(verify(pairs, some, threshold), "links")
-    used = shares = None
-    step = 0
-    while True:
-        labels = components(links)
-        placed = (
-            buckets.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-            .join(labels.toDF("head", "home"), "head", "left").withColumn("home", F.coalesce("home", "head"))
-        )
-        placed = written(placed, "placed")
-        outside = placed.filter("comp != home")
-        if outside.isEmpty():
-            return labels
-        if shares is None:
-            mixed = buckets.join(outside.select("bucket").distinct(), "bucket", "left_semi").select("row").distinct()
-            shares = written(own_shares(some.join(mixed, "row", "left_semi")), "shares")
-        if step == 0:  # what is left of members against heads
-            pairs = outside.select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
-            own = pairs.join(shares.toDF("a", "u"), "a", "left").join(shares.toDF("b", "v"), "b", "left").fillna(0.0, ["u", "v"])
-            pairs = own.filter(_reachable(threshold)).select("a", "b")
-        else:  # leaders among those outside the head's class, more of them each time
-            placed = placed.join(shares, "row", "left").fillna(0.0, ["own"]).filter(F.col("own") <= 1 - threshold)
-            outside = placed.filter("comp != home")
-            rest = outside if used is None else outside.join(used, ["bucket", "row"], "left_anti")
-            lanes = 4 ** min(step, 12)
-            leaders = written(
-                rest.groupBy("bucket", F.pmod(F.xxhash64("row", F.lit(step)), F.lit(lanes))).agg(F.min_by(F.struct("row", "comp", "own"), "row").alias("l"))
-                .select("bucket", "l.row", "l.comp", F.col("l.own").alias("u")), "leaders")
-            if leaders.isEmpty():
-                return labels
-            used = leaders.select("bucket", "row") if used is None else written(used.unionByName(leaders.select("bucket", "row")), "used")
-            other = placed.select("bucket", F.col("row").alias("other"), F.col("comp").alias("theirs"), F.col("own").alias("v"))
-            pairs = leaders.join(other, "bucket").filter((F.col("comp") != F.col("theirs")) & _reachable(threshold)).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-        step += 1
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = written(tested.unionByName(pairs), "tested")
-        links = written(links.unionByName(verify(pairs, some, threshold)), "links")
+    labels = components(links)
+    placed = (
+        buckets.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+        .join(labels.toDF("head", "home"), "head", "left").withColumn("home", F.coalesce("home", "head"))
+    )
+    mixed = placed.join(placed.filter("comp != home").select("bucket").distinct(), "bucket", "left_semi")
+    mixed = written(mixed.select("bucket", "row", "comp", (F.col("comp") == F.col("home")).alias("inside")), "mixed")
+    near = compared(mixed, some.join(mixed.select("row").distinct(), "row", "left_semi"), threshold)
+    more = written(near.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return components(links.unionByName(verify(more, some, threshold)))
 
 
 def _classed(stored: DataFrame, threshold: float) -> DataFrame:
