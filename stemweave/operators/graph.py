@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stemweave.functions.geometry import linear_chain, norm
 from stemweave.plans.durable import written
-from stemweave.plans.fixpoint import fixpoint
+from stemweave.plans.fixpoint import fixpoint, rounds
 from stemweave.plans.skew import attach_groups, running_totals
 from stemweave.plans.slices import local_chains, local_labels, sliced
 
@@ -86,7 +86,7 @@ def landmarks(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     return kept.select("sample_id", "node_id", "x", "y", "degree", F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("anchor"))).alias("types"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("sample_id",), max_rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("sample_id",), max_rounds: int | None = None) -> DataFrame:
     """``(keys, node_id, component_id)``: the smallest node id that can be reached.
 
     Samples of ordinary size are labelled inside a task. Of a sample cut into slices only the
@@ -107,7 +107,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("sampl
     return nodes.select(*keys, "node_id").distinct().join(low, [*keys, "node_id"], "left").select(*keys, "node_id", F.coalesce("component_id", "node_id").alias("component_id"))
 
 
-def _spread_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
+def _spread_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int | None) -> DataFrame:
     """Smallest reachable node by rounds.
 
     Labels spread to neighbours and then jump along the label's own label, which shortens long
@@ -303,7 +303,7 @@ def line_graph_degrees(segments: DataFrame) -> DataFrame:
     return neighbor_sums(segments, [])
 
 
-def bfs_depth(segments: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def bfs_depth(segments: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Hops from the segments at a root node; segments out of reach get the largest depth plus one.
 
     Depth passes through the nodes: a node knows the smallest depth at it, its segments take that
@@ -324,7 +324,7 @@ def bfs_depth(segments: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -
     return attach_groups(done, top, S).select("sample_id", "segment_id", F.coalesce("depth", F.coalesce("_top", F.lit(-1)) + 1).alias("depth"))
 
 
-def root_distance(edges: DataFrame, roots: DataFrame, weight: str = "length_px", max_rounds: int = 10_000) -> DataFrame:
+def root_distance(edges: DataFrame, roots: DataFrame, weight: str = "length_px", max_rounds: int | None = None) -> DataFrame:
     """Shortest weighted distance of every reachable node from its roots.
 
     ``edges(sample_id, src, dst, weight)``; segments serve as edges between key nodes, which keeps
@@ -380,7 +380,7 @@ def propagate_fate(segments: DataFrame, cut_ids: DataFrame, pruned_nodes: DataFr
     )
 
 
-def prune_budless(groups: DataFrame, attachments: DataFrame, radius: float = 24.0, max_rounds: int = 1000) -> DataFrame:
+def prune_budless(groups: DataFrame, attachments: DataFrame, radius: float = 24.0, max_rounds: int | None = None) -> DataFrame:
     """Whether a group stays: trunks always, others when they or a descendant hold a close bud.
 
     ``groups(sample_id, group_id, group_type, parent_group_id?)``, ``attachments(sample_id,
@@ -419,10 +419,10 @@ def tree_validity(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
     )
 
 
-def two_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def two_core(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges left after edges at nodes of degree one are removed again and again: the cyclic part."""
     current = written(edges.select("sample_id", "src", "dst"), "core")
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         loose = half_edges(current).groupBy("sample_id", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("sample_id", "node_id")
         loose = written(loose, "loose")
         if not loose.limit(1).count():
@@ -433,11 +433,11 @@ def two_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("two_core: edges still peel after the last round")
 
 
-def is_dag(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def is_dag(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Whether the directed edges of a sample hold no cycle, by removing nodes nobody points to."""
     samples = edges.select("sample_id").distinct()
     current = written(edges.select("sample_id", "src", "dst").distinct(), "dag")
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         held = current.select("sample_id", F.col("dst").alias("src")).distinct()
         kept = written(current.join(held, ["sample_id", "src"], "left_semi"), "dag")
         before, after = current.count(), kept.count()
@@ -448,7 +448,7 @@ def is_dag(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("is_dag: edges still peel after the last round")
 
 
-def assign_owners(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def assign_owners(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Owner of every node: the anchor with the fewest hops, the smallest owner on ties.
 
     ``anchors(sample_id, node_id, owner)``.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stemweave.functions.geometry import box_area, box_intersection, box_iou
 from stemweave.plans.durable import written
-from stemweave.plans.fixpoint import fixpoint
+from stemweave.plans.fixpoint import fixpoint, rounds
 from stemweave.plans.grid import as_edges, within
 
 S = ["sample_id"]
@@ -37,7 +37,7 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return joined.filter(home & (box_intersection(F.col("a"), F.col("b")) > 0)).select("sample_id", "a", "b")
 
 
-def keep_strongest(items: DataFrame, conflicts: DataFrame, keys: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
+def keep_strongest(items: DataFrame, conflicts: DataFrame, keys: Sequence[str], max_rounds: int | None = None) -> DataFrame:
     """Items kept by the ordered greedy rule.
 
     ``items(keys, item)``; ``conflicts(keys, strong, weak)``: the weak one goes when the strong one
@@ -112,7 +112,7 @@ def sparsify(points: DataFrame, distance: float, limit: int | None = None) -> Da
     return result.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def mutual_match(pairs: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
+def mutual_match(pairs: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], max_rounds: int | None = None) -> DataFrame:
     """One-to-one matching: pairs that are first for both sides are taken, round after round.
 
     ``pairs(keys, l, r, ...)``. With one total order of pairs on both sides this is the greedy
@@ -121,7 +121,7 @@ def mutual_match(pairs: DataFrame, keys: Sequence[str], left_order: Sequence[str
     keys = list(keys)
     current = written(pairs, "pairs")
     taken: DataFrame | None = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         if not current.limit(1).count():
             break
         l = current.groupBy(*keys, "l").agg(F.min(F.struct(*left_order, F.col("r").alias("_r"))).alias("b")).select(*keys, "l", F.col("b._r").alias("r"))
