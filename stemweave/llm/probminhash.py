@@ -208,7 +208,14 @@ def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     mixed = written(mixed.select("bucket", "row", "comp", (F.col("comp") == F.col("home")).alias("inside")), "mixed")
     near = compared(mixed, some.join(mixed.select("row").distinct(), "row", "left_semi"), threshold)
     more = written(near.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(verify(more, some, threshold)))
+    # the second links join classes, so each pair of classes counts once
+    found = verify(more, some, threshold)
+    ends = found.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    joined = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
+    upper = written(components(written(joined, "joined")), "upper")
+    alone = upper.join(labels.select("row"), "row", "left_anti").select("row", "comp")
+    lower = labels.join(upper.toDF("comp", "top"), "comp", "left").select("row", F.coalesce("top", "comp").alias("comp"))
+    return lower.unionByName(alone)
 
 
 def _classed(stored: DataFrame, threshold: float) -> DataFrame:
