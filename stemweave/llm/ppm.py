@@ -36,7 +36,8 @@ from stemweave.plans.durable import written
 ORDER = 5
 KEEP = 1e-6
 FREQUENT = 1e-6
-LANES = 4096
+LANES = 2048
+SLICE = 1 << 20  # bytes of text worked on at once, which bounds a worker's arrays
 END, GAP, NUL = 0x0A, 0x20, 0x0B  # of the bytes that words never hold; a zero byte of a word becomes NUL
 WORD_BIT = U64(1 << 63)
 SYMBOLS = LOWER_TABLE.copy()
@@ -82,7 +83,7 @@ def windows(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
 class Tally:
     """Distinct keys with counts, of a bounded number of keys: what is full is handed on."""
 
-    MOST = 2_500_000
+    MOST = 1_200_000
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -120,7 +121,7 @@ def count_training(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 symbols, _, hashes, _ = stream(part.column(0))
                 tally.add(windows(symbols))
                 tally.add(hashes | WORD_BIT)
@@ -316,7 +317,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         name, trie, keys, logs = shared.value
         model = tables(name, trie)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 symbols, begin, hashes, first = stream(part.column(1))
                 own = (hashes | WORD_BIT).view(np.int64)
                 at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
