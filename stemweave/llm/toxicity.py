@@ -198,9 +198,21 @@ def highest(logits: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray,
     return top, np.bincount(doc, minlength=docs)
 
 
+def _coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``words_of`` in slices, so that the driver's arrays stay small."""
+    index: dict[bytes, int] = {}
+    codes, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+        words, own, first = words_of(part.column(0), lower=True)
+        number = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64)
+        codes.append(number[own])
+        sizes.append(np.diff(first))
+    return list(index), np.concatenate(codes), np.cumsum(np.concatenate(sizes))
+
+
 def train(texts: pa.Array, labels: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
     """A network from whole labelled texts (a bounded sample)."""
-    words, codes, first = words_of(texts, lower=True)
+    words, codes, first = _coded(texts)
     labels = labels.astype(np.float32)
     share = float(labels.mean()) if len(labels) else 0.5
     doc, begin, end = windows(first)
