@@ -1,15 +1,16 @@
 """Code length of documents by prediction by partial matching over byte contexts, and a word-unigram base.
 
 Texts become tokens in lower case (A-Z), written as their bytes with one space between words and an end symbol, so
-the model is a distribution over token sequences. Training counts (context of up to ``ORDER`` bytes, symbol) of every
-training text with a shuffle; the trie keeps the pairs seen in ``KEEP`` of all training positions or more, so it has
-at most 1 / KEEP pairs an order whatever the size of the corpus, and is broadcast. Counts of dropped pairs stay in
-their context's escape mass. Escape is estimated as distinct symbols over total plus distinct symbols (method C);
+the model is a distribution over token sequences. Every (context of up to ``ORDER`` bytes, symbol) of every training
+text counts; nothing is dropped. Escape is estimated as distinct symbols over total plus distinct symbols (method C);
 symbols that a longer context offers are excluded in the shorter ones; what is left is uniform over the bytes.
 
-The trie is compiled to an automaton (a state is the longest kept context), so scoring is one table step a byte for
-many places at once, exact anywhere because a state depends on ``ORDER`` bytes only. ``adaptive_length`` is the
-same estimator learning as it goes, for one text, and serves to check the tables.
+The cost of a symbol depends on its window (context and symbol) only. Texts are put in blocks of ``BLOCK`` bytes; a
+block asks for each of its distinct windows once, and brings the windows' counts along. What is asked is shuffled by
+the last ``NEAR`` bytes of the context, so one task (a shard) has all counts of the contexts of ``NEAR`` bytes or more
+that its windows need, and the answers are shuffled back to the blocks' texts. Contexts under ``NEAR`` bytes are counted
+apart and broadcast: at most 256^NEAR pairs, whatever the size of the corpus. ``adaptive_length`` is the same
+estimator learning as it goes, for one text, and serves to check the costs.
 
 Base: words seen in ``FREQUENT`` of all training tokens or more (at most 1 / FREQUENT) are broadcast, the others are
 joined through a shuffle. Words are told apart by 64-bit hashes.
@@ -21,22 +22,24 @@ columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemweave.llm.texts import LOWER_TABLE, U64, flat, prefix_hashes, range_hashes, ragged, slices, word_spans
+from stemweave.llm.texts import LOWER_TABLE, U64, flat, mix, prefix_hashes, range_hashes, ragged, slices, word_spans
 from stemweave.plans.durable import written
 
 ORDER = 5
-KEEP = 1e-6
+NEAR = 3  # bytes of context that deal windows to shards; shorter contexts are broadcast
+SHARDS = 1024
 FREQUENT = 1e-6
-LANES = 2048
+BLOCK = 8 << 20  # bytes of text that ask for their windows together
 SLICE = 1 << 20  # bytes of text worked on at once, which bounds a worker's arrays
 END, GAP, NUL = 0x0A, 0x20, 0x0B  # of the bytes that words never hold; a zero byte of a word becomes NUL
 WORD_BIT = U64(1 << 63)
@@ -115,15 +118,15 @@ class Tally:
             self.parts, self.held = [], 0
 
 
-def count_training(training: DataFrame) -> DataFrame:
-    """(key, n): windows, and word hashes with the top bit set, over all ``text`` of the training rows."""
+def count_training(training: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n): windows of up to ``order`` bytes of context, and word hashes with the top bit set, over all ``text`` of the training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 symbols, _, hashes, _ = stream(part.column(0))
-                tally.add(windows(symbols))
+                tally.add(windows(symbols, order))
                 tally.add(hashes | WORD_BIT)
                 if len(tally.parts) == 1:  # just merged
                     yield from tally.rows(last=False)
@@ -132,138 +135,207 @@ def count_training(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def low(key: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes of each key."""
+    return key & ((U64(1) << U64(8 * n)) - U64(1))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 @dataclass(frozen=True)
-class Trie:
-    """Pairs of all orders: order, context, symbol, count; and for each context (same order) its whole count."""
+class Level:
+    """Pairs of one order with counts, and their contexts: what each costs (log10) and gives to longer ones.
 
-    order: np.ndarray
-    context: np.ndarray
-    symbol: np.ndarray
+    ``whole``: of a symbol in the context, when nothing is excluded; ``escape``: leaving the context, when nothing is
+    excluded; ``rest``: the next shorter context's whole without the symbols of this; ``chain``: leaving all shorter
+    contexts, each without the symbols of the next longer one.
+    """
+
+    pair: np.ndarray
     count: np.ndarray
+    context: np.ndarray
     total: np.ndarray
+    distinct: np.ndarray
+    whole: np.ndarray
+    escape: np.ndarray
+    rest: np.ndarray
+    chain: np.ndarray
+
+
+def level(order: int, pair: np.ndarray, count: np.ndarray, shorter: Level | None) -> Level:
+    """Pairs are distinct and in order. A symbol of a context is also one of its shorter context."""
+    above = pair >> U64(8)
+    first = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]])[: len(pair)])
+    context = above[first]
+    distinct = np.diff(np.concatenate([first, [len(pair)]]))
+    add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, dtype=np.int64)
+    total = add(count)
+    whole = np.log10(total + distinct)
+    rest, chain = np.zeros(len(context)), np.zeros(len(context))
+    if shorter is not None and len(context):
+        up = np.searchsorted(shorter.context, low(context, order - 1))
+        gone = add(shorter.count[np.searchsorted(shorter.pair, low(pair, order))])
+        more = shorter.distinct[up] - distinct
+        left = np.maximum(shorter.total[up] - gone + more, 1)
+        rest = np.where(more > 0, np.log10(left), 0.0)
+        chain = shorter.chain[up] + np.where(more > 0, np.log10(np.maximum(more, 1)) - rest, 0.0)
+    return Level(pair, count, context, total, distinct, whole, np.log10(distinct) - whole, rest, chain)
+
+
+def levels(keys: np.ndarray, counts: np.ndarray, first: int, last: int, below: tuple[Level, ...] = ()) -> tuple[Level, ...]:
+    """The levels of orders ``first`` to ``last`` of windows, after the shorter ones."""
+    out = list(below)
+    for k in range(first, last + 1):
+        # a context of order k is there only where its first byte is (no padding)
+        there = keys >> U64(8 * k) != 0 if k else np.ones(len(keys), dtype=bool)
+        pair, count = summed(low(keys[there], k + 1), counts[there])
+        out.append(level(k, pair, count, out[-1] if out else None))
+    return tuple(out)
+
+
+def find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value, and whether it is there."""
+    if not len(values):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def costs(model: tuple[Level, ...], keys: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each window in its context."""
+    out = np.zeros(len(keys))
+    rest, chain = np.zeros(len(keys)), np.zeros(len(keys))  # of the last context left
+    left = np.zeros(len(keys), dtype=bool)
+    open_ = np.arange(len(keys))
+    for k in range(len(model) - 1, -1, -1):
+        one = model[k]
+        mine = open_ if not k else open_[keys[open_] >> U64(8 * k) != 0]
+        pair = low(keys[mine], k + 1)
+        at, there = find(one.context, pair >> U64(8))
+        mine, pair, at = mine[there], pair[there], at[there]
+        place, seen = find(one.pair, pair)
+        hit, c = mine[seen], at[seen]
+        # left contexts: the chain down to here is the whole chain without what is shorter
+        out[hit] += np.log10(one.count[place[seen]]) - np.where(left[hit], chain[hit] + rest[hit], one.whole[c])
+        miss, c = mine[~seen], at[~seen]
+        out[miss] += np.where(left[miss], 0.0, one.escape[c] + one.chain[c])
+        rest[miss], chain[miss], left[miss] = one.rest[c], one.chain[c], True
+        done = np.zeros(len(keys), dtype=bool)
+        done[hit] = True
+        open_ = open_[~done[open_]]
+    # never seen: what is left is uniform over the other bytes
+    out[open_] -= np.log10(max(1, 256 - len(model[0].pair)))
+    return out
+
+
+def near_levels(counts: DataFrame) -> tuple[Level, ...]:
+    """The levels under ``NEAR`` bytes of context, of windows of so many: at most 256^NEAR rows."""
+    rows = counts.filter("key >= 0").toArrow()
+    return levels(rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64), 0, NEAR - 1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Little-endian bytes, plane by plane, compressed."""
+    flat_bytes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return pa.compress(np.ascontiguousarray(flat_bytes.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
+
+
+def blocks(named: DataFrame) -> DataFrame:
+    """The rows with the number of their block: rows that follow each other, of ``BLOCK`` bytes of text or one longer row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                size = int(flat(part.column(1))[1][-1])
+                if held and held + size > BLOCK:
+                    block, held = block + 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), block))], names=["id", "text", "held", "block"])
 
-def learn(counts: DataFrame, keep: float = KEEP, order: int = ORDER) -> Trie:
-    """The kept pairs; summing, cutting and joining happen on Spark, and at most (order + 1) / keep rows come back."""
-    grams = counts.filter("key >= 0")
-    n = grams.agg(F.sum("n")).first()[0] or 0
-    by_order = grams.select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"), "key", "n")
-    # a context of order k is there only where its first byte is (no padding)
-    cut = by_order.withColumn("key", F.expr("key & (shiftleft(1L, 8 * (k + 1)) - 1)")).filter("k = 0 OR shiftright(key, 8 * k) != 0")
-    pairs = written(cut.groupBy("k", "key").agg(F.sum("n").alias("n")), "pairs")
-    kept = pairs.filter(F.col("n") >= keep * n)
-    totals = pairs.groupBy("k", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total")).filter(F.col("total") >= keep * n)
-    rows = (
-        kept.withColumn("context", F.shiftright("key", 8)).join(totals, ["k", "context"])
-        .select("k", "context", F.expr("int(key & 255)").alias("symbol"), "n", "total").toArrow()
-    )
-    column = [rows.column(i).to_numpy() for i in range(5)]
-    return Trie(column[0].astype(np.int8), column[1].astype(np.uint64), column[2].astype(np.uint8), column[3].astype(np.int64), column[4].astype(np.int64))
-
-
-class Tables:
-    """``next`` and ``cost`` (log10) for each state and symbol class."""
-
-    def __init__(self, trie: Trie) -> None:
-        used = np.unique(np.concatenate([trie.symbol, [np.uint8(END)]]))
-        self.classes = np.full(256, len(used), dtype=np.int32)
-        self.classes[used] = np.arange(len(used))
-        width = self.width = len(used) + 1  # the last class: symbols without any kept pair
-        top = int(trie.order.max(initial=0))
-        contexts = [np.unique(trie.context[trie.order == k]) for k in range(top + 1)]
-        if not len(contexts[0]):
-            contexts[0] = np.zeros(1, dtype=np.uint64)
-        base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        states = int(base[-1])
-        counts = np.zeros((states, width), dtype=np.float64)
-        totals = np.zeros(states)
-        suffix = np.zeros(states, dtype=np.int64)
-        self.next = np.zeros((states, width), dtype=np.int32)
-        for k, held in enumerate(contexts):
-            mine = trie.order == k
-            at = base[k] + np.searchsorted(held, trie.context[mine])
-            counts[at, self.classes[trie.symbol[mine]]] = trie.count[mine]
-            totals[at] = trie.total[mine]
-            own = np.arange(base[k], base[k + 1])
-            if k:
-                short = held & ((U64(1) << U64(8 * (k - 1))) - U64(1))
-                suffix[own] = base[k - 1] + np.searchsorted(contexts[k - 1], short)
-                self.next[own] = self.next[suffix[own]]
-            if k < top:  # the states one symbol longer
-                longer = contexts[k + 1]
-                prefix = base[k] + np.searchsorted(held, longer >> U64(8))
-                self.next[prefix, self.classes[(longer & U64(255)).astype(np.uint8)]] = base[k + 1] + np.arange(len(longer))
-        dropped = totals - counts.sum(axis=1)
-        depth = np.repeat(np.arange(top + 1), np.diff(base))
-        self.cost = np.empty((states, width), dtype=np.float32)
-        sizes = np.ones(width)
-        sizes[-1] = 256 - len(used)
-        for begin in range(0, states, 4096):
-            rows = np.arange(begin, min(begin + 4096, states))
-            self.cost[rows] = self._costs(rows, counts, totals, dropped, suffix, depth, sizes)
-        self.home = int(self.next[0, self.classes[END]])
-
-    @staticmethod
-    def _costs(rows: np.ndarray, counts: np.ndarray, totals: np.ndarray, dropped: np.ndarray, suffix: np.ndarray, depth: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        p = np.zeros((len(rows), len(sizes)))
-        gone = np.zeros(p.shape, dtype=bool)
-        escape = np.ones(len(rows))
-        at, left = rows.copy(), depth[rows].copy()
-        active = np.ones(len(rows), dtype=bool)
-        while active.any():
-            own = counts[at] * active[:, None]
-            total = totals[at] * active - (own * gone).sum(axis=1)
-            own[gone] = 0
-            seen = own > 0
-            distinct = seen.sum(axis=1)
-            whole = total + distinct
-            ok = whole > 0
-            scale = np.divide(escape, whole, out=np.zeros_like(escape), where=ok)
-            p += own * scale[:, None]
-            gone |= seen
-            escape = np.where(ok & active, scale * (dropped[at] + distinct), escape)
-            active &= left > 0
-            left -= 1
-            at = suffix[at]
-        rest = np.maximum(1, 256 - gone.sum(axis=1))
-        # the last class stands for many symbols; each has the uniform share
-        p = np.where(gone, p, (escape / rest)[:, None])
-        return np.log10(np.maximum(p, 1e-300))
-
-    def lengths(self, symbols: np.ndarray, begin: np.ndarray, lanes: int = LANES) -> np.ndarray:
-        """log10 probability of each text of a ``stream``."""
-        n = len(symbols)
-        if not n:
-            return np.zeros(len(begin) - 1)
-        lanes = max(1, min(lanes, n // 64))
-        steps = -(-n // lanes)
-        warm = ORDER
-        padded = np.full(warm + steps * lanes, self.classes[END], dtype=np.int32)
-        padded[warm : warm + n] = self.classes[symbols]
-        # row t has symbol t of every lane, after the symbols that bring it to its state
-        lane = np.lib.stride_tricks.as_strided(padded, (lanes, steps + warm), (steps * 4, 4))
-        by_step = np.ascontiguousarray(lane.T)
-        costs = np.empty((steps, lanes), dtype=np.float32)
-        following, cost = self.next.reshape(-1), self.cost.reshape(-1)
-        state = np.zeros(lanes, dtype=np.int32)
-        for t in range(steps + warm):
-            at = state * np.int32(self.width) + by_step[t]
-            if t >= warm:
-                cost.take(at, out=costs[t - warm], mode="clip")
-            following.take(at, out=state, mode="clip")
-        sums = np.concatenate([[0.0], np.cumsum(costs.T.reshape(-1)[:n], dtype=np.float64)])
-        return np.diff(sums[begin])
-
-
-_tables: dict[str, Tables] = {}
-
-
-def tables(name: str, trie: Trie) -> Tables:
-    """Compiled once per Python worker."""
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = Tables(trie)
-    return _tables[name]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    return named.mapInArrow(run, f"{kinds}, block long")
+
+
+def dealt(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each window, and the order by shards."""
+    shard = (mix(low(keys >> U64(8), NEAR)) % U64(SHARDS)).astype(np.int32)
+    return shard, np.argsort(shard, kind="stable")
+
+
+ASKED = "shard int, block long, n int, keys binary, counts binary"
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """For each block and shard its distinct windows, with how often they are in training rows."""
+
+    def send(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        shard, order = dealt(keys)
+        keys, counts, shard = keys[order], counts[order].astype(np.uint32), shard[order]
+        at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        sizes = np.diff(np.concatenate([at, [len(keys)]]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(shard[at]), pa.array(np.full(len(at), block)), pa.array(sizes.astype(np.int32)),
+                pa.array([packed(keys[i : i + n]) for i, n in zip(at, sizes, strict=True)], pa.binary()),
+                pa.array([packed(counts[i : i + n]) for i, n in zip(at, sizes, strict=True)], pa.binary()),
+            ],
+            names=["shard", "block", "n", "keys", "counts"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], 0
+        for batch in batches:
+            number = batch.column(2).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else np.zeros(1, dtype=np.int64)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if parts and number[a] != now:
+                    yield from send(now, parts)
+                    parts, held = [], 0
+                now = int(number[a])
+                for part in slices(batch.slice(a, b - a), "text", SLICE):
+                    symbols, begin, _, _ = stream(part.column(0))
+                    learned = np.repeat(~part.column(1).to_numpy(zero_copy_only=False), np.diff(begin))
+                    parts.append(summed(windows(symbols), learned.astype(np.int64)))
+                    held += len(parts[-1][0])
+                    if held > 2 * Tally.MOST:
+                        parts = [summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))]
+                        held = 0
+        if parts:
+            yield from send(now, parts)
+
+    return rows.select("text", "held", "block").mapInArrow(run, ASKED)
+
+
+def answered(asks: DataFrame, near: Broadcast) -> DataFrame:
+    """(block, shard, n, costs): of the windows that a block asked of a shard, in their order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        keys = np.concatenate([unpacked(k.as_buffer(), n, np.uint64) for k, n in zip(table.column("keys"), sizes, strict=True)])
+        counts = np.concatenate([unpacked(c.as_buffer(), n, np.uint32) for c, n in zip(table.column("counts"), sizes, strict=True)]).astype(np.int64)
+        distinct, n = summed(keys, counts)
+        seen = n > 0
+        model = levels(distinct[seen], n[seen], NEAR, ORDER, near.value)
+        value = costs(model, distinct)[np.searchsorted(distinct, keys)].astype(np.float32)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        answers = [packed(value[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": table.column("n"), "costs": pa.array(answers, pa.binary())})
+
+    return asks.groupBy("shard").applyInArrow(run, "block long, shard int, n int, costs binary")
 
 
 def adaptive_length(symbols: bytes, order: int = ORDER) -> float:
@@ -296,13 +368,16 @@ def held_out(id_col: str, of: int = 10, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % of == fold
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, frequent: float = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.0, frequent: float = FREQUENT) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if keep:
+        raise ValueError("every pair counts: keep is 0")
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
+    rows = blocks(named)  # read twice in the same order; other rows than those asked for are an error
     training = named.filter("NOT held")
-    counts = written(count_training(training), "counts")
-    trie = learn(counts, keep)
+    counts = written(count_training(training, NEAR - 1), "counts")
+    near = spark.sparkContext.broadcast(near_levels(counts))
     ends = training.count()
     words = counts.filter("key < 0")
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -311,33 +386,45 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     common = words.filter(F.col("n") >= frequent * n_train).toArrow()  # at most 1 / frequent rows
     keys = common.column("key").to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, trie, keys[order], np.log10(common.column("n").to_numpy()[order] + 0.1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, trie, keys, logs = shared.value
-        model = tables(name, trie)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                symbols, begin, hashes, first = stream(part.column(1))
-                own = (hashes | WORD_BIT).view(np.int64)
-                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                known = keys[at] == own if len(keys) else np.zeros(len(own), dtype=bool)
-                value = np.zeros(len(own))
-                value[known] = logs[at[known]]
-                value_sums = np.concatenate([[0.0], np.cumsum(value)])
-                known_sums = np.concatenate([[0], np.cumsum(known)])
-                rare = own[~known]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(2), pa.array(np.diff(first) + 1), pa.array(np.diff(known_sums[first])),
-                        pa.array(np.diff(value_sums[first])), pa.array(model.lengths(symbols, begin)),
-                        ragged(rare, first - known_sums[first], pa.int64()),
-                    ],
-                    names=["id", "held", "n_tokens", "n_common", "common", "score", "rare"],
-                )
-
+    shared = spark.sparkContext.broadcast((keys[order], np.log10(common.column("n").to_numpy()[order] + 0.1)))
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = named.select("id", "text", "held").mapInArrow(run, f"id {kind}, held boolean, n_tokens long, n_common long, common double, score double, rare array<long>")
+    out = f"id {kind}, held boolean, n_tokens long, n_common long, common double, score double, rare array<long>"
+    names = ["id", "held", "n_tokens", "n_common", "common", "score", "rare"]
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, logs = shared.value
+        answers = answers.sort_by("shard")
+        sizes = answers.column("n").to_pylist()
+        cost = np.concatenate([unpacked(c.as_buffer(), n, np.float32) for c, n in zip(answers.column("costs"), sizes, strict=True)])
+        parts = [part for batch in texts.select(["id", "text", "held"]).combine_chunks().to_batches() for part in slices(batch, "text", SLICE)]
+        own_windows = [np.unique(windows(stream(part.column(1))[0]), return_inverse=True) for part in parts]
+        window = np.unique(np.concatenate([each for each, _ in own_windows]))
+        if len(window) != len(cost):
+            raise RuntimeError("a block was read with other rows than those it asked for")
+        by_window = np.empty(len(cost), dtype=np.float32)
+        by_window[dealt(window)[1]] = cost
+        done = []
+        for part, (each, back) in zip(parts, own_windows, strict=True):
+            symbols, begin, hashes, first = stream(part.column(1))
+            own = (hashes | WORD_BIT).view(np.int64)
+            at, known = find(keys, own)
+            value = np.zeros(len(own))
+            value[known] = logs[at[known]]
+            value_sums = np.concatenate([[0.0], np.cumsum(value)])
+            known_sums = np.concatenate([[0], np.cumsum(known)])
+            rare = own[~known]
+            sums = np.concatenate([[0.0], np.cumsum(by_window[np.searchsorted(window, each)][back], dtype=np.float64)])
+            done.append(pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(2), pa.array(np.diff(first) + 1), pa.array(np.diff(known_sums[first])),
+                    pa.array(np.diff(value_sums[first])), pa.array(np.diff(sums[begin])),
+                    ragged(rare, first - known_sums[first], pa.int64()),
+                ],
+                names=names,
+            ))
+        return pa.Table.from_batches(done)
+
+    scored = rows.groupBy("block").cogroup(answered(asked(rows), near).groupBy("block")).applyInArrow(run, out)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = (
         scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left")

@@ -158,6 +158,45 @@ def test_ppm_tables_equal_the_plain_form(spark):
     assert ppm.score(docs.limit(0)).count() == 0
 
 
+def test_ppm_registered_setting_drops_nothing(spark):
+    """Over a million training positions, of which some windows are seen once: they count in full."""
+    rnd = random.Random(22)
+    weighed = [(" ".join(rnd.choice(["the", "cat", "sat", "upon", "mats"]) for _ in range(700)), 480), ("quartz jukebox vexing", 1), ("quartz jumbo sphinx", 1)]
+    import zlib
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    inside, outside = (i for i in itertools.count() if not held(i)), (i for i in itertools.count() if held(i))
+    rows = [(next(inside), t, "s") for t, n in weighed for _ in range(n)]
+    asked = {next(outside): t for t in ("quartz jukebox", "the cat vexing", "jumble of cats", "zzz \u00e9")}
+    got = {r.doc_id: r.score for r in ppm.score(documents(spark, rows + [(i, t, "s") for i, t in asked.items()])).collect()}
+    seen, order, positions = {}, ppm.ORDER, 0
+    for t, n in weighed:
+        s = b"\n" + t.encode() + b"\n"
+        positions += n * (len(s) - 1)
+        for at in range(1, len(s)):
+            for k in range(min(order, at) + 1):
+                seen.setdefault(s[at - k : at], Counter())[s[at]] += n
+    assert positions > 10**6
+    for i, t in {**asked, rows[-1][0]: rows[-1][1]}.items():
+        s, total = b"\n" + t.encode() + b"\n", 0.0
+        for at in range(1, len(s)):
+            gone, p = set(), 1.0
+            for k in range(min(order, at), -1, -1):
+                found = {x: c for x, c in seen.get(s[at - k : at], {}).items() if x not in gone}
+                if not found:
+                    continue
+                whole = sum(found.values()) + len(found)
+                if s[at] in found:
+                    p *= found[s[at]] / whole
+                    break
+                p *= len(found) / whole
+                gone |= found.keys()
+            else:
+                p /= 256 - len(gone)
+            total += np.log10(p)
+        assert abs(got[i] - total) < 1e-4 * (1 + abs(total)), t
+
+
 def test_toxicity_separates_and_handles_odd_rows(spark):
     rnd = random.Random(3)
     values = [(i, prose(rnd, rnd.randrange(20, 150)) + (" idiot scum " if i % 4 == 0 else "") + prose(rnd, 20), "s") for i in range(160)]
