@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from stemweave.llm.texts import LOWER_TABLE, U64, flat, mix, prefix_hashes, range_hashes, ragged, slices, word_spans
 from stemweave.plans.durable import written
 
-ORDER = 5
+ORDER = 6
 NEAR = 3  # bytes of context that deal windows to shards; shorter contexts are broadcast
 SHARDS = 1024
 FREQUENT = 1e-6
