@@ -12,8 +12,8 @@ Only DataFrame functions. Both passes join exploded shingles to tables of the it
 them only when the file is below the session's threshold) and shuffle hits alone; texts are told apart by SHA-1.
 
 Defined results: null and short texts (under five words) have no shingles and neither match nor are matched. Repeated
-item rows give repeated results only if their ids differ; repeated documents give a row each. Rows with a null id are
-matched like others. Empty tables give an empty result. Other columns are ignored.
+item rows give repeated results only if their ids differ; repeated documents give a row each. An item is a text: the
+texts under one id, or without an id, are matched each on its own, and ids come back at the end. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,12 +55,16 @@ def _hashes(array: str) -> Column:
     return F.transform(_starts(array), lambda w, i: F.xxhash64(w, *[F.get(array, i + j) for j in range(1, SIZE)]))
 
 
-def item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (item, shingle hash) with the item's number of shingles."""
-    split = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w"))
+def _key(text_col: str) -> Column:
+    return F.sha1(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def item_shingles(items: DataFrame, text_col: str) -> DataFrame:
+    """Distinct (item, shingle hash) with the item's number of shingles; an item is the key of its text."""
+    split = items.select(_key(text_col).alias("item"), words(F.col(text_col)).alias("w"))
     single = split.select("item", F.explode(_hashes("w")).alias("shingle")).distinct()
     sizes = single.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
-    return single.alias("s").join(sizes.alias("z"), F.col("s.item").eqNullSafe(F.col("z.item"))).select("s.item", "shingle", "size")
+    return single.join(sizes, "item").select("item", "shingle", "size")
 
 
 def signatures(shingled: DataFrame, threshold: float) -> DataFrame:
@@ -78,13 +82,12 @@ def signatures(shingled: DataFrame, threshold: float) -> DataFrame:
 
 
 def search(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text",
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_text: str = "text",
 ) -> DataFrame:
-    """(text_key, item, size, shared): items whose shingles are in a text to the share ``threshold`` at least."""
-    shingled = written(item_shingles(items, item_id, item_text), "items")
+    """(text_key, item, size, shared): keys of item texts whose shingles are in a text to the share ``threshold`` at least."""
+    shingled = written(item_shingles(items, item_text), "items")
     index = written(signatures(shingled, threshold), "signatures")
-    texts = docs.select(F.sha1(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text"))
     probes = texts.withColumn("w", words(F.col("text"))).select("key", F.greatest(F.size("w") - (SIZE - 1), F.lit(0)).alias("n"), F.explode(_hashes("w")).alias("hash"))
     candidates = written(
         probes.join(index, "hash").filter("n >= least")
@@ -93,9 +96,7 @@ def search(
         "candidates",
     )
     inside = probes.select("key", F.col("hash").alias("shingle")).join(shingled, "shingle").distinct()
-    wanted = inside.alias("i").join(
-        candidates.alias("c"), (F.col("i.key") == F.col("c.key")) & F.col("i.item").eqNullSafe(F.col("c.item")), "left_semi"
-    )
+    wanted = inside.join(candidates, ["key", "item"], "left_semi")
     found = wanted.groupBy("key", "item", "size").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
     return found.select(F.col("key").alias("text_key"), "item", "size", "shared")
 
@@ -105,10 +106,11 @@ def matches(
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and contained item: ids, shingles of the item, shared ones, containment."""
-    found = written(search(docs, items, threshold, text_col, item_id, item_text), "contained")
-    keyed = docs.select(F.col(id_col).alias("_id"), F.sha1(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    ids = written(items.select(F.col(item_id).alias("_item_id"), _key(item_text).alias("item")).distinct(), "ids")
+    found = written(search(docs, items, threshold, text_col, item_text).join(ids, "item"), "contained")
+    keyed = docs.select(F.col(id_col).alias("_id"), _key(text_col).alias("text_key"))
     return keyed.join(found, "text_key").select(
-        F.col("_id").alias(id_col), F.col("item").alias(item_id), F.col("size").alias("n_shingles"),
+        F.col("_id").alias(id_col), F.col("_item_id").alias(item_id), F.col("size").alias("n_shingles"),
         F.col("shared").alias("n_shared"), (F.col("shared") / F.col("size")).alias("containment"),
     )
 
@@ -117,7 +119,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_
     """The documents that contain no item, with all their columns."""
     found = written(search(docs, items, threshold, text_col).select("text_key").distinct(), "leaks")
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.sha1(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), _key(text_col).alias("_key"))
     # the keys grow with the documents, so they are shuffled at every size and never broadcast
     kept = rows.join(found.hint("merge"), F.col("_key") == F.col("text_key"), "left_anti")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -459,3 +459,13 @@ def test_containment_equals_brute_force(spark):
     kept = containment.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, _, _ in values if i not in {w[0] for w in want})
     assert containment.matches(docs.limit(0), bench).count() == 0 and containment.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_items_without_ids_and_one_id_with_two_texts(spark):
+    rnd = random.Random(31)
+    texts_of = [" ".join(f"w{i}x{rnd.randrange(10**6)}" for _ in range(30)) for i in range(6)]
+    items = spark.createDataFrame([(None, t) for t in texts_of[:3]] + [(7, texts_of[3]), (7, texts_of[4]), (None, texts_of[0]), (8, None), (9, texts_of[5])], "item_id long, text string")
+    docs = documents(spark, [(i, f"before it {t} and after", "s") for i, t in enumerate(texts_of)] + [(99, "nothing of " + prose(rnd, 40), "s")])
+    got = sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in containment.matches(docs, items).collect()), key=str)
+    assert got == [(0, None, 26, 26), (1, None, 26, 26), (2, None, 26, 26), (3, 7, 26, 26), (4, 7, 26, 26), (5, 9, 26, 26)]
+    assert [r.doc_id for r in containment.clean(docs, items).collect()] == [99]
