@@ -137,7 +137,7 @@ def _core(s, sf):
 
 
 def _dag(s, sf):
-    e = graph.group_edges(fx.groups(s, sf)).filter("group_id % 8 < 2")
+    e = graph.group_edges(fx.groups(s, sf))
     turned = e.select("sample_id", F.when(c("group_id") % 8 == 0, c("src")).otherwise(c("dst")).alias("src"), F.when(c("group_id") % 8 == 0, c("dst")).otherwise(c("src")).alias("dst"))
     return graph.is_dag(turned)
 

@@ -24,8 +24,12 @@ BX = fx.with_views("boxes", extra="""b AS (SELECT tree_id AS sample_id, concat(v
  lost AS (SELECT DISTINCT pr.sample_id, pr.f FROM pr LEFT JOIN gn ON gn.sample_id = pr.sample_id AND gn.l = pr.l WHERE NOT w AND (t IS NULL OR t > pr.f))""")
 
 
+def all_points(s, sf):
+    return boxes(s, sf).select("sample_id", c("box_id").alias("point_id"), c("x1").alias("x"), c("y1").alias("y"), "label")
+
+
 def points(s, sf, label: int):
-    return boxes(s, sf).filter(c("label") == label).select("sample_id", c("box_id").alias("point_id"), c("x1").alias("x"), c("y1").alias("y"))
+    return all_points(s, sf).filter(c("label") == label).drop("label")
 
 
 def _contacts(s, sf):
@@ -58,7 +62,7 @@ QUERIES = [
     Query("nms", lambda s, sf: greedy.nms(boxes(s, sf), 0.5, 8.0).select("sample_id", "box_id")),
     Query("suppress_cross_class", lambda s, sf: greedy.suppress_cross_class(boxes(s, sf), 0.5, 8.0).select("sample_id", "box_id"),
           BX + "SELECT b.sample_id, b.box_id FROM b LEFT JOIN gn ON gn.sample_id = b.sample_id AND gn.l = b.box_id LEFT JOIN lost ON lost.sample_id = b.sample_id AND lost.f = b.box_id WHERE gn.l IS NULL AND lost.f IS NULL"),
-    Query("sparsify", lambda s, sf: greedy.sparsify(points(s, sf, 0), 4.0, 20).select("sample_id", "point_id")),
+    Query("sparsify", lambda s, sf: greedy.sparsify(all_points(s, sf).drop("label"), 4.0, 20).select("sample_id", "point_id")),
     Query("match_points", lambda s, sf: rounded(greedy.match_points(points(s, sf, 0), points(s, sf, 1), 3.0))),
     Query("branch_detection", _detection),
     Query("contact_count", _contacts),

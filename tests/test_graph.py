@@ -118,3 +118,26 @@ def test_prepend_anchor_and_bad_edges(spark):
     a = spark.createDataFrame([(1, "g", 9.0, 9.0, 1)], "sample_id long, group_id string, x double, y double, attach_pos int")
     row = graph.prepend_anchor(g, a).collect()[0]
     assert row.edges[0] == [0, 2] and row.edges[1] == [1, 2] and row.points[0].x == 9.0
+
+
+def test_registered_is_dag_reads_every_group(spark):
+    from stemweave import fixtures as fx
+    from stemweave.catalog import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    after, groups = {}, set()
+    for r in graph.group_edges(fx.groups(spark, sf)).collect():
+        groups.add(r.group_id % 8)
+        a, b = (r.src, r.dst) if r.group_id % 8 == 0 else (r.dst, r.src)
+        after.setdefault(r.sample_id, {}).setdefault(a, set()).add(b)
+        after[r.sample_id].setdefault(b, set())
+    assert groups == set(range(8))
+    want = {}
+    for sample, nexts in after.items():
+        left = dict(nexts)
+        while leaves := [n for n, m in left.items() if not any(x in left for x in m)]:
+            for n in leaves:
+                del left[n]
+        want[sample] = not left
+    build = next(q.build for q in all_queries() if q.name == "is_dag")
+    assert {r.sample_id: r.is_dag for r in build(spark, sf).collect()} == want

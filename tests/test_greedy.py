@@ -117,3 +117,13 @@ def test_contact_clusters(spark):
     assert clusters.contact_count(df, edges, 1.5, ignored).collect()[0].contacts == 3
     ignored = ignored.withColumn("x", F.lit(53.0))
     assert clusters.contact_count(df, edges, 1.5, ignored).collect()[0].contacts == 2
+
+
+def test_registered_sparsify_reads_every_class(spark):
+    from stemweave.catalog import all_queries
+    from stemweave.catalog.greedy import all_points
+
+    sf = "/root/testdata/sf0.001"
+    label = {(r.sample_id, r.point_id): r.label for r in all_points(spark, sf).collect()}
+    build = next(q.build for q in all_queries() if q.name == "sparsify")
+    assert {label[r.sample_id, r.point_id] for r in build(spark, sf).collect()} > {0}
