@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemweave.llm import containment, fst, host_rules, langmix, ppm, probminhash, repeats, toxicity, warc, wordpiece
+from stemweave.llm import containment, fst, host_rules, langmix, licenses, merkle, ppm, probminhash, repeats, spelling, toxicity, warc, wordpiece
 from stemweave.llm import sql as twin
 
 PIECE_MODEL = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
@@ -57,6 +57,18 @@ def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ppm": op2_ppm,
@@ -68,10 +80,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_mixture": op8_language_mixture,
     "op9_repeats": op9_repeats,
     "op10_containment": op10_containment,
+    "op11_merkle": op11_merkle,
+    "op12_licenses": op12_licenses,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": twin.WARC,
     "op5_host_rules": twin.HOST_RULES,
     "op10_containment": twin.CONTAINMENT,
+    "op11_merkle": twin.MERKLE,
+    "op12_licenses": twin.licenses_sql(licenses.PHRASES, licenses.templates_of(licenses.TEMPLATES), licenses.THRESHOLD),
+    "op13_spelling": twin.SPELLING,
 }
