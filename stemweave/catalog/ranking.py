@@ -32,7 +32,33 @@ RANDOM_TREE = """random_views AS (SELECT model, tree_id,
  random_tree AS (SELECT model, tree_id, avg(r1) AS r1, avg(r3) AS r3, avg(rm) AS rm FROM random_views GROUP BY ALL),
  model_tree AS (SELECT model, tree_id, avg((fr <= 1)::INT) AS s1, avg((fr <= 3)::INT) AS s3, avg(1.0::DOUBLE / fr) AS m FROM views WHERE p > 0 GROUP BY ALL)"""
 
+# Segments match true ones whose line numbers differ by one at most. These ranges rise together, so taking, line by line,
+# the first true one that is left gives the largest matching: a fold that shares nothing with augmenting paths.
+HOPS = """num AS (SELECT r.model, r.tree_id, r.sample_id, r.label, rk, l_linenumber AS ln FROM ranked r JOIN lines l ON l.sample_id = r.sample_id AND l.segment_id = r.segment_id),
+ tv AS (SELECT model, tree_id, sample_id, list(ln ORDER BY ln) AS t, count(*) AS b FROM num WHERE label = 1 GROUP BY ALL),
+ sl AS (SELECT *, unnest([1, 3, b]) AS size, unnest(['1', '3', 'b']) AS slot FROM tv),
+ pk AS (SELECT sl.model, sl.tree_id, sl.sample_id, slot, t, b, list(ln ORDER BY ln) AS p, sum(label)::BIGINT AS exact FROM sl JOIN num ON num.model = sl.model AND num.tree_id = sl.tree_id AND num.sample_id = sl.sample_id AND rk <= size GROUP BY ALL),
+ mt AS (SELECT *, list_reduce([0::BIGINT] || p, lambda s, x: CASE WHEN t[greatest(s // 1000, len(list_filter(t, lambda y: y < x - 1))) + 1] <= x + 1
+   THEN (greatest(s // 1000, len(list_filter(t, lambda y: y < x - 1))) + 1) * 1000 + s % 1000 + 1 ELSE s END) % 1000 AS hop1 FROM pk),
+ wide AS (SELECT model, tree_id, sample_id, any_value(b) AS truth_cuts, {sums} FROM mt GROUP BY ALL)""".replace(
+    "{sums}", ", ".join(f"coalesce(sum({k}) FILTER (slot = '{n}'), 0) AS {k}_{n}" for k in ("exact", "hop1") for n in "13b"))
+HOP_COLUMNS = [(f"{k}_hit_at_{b}", f"({k}_{b} > 0)::INT") for b in "13" for k in ("exact", "hop1")]
+HOP_COLUMNS += [(f"{k}_recall_at_{b}", f"{k}_{b}::DOUBLE / truth_cuts") for b in "13" for k in ("exact", "hop1")]
+HOP_COLUMNS += [(f"budget_{k}_coverage", f"{k}_b::DOUBLE / truth_cuts") for k in ("exact", "hop1")] + [(f"budget_{k}_any", f"({k}_b > 0)::INT") for k in ("exact", "hop1")]
+HOP_VIEWS = fx.with_views("lines", "candidates", extra=f"{RANKED}, {HOPS}")
+
+
+def _recommended(spark, sf):
+    return ranking.recommendation_metrics(fx.candidates(spark, sf), fx.adjacency(spark, sf))
+
+
 QUERIES = [
+    Query("recommendation_metrics", lambda s, sf: rounded(_recommended(s, sf)),
+          HOP_VIEWS + f" SELECT model, tree_id, sample_id, truth_cuts::BIGINT AS truth_cuts, {', '.join(rsql(e, n) for n, e in HOP_COLUMNS)} FROM wide"),
+    Query("recommendation_summary", lambda s, sf: rounded(ranking.recommendation_summary(_recommended(s, sf))),
+          HOP_VIEWS + f""", vw AS (SELECT model, tree_id, {', '.join(f'{e} AS {n}' for n, e in HOP_COLUMNS)} FROM wide), tr AS (SELECT model, tree_id, {', '.join(f'avg({n}) AS {n}' for n, _ in HOP_COLUMNS)} FROM vw GROUP BY ALL)
+          SELECT * FROM (SELECT model, {', '.join(rsql(f'avg({n})', n) for n, _ in HOP_COLUMNS)}, count(*) AS trees FROM tr GROUP BY model)
+          JOIN (SELECT model, {', '.join(rsql(f'avg({n})', f'pooled_{n}') for n, _ in HOP_COLUMNS)}, count(*) AS positive_views FROM vw GROUP BY model) USING (model)"""),
     Query(
         "ranking_vs_random",
         on_candidates(ranking.ranking_against_random),

@@ -73,6 +73,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["adjacency"] = f"""
+SELECT a.sample_id, a.segment_id AS src, b.segment_id AS dst FROM ({SQL["lines"]}) a
+JOIN ({SQL["lines"]}) b ON a.sample_id = b.sample_id AND abs(a.l_linenumber - b.l_linenumber) <= 1 AND a.segment_id <> b.segment_id"""
+
+
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a view are adjacent when their line numbers differ by one at most."""
+    a = lines(spark, sf_dir).select("sample_id", F.col("segment_id").alias("src"), F.explode(F.array(*[F.col("l_linenumber") + i for i in (-1, 0, 1)])).alias("at"))
+    b = lines(spark, sf_dir).select("sample_id", F.col("segment_id").alias("dst"), F.col("l_linenumber").alias("at"))
+    return a.join(b, ["sample_id", "at"]).filter("src <> dst").select("sample_id", "src", "dst")
+
+
 # --- events as strokes, marks and cut lines ----------------------------------------------------
 
 EPOCH_2024_US = 1704067200000000
