@@ -6,7 +6,7 @@ import importlib
 
 from stemweave.catalog.base import Query
 
-TOPICS = ["ranking", "splits", "records", "geometry", "spatial", "graph", "pixels", "features", "greedy", "models"]
+TOPICS = ["ranking", "splits", "records", "geometry", "spatial", "graph", "rooted", "pixels", "features", "greedy", "models"]
 
 
 def all_queries() -> list[Query]:

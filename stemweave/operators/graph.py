@@ -142,13 +142,13 @@ def choose_roots(nodes: DataFrame, labels: DataFrame, trunk_nodes: DataFrame | N
     return joined.groupBy("sample_id", "component_id").agg(F.max(place).alias("b")).select("sample_id", "component_id", (-F.col("b.neg")).alias("node_id"))
 
 
-def trace_segments(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def trace_segments(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges of the graph with the degree-2 chain they belong to.
 
     Every directed edge that enters a degree-2 node points to the edge leaving it; pointer doubling
     finds the last edge of each chain and its distance in a logarithmic number of rounds. Seen from
     the reversed edge this is the chain's first edge and the position in it. Of the two directions
-    the one with the smaller first edge is kept.
+    the one with the smaller first edge is kept. A ring without a root has no end and gives no segment.
 
     Result: ``(sample_id, start_node, first_node, pos, src, dst)``; (start_node, first_node) names
     the chain and ``pos`` counts its edges from 0.
@@ -167,9 +167,11 @@ def trace_segments(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_rou
         F.when(F.col("after").isNull(), 0).otherwise(1).cast("long").alias("hops"),
     )
 
+    most = 2 * edges.count()  # steps of a chain; what has taken more of them runs round a ring without a root
+
     def double(state: DataFrame) -> DataFrame:
         ahead = state.select("sample_id", F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), F.col("to_src").alias("n_src"), F.col("to_dst").alias("n_dst"), F.col("hops").alias("n_hops"))
-        joined = state.join(ahead, ["sample_id", "to_src", "to_dst"])
+        joined = state.join(ahead, ["sample_id", "to_src", "to_dst"]).filter(F.col("hops") <= most)
         return joined.select("sample_id", "src", "dst", F.col("n_src").alias("to_src"), F.col("n_dst").alias("to_dst"), (F.col("hops") + F.col("n_hops")).alias("hops"), (F.col("n_hops") > 0).alias("_changed"))
 
     ends = fixpoint(_follow_locally(start, edges), double, max_rounds=max_rounds, tag="chains")
@@ -599,8 +601,13 @@ def incident_angles(edges: DataFrame) -> DataFrame:
     The smallest lies between neighbours, the largest next to the opposite of a direction; both
     are running maxima over the directions of a node laid out over two turns.
     """
+    return angle_range(node_directions(edges))
+
+
+def angle_range(directions: DataFrame) -> DataFrame:
+    """``incident_angles`` of given directions (sample_id, node_id, t)."""
     c = F.col
-    d = node_directions(edges).groupBy("sample_id", "node_id", "t").agg(F.count(F.lit(1)).alias("m"))
+    d = directions.groupBy("sample_id", "node_id", "t").agg(F.count(F.lit(1)).alias("m"))
     data = d.select("sample_id", "node_id", F.explode(F.array(c("t"), c("t") + FULL_TURN)).alias("at"), F.lit(0).alias("q"), F.lit(None).cast("long").alias("t"), "m")
     far = d.select("sample_id", "node_id", (c("t") + HALF_TURN).alias("at"), F.lit(2).alias("q"), "t", "m")
     near = d.select("sample_id", "node_id", (c("t") + FULL_TURN).alias("at"), F.lit(-1).alias("q"), "t", "m")

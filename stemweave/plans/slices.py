@@ -24,10 +24,34 @@ def sliced(edges: DataFrame, keys: Sequence[str], limit: int = LIMIT) -> tuple[D
     counts = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     heavy = written(counts.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_k")), "heavy")
     if not heavy.limit(1).count():
-        return edges.withColumn("_slice", F.lit(0)).repartition(*keys), heavy
+        return edges.withColumn("_slice", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys), heavy
     marked = attach_groups(edges, heavy, keys, "left")
     number = F.when(F.col("_k").isNull(), 0).otherwise(F.pmod(F.xxhash64("src", "dst"), F.coalesce("_k", F.lit(1))).cast("int"))
-    return marked.withColumn("_slice", number).drop("_k").repartition(*keys, "_slice"), heavy
+    return marked.withColumn("_slice", number).drop("_k").repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice"), heavy
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups from rows in order of ``group``; one group and one batch are in memory at most."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch[group].iloc[-1].tolist()
+        # the rows of the last group of the batch may go on in the next one
+        same = np.logical_and.reduce([(batch[g] == v).to_numpy() | (batch[g].isna().to_numpy() & pd.isna(v)) for g, v in zip(group, last, strict=True)])
+        begin = len(same) if not same.size else int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
+        if begin:
+            held.append(batch.iloc[:begin])
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        elif held:
+            before = held[0][group].iloc[-1].tolist()
+            if not all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(before, last, strict=True)):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        held.append(batch.iloc[begin:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _codes(frame: pd.DataFrame, keys: list[str], columns: list[str]) -> tuple[list[np.ndarray], pd.DataFrame]:
@@ -42,26 +66,23 @@ def local_labels(keys: list[str]):
     """mapInPandas function: smallest node reachable inside the task for every node seen there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        frame = pd.concat(parts, ignore_index=True)
         group = [*keys, "_slice"]
-        (u, v), table = _codes(frame, group, ["src", "dst"])
-        label = np.arange(len(table))
-        while True:
-            low = np.minimum(label[u], label[v])
-            new = label.copy()
-            np.minimum.at(new, u, low)
-            np.minimum.at(new, v, low)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
-        out = table[keys].copy()
-        out["node_id"] = table["node"].to_numpy()
-        out["label"] = table["node"].to_numpy()[label]
-        yield out
+        for frame in whole_groups(batches, group):
+            (u, v), table = _codes(frame, group, ["src", "dst"])
+            label = np.arange(len(table))
+            while True:
+                low = np.minimum(label[u], label[v])
+                new = label.copy()
+                np.minimum.at(new, u, low)
+                np.minimum.at(new, v, low)
+                new = np.minimum(new, new[new])
+                if (new == label).all():
+                    break
+                label = new
+            out = table[keys].copy()
+            out["node_id"] = table["node"].to_numpy()
+            out["label"] = table["node"].to_numpy()[label]
+            yield out
 
     return run
 
@@ -70,11 +91,11 @@ def local_chains(keys: list[str]):
     """mapInPandas function: follow pointers between half-edges as far as the task knows them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        frame = pd.concat(parts, ignore_index=True)
         group = [*keys, "_slice"]
+        for frame in whole_groups(batches, group):
+            yield followed(frame, group)
+
+    def followed(frame: pd.DataFrame, group: list[str]) -> pd.DataFrame:
         here = frame.reset_index()[[*group, "src", "dst", "index"]].rename(columns={"src": "to_src", "dst": "to_dst", "index": "at"})
         target = frame[[*group, "to_src", "to_dst"]].merge(here, on=[*group, "to_src", "to_dst"], how="left")["at"]
         rows = np.arange(len(frame))
@@ -83,14 +104,17 @@ def local_chains(keys: list[str]):
         # an edge whose successor is elsewhere stops here and keeps its own pointer
         jump = np.where(known, jump, rows)
         far = np.where(known, frame["hops"].to_numpy(), 0)
-        while True:
+        # a chain is shorter than the frame, so what still goes on after these doublings runs round a ring
+        for _ in range(len(frame).bit_length() + 1):
             step = far[jump]
             if not (step > 0).any():
                 break
             far, jump = far + step, jump[jump]
+        ring = far[jump] > 0
+        frame, far, jump, own = frame[~ring], far[~ring], jump[~ring], frame
         out = frame[[*keys, "src", "dst"]].copy()
-        out["to_src"], out["to_dst"] = frame["to_src"].to_numpy()[jump], frame["to_dst"].to_numpy()[jump]
-        out["hops"] = far + frame["hops"].to_numpy()[jump]
-        yield out
+        out["to_src"], out["to_dst"] = own["to_src"].to_numpy()[jump], own["to_dst"].to_numpy()[jump]
+        out["hops"] = far + own["hops"].to_numpy()[jump]
+        return out
 
     return run
