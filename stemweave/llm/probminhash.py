@@ -8,10 +8,10 @@ component with a chance equal to their probability Jaccard.
 
 Equal word sequences are one text from the start. Texts that agree in all components of a band meet in a bucket. No
 bucket is expanded into pairs: its members are verified against a head, and what stays apart from the head's class is
-compared by signatures, block by block, with the members of other classes; pairs that agree in nearly the threshold
-are verified too. So every pair of a bucket was verified, or is in one class already, or its signatures differ by four
-standard deviations, or a text's weight on shingles that no other text there has (own) is above 1 - threshold, which
-bounds its probability Jaccard below the threshold. Verification computes the probability Jaccard of the whole texts.
+verified block by block against the members of other classes, inside the task where two blocks meet. So every pair of
+a bucket was verified, or is in one class already, or a text's weight on shingles that no other text there has (own)
+is above 1 - threshold, which bounds its probability Jaccard below the threshold. Verification computes the probability
+Jaccard of the whole texts, whose shingles are told apart by ``HASH_BITS`` bits of their hashes.
 
 Defined results: a text without words (null, empty) is a class of its own. The class id is the smallest document id
 in it; repeated rows are copies. With null ids the class id is the smallest other id, or null. An empty table gives
@@ -34,8 +34,7 @@ from stemweave.plans.durable import written
 BANDS, ROWS = 40, 6
 THRESHOLD = 0.8
 HASH_BITS = 40  # of a shingle, in the key that also holds its text's place in a slice
-BLOCK = 256
-SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+BLOCK, BLOCK_WORDS = 256, 1 << 17  # members, and words of them, in a block
 SIGNED = "row long, words long, key1 long, key2 long, bands array<long>"
 
 
@@ -149,43 +148,116 @@ def own_shares(docs: DataFrame) -> DataFrame:
     return single.groupBy("row").agg(F.sum("share").alias("own"))
 
 
+def shared(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], columns: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every left and right text (sorted hashes, weights): the number of common shingles, and the share of each one's
+    weight on them. Products of incidence matrices over so many shingles at a time."""
+    sides = []
+    every, codes = np.unique(np.concatenate([e for e, _ in left + right]), return_inverse=True)
+    at = 0
+    for texts in (left, right):
+        row = np.repeat(np.arange(len(texts)), [len(e) for e, _ in texts])
+        weight = np.concatenate([w / w.sum() for _, w in texts])
+        sides.append((row, codes[at : at + len(row)], weight, len(texts)))
+        at += len(row)
+    n = np.zeros((len(left), len(right)), dtype=np.float32)
+    of_left, of_right = np.zeros_like(n), np.zeros_like(n)
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    for begin in range(0, len(both), columns):
+        chosen = both[begin : begin + columns]
+        place = np.full(len(every), -1)
+        place[chosen] = np.arange(len(chosen))
+        dense = []
+        for row, code, weight, size in sides:
+            inside = place[code] >= 0
+            has, share = np.zeros((size, len(chosen)), dtype=np.float32), np.zeros((size, len(chosen)), dtype=np.float32)
+            has[row[inside], place[code[inside]]] = 1
+            share[row[inside], place[code[inside]]] = weight[inside]
+            dense.append((has, share))
+        (x, wx), (y, wy) = dense
+        n += x @ y.T
+        of_left += wx @ y.T
+        of_right += x @ wy.T
+    return n, of_left, of_right
+
+
+def similar_pairs(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the wanted (left, right) pairs have a probability Jaccard of ``threshold`` or more.
+
+    Texts without repeated shingles have the common share of the union. For the others the shares s and t of the two
+    texts' weights on common shingles bound it by st / (s + t - st), and what passes is computed one by one.
+    """
+    n, of_left, of_right = shared(left, right)
+    flat = [np.array([w.max() == w.min() for _, w in texts]) for texts in (left, right)]
+    size = [np.array([len(e) for e, _ in texts]) for texts in (left, right)]
+    plain = flat[0][:, None] & flat[1][None, :]
+    found = wanted & plain & (n >= (threshold - 1e-9) * (size[0][:, None] + size[1][None, :] - n))
+    product = of_left * of_right
+    close = product >= (threshold - 1e-4) * (of_left + of_right - product)
+    for i, j in zip(*np.nonzero(wanted & ~plain & close), strict=True):
+        found[i, j] = probability_jaccard(left[i], right[j]) >= threshold - 1e-9
+    return found
+
+
 def compared(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different classes whose signatures agree in nearly the threshold or more.
+    """Links (a, b) that join the classes of one bucket: enough of the pairs that are similar to connect all of them.
 
-    ``mixed`` has (bucket, row, comp, inside), inside for members of the head's class. Members stand in blocks of
-    about ``BLOCK``; each block of outsiders meets every block of its bucket once, and what agrees too little is
-    dropped where the two blocks are compared, so no list of a bucket's pairs is ever made. Members of the head's
-    class are not compared with each other. ``SLACK`` is four standard deviations of the estimate.
+    ``mixed`` has (bucket, row, comp, inside), inside for members of the head's class. Members stand in blocks that are
+    bounded in rows and words, with their shingles; each block of outsiders meets every block of its bucket once. The
+    two blocks are verified where they meet and only links between what is not yet one class there leave the task,
+    so neither a list of a bucket's pairs nor one of its similar pairs is ever made. A pair that shares several
+    buckets is compared in that of its first common band; members of the head's class are not compared with each other.
     """
-    m = BANDS * ROWS
-    least = threshold - SLACK
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                text, element, weight, _, _ = weighted(part.column(1))
-                sample = signatures(text, element, weight, part.num_rows, m)
-                yield pa.RecordBatch.from_arrays([part.column(0), ragged(sample.astype(np.uint32).view(np.int32).reshape(-1), np.arange(part.num_rows + 1) * m, pa.int32())], names=["row", "sig"])
+                text, element, weight, first, _ = weighted(part.column(1))
+                begin = np.searchsorted(text, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), ragged(element.view(np.int64), begin, pa.int64()), ragged(weight.astype(np.int32), begin, pa.int32()), pa.array(np.diff(first))],
+                    names=["row", "element", "weight", "words"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                left, right = (batch.column(i).slice(k, 1).flatten() for i in range(2))
-                rows, comps, sigs = zip(*[(b.field(0).to_numpy(), b.field(1).to_numpy(), b.field(2).flatten().to_numpy().reshape(-1, m)) for b in (left, right)], strict=True)
-                same = np.stack([(sigs[1] == one).sum(axis=1) for one in sigs[0]])
-                x, y = np.nonzero((same >= least * m) & (comps[0][:, None] != comps[1][None, :]))
-                a, b = rows[0][x], rows[1][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    able = written(own_shares(texts).filter(F.col("own") > 1 - threshold).select("row"), "unable")
-    mixed = mixed.join(able, "row", "left_anti")
-    lanes = mixed.groupBy("bucket", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lanes"))
-    signs = written(texts.select("row", "text").mapInArrow(signed, "row long, sig array<int>"), "signatures")
-    dealt = mixed.join(lanes, ["bucket", "inside"]).withColumn("lane", F.pmod(F.xxhash64("row"), F.col("lanes"))).join(signs, "row")
-    blocks = written(dealt.groupBy("bucket", "inside", "lane").agg(F.collect_list(F.struct("row", "comp", "sig")).alias("block")), "blocks")
+                bucket, sides = batch.column(2)[k].as_py(), []
+                for i in range(2):
+                    block = batch.column(i).slice(k, 1).flatten()
+                    lists = block.field(2)
+                    cut = np.diff(lists.offsets.to_numpy())
+                    at = np.concatenate([[0], np.cumsum(cut)])
+                    element, weight = lists.flatten().to_numpy(), block.field(3).flatten().to_numpy()
+                    sides.append((block.field(0).to_numpy(), block.field(1).to_numpy(), [(element[p:q], weight[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)], block.field(4).flatten().to_numpy().reshape(len(block), -1)))
+                (row, comp, left, bands), (row2, comp2, right, bands2) = sides
+                common = bands[:, None, :] == bands2[None, :, :]
+                here = np.take_along_axis(np.broadcast_to(bands[:, None, :], common.shape), common.argmax(axis=2)[:, :, None], axis=2)[:, :, 0] == bucket
+                wanted = here & common.any(axis=2) & (comp[:, None] != comp2[None, :])
+                links = []
+                if wanted.any():
+                    up: dict[int, int] = {}
+
+                    def top(x: int, up: dict[int, int] = up) -> int:
+                        while (y := up.get(x, x)) != x:
+                            x = y
+                        return x
+
+                    for i, j in zip(*np.nonzero(similar_pairs(left, right, wanted, threshold)), strict=True):
+                        x, y = top(comp[i]), top(comp2[j])
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            links.append(sorted((row[i], row2[j])))
+                yield pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    unable = written(own_shares(texts).filter(F.col("own") > 1 - threshold).select("row"), "unable")
+    mixed = mixed.join(unable, "row", "left_anti")
+    known = written(texts.select("row", "text").mapInArrow(sets, "row long, element array<long>, weight array<int>, words long").join(texts.select("row", "bands"), "row"), "sets")
+    sized = written(mixed.join(known.select("row", "words"), "row"), "sized")
+    lanes = sized.groupBy("bucket", "inside").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("words") / BLOCK_WORDS)).alias("lanes"))
+    dealt = sized.join(lanes, ["bucket", "inside"]).withColumn("lane", F.pmod(F.xxhash64("row"), F.col("lanes"))).join(known.drop("words"), "row")
+    blocks = written(dealt.groupBy("bucket", "inside", "lane").agg(F.collect_list(F.struct("row", "comp", "element", "weight", "bands")).alias("block")), "blocks")
     other = blocks.select("bucket", F.col("inside").alias("theirs"), F.col("lane").alias("at"), F.col("block").alias("other"))
-    meet = blocks.filter("NOT inside").join(other, "bucket").filter("theirs OR lane <= at").select("block", "other")
-    return meet.mapInArrow(close, "a long, b long").distinct()
+    meet = blocks.filter("NOT inside").join(other, "bucket").filter("theirs OR lane <= at").select("block", "other", "bucket")
+    return meet.mapInArrow(close, "a long, b long")
 
 
 def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,18 +270,15 @@ def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     votes = buckets.filter("row != head").groupBy("row", "head").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("row").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
     pairs = written(best.select(F.col("head").alias("a"), F.col("row").alias("b")), "pairs")
-    tested, links = pairs, written(verify(pairs, some, threshold), "links")
-    labels = components(links)
+    labels = components(written(verify(pairs, some, threshold), "links"))
     placed = (
         buckets.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
         .join(labels.toDF("head", "home"), "head", "left").withColumn("home", F.coalesce("home", "head"))
     )
     mixed = placed.join(placed.filter("comp != home").select("bucket").distinct(), "bucket", "left_semi")
     mixed = written(mixed.select("bucket", "row", "comp", (F.col("comp") == F.col("home")).alias("inside")), "mixed")
-    near = compared(mixed, some.join(mixed.select("row").distinct(), "row", "left_semi"), threshold)
-    more = written(near.join(tested, ["a", "b"], "left_anti"), "pairs")
     # the second links join classes, so each pair of classes counts once
-    found = verify(more, some, threshold)
+    found = written(compared(mixed, some.join(mixed.select("row").distinct(), "row", "left_semi").join(texts, "row"), threshold), "found")
     ends = found.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
     joined = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
     upper = written(components(written(joined, "joined")), "upper")
@@ -233,7 +302,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     stored = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "docs")
     known = written(_classed(stored, threshold).join(stored.select("row", "id"), "row"), "classed")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    least = known.groupBy("class").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_class"))
+    # a table of its own, so that the join back can split the partition of a large class
+    least = written(known.groupBy("class").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_class")), "least")
     return known.join(least, "class").select(
         F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "n_class", (F.col("row") == F.col("least.row")).alias("kept")
     )

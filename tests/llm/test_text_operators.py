@@ -293,6 +293,34 @@ def test_buckets_lose_no_link(spark):
     assert {i: got.get(i, i) for i in range(7)} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
 
 
+def test_similar_pairs_equal_the_plain_form():
+    rnd = random.Random(15)
+    sets = []
+    for _ in range(60):
+        keys = rnd.sample(range(12), rnd.randrange(1, 12))
+        most = rnd.choice([2, 2, 4])
+        sets.append((np.array(sorted(keys), dtype=np.int64), np.array([rnd.randrange(1, most) for _ in keys])))
+    left, right = sets[:25], sets[25:]
+    wanted = np.array([[rnd.random() < 0.8 for _ in right] for _ in left])
+    for threshold in (0.3, 0.6, 0.8):
+        got = probminhash.similar_pairs(left, right, wanted, threshold)
+        want = [[bool(w and probminhash.probability_jaccard(a, b) >= threshold - 1e-9) for b, w in zip(right, row, strict=True)] for a, row in zip(left, wanted, strict=True)]
+        assert got.tolist() == want
+    n, of_left, of_right = probminhash.shared(left, right, columns=5)
+    assert n[3, 4] == len({*left[3][0].tolist()} & {*right[4][0].tolist()}) and (of_left <= 1.001).all() and (of_right <= 1.001).all()
+
+
+@pytest.mark.parametrize(("words", "linked"), [(100, True), (40, False)])
+def test_a_large_bucket_under_a_stranger(spark, words, linked):
+    """Two thousand copies with one word changed each: 91 of 101 shingles in common, or 31 of 41; the head is like none."""
+    rnd = random.Random(16)
+    base = prose(rnd, words).split()
+    values = [prose(rnd, words)] + [" ".join("own" + str(k) if i == words // 2 else x for i, x in enumerate(base)) for k in range(2000)]
+    texts_df = spark.createDataFrame([(i, [1, 2]) for i in range(2001)], "row long, bands array<long>")
+    labels = probminhash.link_texts(texts_df, spark.createDataFrame(list(enumerate(values)), "row long, text string")).collect()
+    assert {r.row: r.comp for r in labels} == (dict.fromkeys(range(1, 2001), 1) if linked else {})
+
+
 def greedy(word, first, later):
     n, at, table = 0, 0, first
     while at < len(word):
