@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_open: list["Scratch"] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +29,39 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+class Scratch:
+    """Tables written since it was opened; all but those that are kept are deleted when it closes."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table._written_to)
+        return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """What is written inside is deleted at the end, unless kept: for intermediate tables that no plan reads any more.
+
+    A kept table belongs to the enclosing scratch, if there is one. After an error nothing is deleted.
+    """
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        if _open:
+            _open[-1].paths.extend(p for p in own.paths if p in own.kept)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    for path in own.paths:
+        if path not in own.kept:
+            where = path_of(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
@@ -35,4 +71,8 @@ def written(df: DataFrame, tag: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "lz4_raw").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    if _open:
+        _open[-1].paths.append(path)
+    return table
