@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stemweave.llm.components import components
 from stemweave.llm.texts import LOWER_TABLE, U64, flat, mix, powers, prefix_hashes, range_hashes, ragged, shingles, slices, word_spans
-from stemweave.plans.durable import written
+from stemweave.plans.durable import scratch, written
 
 BANDS, ROWS = 40, 6
 THRESHOLD = 0.8
@@ -299,11 +299,12 @@ def _classed(stored: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, class id (smallest document id of its class), documents in the class, kept."""
-    stored = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "docs")
-    known = written(_classed(stored, threshold).join(stored.select("row", "id"), "row"), "classed")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    # a table of its own, so that the join back can split the partition of a large class
-    least = written(known.groupBy("class").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_class")), "least")
+    with scratch(docs.sparkSession) as tables:
+        stored = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "docs")
+        known = tables.keep(written(_classed(stored, threshold).join(stored.select("row", "id"), "row"), "classed"))
+        # a table of its own, so that the join back can split the partition of a large class
+        least = tables.keep(written(known.groupBy("class").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_class")), "least"))
     return known.join(least, "class").select(
         F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "n_class", (F.col("row") == F.col("least.row")).alias("kept")
     )
@@ -313,9 +314,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """The document with the smallest id of each class, with all its columns."""
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    stored = written(whole.withColumn("row", F.monotonically_increasing_id()).drop("text"), "docs")
-    stored = stored.withColumn("text", F.col("_row").getField(text_col))
-    known = _classed(stored.select("row", "id", "text"), threshold).join(stored.select("row", "id"), "row")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    kept = written(known.groupBy("class").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row")), "kept")
+    with scratch(docs.sparkSession) as tables:
+        stored = tables.keep(written(whole.withColumn("row", F.monotonically_increasing_id()).drop("text"), "docs")).withColumn("text", F.col("_row").getField(text_col))
+        known = _classed(stored.select("row", "id", "text"), threshold).join(stored.select("row", "id"), "row")
+        kept = tables.keep(written(known.groupBy("class").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row")), "kept"))
     return stored.join(kept, "row", "left_semi").select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -19,16 +19,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemweave.llm.texts import U64, flat, prefix_hashes, range_hashes, ragged, slices
-from stemweave.plans.durable import written
+from stemweave.llm.texts import U64, WORD_BYTES, flat, prefix_hashes, ragged, range_hashes, slices, word_codes
+from stemweave.plans.durable import scratch, written
 
 LENGTH = 400
+WORDS = 51
 SEED = 64
 MOST = 1024  # windows of a piece
 BLOCK = 256 << 10  # bytes of pieces in a block
@@ -135,46 +137,69 @@ def _common(a: bytes, b: bytes, least: int) -> int:
     return int(np.argmax(x != y))
 
 
-def _scan(stored: DataFrame, length: int) -> DataFrame:
-    """(row, n_bytes, sha, pieces) of stored (row, text)."""
+class Unit(NamedTuple):
+    """What repeats are made of: bytes, or words that stand for ``WORD_BYTES`` bytes of their hashes each."""
+
+    size: int = 1
+    length: int = LENGTH
+
+    @property
+    def window(self) -> int:
+        return self.size * self.length
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return flat(column) if self.size == 1 else word_codes(*flat(column))[:2]
+
+
+def words_of_length(n: int) -> Unit:
+    return Unit(WORD_BYTES, n)
+
+
+def _scan(stored: DataFrame, unit: Unit) -> DataFrame:
+    """(row, n_bytes, size, sha, pieces) of stored (row, text); size is the number of units, a piece has its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, at = flat(part.column(1))
-                text, key, start, count, twice = pieces_of(data, at, length)
                 whole = data.tobytes()
                 sha = [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                units, to = unit.of(part.column(1))
+                text, key, start, count, twice = pieces_of(units, to, unit.window)
                 begin = np.searchsorted(text, np.arange(part.num_rows + 1))
+                first = to[text] + start
+                pid = range_hashes(prefix_hashes(units), first, first + count + unit.window - 1) if len(text) else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(at)), pa.array(sha), ragged(key.view(np.int64), begin, pa.int64()), ragged(start, begin, pa.int32()),
-                     ragged(count, begin, pa.int32()), ragged(twice, begin, pa.bool_())],
-                    names=["row", "n_bytes", "sha", "key", "start", "count", "twice"],
+                    [part.column(0), pa.array(np.diff(at)), pa.array(np.diff(to) // unit.size), pa.array(sha), ragged(key.view(np.int64), begin, pa.int64()),
+                     ragged(start, begin, pa.int32()), ragged(count, begin, pa.int32()), ragged(twice, begin, pa.bool_()), ragged(pid.view(np.int64), begin, pa.int64())],
+                    names=["row", "n_bytes", "size", "sha", "key", "start", "count", "twice", "pid"],
                 )
 
-    return stored.select("row", "text").mapInArrow(run, "row long, n_bytes long, sha string, key array<long>, start array<int>, count array<int>, twice array<boolean>")
+    return stored.select("row", "text").mapInArrow(run, "row long, n_bytes long, size long, sha string, key array<long>, start array<int>, count array<int>, twice array<boolean>, pid array<long>")
 
 
-def _texts(candidates: DataFrame, stored: DataFrame, length: int) -> DataFrame:
-    """Pieces with their bytes: (row, key, start, count, pid, piece); ``candidates`` has a list of places per row."""
+def _texts(candidates: DataFrame, stored: DataFrame, unit: Unit) -> DataFrame:
+    """Pieces with their bytes: (key, count, pid, piece); ``candidates`` has a list of places per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                columns: list[list] = [[], [], [], [], [], []]
-                for row, places, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                columns: list[list] = [[], [], [], []]
+                data, at = unit.of(part.column(1))
+                whole = data.tobytes()
+                for places, base in zip(part.column(0).to_pylist(), at.tolist(), strict=False):
                     for p in places:
-                        piece = text[p["start"] : p["start"] + p["count"] + length - 1]
-                        for values, value in zip(columns, (row, p["key"], p["start"], p["count"], hashlib.blake2b(piece, digest_size=16).digest(), piece), strict=True):
+                        begin = base + p["start"]
+                        for values, value in zip(columns, (p["key"], p["count"], p["pid"], whole[begin : begin + p["count"] + unit.window - 1]), strict=True):
                             values.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["row", "key", "start", "count", "pid", "piece"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["key", "count", "pid", "piece"])
 
-    whole = candidates.join(stored.select("row", "text"), "row").select("row", "places", "text")
-    return whole.mapInArrow(run, "row long, key long, start int, count int, pid binary, piece binary")
+    whole = candidates.join(stored.select("row", "text"), "row").select("places", "text")
+    return whole.mapInArrow(run, "key long, count int, pid long, piece binary")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int, bool]], list[bytes], list[int], list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int, bool]], list[int], list[int], list[bytes]]]:
     """Sorted pieces in blocks that hold whole groups: their (key, lane, dealt), ids, windows, bytes."""
     heads: list[tuple[int, int, bool]] = []
     rest: tuple[list, list, list] = ([], [], [])
@@ -193,17 +218,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int,
         yield heads, *rest
 
 
+def _groups(suffixes: list[tuple[int, int]], found: list[tuple[int, int, int]], pids: list[int]) -> pa.RecordBatch:
+    """The maximal repeats of a block: (group, length, pid, begin), a row per occurrence."""
+    rows = [(n, depth, pids[p], o) for n, (depth, first, last) in enumerate(found) for p, o in suffixes[first : last + 1]]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "length", "pid", "begin"])
+
+
 def _repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """Occurrences of maximal repeats as (pid, begin, length), and window classes of dealt keys as (key, fingerprint,
-    pid, begin); pid is null there if the block has the class more than once."""
+    """Occurrences of maximal repeats as (pid, begin, length), the key of their block's piece, and window classes of
+    dealt keys as (key, fingerprint, pid, begin); pid is null there if the block has the class more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"pid": pa.binary(), "begin": pa.int32(), "length": pa.int32(), "key": pa.int64(), "fingerprint": pa.int64()}
+        kinds = {"pid": pa.int64(), "begin": pa.int32(), "length": pa.int32(), "key": pa.int64(), "fingerprint": pa.int64()}
         for heads, pids, windows, texts in _blocks(batches):
             suffixes, longest, _, fingerprint, (piece, offset) = maximal_repeats(texts, windows, length)
-            hits = [(pids[p], o, n) for (p, o), n in zip(suffixes, longest, strict=True) if n]
-            pid, begin, size = ([h[i] for h in hits] for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((pid, begin, size, [None] * len(hits), [None] * len(hits)), kinds.values(), strict=True)], names=list(kinds))
+            hits = [(pids[p], o, n, heads[p][0], None) for (p, o), n in zip(suffixes, longest, strict=True) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], k) for i, k in enumerate(kinds.values())], names=list(kinds))
             dealt = np.array([h[2] for h in heads])[piece]
             if dealt.any():
                 piece, offset, fingerprint = piece[dealt], offset[dealt], fingerprint[dealt]
@@ -211,42 +242,87 @@ def _repeats(pieces: DataFrame, length: int) -> DataFrame:
                 values, where, members = np.unique(fingerprint, return_index=True, return_counts=True)
                 pid = [pids[p] if n == 1 else None for p, n in zip(piece[where].tolist(), members.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pid, pa.binary()), pa.array(offset[where], pa.int32()), pa.nulls(len(where), pa.int32()), pa.array(keys[piece[where]], pa.int64()), pa.array(values.view(np.int64))],
+                    [pa.array(pid, pa.int64()), pa.array(offset[where], pa.int32()), pa.nulls(len(where), pa.int32()), pa.array(keys[piece[where]], pa.int64()), pa.array(values.view(np.int64))],
                     names=list(kinds))
 
-    arranged = pieces.select("key", "lane", "dealt", "pid", "count", "piece").repartition("key", "lane").sortWithinPartitions("key", "lane")
-    return arranged.mapInArrow(run, "pid binary, begin int, length int, key long, fingerprint long")
+    return _arranged(pieces).mapInArrow(run, "pid long, begin int, length int, key long, fingerprint long")
 
 
-def find(stored: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Of stored (row, text): (row, n_bytes, sha, copies, first) of every row, and (row, begin, end) byte ranges that
-    are covered by repeats, for the first row of each text. Ranges may overlap; texts with copies are repeated whole."""
-    scanned = written(_scan(stored, length), "scanned")
-    same = written(scanned.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "same")
+def _arranged(pieces: DataFrame) -> DataFrame:
+    return pieces.select("key", "lane", "dealt", "pid", "count", "piece").repartition("key", "lane").sortWithinPartitions("key", "lane")
+
+
+def _placed(stored: DataFrame, unit: Unit, scanned: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places (row, start, key, pid) of pieces with a repeat, the distinct pieces (key, pid, count, n), and those with
+    bytes that have to be searched, dealt to blocks. A piece is known by its key and hash from the start, and of equal
+    pieces the bytes of one travel; a key with one distinct piece, none of it twice inside, is not searched at all."""
     firsts = scanned.join(same.select(F.col("first").alias("row")), "row", "left_semi")
-    runs = firsts.select("row", F.explode(F.arrays_zip("key", "start", "count", "twice")).alias("p")).select("row", "p.*")
+    runs = firsts.select("row", F.explode(F.arrays_zip("key", "start", "count", "twice", "pid")).alias("p")).select("row", "p.*")
     many = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any")).filter("n > 1 OR any").select("key"), "keys")
-    wanted = runs.join(many, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("key", "start", "count")).alias("places"))
-    occurrences = written(_texts(wanted, stored, length), "pieces")
-    distinct = written(occurrences.groupBy("key", "pid").agg(F.first("piece").alias("piece"), F.first("count").alias("count"), F.count(F.lit(1)).alias("n")), "distinct")
-    sizes = distinct.groupBy("key").agg(F.sum(F.octet_length("piece")).alias("bytes")).filter(F.col("bytes") > BLOCK)
-    lanes = written(sizes.select("key", F.ceil(F.col("bytes") / BLOCK).alias("lanes")), "lanes")
-    placed = distinct.join(lanes, "key", "left").select(
-        "key", "pid", "count", "piece", F.col("lanes").isNotNull().alias("dealt"),
-        F.pmod(F.xxhash64("pid"), F.coalesce("lanes", F.lit(1))).alias("lane"),
-    )
-    found = written(_repeats(placed, length), "repeats")
-    inside = found.filter("length IS NOT NULL").select("pid", "begin", (F.col("begin") + F.col("length")).alias("end"))
+    places = written(runs.join(many, "key", "left_semi"), "places")
+    one = F.min(F.struct("row", "start", "count")).alias("at")
+    distinct = written(places.groupBy("key", "pid").agg(one, F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")), "distinct")
+    searched = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("twice").alias("any"), F.sum(F.col("at.count") + unit.window - 1).alias("bytes")).filter("m > 1 OR any")
+    searched = written(searched.select("key", F.ceil(F.col("bytes") / BLOCK).alias("lanes")), "searched")
+    wanted = distinct.join(searched, "key", "left_semi").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("key", "at.start", "at.count", "pid")).alias("places"))
+    dealt = _texts(wanted, stored, unit).join(searched, "key").select(
+        "key", "pid", "count", "piece", (F.col("lanes") > 1).alias("dealt"), F.pmod(F.xxhash64("pid"), F.col("lanes")).alias("lane"))
+    return places, distinct, dealt
+
+
+def find(stored: DataFrame, unit: Unit = Unit()) -> tuple[DataFrame, DataFrame]:
+    """Of stored (row, text): (row, n_bytes, size, sha, copies, first) of every row, and (row, begin, end) ranges of units that
+    are covered by repeats, for the first row of each text. Ranges may overlap; texts with copies are repeated whole."""
+    scanned = written(_scan(stored, unit), "scanned")
+    same = written(scanned.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "same")
+    places, distinct, dealt = _placed(stored, unit, scanned, same)
+    found = written(_repeats(dealt, unit.window), "repeats")
+    inside = found.filter("length IS NOT NULL").select("key", "pid", "begin", (F.col("begin") + F.col("length")).alias("end"))
     # classes that several blocks of one key have
-    across = (
-        found.filter("length IS NULL").groupBy("key", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("pid", "begin")).alias("one"))
-        .filter("n > 1").select(F.explode("one").alias("o")).filter("o.pid IS NOT NULL")
-        .select("o.pid", "o.begin", (F.col("o.begin") + length).alias("end"))
-    )
-    whole = distinct.filter("n > 1").select("pid", F.lit(0).alias("begin"), (F.col("count") + length - 1).alias("end"))
+    crossing = found.filter("length IS NULL").groupBy("key", "fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    across = found.filter("pid IS NOT NULL AND length IS NULL").join(crossing, ["key", "fingerprint"], "left_semi").select(
+        "key", "pid", "begin", (F.col("begin") + unit.window).alias("end"))
+    whole = distinct.filter("n > 1").select("key", "pid", F.lit(0).alias("begin"), (F.col("at.count") + unit.window - 1).alias("end"))
     marks = inside.unionByName(across).unionByName(whole)
-    ranges = occurrences.select("row", "start", "pid").join(marks, "pid").select("row", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))
-    return scanned.select("row", "n_bytes", "sha").join(same, "sha"), ranges
+    ranges = places.select("row", "start", "key", "pid").join(marks, ["key", "pid"]).select("row", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))
+    # whole units only, and enough of them: a hash may agree in part
+    ranges = ranges.select("row", F.ceil(F.col("begin") / unit.size).cast("int").alias("begin"), F.floor(F.col("end") / unit.size).cast("int").alias("end"))
+    return scanned.select("row", "n_bytes", "size", "sha").join(same, "sha"), ranges.filter(F.col("end") - F.col("begin") >= unit.length)
+
+
+def maximal_repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """All maximal repeats of ``length`` bytes or more, each with every occurrence: (group, length, id, row, begin), ``row``
+    telling equal ids apart. A repeat is maximal among the windows with its minimiser: at that stretch of the text it cannot
+    be longer on either side and keep its occurrences.
+
+    Copies of a text count once (``row`` is the first of them), pieces that occur in several places once for each place.
+    A key's pieces stay in one block here, as a group needs all its occurrences: memory follows the distinct pieces
+    around one minimiser, however often they occur.
+    """
+    unit = Unit(1, length)
+    stored = written(_rows(docs, id_col, text_col), "docs")
+    scanned = written(_scan(stored, unit), "scanned")
+    same = written(scanned.groupBy("sha").agg(F.min("row").alias("first")), "same")
+    places, distinct, dealt = _placed(stored, unit, scanned, same)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for heads, pids, windows, texts in _blocks(batches):
+            begin = 0
+            while begin < len(heads):  # a group is named by its key, so keys are searched one by one
+                end = begin
+                while end < len(heads) and heads[end][0] == heads[begin][0]:
+                    end += 1
+                suffixes, _, found, *_ = maximal_repeats(texts[begin:end], windows[begin:end], length)
+                batch = _groups(suffixes, found, pids[begin:end])
+                yield batch.append_column("key", pa.array([heads[begin][0]] * batch.num_rows, pa.int64()))
+                begin = end
+
+    whole = _arranged(dealt.withColumn("lane", F.lit(0).cast("long"))).mapInArrow(run, "group long, length int, pid long, begin int, key long")
+    # a key with one distinct piece was not searched: the piece itself is its repeat
+    alone = distinct.join(dealt.select("key").distinct(), "key", "left_anti").filter("n > 1").select(
+        F.lit(0).cast("long").alias("group"), (F.col("at.count") + length - 1).cast("int").alias("length"), "pid", F.lit(0).alias("begin"), "key")
+    named = whole.unionByName(alone).join(places.select("row", "start", "key", "pid"), ["key", "pid"]).join(stored.select("row", "id"), "row")
+    return named.select(F.concat_ws("-", F.hex("key"), "group").alias("group"), "length", F.col("id").alias(id_col), "row", (F.col("start") + F.col("begin")).alias("begin"))
 
 
 def merged(ranges: list[dict], size: int) -> list[tuple[int, int]]:
@@ -260,15 +336,23 @@ def merged(ranges: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(ranges: DataFrame, stored: DataFrame, whole_characters: bool) -> DataFrame:
+def _cut(ranges: DataFrame, stored: DataFrame, unit: Unit, whole_characters: bool) -> DataFrame:
     """(row, removed, n_spans, kept_sha, text) of the rows that have ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 out: list[tuple] = []
-                for row, found, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                    spans = merged(found, len(text))
+                data, at = flat(part.column(2))
+                _, to, begins, ends = word_codes(data, at) if unit.size > 1 else (None, at, None, None)
+                whole = data.tobytes()
+                for k, (row, found) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    text = whole[at[k] : at[k + 1]]
+                    if unit.size == 1:
+                        spans = merged(found, len(text))
+                    else:  # from the first byte of the first word to the last byte of the last
+                        first = to[k] // unit.size
+                        spans = [(int(begins[first + a] - at[k]), int(ends[first + b - 1] - at[k])) for a, b in merged(found, (to[k + 1] - to[k]) // unit.size)]
                     if whole_characters:  # a character that is cut stays
                         spans = [(_up(text, a), _down(text, b)) for a, b in spans]
                     edges = [0, *[x for s in spans for x in s], len(text)]
@@ -298,31 +382,53 @@ def _down(text: bytes, at: int) -> int:
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per document: bytes, bytes removed, maximal removed runs, SHA-256 of what is left."""
-    stored = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "docs")
-    rows, ranges = find(stored, length)
-    cut = written(_cut(ranges, stored, whole_characters=False).drop("text"), "cut")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    joined = rows.join(cut, "row", "left").join(stored.select("row", "id"), "row")
-    return joined.select(
-        F.col("id").alias(id_col), "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
-    )
-
-
-def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
-    """The documents with repeated ranges taken out of their texts (to whole characters, so texts stay valid) and
-    their number of characters counted anew; those of which nothing but spaces is left go."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+
+
+def _covered(ranges: DataFrame) -> DataFrame:
+    """(row, covered): units that the ranges of a row cover together, by the gaps between them in order."""
+    ordered = F.sort_array(F.collect_set(F.struct("begin", "end")))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("upto"))
+    step = lambda a, r: F.struct((a.total + F.greatest(r.end - F.greatest(r.begin, a.upto), F.lit(0))).alias("total"), F.greatest(a.upto, r.end).alias("upto"))
+    return ranges.groupBy("row").agg(ordered.alias("r")).select("row", F.aggregate("r", start, step).total.cast("long").alias("covered"))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """One row per document: bytes, bytes removed, maximal removed runs, SHA-256 of what is left; and how many of its
+    words are covered by strings of ``words`` words that also start anywhere else (``repeated``: any), whatever their bytes."""
+    with scratch(docs.sparkSession) as tables:
+        stored = written(_rows(docs, id_col, text_col), "docs")
+        rows, ranges = find(stored, Unit(1, length))
+        cut = _cut(ranges, stored, Unit(1, length), whole_characters=False).drop("text")
+        gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+        joined = tables.keep(written(rows.join(cut, "row", "left").join(stored.select("row", "id"), "row").select(
+            "row", F.col("id").alias(id_col), "n_bytes", "first", "copies",
+            F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        ), "spans"))
+        tables.keep(stored)
+    with scratch(docs.sparkSession) as tables:
+        sizes, ranges = find(stored, words_of_length(words))
+        whole = (F.col("copies") > 1) & (F.col("size") >= words)
+        covered = sizes.join(_covered(ranges), "row", "left").select(
+            "row", F.when(whole, F.col("size")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("n_repeated_words"))
+        covered = tables.keep(written(covered, "covered"))
+    return joined.drop("first", "copies").join(covered, "row").drop("row").withColumn("repeated", F.col("n_repeated_words") > 0)
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", unit: Unit = Unit()) -> DataFrame:
+    """The documents with repeated ranges of bytes or words taken out of their texts (to whole characters, so texts stay
+    valid) and their number of characters counted anew; those of which nothing but spaces is left go."""
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.monotonically_increasing_id().alias("row"))
-    stored = written(whole, "docs").withColumn("text", F.col("_row").getField(text_col))
-    rows, ranges = find(stored, length)
-    cut = written(_cut(ranges, stored, whole_characters=True).select("row", F.col("text").alias("rest")), "cut")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    fate = written(rows.filter(gone | (F.col("row") != F.col("first"))).select("row", gone.alias("gone")).filter("gone").select("row"), "gone")
+    with scratch(docs.sparkSession) as tables:
+        stored = tables.keep(written(whole, "docs")).withColumn("text", F.col("_row").getField(text_col))
+        rows, ranges = find(stored, unit)
+        cut = tables.keep(written(_cut(ranges, stored, unit, whole_characters=True).select("row", F.col("text").alias("rest")), "cut"))
+        gone = (F.col("copies") > 1) & (F.col("size") >= unit.length)
+        fate = tables.keep(written(rows.filter(gone).select("row"), "gone"))
     left = stored.join(fate, "row", "left_anti").join(cut, "row", "left")
     text = F.when(F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("text"))
     final = left.withColumn("_text", text).filter(F.col("rest").isNull() | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))

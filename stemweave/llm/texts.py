@@ -84,6 +84,16 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, at)
 
 
+WORD_BYTES = 4
+
+
+def word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with every word replaced by ``WORD_BYTES`` bytes of its hash, as ``flat`` gives them; begin and end of the words."""
+    start, end, first = word_spans(data, at)
+    codes = range_hashes(prefix_hashes(data), start, end) if len(start) else np.zeros(0, dtype=np.uint64)
+    return (codes >> U64(32)).astype(np.uint32).view(np.uint8), first * WORD_BYTES, start, end
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Cumulative hash of the bytes before each place; differences give the hash of any range."""
     power, _ = powers(len(data) + 1)

@@ -436,6 +436,57 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, block):
     assert got == dict(enumerate(removed(values)))
 
 
+def repeated_words(values, words):
+    """Of every text the places of words that are covered by a string of so many words that starts elsewhere too."""
+    listed = [words_in(t) for t in values]
+    counts = Counter(tuple(w[i : i + words]) for w in listed for i in range(len(w) - words + 1))
+    return [{j for i in range(len(w) - words + 1) if counts[tuple(w[i : i + words])] > 1 for j in range(i, i + words)} for w in listed]
+
+
+def passages(rnd, words):
+    say = lambda n: " ".join("".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+    short = " ".join(rnd.choice("abcdefgh") + rnd.choice("\tx") for _ in range(words + 4))
+    p = say(3 * words)
+    values = [say(60) + " " + p + " " + say(9), p, say(5) + "\n" + " \t".join(p.split()[2 : words + 3]) + " " + say(8), short, say(7) + " " + short + " " + say(2), say(words), say(words - 1), None, "", "  "]
+    return values + [values[5], say(40) + " " + p[9:], "z " * (words + 5), " ".join(p.split()[: words - 1])]
+
+
+def test_repeated_words_equal_brute_force(spark):
+    rnd = random.Random(19)
+    values = passages(rnd, 51)
+    got = {r.doc_id: (r.n_repeated_words, r.repeated) for r in repeats.spans(documents(spark, [(i, t, "s") for i, t in enumerate(values)])).collect()}
+    want = repeated_words(values, 51)
+    assert got == {i: (len(w), bool(w)) for i, w in enumerate(want)} and sum(map(bool, want)) > 6
+
+
+def test_passages_are_taken_out_by_words(spark):
+    rnd = random.Random(20)
+    values = passages(rnd, 51)
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(values)])
+    got = {r.doc_id: r.text for r in repeats.without_repeats(docs, unit=repeats.words_of_length(51)).collect()}
+    for i, (t, gone) in enumerate(zip(values, repeated_words(values, 51), strict=True)):
+        left = [w for j, w in enumerate(words_in(t)) if j not in gone]
+        assert words_in(got[i]) == left if left or not gone else i not in got
+        assert gone or got[i] == t
+
+
+def test_maximal_repeat_groups(spark):
+    rnd = random.Random(21)
+    p = "".join(rnd.choice("abcdefgh") for _ in range(500))
+    values = [p, "x" + p + "y", "-" * 30 + p[40:480] + "!", "a" * 405, None, p]
+    rows = repeats.maximal_repeat_groups(documents(spark, [(i, t, "s") for i, t in enumerate(values)])).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.group, r.length), []).append((r.doc_id, r.begin))
+    strings = {k: {values[i].encode()[b : b + k[1]] for i, b in v} for k, v in groups.items()}
+    assert all(len(s) == 1 for s in strings.values()) and all(k[1] >= 400 and len(v) > 1 for k, v in groups.items())
+    covered = {i: set() for i in range(4)}
+    for (_, n), places in groups.items():
+        for i, b in places:
+            covered[i] |= set(range(b, b + n))
+    assert [len(covered[i]) for i in range(4)] == [500, 500, 440, 405]
+
+
 def test_maximal_repeats_are_the_left_diverse_intervals():
     rnd = random.Random(10)
     data = ["".join(rnd.choice("ab") for _ in range(30)).encode() for _ in range(4)]
