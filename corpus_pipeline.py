@@ -16,8 +16,8 @@ from stemweave.plans.durable import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Fifty short words.
-REPEATED_BYTES = 250
+#: Words of a passage that counts as repeated: more than fifty, whatever their bytes.
+REPEATED_WORDS = 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of ``REPEATED_BYTES`` or more that occur again are taken out of the texts, wherever they stand."""
-    return repeats.without_repeats(docs, length=REPEATED_BYTES)
+    """Passages of ``REPEATED_WORDS`` words or more that occur again are taken out of the texts, wherever they stand."""
+    return repeats.without_repeats(docs, unit=repeats.words_of_length(REPEATED_WORDS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
