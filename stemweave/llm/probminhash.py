@@ -9,9 +9,10 @@ component with a chance equal to their probability Jaccard.
 Equal word sequences are one text from the start. Texts that agree in all components of a band meet in a bucket. No
 bucket is expanded into pairs: its members are verified against a head, and what stays apart from the head's class is
 verified block by block against the members of other classes, inside the task where two blocks meet. So every pair of
-a bucket was verified, or is in one class already, or a text's weight on shingles that no other text there has (own)
-is above 1 - threshold, which bounds its probability Jaccard below the threshold. Verification computes the probability
-Jaccard of the whole texts, whose shingles are told apart by ``HASH_BITS`` bits of their hashes.
+a bucket was verified, or is in one class already, or its signatures differ by five standard deviations, or a text's
+weight on shingles that no other text there has (own) is above 1 - threshold, which bounds its probability Jaccard
+below the threshold. Verification computes the probability Jaccard of the whole texts, whose shingles are told apart by
+``HASH_BITS`` bits of their hashes.
 
 Defined results: a text without words (null, empty) is a class of its own. The class id is the smallest document id
 in it; repeated rows are copies. With null ids the class id is the smallest other id, or null. An empty table gives
@@ -35,6 +36,7 @@ BANDS, ROWS = 40, 6
 THRESHOLD = 0.8
 HASH_BITS = 40  # of a shingle, in the key that also holds its text's place in a slice
 BLOCK, BLOCK_WORDS = 256, 1 << 17  # members, and words of them, in a block
+SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 SIGNED = "row long, words long, key1 long, key2 long, bands array<long>"
 
 
@@ -198,6 +200,50 @@ def similar_pairs(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[n
     return found
 
 
+def promising(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The (bucket, row) of ``mixed`` whose signature agrees with that of another class in the bucket in nearly the
+    threshold or more. ``SLACK`` is five standard deviations; eight bits of a component only ever add agreement.
+
+    Blocks of outsiders meet the blocks of their bucket as in ``compared``, but with a byte a component instead of texts.
+    """
+    m = BANDS * ROWS
+    least = (threshold - SLACK) * m
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, element, weight, _, _ = weighted(part.column(1))
+                sample = signatures(text, element, weight, part.num_rows, m).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), part.num_rows, [None, pa.py_buffer(sample.tobytes())]).cast(pa.binary())], names=["row", "sig"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, told = None, set()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if (here := batch.column(2)[k].as_py()) != bucket:
+                    bucket, told = here, set()
+                (row, comp, sig), (row2, comp2, sig2) = (
+                    (b.field(0).to_numpy(), b.field(1).to_numpy(), np.frombuffer(b"".join(b.field(2).to_pylist()), dtype=np.uint8).reshape(len(b), m))
+                    for b in (batch.column(i).slice(k, 1).flatten() for i in range(2)))
+                close = np.stack([(sig2 == one).sum(axis=1) for one in sig]) >= least
+                x, y = np.nonzero(close & (comp[:, None] != comp2[None, :]))
+                new = sorted({*row[x].tolist(), *row2[y].tolist()} - told)
+                told |= set(new)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(new), pa.int64()), pa.array(new, pa.int64())], names=["bucket", "row"])
+
+    signs = written(texts.select("row", "text").mapInArrow(signed, "row long, sig binary"), "signatures")
+    lanes = mixed.groupBy("bucket", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lanes"))
+    dealt = mixed.join(lanes, ["bucket", "inside"]).withColumn("lane", F.pmod(F.xxhash64("row"), F.col("lanes"))).join(signs, "row")
+    return _met(dealt.groupBy("bucket", "inside", "lane").agg(F.collect_list(F.struct("row", "comp", "sig")).alias("block"))).mapInArrow(agree, "bucket long, row long").distinct()
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """(block, other, bucket): every block of outsiders with every block of its bucket, once."""
+    blocks = written(blocks, "blocks")
+    other = blocks.select("bucket", F.col("inside").alias("theirs"), F.col("lane").alias("at"), F.col("block").alias("other"))
+    return blocks.filter("NOT inside").join(other, "bucket").filter("theirs OR lane <= at").select("block", "other", "bucket")
+
+
 def compared(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join the classes of one bucket: enough of the pairs that are similar to connect all of them.
 
@@ -249,15 +295,17 @@ def compared(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
     unable = written(own_shares(texts).filter(F.col("own") > 1 - threshold).select("row"), "unable")
-    mixed = mixed.join(unable, "row", "left_anti")
+    mixed = written(mixed.join(unable, "row", "left_anti"), "able")
+    texts = written(texts.join(mixed.select("row").distinct(), "row", "left_semi"), "texts")
+    near = written(promising(mixed, texts, threshold), "near")
+    mixed = mixed.join(near, ["bucket", "row"], "left_semi")
+    texts = texts.join(near.select("row").distinct(), "row", "left_semi")
     known = written(texts.select("row", "text").mapInArrow(sets, "row long, element array<long>, weight array<int>, words long").join(texts.select("row", "bands"), "row"), "sets")
     sized = written(mixed.join(known.select("row", "words"), "row"), "sized")
     lanes = sized.groupBy("bucket", "inside").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("words") / BLOCK_WORDS)).alias("lanes"))
     dealt = sized.join(lanes, ["bucket", "inside"]).withColumn("lane", F.pmod(F.xxhash64("row"), F.col("lanes"))).join(known.drop("words"), "row")
-    blocks = written(dealt.groupBy("bucket", "inside", "lane").agg(F.collect_list(F.struct("row", "comp", "element", "weight", "bands")).alias("block")), "blocks")
-    other = blocks.select("bucket", F.col("inside").alias("theirs"), F.col("lane").alias("at"), F.col("block").alias("other"))
-    meet = blocks.filter("NOT inside").join(other, "bucket").filter("theirs OR lane <= at").select("block", "other", "bucket")
-    return meet.mapInArrow(close, "a long, b long")
+    blocks = dealt.groupBy("bucket", "inside", "lane").agg(F.collect_list(F.struct("row", "comp", "element", "weight", "bands")).alias("block"))
+    return _met(blocks).mapInArrow(close, "a long, b long")
 
 
 def link_texts(texts: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
