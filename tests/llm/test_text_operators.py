@@ -378,10 +378,41 @@ def test_shortest_path_equals_enumeration_and_decodes():
     assert machine.encode("") == []
 
 
+def test_segments_together_equal_one_by_one():
+    rnd = random.Random(22)
+    machine = fst.Transducer(*fst.load_model(PIECE_MODEL))
+    values = ["The quick  brown\nfox ▁ ☃", None, "", " ", "  x", "\t\t\n a", "日本語 ☃☃ é", "word" * 50, "naïve café\r\n", prose(rnd, 200), "ﬁ\u0000x"]
+    values += ["".join(rnd.choice("abcdeé \n\t▁日☃") for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
+    weight = {i: w for i, w in zip(machine.ends, machine.weights, strict=True) if i >= 0}
+    cost = lambda ids: sum(weight.get(i, machine.byte_weight) for i in ids)
+    ids, at, exact = machine.encode_all(pa.array(values))
+    assert exact.all() and at[-1] == len(ids)
+    for text, p, q in zip(values, at[:-1], at[1:], strict=True):
+        raw = (" " + text.replace("▁", " ") if text else "").encode()
+        begin = machine._segments(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])).tolist()
+        links = [raw[a:b].decode() for a, b in itertools.pairwise([*begin, len(raw)])]
+        assert ids[p:q].tolist() == [i for link in links for i in machine.path(link)]
+        # no piece crosses a border, so the links' paths are the whole text's, but for exact ties
+        whole = machine.path(" " + text) if text else []
+        assert abs(cost(ids[p:q].tolist()) - cost(whole)) < 1e-6 and machine.decode(whole) == (text or "").replace("▁", " ")
+
+
+def test_composition_reads_what_the_normaliser_maps():
+    arcs = fst.compose(((("x", "a"), ("a", "b")), ""), [{"a": 1, "b": 2}, {}, {}])
+    assert arcs == [{"x": 1, "b": 2, "a": 2}, {}, {}]  # a reads as b now, x as a
+    plain = fst.Transducer(((0, "a", 1.0), (1, "b", 1.0)), (), ((("x", "a"), ("a", "b")), ""))
+    assert plain.encode("xab") == [0, 1, 1] and plain.normalise("xab") == "abb"
+    with pytest.raises(ValueError):
+        plain.encode("c")
+
+
 def test_encoding_of_documents(spark):
     rnd = random.Random(6)
     values = [(0, "The quick  brown\nfox ▁ ☃", "s"), (1, None, "s"), (1, "", "s"), (None, prose(rnd, 3000), "s")]
     docs = documents(spark, values).withColumnRenamed("n_words", "n_tokens")
+    carried = fst.encode(docs, fst.load_model(PIECE_MODEL), carry=tuple(docs.columns))
+    assert carried.columns[: len(docs.columns)] == docs.columns and "piece_n_tokens" in carried.columns and len(set(carried.columns)) == len(carried.columns)
+    assert {r.n_tokens for r in carried.collect()} == {"x"}
     out = fst.encode(docs.drop("n_tokens"), fst.load_model(PIECE_MODEL), carry=("doc_id", "source"))
     got = out.collect()
     assert len(got) == 4 and all(r.round_trip in (True, None) and len(r.token_ids) == r.n_tokens for r in got)
