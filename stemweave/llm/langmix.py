@@ -1,10 +1,11 @@
 """Language of documents as a mixture: proportions by expectation-maximisation, the language set by penalised likelihood.
 
 A language is a model of bytes given the three before them within a word (lower case A-Z, spaces around), learned from
-all training texts: counts are summed with a shuffle, and grams below ``KEEP`` of a language's total are left to the
-two-byte model, so a language brings at most 1 / KEEP grams to the broadcast. A word has a likelihood in each
-language; a document is a mixture of languages over its words with a letter. Expectation-maximisation over all
-languages bounds what any set can reach. Where that exceeds the best single language by the penalty, the set grows
+all training texts: counts are summed with a shuffle, and every gram that occurs is in the model. Its table is broadcast
+and held by the driver: a row per distinct four-byte string of words with a column per language (280,000 rows of 0.5 GB of
+text; new ones become rare as texts grow, 2^32 is the limit). A word has a likelihood in each
+language; a document is a mixture of languages over its words with a letter. ``STEPS`` of expectation-maximisation over all
+languages come near what any set can reach. Where that exceeds the best single language by the penalty, the set grows
 greedily, language by language, while its maximised log-likelihood gains more than ``PENALTY`` * ln(words).
 
 Defined results: null text, or text without a letter: ``und``, score 0. Ties go to the language that sorts first.
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from stemweave.llm.texts import slices, words_of
 from stemweave.plans.durable import written
 
-KEEP = 2e-6
 PENALTY = 4.0
 STEPS = 10
 LETTER = re.compile(r"[^\W\d_]")
@@ -83,7 +83,7 @@ def count_grams(training: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log-likelihoods of kept grams (rows) and of pairs of bytes, by language (columns)."""
+    """Log-likelihoods of grams (rows) and of pairs of bytes, by language (columns)."""
 
     langs: list[str]
     keys: np.ndarray
@@ -103,14 +103,12 @@ class Model:
         return np.add.reduceat(value, begin, axis=0)
 
 
-def learn(training: DataFrame, keep: float = KEEP, strength: float = 5.0) -> Model:
+def learn(training: DataFrame, strength: float = 5.0) -> Model:
     grams = written(count_grams(training), "grams")
-    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
         return Model([], np.zeros(1, dtype=np.uint32), np.zeros((1, 0)), np.zeros((65536, 0)))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(keep * totals[k]))])
-    kept = grams.filter(F.col("n") >= F.element_at(share, F.col("lang"))).toArrow()
+    every = grams.toArrow()
     two = grams.groupBy("lang", (F.col("gram") % 65536).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     place = {k: i for i, k in enumerate(langs)}
 
@@ -122,7 +120,7 @@ def learn(training: DataFrame, keep: float = KEEP, strength: float = 5.0) -> Mod
     pairs[gram, lang] = n
     before = pairs.reshape(256, 256, -1).sum(axis=1, keepdims=True)
     low = ((pairs.reshape(256, 256, -1) + strength / 256) / (before + strength)).reshape(65536, -1)
-    lang, gram, n = columns(kept)
+    lang, gram, n = columns(every)
     keys = np.unique(gram)
     counts = np.zeros((len(keys), len(langs)))
     counts[np.searchsorted(keys, gram), lang] = n
