@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stemweave import fixtures as fx
 from stemweave.catalog.base import Query, rounded, rsql
 from stemweave.operators import graph, rooted
+from stemweave.plans.durable import written
 
 SHIFT, FULL = graph.SHIFT, graph.FULL_TURN
 V = fx.with_views("vertices", "gedges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
@@ -41,7 +42,30 @@ DIAGNOSE = f"""{TRUNK}, br AS (SELECT DISTINCT sample_id, group_id FROM vertices
  an AS (SELECT a.group_id, max(least(abs(a.t - b.t), {FULL} - abs(a.t - b.t))) * 360.0 / {FULL} AS widest FROM ch a JOIN ch b ON a.group_id = b.group_id AND a.parent = b.parent AND a.node_id < b.node_id GROUP BY ALL),
  wk AS (SELECT group_id, max(forks) AS forks, max(fall) AS fall FROM walk GROUP BY ALL)"""
 
+
+
+def _union(s, sf):
+    nodes, edges = graph.build_graph(fx.groups(s, sf))
+    return written(nodes, "nodes"), written(edges.select("sample_id", "src", "dst"), "edges")
+
+
+def _cycles(s, sf):
+    """Edges of the cyclic blocks near the trunk; junctions of one column are a cluster."""
+    nodes, edges = _union(s, sf)
+    far = rooted.trunk_distances(nodes, graph.group_vertices(fx.groups(s, sf).filter("group_type = 'trunk'")))
+    clusters = graph.degrees(nodes, edges).filter("degree >= 3").select("sample_id", F.col("x").alias("cluster_id"), "node_id")
+    return rooted.trunk_cycles(edges, far, clusters)
+
+
 QUERIES = [
+    Query("blocks", lambda s, sf: rooted.blocks(_union(s, sf)[1])),
+    # an edge is a bridge if nothing else connects its ends
+    Query("bridges", lambda s, sf: rooted.blocks(_union(s, sf)[1]).filter("size = 1").select("sample_id", "src", "dst"),
+          fx.with_views("gedges", "uedges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, ue AS (SELECT *, row_number() OVER () AS e FROM uedges), uh AS (SELECT sample_id, src, dst, e FROM ue UNION ALL SELECT sample_id, dst, src, e FROM ue),
+          rr AS (SELECT sample_id, e, src AS node FROM ue UNION SELECT rr.sample_id, rr.e, uh.dst FROM rr JOIN uh ON uh.sample_id = rr.sample_id AND uh.src = rr.node AND uh.e <> rr.e)
+          SELECT sample_id, src, dst FROM ue WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.e = ue.e AND rr.node = ue.dst)"""),
+    Query("trunk_cycle_edges", lambda s, sf: _cycles(s, sf)[0]),
+    Query("trunk_cycle_stats", lambda s, sf: _cycles(s, sf)[2]),
     Query("spanning_forest", lambda s, sf: rooted.spanning_forest(graph.group_edges(fx.groups(s, sf))), V + f", {FOREST} SELECT sample_id, group_id, src, dst FROM mst"),
     Query("directed_topology", lambda s, sf: rooted.directed_topology(fx.groups(s, sf)), V + f", {TOPOLOGY} SELECT * FROM topo"),
     Query("topology_counts", lambda s, sf: rooted.topology_counts(rooted.directed_topology(fx.groups(s, sf))),

@@ -66,7 +66,13 @@ def spanning_forest(edges: DataFrame, keys: Sequence[str] = G) -> DataFrame:
 
 
 def oriented(forest: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -> DataFrame:
-    """(keys, node_id, parent) of every node of the trees that hold a root; the parent of a root is null.
+    """(keys, node_id, parent) of every node of the trees that hold a root; the parent of a root is null."""
+    return toured(forest, roots, keys).select(*keys, "node_id", "parent")
+
+
+def toured(forest: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -> DataFrame:
+    """(keys, node_id, parent, enter, leave): when a walk around the tree comes to a node first and leaves it last. All
+    below a node, and nothing else, is entered between the two.
 
     ``forest`` must not hold cycles, ``roots(keys, node_id)`` one node a tree. Every half-edge u -> v is followed by
     the one that leaves v behind the half-edge back to u, in order of neighbours; from a root this walks around the whole
@@ -102,8 +108,10 @@ def oriented(forest: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -> Da
         state = new
     walked = state.filter("n_src IS NULL").select(*keys, "src", "dst", "left")
     back = walked.select(*keys, c("src").alias("dst"), c("dst").alias("src"), c("left").alias("_back"))
-    down = walked.join(back, [*keys, "src", "dst"]).filter("left > _back").select(*keys, c("dst").alias("node_id"), c("src").alias("parent"))
-    tops = roots.select(*keys, "node_id").distinct().withColumn("parent", F.lit(None).cast("long"))
+    # counted from the end of the walk, so the sign turns the order round
+    down = walked.join(back, [*keys, "src", "dst"]).filter("left > _back").select(*keys, c("dst").alias("node_id"), c("src").alias("parent"), (-c("left")).alias("enter"), (-c("_back")).alias("leave"))
+    forever = F.lit((1 << 63) - 1)
+    tops = roots.select(*keys, "node_id").distinct().select(*keys, "node_id", F.lit(None).cast("long").alias("parent"), (-forever).alias("enter"), forever.alias("leave"))
     return written(down.unionByName(tops), "parents")
 
 
@@ -294,3 +302,62 @@ def topology_counts(topology: DataFrame) -> DataFrame:
     steps = topology.filter("parent IS NOT NULL").join(above, [*G, "parent"], "left")
     falls = steps.groupBy("sample_id").agg(F.bool_and(F.coalesce(c("depth") == c("_above") + 1, F.lit(False))).alias("_falls"))
     return counts.join(falls, "sample_id", "left").select("sample_id", "num_nodes", "num_edges", F.coalesce("_falls", F.lit(True)).alias("is_dag"))
+
+
+def blocks(edges: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(keys, src, dst, block, size): the biconnected block of every edge; a bridge is a block of one edge.
+
+    Of the spanning trees every node gathers the first and last time at which an edge outside the trees leads out of what hangs
+    below it. Two tree edges are in one block where such an edge joins their unrelated ends, or where one hangs below the other and
+    something below leads past it; the other edges belong to the block of their lower end. A block is named by its
+    smallest lower end.
+    """
+    keys = list(keys)
+    edges = written(edges.select(*keys, "src", "dst").distinct(), "edges")
+    forest = written(spanning_forest(edges, keys), "forest")
+    labels = graph.components(group_nodes(edges, keys), edges, keys)
+    tree = toured(forest, labels.filter("node_id = component_id").select(*keys, "node_id"), keys)
+    when = tree.select(*keys, "node_id", "enter", "leave")
+    at = lambda end, *names: when.select(*keys, c("node_id").alias(end), c("enter").alias(names[0]), c("leave").alias(names[1]))
+    rest = written(edges.join(forest, [*keys, "src", "dst"], "left_anti").join(at("src", "e0", "l0"), [*keys, "src"]).join(at("dst", "e1", "l1"), [*keys, "dst"]), "rest")
+    seen = rest.select(*keys, c("src").alias("node_id"), c("e1").alias("e")).unionByName(rest.select(*keys, c("dst").alias("node_id"), c("e0").alias("e")))
+    reach = tree.join(seen.groupBy(*keys, "node_id").agg(F.min("e").alias("_low"), F.max("e").alias("_high")), [*keys, "node_id"], "left")
+    below = over_subtrees(reach, {"low": F.least(c("enter"), c("_low")), "high": F.greatest(c("enter"), c("_high"))}, {"low": F.min, "high": F.max}, keys)
+    # a tree edge is known by its lower end
+    related = ((c("e0") < c("e1")) & (c("e1") < c("l0"))) | ((c("e1") < c("e0")) & (c("e0") < c("l1")))
+    across = rest.filter(~related).select(*keys, "src", "dst")
+    upper = tree.filter("parent IS NOT NULL").select(*keys, c("node_id").alias("parent"), c("enter").alias("_from"), c("leave").alias("_to"))
+    past = tree.filter("parent IS NOT NULL").join(below, [*keys, "node_id"]).join(upper, [*keys, "parent"]).filter((c("low") < c("_from")) | (c("high") >= c("_to")))
+    links = across.unionByName(past.select(*keys, c("parent").alias("src"), c("node_id").alias("dst")))
+    links = links.select(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    lower = tree.filter("parent IS NOT NULL").select(*keys, "node_id", "parent")
+    named = written(graph.components(lower.select(*keys, "node_id"), links, keys).withColumnRenamed("component_id", "block"), "named")
+    of_tree = lower.join(named, [*keys, "node_id"]).select(*keys, F.least("node_id", "parent").alias("src"), F.greatest("node_id", "parent").alias("dst"), "block")
+    deeper = rest.select(*keys, "src", "dst", F.when(c("e0") > c("e1"), c("src")).otherwise(c("dst")).alias("node_id")).join(named, [*keys, "node_id"])
+    every = written(of_tree.unionByName(deeper.select(*keys, "src", "dst", "block")), "blocks")
+    return every.join(every.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("size")), [*keys, "block"]).select(*keys, "src", "dst", "block", "size")
+
+
+def trunk_cycles(edges: DataFrame, trunk_px: DataFrame, clusters: DataFrame, near: float = 12.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cyclic blocks with two or more nodes within ``near`` of the trunk.
+
+    ``trunk_px(sample_id, node_id, trunk_px)``, ``clusters(sample_id, cluster_id, node_id)`` of junctions. Gives the edges of these
+    blocks as ``trunk`` (both ends near) or ``branch``; the pairs of a block and a cluster that share two nodes or more; and per sample
+    of the edges the number of blocks, of those with a cluster, and of those without.
+    """
+    cyclic = written(blocks(edges).filter("size > 1"), "cyclic")
+    close = trunk_px.filter(c("trunk_px") <= near).select("sample_id", "node_id").distinct()
+    members = written(cyclic.select("sample_id", "block", F.explode(F.array("src", "dst")).alias("node_id")).distinct(), "members")
+    chosen = members.join(close, ["sample_id", "node_id"], "left_semi").groupBy("sample_id", "block").agg(F.count(F.lit(1)).alias("near_nodes")).filter("near_nodes >= 2")
+    chosen = written(chosen, "chosen")
+    side = lambda end: close.select("sample_id", c("node_id").alias(end), F.lit(True).alias(f"_{end}"))
+    marked = cyclic.join(chosen, ["sample_id", "block"]).join(side("src"), ["sample_id", "src"], "left").join(side("dst"), ["sample_id", "dst"], "left")
+    kinds = marked.select("sample_id", "block", "src", "dst", F.when(c("_src") & c("_dst"), "trunk").otherwise("branch").alias("kind"))
+    shared = members.join(chosen, ["sample_id", "block"], "left_semi").join(clusters.distinct(), ["sample_id", "node_id"]).groupBy("sample_id", "block", "cluster_id").agg(F.count(F.lit(1)).alias("shared_nodes"))
+    mapped = written(shared.filter("shared_nodes >= 2"), "mapped")
+    explained = chosen.join(mapped.select("sample_id", "block").distinct().withColumn("_e", F.lit(1)), ["sample_id", "block"], "left")
+    counts = explained.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count("_e").alias("e"))
+    zero = F.lit(0)
+    stats = edges.select("sample_id").distinct().join(counts, "sample_id", "left").select(
+        "sample_id", F.coalesce("n", zero).alias("trunk_cycles_total"), F.coalesce("e", zero).alias("trunk_cycles_junction_related"), F.coalesce(c("n") - c("e"), zero).alias("trunk_cycles_unexplained"))
+    return kinds, mapped, stats

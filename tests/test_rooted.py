@@ -165,3 +165,63 @@ def test_group_diagnostics(spark):
                 stack += [(m, node, k, peak) for m in children]
         r = got[row[0], row[1]]
         assert r.fork_depth == forks and abs(r.max_child_angle_deg - angle) < 1e-4 and abs(r.max_return_to_trunk_px - fall) < 1e-9
+
+
+def plain_blocks(edges):
+    """Edge sets of biconnected blocks, by depth-first search with an explicit stack."""
+    near, order, low, found, held = near_of(edges), {}, {}, [], []
+    for root in sorted(near):
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack = [(root, None, iter(sorted(near[root])))]
+        while stack:
+            node, parent, others = stack[-1]
+            for m in others:
+                if m == parent:
+                    continue
+                if m not in order:
+                    held.append((node, m))
+                    order[m] = low[m] = len(order)
+                    stack.append((m, node, iter(sorted(near[m]))))
+                    break
+                if order[m] < order[node]:
+                    held.append((node, m))
+                    low[node] = min(low[node], order[m])
+            else:
+                stack.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[node])
+                    if low[node] >= order[parent]:
+                        at = held.index((parent, node))
+                        found.append(frozenset((min(e), max(e)) for e in held[at:]))
+                        del held[at:]
+    return set(found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks(spark, seed):
+    rnd = random.Random(40 + seed)
+    samples = {s: {tuple(sorted(rnd.sample(range(14 + 6 * seed), 2))) for _ in range(rnd.randrange(8, 26))} for s in range(25)}
+    # two rings joined by a path, and two rings that share a node
+    ring = lambda b, n: {(min(b + i, b + (i + 1) % n), max(b + i, b + (i + 1) % n)) for i in range(n)}
+    samples[90] = ring(0, 4) | ring(10, 5) | {(2, 20), (20, 21), (11, 21)}
+    samples[91] = ring(0, 4) | {(0, 9), (9, 10), (0, 10)}
+    df = spark.createDataFrame([(s, a, b) for s, es in samples.items() for a, b in es], "sample_id long, src long, dst long")
+    got = defaultdict(set)
+    for r in rooted.blocks(df).collect():
+        got[r.sample_id, r.block].add((r.src, r.dst))
+    for s, edges in samples.items():
+        assert {frozenset(v) for (k, _), v in got.items() if k == s} == plain_blocks(edges)
+    assert sorted(len(v) for (k, _), v in got.items() if k == 90) == [1, 1, 1, 4, 5] and sorted(len(v) for (k, _), v in got.items() if k == 91) == [3, 4]
+
+
+def test_trunk_cycles(spark):
+    ring = [(0, 1), (1, 2), (2, 3), (0, 3)]
+    edges = spark.createDataFrame([(1, a, b) for a, b in [*ring, (3, 10), (10, 11), (11, 12), (10, 12)]] + [(2, 0, 1)], "sample_id long, src long, dst long")
+    far = spark.createDataFrame([(1, 0, 1.0), (1, 1, 12.0), (1, 2, 12.5), (1, 3, 30.0), (1, 10, 3.0), (1, 11, 99.0), (2, 0, 0.0), (2, 1, 0.0)], "sample_id long, node_id long, trunk_px double")
+    clusters = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 8, 3), (1, 8, 10), (1, 7, 2)], "sample_id long, cluster_id long, node_id long")
+    kinds, mapped, stats = rooted.trunk_cycles(edges, far, clusters)
+    assert {(r.src, r.dst): r.kind for r in kinds.collect()} == {(0, 1): "trunk", (1, 2): "branch", (2, 3): "branch", (0, 3): "branch"}
+    assert [(r.cluster_id, r.shared_nodes) for r in mapped.collect()] == [(7, 2)]
+    assert sorted(map(tuple, stats.collect())) == [(1, 1, 1, 0), (2, 0, 0, 0)]
