@@ -126,9 +126,20 @@ MAPPED = """pc AS (SELECT cut_id, count(*) AS n, count_if(k % 3 <> 0) AS m, min(
    WHEN single AND top = m THEN 'shared_landmark_ambiguous' ELSE 'multiple_physical_crossings' END AS status FROM cuts c LEFT JOIN pc USING (cut_id) LEFT JOIN lm USING (cut_id))"""
 
 
-def _map_v1(s, sf):
+def _foot(px, py, ax, ay, bx, by):
+    """Distance of a point to a segment, for DuckDB."""
+    u = f"greatest(0, least(1, CASE WHEN ({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2 > 0 THEN (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2) ELSE 0 END))"
+    return f"sqrt(({px} - {ax} - {u} * ({bx} - {ax})) ** 2 + ({py} - {ay} - {u} * ({by} - {ay})) ** 2)"
+
+
+CUT, EDGE = ("ax0", "ay0", "ax1", "ay1"), ("x0", "y0", "x1", "y1")
+FEET = [(*CUT[:2], *EDGE), (*CUT[2:], *EDGE), (*EDGE[:2], *CUT), (*EDGE[2:], *CUT)]
+
+
+def _label_cuts(s, sf):
     e, _ = cut_edges(s, sf)
-    return rounded(spatial.map_cuts_with_fallback(fx.cuts(s, sf).drop("k"), e.drop("pos"), R))
+    ends = e.select("sample_id", "segment_id", (c("segment_id") * 2).alias("start_node"), c("x0").alias("start_x"), c("y0").alias("start_y"), (c("segment_id") * 2 + 1).alias("end_node"), c("x1").alias("end_x"), c("y1").alias("end_y"), (c("segment_id") * 2 + c("segment_id") % 2).alias("distal_node"))
+    return spatial.label_cuts(fx.cuts(s, sf).drop("k"), e.drop("pos"), ends, R)
 
 
 def _tiles(s, sf):
@@ -227,12 +238,16 @@ QUERIES = [
           SELECT e.sample_id, segment_id AS arm_id, {rsql('sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)', 'length_px')}, coalesce(n, 0) AS points, {rsql('coalesce(n, 0) / greatest(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 1)', 'density')}, {rsql('al', 'mean_alignment')}, {rsql('fv', 'flow_vote')} FROM e LEFT JOIN g ON g.arm_id = e.segment_id"""),
     Query("map_cuts", _map_cuts,
           fx.with_views("cuts", "edges", extra=f"{HITS}, {MAPPED}") + "SELECT sample_id, cut_id, status, intersected, candidates, CASE WHEN status = 'unique_candidate' THEN cand END AS suggested_segment_id FROM st"),
-    Query("map_cuts_with_fallback", _map_v1,
-          fx.with_views("cuts", "edges", extra=f"{HITS}, {EDGES}") + f""", hd AS (SELECT sample_id, cut_id, segment_id, CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN ((x1 - x0) * nx + (y1 - y0) * ny) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) ELSE 0 END AS sd FROM hits),
-          hr AS (SELECT *, row_number() OVER (PARTITION BY cut_id ORDER BY abs(sd) DESC, segment_id) AS rn, count(*) OVER (PARTITION BY cut_id) AS n FROM hd),
-          m AS (SELECT sample_id, cut_id AS mark_id, (ax0 + ax1) / 2 AS px, (ay0 + ay1) / 2 AS py FROM cuts WHERE cut_id NOT IN (SELECT cut_id FROM hd)), {pairs_sql('m', 'e')}, rk AS (SELECT *, row_number() OVER (PARTITION BY mark_id ORDER BY d, segment_id) AS rn FROM pd)
-          SELECT sample_id, cut_id, 'crossing' AS method, segment_id, sd >= 0 AS end_is_pruned, 0.0::DOUBLE AS distance, n AS crossed FROM hr WHERE rn = 1
-          UNION ALL SELECT m.sample_id, m.mark_id, CASE WHEN segment_id IS NULL THEN 'none' ELSE 'nearest' END, segment_id, NULL, {rsql('d', 'distance')}, 0 FROM m LEFT JOIN (SELECT * FROM rk WHERE rn = 1) r ON r.mark_id = m.mark_id"""),
+    Query("map_cuts_with_fallback", lambda s, sf: rounded(_label_cuts(s, sf)[0]),
+          fx.with_views("cuts", "edges", extra=f"{HITS}") + f""", cn AS (SELECT cut_id, count(DISTINCT segment_id) AS n FROM hits GROUP BY 1),
+          al AS (SELECT c.sample_id, c.cut_id, e.segment_id, round(CASE WHEN (c.cut_id, e.segment_id) IN (SELECT (cut_id, segment_id) FROM hits) THEN 0 ELSE least({', '.join(_foot(*p) for p in FEET)}) END, 9) AS d FROM cuts c JOIN edges e USING (sample_id)),
+          ne AS (SELECT cut_id, arg_min(segment_id, (d, segment_id)) AS segment_id, min(d) AS d FROM al GROUP BY 1)
+          SELECT sample_id, cut_id, CASE coalesce(n, 0) WHEN 0 THEN 'nonintersecting' WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS status, coalesce(n, 0) AS candidates, segment_id AS nearest_segment_id, {rsql('d', 'nearest_distance_px')}
+          FROM cuts LEFT JOIN cn USING (cut_id) LEFT JOIN ne USING (cut_id)"""),
+    Query("cut_side_checks", lambda s, sf: rounded(_label_cuts(s, sf)[1]),
+          fx.with_views("cuts", "edges", extra=f"{HITS}") + f""", k AS (SELECT sample_id, cut_id, segment_id, count(*) AS intersections, any_value(nx) AS nx, any_value(ny) AS ny, any_value((ax0 + ax1) / 2) AS mx, any_value((ay0 + ay1) / 2) AS my, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x1) AS x1, any_value(y1) AS y1 FROM hits GROUP BY ALL),
+          d AS (SELECT *, nx * (x0 - mx) + ny * (y0 - my) AS sd, nx * (x1 - mx) + ny * (y1 - my) AS ed, count(*) OVER (PARTITION BY cut_id) = 1 AS exact FROM k)
+          SELECT sample_id, cut_id, segment_id, intersections, exact, {rsql('sd', 'start_dot')}, {rsql('ed', 'end_dot')}, segment_id * 2 + (sd < ed)::INT AS pruned_node, (sd < ed)::INT = segment_id % 2 AS direction_consistent FROM d"""),
     Query("tile_grid", _tiles,
           """WITH i AS (SELECT doc_id AS sample_id, n_chars % 900 + 1 AS w, n_chars % 700 + 1 AS h FROM documents), t AS (SELECT DISTINCT sample_id, w, h, greatest(least(x, w - 256), 0) AS x1, greatest(least(y, h - 256), 0) AS y1
             FROM i, LATERAL (SELECT unnest(range(0, w, 128)) AS x) a, LATERAL (SELECT unnest(range(0, h, 128)) AS y) b), u AS (SELECT sample_id, x1, y1, least(x1 + 256, w) AS x2, least(y1 + 256, h) AS y2 FROM t)

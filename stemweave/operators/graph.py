@@ -368,7 +368,11 @@ def orient(segments: DataFrame, distances: DataFrame) -> DataFrame:
 
 
 def propagate_fate(segments: DataFrame, cut_ids: DataFrame, pruned_nodes: DataFrame) -> DataFrame:
-    """pruned, retained or cut: what is connected to a pruned node once cut segments are gone."""
+    """What happens to every segment: the cut ones are pruned, and so is all that hangs together with a pruned node once
+    they are gone; the rest is retained. ``is_cut`` tells the cut ones.
+
+    ``pruned_nodes(sample_id, node_id)`` are the pruned ends of the crossed segments, also of cuts that cross several.
+    """
     cut = cut_ids.select("sample_id", "segment_id").distinct()
     rest = segments.join(cut, ["sample_id", "segment_id"], "left_anti")
     edges = rest.select("sample_id", F.col("start_node").alias("src"), F.col("end_node").alias("dst"))
@@ -376,10 +380,17 @@ def propagate_fate(segments: DataFrame, cut_ids: DataFrame, pruned_nodes: DataFr
     labels = components(nodes, edges)
     gone = labels.join(pruned_nodes.select("sample_id", "node_id").distinct(), ["sample_id", "node_id"], "left_semi").select("sample_id", "component_id").distinct().withColumn("_gone", F.lit(True))
     fate = labels.join(gone, ["sample_id", "component_id"], "left").select("sample_id", F.col("node_id").alias("start_node"), F.col("_gone").isNotNull().alias("_g"))
-    return (
-        segments.join(fate, ["sample_id", "start_node"], "left").join(cut.withColumn("_cut", F.lit(True)), ["sample_id", "segment_id"], "left")
-        .select("sample_id", "segment_id", F.when(F.col("_cut").isNotNull(), "cut").when(F.col("_g"), "pruned").otherwise("retained").alias("fate"))
-    )
+    joined = segments.join(fate, ["sample_id", "start_node"], "left").join(cut.withColumn("_cut", F.lit(True)), ["sample_id", "segment_id"], "left")
+    is_cut = F.col("_cut").isNotNull()
+    return joined.select("sample_id", "segment_id", F.when(is_cut | F.col("_g"), "pruned").otherwise("retained").alias("fate"), is_cut.cast("int").alias("is_cut"))
+
+
+def fate_of_cuts(segments: DataFrame, checks: DataFrame) -> DataFrame:
+    """``propagate_fate`` from the crossed segments of cuts (sample_id, cut_id, segment_id, exact, pruned_node): segments of exact cuts
+    are cut; of a segment that several cuts cross the last cut's pruned end counts."""
+    last = checks.groupBy("sample_id", "segment_id").agg(F.max(F.struct("cut_id", "pruned_node")).alias("l"), F.bool_or("exact").alias("_exact"))
+    last = written(last.select("sample_id", "segment_id", F.col("l.pruned_node").alias("node_id"), "_exact"), "last")
+    return propagate_fate(segments, last.filter("_exact"), last)
 
 
 def prune_budless(groups: DataFrame, attachments: DataFrame, radius: float = 24.0, max_rounds: int | None = None) -> DataFrame:

@@ -6,12 +6,14 @@ Edges are rows ``(sample_id, segment_id, x0, y0, x1, y1)``; points are rows with
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemweave.functions.geometry import norm
-from stemweave.plans.grid import as_edges, crossings, nearest, nearest_within, within
+from stemweave.plans.durable import written
+from stemweave.plans.grid import GROWTH, as_edges, crossings, nearest, nearest_within, within
 from stemweave.plans.skew import attach_groups
 
 S = ["sample_id"]
@@ -237,31 +239,40 @@ def arm_evidence(arms: DataFrame, points: DataFrame, radius: float) -> DataFrame
     )
 
 
+def counted_of(hits: str, merge: float) -> Column:
+    """The distances of the hits that count, from hits (pos, d) in order: those farther than ``merge`` from all before them."""
+    none = F.array().cast("array<double>")
+    return F.aggregate(hits, none, lambda kept, h: F.when(F.exists(kept, lambda k: F.abs(k - h.d) <= merge), kept).otherwise(F.array_append(kept, h.d)))
+
+
 def map_cuts(cuts: DataFrame, edges: DataFrame, segments: DataFrame, cell: float = 32.0, merge: float = 1.0) -> DataFrame:
     """Which segments a cut line crosses and whether one of them is meant.
 
     ``cuts(sample_id, cut_id, ax0, ay0, ax1, ay1)``, ``edges(sample_id, segment_id, pos, x0..y1)``,
-    ``segments(sample_id, segment_id, is_candidate, start_landmark_id, end_landmark_id)``. All hits
-    lie on the cut line, so they form one cluster when none is farther than ``merge`` from the first.
+    ``segments(sample_id, segment_id, is_candidate, start_landmark_id, end_landmark_id)``. Along a polyline a hit within
+    ``merge`` of one that counts already is the same hit. The hits that count, in order of segment and position, form one
+    cluster when none is farther than ``merge`` from the first.
     """
     keys = ["sample_id", "cut_id"]
-    hits = crossings(cuts, edges, S, cell)
     length = norm(F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0"))
     along = norm(F.col("hit.x") - F.col("ax0"), F.col("hit.y") - F.col("ay0"))
-    per_segment = hits.withColumn("along", F.when(length > 0, along).otherwise(0.0)).groupBy(*keys, "segment_id").agg(
-        F.min(F.struct("pos", "along")).alias("first"), F.min("along").alias("lo"), F.max("along").alias("hi")
-    )
+    hits = crossings(cuts, edges, S, cell).withColumn("along", F.when(length > 0, along).otherwise(0.0)).select(*keys, "segment_id", "pos", "along")
+    first = hits.groupBy(*keys).agg(F.min(F.struct("segment_id", "pos", "along")).alias("f")).select(*keys, F.col("f.along").alias("start"))
+    placed = attach_groups(hits, first, keys).withColumn("d", F.col("along") - F.col("start"))
+    # beyond twice the distance a hit counts, or one that does and is too far as well took it in
+    close = F.array_sort(F.collect_list(F.when(F.abs("d") <= 2 * merge, F.struct("pos", "d"))))
+    per_segment = placed.groupBy(*keys, "segment_id").agg(close.alias("close"), F.max(F.abs("d")).alias("most")).select(
+        *keys, "segment_id", ((F.col("most") > 2 * merge) | F.exists(counted_of("close", merge), lambda k: F.abs(k) > merge)).alias("apart"))
     known = per_segment.join(segments, ["sample_id", "segment_id"])
     chosen = F.col("is_candidate") == 1
     per_cut = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("intersected"), F.count_if(chosen).alias("candidates"), F.min(F.when(chosen, F.col("segment_id"))).alias("candidate"),
-        F.min(F.struct("segment_id", "first")).alias("f"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.bool_or("apart").alias("apart"),
     )
     ends = known.filter(chosen).select(*keys, "segment_id", F.explode(F.array_distinct(F.array("start_landmark_id", "end_landmark_id"))).alias("landmark"))
     common = ends.groupBy(*keys, "landmark").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("at_one_landmark"))
     joined = cuts.select(*keys).join(per_cut, keys, "left").join(common, keys, "left")
-    start = F.col("f.first.along")
-    single = F.greatest(F.col("hi") - start, start - F.col("lo")) <= merge
+    single = ~F.col("apart")
     n, m = F.coalesce("intersected", F.lit(0)), F.coalesce("candidates", F.lit(0))
     status = (
         F.when(n == 0, "non_intersection").when(m == 0, "context_only").when(single & (m == 1), "unique_candidate")
@@ -270,25 +281,55 @@ def map_cuts(cuts: DataFrame, edges: DataFrame, segments: DataFrame, cell: float
     return joined.select(*keys, status.alias("status"), n.alias("intersected"), m.alias("candidates"), F.when(status == "unique_candidate", F.col("candidate")).alias("suggested_segment_id"))
 
 
-def map_cuts_with_fallback(cuts: DataFrame, edges: DataFrame, radius: float, cell: float = 32.0) -> DataFrame:
-    """Crossed segment with the strongest turn to the cut's pruned side, else the nearest segment.
+def nearest_segments(lines: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
+    """(sample_id, cut_id, segment_id, distance): the segment nearest to every line ``(ax0, ay0, ax1, ay1)``, whole line against whole
+    edge, the lowest id on ties (distances count to 1e-9); lines of samples without edges are left out.
 
-    ``cuts(sample_id, cut_id, ax0, ay0, ax1, ay1, nx, ny)`` with the normal of the pruned side.
+    The nearest points of two segments that don't cross are an end of one of them, so ends are searched within a
+    radius on both sides; lines without a hit go to the next, eight times wider round, as in ``nearest``.
     """
     keys = ["sample_id", "cut_id"]
-    hits = crossings(cuts, edges, S, cell)
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    size = norm(dx, dy)
-    dot = F.when(size > 0, (dx * F.col("nx") + dy * F.col("ny")) / size).otherwise(0.0)
-    crossed = hits.withColumn("side", dot).groupBy(*keys).agg(
-        F.max(F.struct(F.abs("side").alias("strength"), (-F.col("segment_id")).alias("neg"), F.col("side"))).alias("b"), F.count_distinct("segment_id").alias("crossed")
-    )
-    middle = cuts.select(*keys, ((F.col("ax0") + F.col("ax1")) / 2).alias("px"), ((F.col("ay0") + F.col("ay1")) / 2).alias("py"))
-    missed = middle.join(crossed, keys, "left_anti")
-    near = _back(missed, nearest(missed, edges, S, radius, ["segment_id"]), S)
-    a = crossed.select(*keys, F.lit("crossing").alias("method"), (-F.col("b.neg")).alias("segment_id"), (F.col("b.side") >= 0).alias("end_is_pruned"), F.lit(0.0).alias("distance"), "crossed")
-    b = near.select(*keys, F.when(F.col("segment_id").isNull(), "none").otherwise("nearest").alias("method"), "segment_id", F.lit(None).cast("boolean").alias("end_is_pruned"), "distance", F.lit(0).cast("long").alias("crossed"))
-    return a.unionByName(b)
+    spots = F.explode(F.array(F.struct(F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.col("x1").alias("px"), F.col("y1").alias("py"))))
+    asked = lines.select(*keys, F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1"))
+    pending = written(asked.join(edges.select("sample_id").distinct(), "sample_id", "left_semi"), "lines")
+    ends = written(edges.withColumn("p", spots).select("sample_id", "segment_id", "p.px", "p.py").distinct(), "ends")
+    target = edges.select("sample_id", "segment_id", "x0", "y0", "x1", "y1")
+    crossed = crossings(lines, target, S, radius).select(*keys, F.lit(0.0).alias("distance"), "segment_id")
+    found: list[DataFrame] = []
+    while not pending.isEmpty():
+        own = within(pending.withColumn("p", spots).select(*keys, "p.px", "p.py"), target, S, radius).select(*keys, "distance", "segment_id")
+        other = within(ends, pending, S, radius).select(*keys, "distance", "segment_id")
+        near = own.unionByName(other) if found else own.unionByName(other).unionByName(crossed)
+        best = near.groupBy(*keys).agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "segment_id")).alias("b"))
+        hits = written(best.select(*keys, "b.segment_id", "b.distance"), "hits")
+        found.append(hits)
+        pending = written(pending.join(hits.select(*keys), keys, "left_anti"), "lines")
+        radius *= GROWTH
+    return reduce(DataFrame.unionByName, found) if found else crossed.select(*keys, "segment_id", "distance").limit(0)
+
+
+def label_cuts(cuts: DataFrame, edges: DataFrame, segments: DataFrame, radius: float, cell: float = 32.0) -> tuple[DataFrame, DataFrame]:
+    """Every cut with its status and nearest segment, and every crossed segment of a cut with its pruned end.
+
+    ``cuts(sample_id, cut_id, ax0, ay0, ax1, ay1, nx, ny)`` with the normal of the pruned side,
+    ``segments(sample_id, segment_id, start_node, start_x, start_y, end_node, end_x, end_y, distal_node)``. A cut that crosses one
+    segment is ``exact``, several ``ambiguous``, none ``nonintersecting``; the nearest segment is named in any case. Of a crossed
+    segment the end farther along the normal, seen from the cut's middle, is pruned (the start on ties), and it is said
+    whether that is its distal end.
+    """
+    keys = ["sample_id", "cut_id"]
+    crossed = written(crossings(cuts, edges, S, cell).groupBy(*keys, "segment_id").agg(F.count(F.lit(1)).alias("intersections")), "crossed")
+    count = crossed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    near = nearest_segments(cuts, edges, radius).withColumnRenamed("segment_id", "nearest_segment_id").withColumnRenamed("distance", "nearest_distance_px")
+    n = F.coalesce("_n", F.lit(0))
+    status = F.when(n == 1, "exact").when(n > 1, "ambiguous").otherwise("nonintersecting")
+    matches = cuts.select(*keys).join(count, keys, "left").join(near, keys, "left").select(*keys, status.alias("status"), n.alias("candidates"), "nearest_segment_id", "nearest_distance_px")
+    middle = cuts.select(*keys, "nx", "ny", ((F.col("ax0") + F.col("ax1")) / 2).alias("mx"), ((F.col("ay0") + F.col("ay1")) / 2).alias("my"))
+    dot = lambda end: F.col("nx") * (F.col(f"{end}_x") - F.col("mx")) + F.col("ny") * (F.col(f"{end}_y") - F.col("my"))
+    checks = crossed.join(middle, keys).join(segments, ["sample_id", "segment_id"]).withColumns({"start_dot": dot("start"), "end_dot": dot("end")})
+    pruned = F.when(F.col("start_dot") >= F.col("end_dot"), F.col("start_node")).otherwise(F.col("end_node"))
+    checks = checks.join(count.filter("_n = 1").select(*keys, F.lit(True).alias("_one")), keys, "left")
+    return matches, checks.select(*keys, "segment_id", "intersections", F.coalesce("_one", F.lit(False)).alias("exact"), "start_dot", "end_dot", pruned.alias("pruned_node"), (pruned == F.col("distal_node")).alias("direction_consistent"))
 
 
 # --- boxes, tiles, components ---------------------------------------------------------------------

@@ -82,7 +82,15 @@ def test_depth_distance_orientation_and_fate(spark):
     assert o["a"] == (1, 2, None) and o["b"] == (2, 3, "a") and o["c"] == (3, 4, "b")
     cut = spark.createDataFrame([(1, "b")], "sample_id long, segment_id string")
     tip = spark.createDataFrame([(1, 3)], "sample_id long, node_id long")
-    assert {r.segment_id: r.fate for r in graph.propagate_fate(seg, cut, tip).collect()} == {"a": "retained", "b": "cut", "c": "pruned", "x": "retained"}
+    assert {r.segment_id: (r.fate, r.is_cut) for r in graph.propagate_fate(seg, cut, tip).collect()} == {"a": ("retained", 0), "b": ("pruned", 1), "c": ("pruned", 0), "x": ("retained", 0)}
+
+
+def test_fate_of_cuts(spark):
+    seg = segments_df(spark, [(1, "a", 1, 2, 5.0), (1, "b", 2, 3, 2.0), (1, "c", 3, 4, 1.0), (1, "d", 2, 5, 1.0), (1, "e", 7, 8, 1.0), (1, "f", 8, 9, 1.0)])
+    checks = spark.createDataFrame([(1, "k1", "b", True, 2), (1, "k2", "b", True, 3), (1, "k3", "e", False, 8), (1, "k3", "f", False, 8)], "sample_id long, cut_id string, segment_id string, exact boolean, pruned_node long")
+    # k2 is the last cut of b, so what lies behind node 3 goes; the two segments of the ambiguous k3 go, but none of them is cut
+    assert {r.segment_id: (r.fate, r.is_cut) for r in graph.fate_of_cuts(seg, checks).collect()} == {
+        "a": ("retained", 0), "b": ("pruned", 1), "c": ("pruned", 0), "d": ("retained", 0), "e": ("pruned", 0), "f": ("pruned", 0)}
 
 
 def test_split_joins_to_the_last_kept_event(spark):

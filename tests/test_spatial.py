@@ -54,3 +54,28 @@ def test_cut_statuses(spark):
         "one": ("unique_candidate", 1), "joint": ("shared_landmark_ambiguous", None), "both": ("multiple_physical_crossings", None),
         "context": ("context_only", None), "off": ("non_intersection", None), "parallel": ("non_intersection", None),
     }
+
+
+def test_hits_of_one_polyline_are_merged_before_clusters_form(spark):
+    """A zigzag that the cut crosses at 0.2, then at 0.9 and 1.5 of another segment: 1.5 is within a pixel of 0.9, which counts."""
+    zig = [(0.9, -1.0, 0.9, 1.0), (0.9, 1.0, 1.5, 1.0), (1.5, 1.0, 1.5, -1.0)]
+    rows = [(1, 1, 0, 0.2, -1.0, 0.2, 1.0)] + [(1, 2, i, *e) for i, e in enumerate(zig)]
+    # the same with the far hit first: now 1.5 counts, and it is 1.3 away
+    rows += [(2, 1, 0, 0.2, -1.0, 0.2, 1.0)] + [(2, 2, i, *e) for i, e in enumerate([(x1, y1, x0, y0) for x0, y0, x1, y1 in reversed(zig)])]
+    e = spark.createDataFrame(rows, "sample_id long, segment_id long, pos int, x0 double, y0 double, x1 double, y1 double")
+    s = spark.createDataFrame([(k, 1, 0, "a", "b") for k in (1, 2)] + [(k, 2, 1, "c", "d") for k in (1, 2)], "sample_id long, segment_id long, is_candidate int, start_landmark_id string, end_landmark_id string")
+    c = spark.createDataFrame([(k, "cut", 0.0, 0.0, 9.0, 0.0) for k in (1, 2)], "sample_id long, cut_id string, ax0 double, ay0 double, ax1 double, ay1 double")
+    assert {r.sample_id: r.status for r in spatial.map_cuts(c, e, s).collect()} == {1: "unique_candidate", 2: "multiple_physical_crossings"}
+
+
+def test_label_cuts(spark):
+    edges = [(1, 1, 0.0, 0.0, 100.0, 0.0), (1, 2, 0.0, 50.0, 100.0, 50.0), (1, 3, 200.0, 0.0, 200.0, 10.0)]
+    e = spark.createDataFrame(edges, "sample_id long, segment_id long, x0 double, y0 double, x1 double, y1 double")
+    s = spark.createDataFrame([(i, k, 10 * k, x0, y0, 10 * k + 1, x1, y1, 10 * k + 1) for i, k, x0, y0, x1, y1 in edges], "sample_id long, segment_id long, start_node long, start_x double, start_y double, end_node long, end_x double, end_y double, distal_node long")
+    cuts = [(1, "one", 30.0, -5.0, 30.0, 5.0, 1.0, 0.0), (1, "back", 30.0, -5.0, 30.0, 5.0, -1.0, 0.0), (1, "two", 70.0, -5.0, 70.0, 60.0, 1.0, 0.0), (1, "none", 150.0, 20.0, 190.0, 5.0, 1.0, 0.0), (1, "far", 9000.0, 0.0, 9010.0, 0.0, 1.0, 0.0), (2, "empty", 0.0, 0.0, 1.0, 1.0, 1.0, 0.0)]
+    c = spark.createDataFrame(cuts, "sample_id long, cut_id string, ax0 double, ay0 double, ax1 double, ay1 double, nx double, ny double")
+    matches, checks = spatial.label_cuts(c, e, s, 8.0)
+    got = {r.cut_id: (r.status, r.candidates, r.nearest_segment_id, r.nearest_distance_px) for r in matches.collect()}
+    assert got == {"one": ("exact", 1, 1, 0.0), "back": ("exact", 1, 1, 0.0), "two": ("ambiguous", 2, 1, 0.0), "none": ("nonintersecting", 0, 3, 10.0), "far": ("nonintersecting", 0, 3, 8800.0), "empty": ("nonintersecting", 0, None, None)}
+    ends = {(r.cut_id, r.segment_id): (r.exact, r.pruned_node, r.direction_consistent, r.start_dot, r.end_dot) for r in checks.collect()}
+    assert ends == {("one", 1): (True, 11, True, -30.0, 70.0), ("back", 1): (True, 10, False, 30.0, -70.0), ("two", 1): (False, 11, True, -70.0, 30.0), ("two", 2): (False, 21, True, -70.0, 30.0)}
