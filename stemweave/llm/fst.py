@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from stemweave.llm.texts import flat, prefix_hashes, range_hashes, slices
 
 MARK = "▁"
-MEMO = 600_000  # segments in a generation of what a Python worker remembers
+MEMO = 250_000  # segments in a generation of what a Python worker remembers
 PIECE_COST = 1e-9  # of every piece or byte, which settles ties
 BYTE_COST = 4.0  # added to a fallback byte's weight, so that pieces win wherever they reach
 SHORT = 48  # characters of segments that are solved together
-TOGETHER = 16_384  # segments that are solved together
+TOGETHER = 4_096  # segments that are solved together
 LETTER = 21  # bits of a code point
+SLICE = 1 << 20  # bytes of text that are encoded together, or one longer text
 
 Normaliser = tuple[tuple[tuple[str, str], ...], str]  # arcs (input, output) of the characters it changes, and its initial output
 IDENTITY: Normaliser = (((" ", MARK),), MARK)
@@ -319,7 +320,7 @@ def encode(docs: DataFrame, model: tuple, text_col: str = "text", carry: tuple[s
         fallback = np.zeros(1 + max([*machine.surface, 0]), dtype=bool)
         fallback[list(machine.byte_ids)] = True
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 column = part.column(part.schema.get_field_index("_text"))
                 ids, begin, fine = machine.encode_all(column)
                 raw, cut = ids.tobytes(), (begin * 4).tolist()
