@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from stemweave.functions.hashing import counting, portable_hash
-from stemweave.operators.curves import cumulative_by_score, curve_areas, score_counts
+from stemweave.plans.durable import written
 from stemweave.plans.skew import attach_groups, attach_scalars, grouped_rank, running_totals
 
 
+#: Numbers that a task holds while it counts draws, and distinct scores whose sums it holds while it adds up vectors.
+HELD, SCORES = 16_000_000, 400
+
+
 def tree_draws(trees: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """How often each tree is drawn in each of ``n`` resamples: (rep, key, times)."""
-    indexed = running_totals(
-        trees, [], [F.col(key)], {"_rank": F.lit(1).cast("long")}, whole={"_size": "_rank"}
-    ).select(key, (F.col("_rank") - 1).alias("_index"), "_size")
-    slots = indexed.select(
-        F.col("_index").alias("_slot"), "_size", F.explode(counting(n)).alias("rep")
-    )
-    drawn = slots.select("rep", (portable_hash(seed, F.col("rep"), F.col("_slot")) % F.col("_size")).alias("_index"))
-    return drawn.groupBy("rep", "_index").agg(F.count(F.lit(1)).alias("times")).join(indexed, "_index").select("rep", key, "times")
+    """How often each tree is drawn in each of ``n`` resamples: (key, times), times a list of n numbers.
+
+    Resamples are drawn block by block: a task counts the draws of a block by tree in one array, so a tree is a row per block
+    and never a row per draw. The more trees, the fewer resamples are in a block.
+    """
+    indexed = written(running_totals(trees, [], [F.col(key)], {"_rank": F.lit(1).cast("long")}, whole={"_size": "_rank"}).select(key, (F.col("_rank") - 1).alias("_index")), "indexed")
+    size = indexed.count()
+    spark = trees.sparkSession
+    width = max(1, min(HELD // max(size, 1), -(-n // max(8, spark.sparkContext.defaultParallelism))))
+    # the hash is a column expression, so slots are rows, and only their numbers reach the task
+    blocks = -(-n // width)
+    reps = F.sequence(F.col("block") * width, F.least((F.col("block") + 1) * width, F.lit(n)) - 1)
+    slots = spark.range(blocks).withColumnRenamed("id", "block").withColumn("rep", F.explode(reps)).repartition(blocks, "block").sortWithinPartitions("block")
+    drawn = slots.withColumn("_slot", F.explode(counting(max(size, 1)))).select("block", "rep", (portable_hash(seed, F.col("rep"), F.col("_slot")) % max(size, 1)).alias("_index"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, rep, index = (c.to_numpy() for c in batch.columns)
+            for b in np.unique(block).tolist():
+                own = block == b
+                counts = held.setdefault(b, np.zeros((size, width), dtype=np.int16))
+                np.add.at(counts, (index[own], rep[own] - b * width), 1)
+            for b in [b for b in held if b != block[-1]] if len(block) else []:
+                yield from rows(b, held.pop(b))
+        for b, counts in held.items():
+            yield from rows(b, counts)
+
+    def rows(block: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = counts[:, : min(width, n - block * width)]
+        for begin in range(0, size, 4096):
+            part = counts[begin : begin + 4096]
+            times = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.reshape(-1), pa.int16()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin, begin + len(part))), pa.array([block] * len(part), pa.int64()), times], names=["_index", "block", "times"])
+
+    counted = drawn.mapInArrow(run, "_index long, block long, times array<smallint>")
+    whole = counted.groupBy("_index").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "times"))), lambda b: b.times)).alias("times"))
+    return whole.join(indexed, "_index").select(key, "times")
 
 
 def _interval(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -38,39 +69,123 @@ def _interval(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataF
     return df.groupBy(*by).agg(*aggs)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _dense(reps: pd.Series, times: pd.Series, n: pd.Series) -> pd.Series:
-    """Times by resample, from the lists of a tree."""
-    out = []
-    for r, t, size in zip(reps, times, n, strict=True):
-        row = np.zeros(size)
-        row[r] = t
-        out.append(row)
-    return pd.Series(out)
+def _vector(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).reshape(-1), pa.float64()))
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
 def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "tree_id", by: Sequence[str] = ("model",)) -> DataFrame:
     """Intervals of average precision and AUROC when trees are resampled.
 
-    A tree brings one vector of n multiplicities. Rows are counted per (tree, score), the counts weigh the tree's
-    vector, and vectors are summed per score; only these sums, n for each distinct score, are expanded.
+    A tree brings one vector of n multiplicities. Rows are counted per (tree, score), the counts weigh the tree's vector, and
+    vectors are summed per score, first inside each task. Scores are then cut into ranges; a range needs of the scores above it
+    only their sum, one vector a range, to add up its share of the areas of all n resamples. No row per resample arises
+    before the areas themselves.
     """
+    by = list(by)
+    group = F.struct(*by)
     counts = df.groupBy(*by, key, "score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("pos"))
-    draws = tree_draws(df.select(key).distinct(), key, n, seed)
-    vectors = draws.groupBy(key).agg(F.collect_list("rep").alias("reps"), F.collect_list("times").alias("times")).select(
-        key, array_to_vector(_dense("reps", "times", F.lit(n))).alias("_times")
-    )
-    summed = counts.join(vectors, key).groupBy(*by, "score").agg(
-        Summarizer.sum(F.col("_times"), F.col("n")).alias("n"), Summarizer.sum(F.col("_times"), F.col("pos")).alias("pos")
-    )
-    weighted = (
-        summed.select(*by, "score", F.posexplode(F.arrays_zip(vector_to_array("n").alias("n"), vector_to_array("pos").alias("pos"))).alias("rep", "v"))
-        .select(*by, F.col("rep").cast("long").alias("rep"), "score", F.rint("v.n").cast("long").alias("n"), F.rint("v.pos").cast("long").alias("pos"))
-        .filter("n > 0")
-    )
-    keys = [*by, "rep"]
-    values = curve_areas(cumulative_by_score(weighted, keys), keys).filter(F.col("auroc").isNotNull())
-    return _interval(values, by, ["average_precision", "auroc"])
+    dealt = counts.select(F.to_json(group).alias("grp"), key, "score", "n", "pos").join(tree_draws(df.select(key).distinct(), key, n, seed), key)
+    sums = "grp string, score double, n array<double>, pos array<double>"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            grp, score = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            weight = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1)
+            times = _matrix(batch.column(4), n)
+            codes: dict[tuple, int] = {}
+            code = np.array([codes.setdefault(k, len(codes)) for k in zip(grp, score, strict=True)], dtype=np.int64)
+            order = np.argsort(code, kind="stable")
+            cut = np.searchsorted(code[order], np.arange(len(codes) + 1))
+            for k, (p, q) in zip(codes, itertools.pairwise(cut.tolist()), strict=True):
+                part = weight[order[p:q]].T @ times[order[p:q]]
+                held[k] = held[k] + part if k in held else part
+            if len(held) > SCORES:
+                yield from told(held)
+                held = {}
+        yield from told(held)
+
+    def told(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for names in itertools.batched(held, 64):
+            both = np.stack([held[k] for k in names])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names], pa.string()), pa.array([k[1] for k in names], pa.float64()), _vector(both[:, 0]), _vector(both[:, 1])], names=["grp", "score", "n", "pos"])
+
+    partial = dealt.select("grp", "score", "n", "pos", "times").mapInArrow(gather, sums)
+    ranged = written(partial.repartitionByRange(F.col("grp"), F.col("score").desc()).withColumn("part", F.spark_partition_id()), "ranged")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of every (part, grp)."""
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for k, x, y in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), _matrix(batch.column(2), n), _matrix(batch.column(3), n), strict=True):
+                total = held.setdefault(k, np.zeros((2, n)))
+                total[0] += x
+                total[1] += y
+        for (part, grp), total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([grp], pa.string()), _vector(total[:1]), _vector(total[1:])], names=["part", "grp", "n", "pos"])
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of (grp, part): the sums of the group's parts before."""
+        last, total = None, np.zeros((2, n))
+        for batch in batches:
+            for part, grp, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(batch.column(2), n), _matrix(batch.column(3), n), strict=True):
+                if grp != last:
+                    last, total = grp, np.zeros((2, n))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([grp], pa.string()), _vector(total[:1]), _vector(total[1:])], names=["part", "grp", "n", "pos"])
+                total = total + np.stack([x, y])
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shares of a range in the two areas and in the counts, from the sums above it and its rows in falling order of score."""
+        here, score, summed = None, None, np.zeros((4, n))
+        running, open_ = np.zeros((2, n)), np.zeros((2, n))
+
+        def close() -> None:
+            nonlocal running
+            running = running + open_
+            with np.errstate(invalid="ignore", divide="ignore"):
+                summed[0] += np.where(running[0] > 0, open_[1] * running[1] / running[0], 0.0)
+            summed[1] += (open_[0] - open_[1]) * (running[1] - open_[1] / 2)
+            summed[2:] += open_
+            open_[:] = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([here[1]], pa.string()), *[_vector(x[None, :]) for x in summed]], names=["grp", "ap", "u", "n", "pos"])
+
+        for batch in batches:
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            for (part, grp, kind, at), x, y in zip(names, _matrix(batch.column(4), n), _matrix(batch.column(5), n), strict=True):
+                if kind == 0:
+                    if here is not None:
+                        close()
+                        yield told()
+                    here, score, running = (part, grp), None, np.stack([x, y])
+                    summed, open_ = np.zeros((4, n)), np.zeros((2, n))
+                    continue
+                if score is not None and at != score:
+                    close()
+                score = at
+                open_[0] += x
+                open_[1] += y
+        if here is not None:
+            close()
+            yield told()
+
+    kinds = "part int, grp string, n array<double>, pos array<double>"
+    # a file may be read by several tasks, so the sums of a range are added up once more; as many rows as there are ranges
+    held = ranged.select("part", "grp", "n", "pos").mapInArrow(totals, kinds).repartition("part").mapInArrow(totals, kinds)
+    offsets = held.repartition("grp").sortWithinPartitions("grp", "part").mapInArrow(above, kinds)
+    rows = offsets.select("part", "grp", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("score"), "n", "pos").unionByName(ranged.select("part", "grp", F.lit(1).alias("kind"), "score", "n", "pos"))
+    shares = rows.repartition("part").sortWithinPartitions("part", "grp", "kind", F.col("score").desc()).mapInArrow(areas, "grp string, ap array<double>, u array<double>, n array<double>, pos array<double>")
+    each = shares.select("grp", F.posexplode(F.arrays_zip("ap", "u", "n", "pos")).alias("rep", "v")).groupBy("grp", "rep").agg(*[F.sum(f"v.{c}").alias(c) for c in ("ap", "u", "n", "pos")])
+    negatives = F.col("n") - F.col("pos")
+    fields = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
+    values = each.filter((F.col("pos") > 0) & (negatives > 0)).select(
+        F.from_json("grp", fields).alias("g"), (F.col("ap") / F.col("pos")).alias("average_precision"), (F.col("u") / (F.col("pos") * negatives)).alias("auroc"))
+    return _interval(values.select("g.*", "average_precision", "auroc"), by, ["average_precision", "auroc"])
 
 
 def bootstrap_mean(df: DataFrame, columns: Sequence[str], n: int = 2000, seed: int = 42, key: str = "tree_id") -> DataFrame:

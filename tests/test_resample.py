@@ -12,10 +12,9 @@ def trees(spark, n):
 
 def test_draws_leave_out_a_third(spark):
     for n in (1000, 1009):
-        drawn = resample.tree_draws(trees(spark, n), "tree_id", 20, 42)
-        rows = drawn.groupBy("rep").agg(F.count(F.lit(1)).alias("distinct"), F.sum("times").alias("all")).collect()
-        assert len(rows) == 20 and all(r["all"] == n for r in rows)
-        shares = [r["distinct"] / n for r in rows]
+        drawn = np.array([r["times"] for r in resample.tree_draws(trees(spark, n), "tree_id", 20, 42).collect()])
+        assert drawn.shape == (n, 20) and (drawn.sum(axis=0) == n).all()
+        shares = (drawn > 0).mean(axis=0)
         assert abs(np.mean(shares) - 0.632) < 0.01 and all(abs(s - 0.632) < 0.06 for s in shares)
 
 
@@ -41,16 +40,33 @@ def test_weighted_vectors_equal_expanded_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(("A", "B")[i % 2], int(t), float(s), int(y)) for i, (t, s, y) in enumerate(zip(rng.integers(0, 30, 600), rng.integers(0, 12, 600) / 10, rng.integers(0, 2, 600), strict=True))]
     df = spark.createDataFrame(rows, "model string, tree_id long, score double, label long")
-    draws = {}
-    for r in resample.tree_draws(df.select("tree_id").distinct(), "tree_id", 40, 9).collect():
-        draws.setdefault(r["rep"], {})[r["tree_id"]] = r["times"]
+    drawn = {r["tree_id"]: r["times"] for r in resample.tree_draws(df.select("tree_id").distinct(), "tree_id", 40, 9).collect()}
+    draws = {rep: {t: times[rep] for t, times in drawn.items()} for rep in range(40)}
     got = {r["model"]: r for r in resample.cluster_bootstrap(df, n=40, seed=9).collect()}
     for model in "AB":
-        aucs = []
+        aucs, precisions = [], []
         for times in draws.values():
             mine = [(s, y, times.get(t, 0)) for m, t, s, y in rows if m == model]
             pos = [(s, w) for s, y, w in mine if y]
             neg = [(s, w) for s, y, w in mine if not y]
             won = sum(w * v * ((a > b) + 0.5 * (a == b)) for a, w in pos for b, v in neg)
             aucs.append(won / (sum(w for _, w in pos) * sum(v for _, v in neg)))
+            above = lambda s, side: sum(w for t, w in side if t >= s)
+            precisions.append(sum(w * above(s, pos) / (above(s, pos) + above(s, neg)) for s, w in pos if w) / sum(w for _, w in pos))
+        assert abs(got[model]["average_precision_low"] - np.percentile(precisions, 2.5)) < 1e-9
         assert abs(got[model]["auroc_low"] - np.percentile(aucs, 2.5)) < 1e-9 and abs(got[model]["auroc_high"] - np.percentile(aucs, 97.5)) < 1e-9
+
+
+def test_bootstrap_over_many_ranges_and_a_group_without_positives(spark):
+    rng = np.random.default_rng(2)
+    rows = [("A", int(t), float(s), int(s + e > 1)) for t, s, e in zip(rng.integers(0, 40, 1500), rng.random(1500), rng.random(1500), strict=True)] + [("C", 1, 0.5, 0), ("C", 2, 0.7, 0)]
+    df = spark.createDataFrame(rows, "model string, tree_id long, score double, label long")
+    once = {r["model"]: r for r in resample.cluster_bootstrap(df, n=30, seed=3).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        again = {r["model"]: r for r in resample.cluster_bootstrap(df, n=30, seed=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert set(once) == set(again) == {"A"}
+    assert all(abs(once["A"][c] - again["A"][c]) < 1e-9 for c in once["A"].asDict() if c != "model")
+    assert resample.cluster_bootstrap(df.limit(0), n=30).count() == 0
