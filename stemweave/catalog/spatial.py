@@ -101,7 +101,7 @@ def _attach(s, sf):
 
 
 def _arms(s, sf):
-    arms = eds(s, sf).withColumnRenamed("segment_id", "arm_id").drop("group_id")
+    arms = eds(s, sf).withColumnRenamed("segment_id", "arm_id").drop("group_id").withColumn("pos", F.lit(0))
     p = fx.marks(s, sf).select("sample_id", c("mark_id").alias("point_id"), "px", "py", F.lit(0.6).alias("vx"), F.lit(0.8).alias("vy"), (c("k") + 1.0).alias("weight"))
     return rounded(spatial.arm_evidence(arms, p, 40.0))
 
@@ -233,9 +233,12 @@ QUERIES = [
           {pairs_sql('y', 'e')}, rk AS (SELECT *, row_number() OVER (PARTITION BY mark_id ORDER BY d, e_group) AS rn FROM pd WHERE px IS NOT NULL)
           SELECT y.mark_id AS bud_index, y.component_label, {rsql('y.px', 'skeleton_x')}, {rsql('y.py', 'skeleton_y')}, {rsql('y.ad', 'attach_distance')}, y.method AS attachment_method, e_group AS group_id FROM y LEFT JOIN (SELECT * FROM rk WHERE rn = 1) r ON r.mark_id = y.mark_id"""),
     Query("arm_evidence", _arms,
-          fx.with_views("marks", "edges") + f""", m AS (SELECT sample_id, mark_id, px, py, k + 1.0::DOUBLE AS w FROM marks), {EDGES}, {pairs_sql('m', 'e')}, q AS (SELECT segment_id AS arm_id, w, CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN (0.6 * (x1 - x0) + 0.8 * (y1 - y0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) ELSE 0 END AS cs FROM pd WHERE d <= 40),
-          g AS (SELECT arm_id, count(*) AS n, avg(abs(cs)) AS al, sum(w * cs) / sum(w) AS fv FROM q GROUP BY 1)
-          SELECT e.sample_id, segment_id AS arm_id, {rsql('sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)', 'length_px')}, coalesce(n, 0) AS points, {rsql('coalesce(n, 0) / greatest(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 1)', 'density')}, {rsql('al', 'mean_alignment')}, {rsql('fv', 'flow_vote')} FROM e LEFT JOIN g ON g.arm_id = e.segment_id"""),
+          fx.with_views("marks", "edges") + f""", m AS (SELECT sample_id, mark_id, px, py, k + 1.0::DOUBLE AS w FROM marks), {EDGES}, {pairs_sql('m', 'e')}, ln AS (SELECT sample_id, segment_id, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS l FROM e),
+          q AS (SELECT segment_id AS arm_id, w, CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN (0.6 * (x1 - x0) + 0.8 * (y1 - y0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) ELSE 0 END AS cs,
+            ((px - x0) ** 2 + (py - y0) ** 2 > (px - x1) ** 2 + (py - y1) ** 2)::INT AS far FROM pd WHERE d <= 40),
+          g AS (SELECT arm_id, count(*) AS n, avg(abs(cs)) AS al, avg(far) AS pr, sum(w * greatest(abs(cs) - 0.15, 0) * sign(cs)) AS sg, sum(w * greatest(abs(cs) - 0.15, 0)) AS vt FROM q GROUP BY 1)
+          SELECT sample_id, segment_id AS arm_id, {rsql('l', 'length_px')}, {rsql('l', 'chord_px')}, coalesce(n, 0) AS points, {rsql('CASE WHEN l < 1e-6 THEN 0 ELSE coalesce(n, 0) / l END', 'density')}, {rsql('al', 'mean_alignment')},
+          {rsql('coalesce(pr, 0.5)', 'terminal_progress')}, {rsql('CASE WHEN vt > 0 THEN sg / greatest(vt, 1e-6) ELSE 0 END', 'flow_vote')}, {rsql('least(coalesce(vt / 1.5, 0), 1)', 'flow_confidence')} FROM ln LEFT JOIN g ON g.arm_id = ln.segment_id"""),
     Query("map_cuts", _map_cuts,
           fx.with_views("cuts", "edges", extra=f"{HITS}, {MAPPED}") + "SELECT sample_id, cut_id, status, intersected, candidates, CASE WHEN status = 'unique_candidate' THEN cand END AS suggested_segment_id FROM st"),
     Query("map_cuts_with_fallback", lambda s, sf: rounded(_label_cuts(s, sf)[0]),

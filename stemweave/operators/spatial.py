@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stemweave.functions.geometry import norm
 from stemweave.plans.durable import written
 from stemweave.plans.grid import GROWTH, as_edges, crossings, nearest, nearest_within, within
-from stemweave.plans.skew import attach_groups
+from stemweave.plans.skew import attach_groups, running_totals
 
 S = ["sample_id"]
 
@@ -60,15 +60,24 @@ def assign_points(points: DataFrame, edges: DataFrame, radius: float) -> DataFra
     )
 
 
-def snap_points(points: DataFrame, edges: DataFrame, vertices: DataFrame, line_radius: float = 15.0, vertex_radius: float = 12.0) -> DataFrame:
-    """Snap to the nearest vertex within its radius, else to the nearest line within its radius."""
-    v = nearest_within(points, as_edges(vertices, "x", "y"), S, vertex_radius, ["vertex_id"]).select(
-        *S, "px", "py", F.col("vertex_id"), F.col("fx").alias("vx"), F.col("fy").alias("vy"), F.col("distance").alias("vertex_distance")
+def snap_points(
+    points: DataFrame, edges: DataFrame, vertices: DataFrame, line_radius: float = 15.0, vertex_radius: float = 12.0, in_group: bool = False, skip_first: bool = False
+) -> DataFrame:
+    """Snap to the nearest vertex within its radius, else to the nearest line within its radius.
+
+    ``in_group`` looks only at lines and vertices of the point's ``group_id``, which all three tables carry then;
+    ``skip_first`` leaves out the vertices with ``pos`` 0, by which a group hangs on its parent.
+    """
+    keys = [*S, "group_id"] if in_group else S
+    if skip_first:
+        vertices = vertices.filter("pos > 0")
+    v = nearest_within(points, as_edges(vertices, "x", "y"), keys, vertex_radius, ["vertex_id"]).select(
+        *keys, "px", "py", F.col("vertex_id"), F.col("fx").alias("vx"), F.col("fy").alias("vy"), F.col("distance").alias("vertex_distance")
     )
-    e = nearest_within(points, edges, S, line_radius, ["segment_id"]).select(
-        *S, "px", "py", "segment_id", "fx", "fy", F.col("distance").alias("line_distance")
+    e = nearest_within(points, edges, keys, line_radius, ["segment_id"]).select(
+        *keys, "px", "py", "segment_id", "fx", "fy", F.col("distance").alias("line_distance")
     )
-    joined = _back(_back(points, v, S), e, S)
+    joined = _back(_back(points, v, keys), e, keys)
     to_vertex = F.col("vertex_id").isNotNull()
     return joined.select(
         *points.columns,
@@ -217,25 +226,36 @@ def attach_points(
 
 
 def arm_evidence(arms: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """Points near each arm: count, density per pixel, mean axial alignment and weighted flow vote.
+    """Points near each arm: how many, how dense, how well aligned, how far along, and which way they vote.
 
-    ``arms(sample_id, arm_id, x0, y0, x1, y1)`` are the edges of the arms in walking direction,
-    ``points(sample_id, point_id, px, py, vx, vy, weight)``. A point counts once per arm, at its
-    nearest edge.
+    ``arms(sample_id, arm_id, pos, x0, y0, x1, y1)`` are the edges of the arms in walking direction,
+    ``points(sample_id, point_id, px, py, vx, vy, weight)``. An arm's direction is its chord, from its first to its last
+    vertex; density is points per pixel of the chord (0 without one), alignment the mean size of the cosine to it. Progress
+    is the mean share of the arm's length at the points' nearest vertices. A point votes for the arm's direction with its
+    weight times what its cosine has above 0.15; the confidence is the sum of these weights over 1.5, 1 at most.
     """
-    lengths = arms.groupBy("sample_id", "arm_id").agg(F.sum(norm(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("length_px"))
-    pairs = within(points, arms, S, radius)
-    once = pairs.groupBy("sample_id", "arm_id", "point_id").agg(F.min(F.struct("distance", "x0", "y0", "x1", "y1", "vx", "vy", "weight")).alias("b"))
-    dx, dy = F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")
-    size = norm(dx, dy)
-    cosine = F.when(size > 0, (F.col("b.vx") * dx + F.col("b.vy") * dy) / size).otherwise(0.0)
-    seen = once.groupBy("sample_id", "arm_id").agg(
-        F.count(F.lit(1)).alias("points"), F.avg(F.abs(cosine)).alias("mean_alignment"),
-        (F.sum(F.col("b.weight") * cosine) / F.sum(F.col("b.weight"))).alias("flow_vote"),
+    c = F.col
+    keys = ["sample_id", "arm_id"]
+    walked = written(running_totals(arms, keys, [c("pos")], {"at": norm(c("x1") - c("x0"), c("y1") - c("y0"))}, whole={"length_px": "at"}), "walked")
+    ends = walked.groupBy(*keys).agg(F.first("length_px").alias("length_px"), F.min(F.struct("pos", "x0", "y0")).alias("a"), F.max(F.struct("pos", "x1", "y1")).alias("b"))
+    dx, dy = c("b.x1") - c("a.x0"), c("b.y1") - c("a.y0")
+    chords = written(ends.select(*keys, "length_px", norm(dx, dy).alias("chord_px"), dx.alias("dx"), dy.alias("dy"), c("a.x0").alias("x"), c("a.y0").alias("y")), "chords")
+    pairs = written(within(points, arms, S, radius).select(*keys, "point_id", "px", "py", "vx", "vy", "weight").distinct(), "pairs")
+    vertices = walked.select(*keys, c("x1").alias("x"), c("y1").alias("y"), "at").unionByName(chords.select(*keys, "x", "y", F.lit(0.0).alias("at")))
+    reached = nearest(pairs, as_edges(vertices), keys, radius, ["at"]).select(*keys, "px", "py", "at")
+    seen = attach_groups(pairs, reached, [*keys, "px", "py"]).join(chords.drop("x", "y"), keys)
+    size = norm(c("vx"), c("vy")) * c("chord_px")
+    cosine = F.when(size > 0, (c("vx") * c("dx") + c("vy") * c("dy")) / size).otherwise(0.0)
+    vote = c("weight") * F.greatest(F.abs("cosine") - 0.15, F.lit(0.0))
+    per = seen.withColumn("cosine", cosine).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("points"), F.avg(F.abs("cosine")).alias("mean_alignment"), F.avg(c("at") / F.greatest("length_px", F.lit(1e-6))).alias("progress"),
+        F.sum(vote * F.signum("cosine")).alias("_signed"), F.sum(vote).alias("_votes"),
     )
-    return lengths.join(seen, ["sample_id", "arm_id"], "left").select(
-        "sample_id", "arm_id", "length_px", F.coalesce("points", F.lit(0)).alias("points"),
-        (F.coalesce("points", F.lit(0)) / F.greatest("length_px", F.lit(1.0))).alias("density"), "mean_alignment", "flow_vote",
+    n, zero = F.coalesce("points", F.lit(0)), F.lit(0.0)
+    return chords.join(per, keys, "left").select(
+        *keys, "length_px", "chord_px", n.alias("points"), F.when(c("chord_px") < 1e-6, 0.0).otherwise(n / c("chord_px")).alias("density"), "mean_alignment",
+        F.coalesce("progress", F.lit(0.5)).alias("terminal_progress"), F.when(c("_votes") > 0, c("_signed") / F.greatest("_votes", F.lit(1e-6))).otherwise(0.0).alias("flow_vote"),
+        F.least(F.coalesce(c("_votes") / 1.5, zero), F.lit(1.0)).alias("flow_confidence"),
     )
 
 

@@ -79,3 +79,29 @@ def test_label_cuts(spark):
     assert got == {"one": ("exact", 1, 1, 0.0), "back": ("exact", 1, 1, 0.0), "two": ("ambiguous", 2, 1, 0.0), "none": ("nonintersecting", 0, 3, 10.0), "far": ("nonintersecting", 0, 3, 8800.0), "empty": ("nonintersecting", 0, None, None)}
     ends = {(r.cut_id, r.segment_id): (r.exact, r.pruned_node, r.direction_consistent, r.start_dot, r.end_dot) for r in checks.collect()}
     assert ends == {("one", 1): (True, 11, True, -30.0, 70.0), ("back", 1): (True, 10, False, 30.0, -70.0), ("two", 1): (False, 11, True, -70.0, 30.0), ("two", 2): (False, 21, True, -70.0, 30.0)}
+
+
+def test_arm_evidence_takes_the_chord_and_the_way_along(spark):
+    """An arm of an L: 30 right, 40 up; its chord is 50 long and points along (0.6, 0.8)."""
+    arms = spark.createDataFrame([(1, "L", 0, 0.0, 0.0, 30.0, 0.0), (1, "L", 1, 30.0, 0.0, 30.0, 40.0), (1, "far", 0, 900.0, 0.0, 910.0, 0.0), (1, "dot", 0, 500.0, 0.0, 500.0, 0.0)],
+                                "sample_id long, arm_id string, pos int, x0 double, y0 double, x1 double, y1 double")
+    points = [(1, 1, 2.0, 1.0, 0.6, 0.8, 1.0), (1, 2, 29.0, 3.0, -6.0, -8.0, 0.5), (1, 3, 31.0, 39.0, 0.8, -0.6, 9.0), (1, 4, 500.0, 1.0, 1.0, 0.0, 1.0)]
+    p = spark.createDataFrame(points, "sample_id long, point_id long, px double, py double, vx double, vy double, weight double")
+    got = {r.arm_id: r for r in spatial.arm_evidence(arms, p, 5.0).collect()}
+    arm = got["L"]
+    assert (arm.length_px, arm.chord_px, arm.points, arm.density) == (70.0, 50.0, 3, 0.06)
+    assert abs(arm.mean_alignment - 2 / 3) < 1e-9 and abs(arm.terminal_progress - (0 + 30 / 70 + 1) / 3) < 1e-9
+    assert abs(arm.flow_vote - (0.85 - 0.425) / 1.275) < 1e-9 and abs(arm.flow_confidence - 1.275 / 1.5) < 1e-9
+    none = got["far"]
+    assert (none.points, none.density, none.mean_alignment, none.terminal_progress, none.flow_vote, none.flow_confidence) == (0, 0.0, None, 0.5, 0.0, 0.0)
+    assert (got["dot"].points, got["dot"].density, got["dot"].flow_vote) == (1, 0.0, 0.0)
+
+
+def test_snapping_in_a_group_and_past_the_first_vertex(spark):
+    points = spark.createDataFrame([(1, 1, "g", 1.0, 1.0), (1, 2, "h", 1.0, 1.0), (1, 3, "g", 40.0, 9.0)], "sample_id long, point_id long, group_id string, px double, py double")
+    vertices = spark.createDataFrame([(1, "g", 10, 0, 0.0, 0.0), (1, "g", 11, 1, 8.0, 0.0), (1, "h", 20, 0, 50.0, 0.0), (1, "h", 21, 1, 60.0, 0.0)], "sample_id long, group_id string, vertex_id long, pos int, x double, y double")
+    edges = spark.createDataFrame([(1, "g", 1, 0.0, 0.0, 8.0, 0.0), (1, "h", 2, 30.0, 0.0, 60.0, 0.0)], "sample_id long, group_id string, segment_id long, x0 double, y0 double, x1 double, y1 double")
+    snap = lambda **how: {r.point_id: (r.snapped_to, r.sx, r.sy) for r in spatial.snap_points(points, edges.drop("group_id") if not how.get("in_group") else edges, vertices.drop("group_id") if not how.get("in_group") else vertices, **how).collect()}
+    assert snap() == {1: ("vertex", 0.0, 0.0), 2: ("vertex", 0.0, 0.0), 3: ("line", 40.0, 0.0)}
+    assert snap(in_group=True) == {1: ("vertex", 0.0, 0.0), 2: ("none", 1.0, 1.0), 3: ("none", 40.0, 9.0)}
+    assert snap(skip_first=True) == {1: ("vertex", 8.0, 0.0), 2: ("vertex", 8.0, 0.0), 3: ("line", 40.0, 0.0)}
