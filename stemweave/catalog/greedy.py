@@ -44,8 +44,11 @@ def _contacts(s, sf):
 def _junctions(s, sf):
     nodes, edges = graph.build_graph(fx.groups(s, sf))
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
-    j = graph.degrees(nodes, edges).filter("degree >= 3")
-    links = edges.select("sample_id", c("src").alias("start_node"), c("dst").alias("end_node"), F.sqrt(F.pow(graph.node_x(c("src")) - graph.node_x(c("dst")), 2) + F.pow(graph.node_y(c("src")) - graph.node_y(c("dst")), 2)).alias("length_px"))
+    owners = graph.group_vertices(fx.groups(s, sf)).join(fx.groups(s, sf).select("sample_id", "group_id", "group_type"), ["sample_id", "group_id"])
+    kinds = graph.typed_nodes(nodes, edges, owners).select("sample_id", "node_id", (c("node_type") == "trunk").alias("is_trunk"))
+    j = graph.degrees(nodes, edges).filter("degree >= 3").join(kinds, ["sample_id", "node_id"])
+    none = nodes.select("sample_id", "node_id").limit(0)
+    links = graph.segment_table(graph.segment_edges(graph.trace_segments(nodes, edges, none)))
     return clusters.cluster_junctions(written(j, "junctions"), links, 2.0)
 
 

@@ -41,8 +41,9 @@ def contact_count(points: DataFrame, edges: DataFrame, tolerance: float, ignored
 def cluster_junctions(junctions: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """Clusters of junctions that are close or linked by a short path without a junction.
 
-    ``junctions(sample_id, node_id, x, y, degree)``, ``segments(sample_id, start_node, end_node,
-    length_px)``. Cells are small enough that all junctions of one are close to each other; each is
+    ``junctions(sample_id, node_id, x, y, degree, is_trunk)``, ``segments(sample_id, start_node, end_node, length_px)``
+    between junctions, traced through what lies between them. A short path links two nodes of degree three of which
+    none is on the trunk. Cells are small enough that all junctions of one are close to each other; each is
     tied to its cell's first node and to its nearest junction in every cell around, which connects
     the same nodes as all close pairs would.
     """
@@ -55,7 +56,7 @@ def cluster_junctions(junctions: DataFrame, segments: DataFrame, radius: float)
     asked = placed.withColumn("d", around).select("sample_id", F.col("node_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
     far = norm((F.col("x") - F.col("sx")).cast("double"), (F.col("y") - F.col("sy")).cast("double"))
     across = asked.join(placed, ["sample_id", "cx", "cy"]).withColumn("d", far).filter(F.col("d") <= radius).groupBy("sample_id", "src", "cx", "cy").agg(F.min(F.struct("d", "node_id")).alias("b")).select("sample_id", "src", F.col("b.node_id").alias("dst"))
-    three = junctions.filter("degree = 3").select("sample_id", "node_id")
+    three = junctions.filter("degree = 3 AND NOT is_trunk").select("sample_id", "node_id")
     short = segments.filter(F.col("length_px") <= max(4 * radius, 48.0)).select("sample_id", F.col("start_node").alias("src"), F.col("end_node").alias("dst"))
     for end in ("src", "dst"):
         short = short.join(three.withColumnRenamed("node_id", end), ["sample_id", end], "left_semi")

@@ -99,8 +99,8 @@ def test_balanced_folds_one_by_one(spark):
 def test_cluster_junctions_equal_all_pairs(spark):
     rng = np.random.default_rng(3)
     pts = sorted({(int(x), int(y)) for x, y in rng.integers(0, 40, (90, 2))})
-    rows = [(1, i, x, y, 4) for i, (x, y) in enumerate(pts)]
-    j = spark.createDataFrame(rows, "sample_id long, node_id long, x long, y long, degree long")
+    rows = [(1, i, x, y, 4, False) for i, (x, y) in enumerate(pts)]
+    j = spark.createDataFrame(rows, "sample_id long, node_id long, x long, y long, degree long, is_trunk boolean")
     seg = spark.createDataFrame([], "sample_id long, start_node long, end_node long, length_px double")
     got = {r.node_id: r.cluster_id for r in clusters.cluster_junctions(j, seg, 3.0).collect()}
     close = [(i, k) for i, (a, b) in enumerate(pts) for k, (c, d) in enumerate(pts) if i < k and np.hypot(a - c, b - d) <= 3]
@@ -127,3 +127,11 @@ def test_registered_sparsify_reads_every_class(spark):
     label = {(r.sample_id, r.point_id): r.label for r in all_points(spark, sf).collect()}
     build = next(q.build for q in all_queries() if q.name == "sparsify")
     assert {label[r.sample_id, r.point_id] for r in build(spark, sf).collect()} > {0}
+
+
+def test_short_paths_link_junctions_off_the_trunk(spark):
+    rows = [(1, i, 100 * i, 0, 4 if i == 5 else 3, i == 3) for i in range(1, 7)]
+    j = spark.createDataFrame(rows, "sample_id long, node_id long, x long, y long, degree long, is_trunk boolean")
+    seg = spark.createDataFrame([(1, 1, 2, 48.0), (1, 2, 3, 20.0), (1, 4, 5, 20.0), (1, 4, 6, 48.5), (1, 6, 1, 30.0)], "sample_id long, start_node long, end_node long, length_px double")
+    # 3 is on the trunk, 5 has four arms, and 4 - 6 is too long
+    assert {r.node_id: r.cluster_id for r in clusters.cluster_junctions(j, seg, 3.0).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
