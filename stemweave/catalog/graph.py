@@ -105,7 +105,6 @@ def _distance(s, sf):
 
 def _orient(s, sf):
     seg, roots, _ = segments(s, sf)
-    seg = seg.filter("start_node <> end_node")
     d = graph.root_distance(seg.select("sample_id", c("start_node").alias("src"), c("end_node").alias("dst"), "length_px"), roots)
     return graph.orient(seg, d)
 

@@ -26,9 +26,10 @@ def grouped(s, sf):
 
 
 def stripes(s, sf):
-    """Line pixels and group edges that leave parts of the image uncovered."""
+    """Line pixels and group edges, drawn together so that they leave parts of the image uncovered."""
     p, q = sides(s, sf)
-    edges = q.filter("x < 20 AND y % 4 = 0").select("sample_id", c("x").cast("double").alias("x0"), c("y").cast("double").alias("y0"), (c("x") + 3.0).alias("x1"), (c("y") + 1.0).alias("y1"))
+    x, y = (c("x") % 20).cast("double"), (c("y") - c("y") % 4).cast("double")
+    edges = q.select("sample_id", x.alias("x0"), y.alias("y0"), (x + 3.0).alias("x1"), (y + 1.0).alias("y1"))
     return p.withColumn("component_label", F.floor(c("x") / 8)), edges
 
 
@@ -45,7 +46,8 @@ QUERIES = [
           PG + f""", a AS (SELECT p.sample_id, avg((EXISTS (SELECT 1 FROM g WHERE g.sample_id = p.sample_id AND g.x = p.x AND g.y = p.y))::INT) AS a FROM p WHERE (x + y) % 3 = 0 GROUP BY 1),
           b AS (SELECT g.sample_id, avg((EXISTS (SELECT 1 FROM p WHERE g.sample_id = p.sample_id AND g.x = p.x AND g.y = p.y))::INT) AS b FROM g WHERE (x + y) % 3 = 0 GROUP BY 1)
           SELECT sample_id, {rsql('a', 'topology_precision')}, {rsql('b', 'topology_sensitivity')}, {rsql('CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END', 'cldice')} FROM a JOIN b USING (sample_id)"""),
-    Query("floating_components", lambda s, sf: pixels.floating_components(sides(s, sf)[0])),
+    # every layer of a sample is a picture of its own
+    Query("floating_components", lambda s, sf: pixels.floating_components(fx.pixels(s, sf).select(F.concat_ws("-", "sample_id", "layer").alias("sample_id"), "x", "y"))),
     Query("line_metrics", lambda s, sf: rounded(pixels.line_metrics(*sides(s, sf), 2.0)),
           PG + f""", {DIST}, a AS (SELECT sample_id, avg((d <= 2)::INT) AS p, avg(d) AS m FROM dpg GROUP BY 1), b AS (SELECT sample_id, avg((d <= 2)::INT) AS r, avg(d) AS n FROM dgp GROUP BY 1)
           SELECT sample_id, {rsql('p', 'precision')}, {rsql('r', 'recall')}, {rsql('2 * p * r / (p + r + 1e-6)', 'f1')}, {rsql('(m + n) / 2', 'chamfer')} FROM a JOIN b USING (sample_id)"""),
@@ -67,7 +69,7 @@ QUERIES = [
           k AS (SELECT u.sample_id, u.m / (SELECT count(*) FROM p WHERE p.sample_id = u.sample_id) AS pr, v.m / (SELECT count(*) FROM g WHERE g.sample_id = u.sample_id) AS rc FROM u JOIN v ON u.sample_id = v.sample_id)
           SELECT sample_id, {rsql('pr', 'precision')}, {rsql('rc', 'recall')}, {rsql('2 * pr * rc / greatest(pr + rc, 1e-6)', 'f1')} FROM k"""),
     Query("coverage", lambda s, sf: rounded(pixels.coverage(*stripes(s, sf), 24.0, 5.0, 16)),
-          PG + f""", e AS (SELECT sample_id, x AS x0, y AS y0 FROM g WHERE x < 20 AND y % 4 = 0), f AS (SELECT p.sample_id, p.x, p.y, e.x0, e.y0, greatest(0.0, least(1.0, ((p.x - x0) * 3.0 + (p.y - y0) * 1.0) / 10.0)) AS f FROM p JOIN e ON e.sample_id = p.sample_id),
+          PG + f""", e AS (SELECT DISTINCT sample_id, x % 20 AS x0, y - y % 4 AS y0 FROM g), f AS (SELECT p.sample_id, p.x, p.y, e.x0, e.y0, greatest(0.0, least(1.0, ((p.x - x0) * 3.0 + (p.y - y0) * 1.0) / 10.0)) AS f FROM p JOIN e ON e.sample_id = p.sample_id),
           d AS (SELECT sample_id, x, y, min(sqrt((x - (x0 + f * 3.0)) ** 2 + (y - (y0 + f)) ** 2)) AS d FROM f GROUP BY ALL), k AS (SELECT p.sample_id, p.x // 8 AS cl, count(*) AS n, count_if(d <= 24) AS w, count_if(d <= 5) AS t FROM p LEFT JOIN d ON d.sample_id = p.sample_id AND d.x = p.x AND d.y = p.y GROUP BY ALL)
           SELECT sample_id, {rsql('sum(w) / sum(n)', 'coverage_wide')}, {rsql('sum(t) / sum(n)', 'coverage_tight')}, count_if(n >= 16 AND w / n < 0.9) AS long_components_below FROM k GROUP BY 1"""),
 ]

@@ -138,7 +138,7 @@ def scan_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace a table: the new one is written beside it, and takes its place by renaming when it is complete.
 
-    A failed write leaves the old table as it was.
+    A failed write leaves the old table as it was; if the new one can't take its place, the old one is put back.
     """
     spark = df.sparkSession
     fresh, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{tag}" for tag in ("new", "old"))
@@ -154,6 +154,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if kept and not files.rename(hadoop(path), hadoop(old)):
         raise OSError(f"{path} can't be moved")
     if not files.rename(hadoop(fresh), hadoop(path)):
+        if kept:
+            files.rename(hadoop(old), hadoop(path))
         raise OSError(f"{fresh} can't take the place of {path}")
     if kept:
         files.delete(hadoop(old), True)
