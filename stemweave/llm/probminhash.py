@@ -35,7 +35,8 @@ from stemweave.plans.durable import scratch, written
 BANDS, ROWS = 40, 6
 THRESHOLD = 0.8
 HASH_BITS = 40  # of a shingle, in the key that also holds its text's place in a slice
-BLOCK, BLOCK_WORDS = 256, 1 << 17  # members, and words of them, in a block
+BLOCK, BLOCK_WORDS = 256, 1 << 16  # members, and words of them, in a block
+SLICE = 1 << 20  # bytes of text that a task takes apart at a time, or one longer text
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 SIGNED = "row long, words long, key1 long, key2 long, bands array<long>"
 
@@ -100,7 +101,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 n = part.num_rows
                 text, element, weight, first, order = weighted(part.column(1))
                 sample = signatures(text, element, weight, n, bands * rows).reshape(n, bands, rows)
@@ -121,7 +122,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta", 1 << 20):
+            for part in slices(batch, "ta", SLICE):
                 sets = []
                 for i in (2, 3):
                     text, element, weight, _, _ = weighted(part.column(i))
@@ -140,7 +141,7 @@ def own_shares(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text, element, weight, _, _ = weighted(part.column(1))
                 share = weight / np.bincount(text, weight, part.num_rows)[text]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(element.view(np.int64)), pa.array(share)], names=["row", "shingle", "share"])
@@ -150,7 +151,7 @@ def own_shares(docs: DataFrame) -> DataFrame:
     return single.groupBy("row").agg(F.sum("share").alias("own"))
 
 
-def shared(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], columns: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], columns: int = 4_096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every left and right text (sorted hashes, weights): the number of common shingles, and the share of each one's
     weight on them. Products of incidence matrices over so many shingles at a time."""
     sides = []
@@ -211,7 +212,7 @@ def promising(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text, element, weight, _, _ = weighted(part.column(1))
                 sample = signatures(text, element, weight, part.num_rows, m).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), part.num_rows, [None, pa.py_buffer(sample.tobytes())]).cast(pa.binary())], names=["row", "sig"])
@@ -256,7 +257,7 @@ def compared(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 text, element, weight, first, _ = weighted(part.column(1))
                 begin = np.searchsorted(text, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
