@@ -4,59 +4,74 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemweave.functions.hashing import counting, portable_hash
-from stemweave.plans.durable import written
-from stemweave.plans.skew import attach_groups, attach_scalars, grouped_rank, running_totals
+from stemweave.functions.hashing import portable_hashes
+from stemweave.plans.durable import scratch, written
+from stemweave.plans.skew import attach_scalars, grouped_rank, running_totals
 
 
 #: Numbers that a task holds while it counts draws, and distinct scores whose sums it holds while it adds up vectors.
 HELD, SCORES = 16_000_000, 400
+#: Trees in a part, and rows of one tree in a lane of its part.
+PART, LANE = 1024, 4096
 
 
-def tree_draws(trees: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """How often each tree is drawn in each of ``n`` resamples: (key, times), times a list of n numbers.
+def draws(spark: SparkSession, size: int, n: int, seed: int) -> DataFrame:
+    """How often each of the trees 0, ..., ``size``-1 is drawn in each of ``n`` resamples: (part, times), times a list of
+    (block, times) with the counts of a block of resamples for the part's trees, 16 bits each, tree after tree.
 
-    Resamples are drawn block by block: a task counts the draws of a block by tree in one array, so a tree is a row per block
-    and never a row per draw. The more trees, the fewer resamples are in a block.
+    A task draws a block of resamples at a time and counts them by tree in one array, so no row per draw arises: a
+    resample slot is hashed and counted where it is. The more trees, the fewer resamples are in a block.
     """
-    indexed = written(running_totals(trees, [], [F.col(key)], {"_rank": F.lit(1).cast("long")}, whole={"_size": "_rank"}).select(key, (F.col("_rank") - 1).alias("_index")), "indexed")
-    size = indexed.count()
-    spark = trees.sparkSession
     width = max(1, min(HELD // max(size, 1), -(-n // max(8, spark.sparkContext.defaultParallelism))))
-    # the hash is a column expression, so slots are rows, and only their numbers reach the task
     blocks = -(-n // width)
-    reps = F.sequence(F.col("block") * width, F.least((F.col("block") + 1) * width, F.lit(n)) - 1)
-    slots = spark.range(blocks).withColumnRenamed("id", "block").withColumn("rep", F.explode(reps)).repartition(blocks, "block").sortWithinPartitions("block")
-    drawn = slots.withColumn("_slot", F.explode(counting(max(size, 1)))).select("block", "rep", (portable_hash(seed, F.col("rep"), F.col("_slot")) % max(size, 1)).alias("_index"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            block, rep, index = (c.to_numpy() for c in batch.columns)
-            for b in np.unique(block).tolist():
-                own = block == b
-                counts = held.setdefault(b, np.zeros((size, width), dtype=np.int16))
-                np.add.at(counts, (index[own], rep[own] - b * width), 1)
-            for b in [b for b in held if b != block[-1]] if len(block) else []:
-                yield from rows(b, held.pop(b))
-        for b, counts in held.items():
-            yield from rows(b, counts)
-
-    def rows(block: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        counts = counts[:, : min(width, n - block * width)]
-        for begin in range(0, size, 4096):
-            part = counts[begin : begin + 4096]
-            times = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.reshape(-1), pa.int16()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin, begin + len(part))), pa.array([block] * len(part), pa.int64()), times], names=["_index", "block", "times"])
-
-    counted = drawn.mapInArrow(run, "_index long, block long, times array<smallint>")
-    whole = counted.groupBy("_index").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "times"))), lambda b: b.times)).alias("times"))
+            for block in batch.column(0).to_pylist():
+                reps = range(block * width, min((block + 1) * width, n))
+                counts = np.empty((len(reps), size), dtype=np.int16)
+                for row, rep in zip(counts, reps, strict=True):
+                    row[:] = np.bincount((portable_hashes(seed, rep, size) % np.uint64(size)).astype(np.int64), minlength=size)
+                for begin in range(0, size, 64 * PART):
+                    times = [np.ascontiguousarray(counts[:, i : i + PART].T).tobytes() for i in range(begin, min(begin + 64 * PART, size), PART)]
+                    parts = np.arange(len(times)) + begin // PART
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([block] * len(times), pa.int64()), pa.array(times, pa.binary())], names=["part", "block", "times"])
+
+    counted = spark.range(0, blocks if size else 0, 1, max(1, blocks)).mapInArrow(run, "part long, block long, times binary")
+    return counted.groupBy("part").agg(F.collect_list(F.struct("block", "times")).alias("times"))
+
+
+def _times(blocks: list[dict], trees: int) -> np.ndarray:
+    """(trees, resamples) of one list of blocks."""
+    return np.concatenate([np.frombuffer(b["times"], dtype=np.int16).reshape(trees, -1) for b in sorted(blocks, key=lambda b: b["block"])], axis=1)
+
+
+def _indexed(trees: DataFrame, key: str) -> DataFrame:
+    """The trees with their place 0, 1, ... in order of the key as ``_index``."""
+    return grouped_rank(trees, [], [F.col(key)], "_rank").withColumn("_index", F.col("_rank") - 1).drop("_rank")
+
+
+def tree_draws(trees: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """How often each tree is drawn in each of ``n`` resamples: (key, times), times a list of n numbers."""
+    indexed = written(_indexed(trees.select(key), key), "indexed")
+    size = indexed.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.arange(part * PART, min((part + 1) * PART, size))
+                times = _times(blocks, len(own))
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * times.shape[1], pa.int32()), pa.array(times.reshape(-1), pa.int16()))
+                yield pa.RecordBatch.from_arrays([pa.array(own), rows], names=["_index", "times"])
+
+    whole = draws(trees.sparkSession, size, n, seed).mapInArrow(run, "_index long, times array<smallint>")
     return whole.join(indexed, "_index").select(key, "times")
 
 
@@ -80,33 +95,52 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "tree_id", by: Sequence[str] = ("model",)) -> DataFrame:
     """Intervals of average precision and AUROC when trees are resampled.
 
-    A tree brings one vector of n multiplicities. Rows are counted per (tree, score), the counts weigh the tree's vector, and
-    vectors are summed per score, first inside each task. Scores are then cut into ranges; a range needs of the scores above it
-    only their sum, one vector a range, to add up its share of the areas of all n resamples. No row per resample arises
-    before the areas themselves.
+    A part of the trees brings one matrix of multiplicities. Rows are counted per (tree, score), the counts of a part meet its
+    matrix once and give a vector per score, summed first inside each task; a tree with very many scores has them in several
+    lanes. Scores are then cut into ranges; a range needs of the scores above it only their sum, one vector a range, to add
+    up its share of the areas of all n resamples. No row per resample arises before the areas themselves.
     """
-    by = list(by)
+    with scratch(df.sparkSession) as tables:
+        ranged = tables.keep(_ranged_sums(df, n, seed, key, list(by)))
+    return _areas_interval(df, ranged, n, list(by))
+
+
+def _ranged_sums(df: DataFrame, n: int, seed: int, key: str, by: list[str]) -> DataFrame:
+    """(grp, score, n, pos, part): rows and positives of each score as vectors over the resamples, in ranges of falling score."""
     group = F.struct(*by)
     counts = df.groupBy(*by, key, "score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("pos"))
-    dealt = counts.select(F.to_json(group).alias("grp"), key, "score", "n", "pos").join(tree_draws(df.select(key).distinct(), key, n, seed), key)
+    counts = written(counts, "counts")
+    trees = counts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    indexed = written(_indexed(trees, key), "indexed")
+    size = indexed.count()
+    lane = F.pmod(F.hash("score"), F.ceil(F.col("_rows") / LANE))
+    entry = F.struct(F.to_json(group).alias("grp"), "score", (F.col("_index") % PART).alias("at"), "n", "pos")
+    entries = counts.join(indexed, key).groupBy(F.floor(F.col("_index") / PART).alias("part"), lane.alias("lane")).agg(F.collect_list(entry).alias("entries"))
+    dealt = entries.join(draws(df.sparkSession, size, n, seed), "part")
     sums = "grp string, score double, n array<double>, pos array<double>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            grp, score = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            weight = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1)
-            times = _matrix(batch.column(4), n)
-            codes: dict[tuple, int] = {}
-            code = np.array([codes.setdefault(k, len(codes)) for k in zip(grp, score, strict=True)], dtype=np.int64)
-            order = np.argsort(code, kind="stable")
-            cut = np.searchsorted(code[order], np.arange(len(codes) + 1))
-            for k, (p, q) in zip(codes, itertools.pairwise(cut.tolist()), strict=True):
-                part = weight[order[p:q]].T @ times[order[p:q]]
-                held[k] = held[k] + part if k in held else part
-            if len(held) > SCORES:
-                yield from told(held)
-                held = {}
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                grp, score, *rest = batch.column(1)[i].values.flatten()
+                at, *weight = (c.to_numpy() for c in rest)
+                times = _times(batch.column(2)[i].as_py(), min(PART, size - part * PART)).astype(np.float64)
+                codes: dict[tuple, int] = {}
+                code = np.array([codes.setdefault(k, len(codes)) for k in zip(grp.to_pylist(), score.to_pylist(), strict=True)], dtype=np.int64)
+                order = np.argsort(code, kind="stable")
+                names = list(codes)
+                for begin in range(0, len(names), 32):
+                    own = order[slice(*np.searchsorted(code[order], (begin, begin + 32)))]
+                    trees_here, column = np.unique(at[own], return_inverse=True)
+                    both = np.zeros((2, 32, len(trees_here)))
+                    for side, values in zip(both, weight, strict=True):
+                        np.add.at(side, (code[own] - begin, column), values[own])
+                    for k, vectors in zip(names[begin : begin + 32], (both @ times[trees_here]).swapaxes(0, 1), strict=False):
+                        held[k] = held[k] + vectors if k in held else vectors.copy()
+                    if len(held) > SCORES:
+                        yield from told(held)
+                        held = {}
         yield from told(held)
 
     def told(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +148,13 @@ def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "
             both = np.stack([held[k] for k in names])
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names], pa.string()), pa.array([k[1] for k in names], pa.float64()), _vector(both[:, 0]), _vector(both[:, 1])], names=["grp", "score", "n", "pos"])
 
-    partial = dealt.select("grp", "score", "n", "pos", "times").mapInArrow(gather, sums)
-    ranged = written(partial.repartitionByRange(F.col("grp"), F.col("score").desc()).withColumn("part", F.spark_partition_id()), "ranged")
+    # ranges are sampled before they are cut, so the sums are written first
+    partial = written(dealt.select("part", "entries", "times").mapInArrow(gather, sums), "sums")
+    return written(partial.repartitionByRange(F.col("grp"), F.col("score").desc()).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def _areas_interval(df: DataFrame, ranged: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """Intervals of the areas from the ranges of ``_ranged_sums``."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of every (part, grp)."""
@@ -189,28 +228,57 @@ def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "
 
 
 def bootstrap_mean(df: DataFrame, columns: Sequence[str], n: int = 2000, seed: int = 42, key: str = "tree_id") -> DataFrame:
-    """Mean and interval of per-tree values, one row per column; missing values leave the pool."""
+    """Mean and interval of per-tree values, one row per column; missing values leave the pool.
+
+    Columns with equally many values share their draws; the values of a part of the trees meet its counts once.
+    """
     long = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("m")).select(key, "m.metric", "m.value").filter(F.col("value").isNotNull())
-    ranked = grouped_rank(long, ["metric"], [F.col(key)], "_rank").withColumn("_index", F.col("_rank") - 1)
-    sizes = long.groupBy("metric").agg(F.count(F.lit(1)).alias("_size"), F.avg("value").alias("mean"))
-    slots = attach_groups(ranked, sizes, ["metric"])
-    drawn = slots.select(
-        "metric", F.explode(counting(n)).alias("rep"), F.col("_index").alias("_slot"), "_size"
-    ).select("metric", "rep", (portable_hash(seed, F.col("rep"), F.col("_slot")) % F.col("_size")).alias("_index"))
-    times = drawn.groupBy("metric", "rep", "_index").agg(F.count(F.lit(1)).alias("times"))
-    means = (
-        times.join(ranked.select("metric", "_index", "value"), ["metric", "_index"])
-        .groupBy("metric", "rep")
-        .agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("drawn_mean"))
-    )
-    ci = means.groupBy("metric").agg(
+    with scratch(df.sparkSession) as tables:
+        ranked = written(grouped_rank(long, ["metric"], [F.col(key)], "_rank").select("metric", "value", (F.col("_rank") - 1).alias("_index")), "ranked")
+        sizes = written(ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("_size"), F.avg("value").alias("mean")), "sizes")
+        named: dict[int, list[str]] = {}
+        for r in sizes.collect():
+            named.setdefault(r["_size"], []).append(r["metric"])
+        parts = [_drawn_sums(ranked.filter(F.col("metric").isin(names)), size, n, seed) for size, names in named.items()]
+        tables.keep(sizes)
+        sums = tables.keep(written(reduce(DataFrame.unionByName, parts), "drawn")) if parts else None
+    if sums is None:
+        return sizes.select("metric", "mean", F.col("mean").alias("ci95_low"), F.col("mean").alias("ci95_high"))
+    means = sums.groupBy("metric", "rep").agg(F.sum("total").alias("total")).join(F.broadcast(sizes), "metric")
+    ci = means.withColumn("drawn_mean", F.col("total") / F.col("_size")).groupBy("metric").agg(
         F.percentile("drawn_mean", 0.025).alias("ci95_low"), F.percentile("drawn_mean", 0.975).alias("ci95_high")
     )
     return sizes.select("metric", "mean").join(ci, "metric")
 
 
+def _drawn_sums(ranked: DataFrame, size: int, n: int, seed: int) -> DataFrame:
+    """(metric, rep, total): what tasks add to the sum of a resample, of metrics with ``size`` values each."""
+    entry = F.struct("metric", (F.col("_index") % PART).alias("at"), "value")
+    entries = ranked.groupBy(F.floor(F.col("_index") / PART).alias("part")).agg(F.collect_list(entry).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                metric, at, value = (c.to_numpy(zero_copy_only=False) for c in batch.column(1)[i].values.flatten())
+                times = _times(batch.column(2)[i].as_py(), min(PART, size - part * PART))
+                for name in np.unique(metric):
+                    own = metric == name
+                    drawn, values = times[at[own]], value[own]
+                    fine = np.isfinite(values)
+                    total = np.where(fine, values, 0.0) @ drawn.astype(np.float64)
+                    for v, counts in zip(values[~fine], drawn[~fine], strict=True):  # not finite only where it is drawn
+                        total = np.where(counts > 0, total + v, total)
+                    held[name] = held[name] + total if name in held else total
+        for name, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.array(total)], names=["metric", "rep", "total"])
+
+    whole = entries.join(draws(ranked.sparkSession, size, n, seed), "part").select("part", "entries", "times")
+    return whole.mapInArrow(run, "metric string, rep long, total double")
+
+
 # fixed values: Chebyshev coefficients of erfc, constant term first
 ERFC_TERMS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 

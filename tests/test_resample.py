@@ -70,3 +70,45 @@ def test_bootstrap_over_many_ranges_and_a_group_without_positives(spark):
     assert set(once) == set(again) == {"A"}
     assert all(abs(once["A"][c] - again["A"][c]) < 1e-9 for c in once["A"].asDict() if c != "model")
     assert resample.cluster_bootstrap(df.limit(0), n=30).count() == 0
+
+
+def test_hashes_in_arrays_equal_the_column(spark):
+    from stemweave.functions.hashing import portable_hash, portable_hashes
+
+    for seed, rep, size in ((42, 0, 1), (7, 1999, 12_345), (9, 31, 10_001)):
+        column = [r[0] for r in spark.range(size).orderBy("id").select(portable_hash(seed, F.lit(rep), F.col("id"))).collect()]
+        assert portable_hashes(seed, rep, size).tolist() == column
+
+
+def test_draws_are_no_rows(spark):
+    """Ten thousand trees in 400 resamples are four million draws; the plan has rows per part of the trees only."""
+    drawn = resample.draws(spark, 10_000, 400, 5).collect()
+    assert sorted(r["part"] for r in drawn) == list(range(10)) and sum(len(r["times"]) for r in drawn) <= 10 * 400
+    times = np.concatenate([resample._times(r["times"], min(1024, 10_000 - 1024 * r["part"])) for r in sorted(drawn)])
+    assert times.shape == (10_000, 400) and (times.sum(axis=0) == 10_000).all()
+
+
+def test_means_with_gaps_equal_expanded_draws(spark):
+    from stemweave.functions.hashing import portable_hashes
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), None if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (2500, 2)))]
+    got = {r["metric"]: r for r in resample.bootstrap_mean(spark.createDataFrame(rows, "tree_id long, a double, b double"), ["a", "b"], n=60, seed=4).collect()}
+    for m, at in (("a", 1), ("b", 2)):
+        values = np.array([r[at] for r in rows if r[at] is not None])
+        means = [values[(portable_hashes(4, rep, len(values)) % np.uint64(len(values))).astype(int)].mean() for rep in range(60)]
+        assert abs(got[m]["mean"] - values.mean()) < 1e-9
+        assert abs(got[m]["ci95_low"] - np.percentile(means, 2.5)) < 1e-9 and abs(got[m]["ci95_high"] - np.percentile(means, 97.5)) < 1e-9
+
+
+def test_a_tree_with_many_scores_is_dealt_to_lanes(spark):
+    rng = np.random.default_rng(8)
+    rows = [("A", int(t), float(s), int(s + e > 1)) for t, s, e in zip(np.where(rng.random(9000) < 0.9, 0, rng.integers(0, 20, 9000)), rng.random(9000), rng.random(9000), strict=True)]
+    df = spark.createDataFrame(rows, "model string, tree_id long, score double, label long")
+    whole = resample.cluster_bootstrap(df, n=12, seed=3).first()
+    resample.LANE, before = 10**9, resample.LANE
+    try:
+        one = resample.cluster_bootstrap(df, n=12, seed=3).first()
+    finally:
+        resample.LANE = before
+    assert all(abs(whole[c] - one[c]) < 1e-9 for c in whole.asDict() if c != "model")
