@@ -34,6 +34,7 @@ WORDS = 51
 SEED = 64
 MOST = 1024  # windows of a piece
 BLOCK = 256 << 10  # bytes of pieces in a block
+SLOT_SHIFT = U64(56)  # of a window's hash: what is above names its slot
 PLACE_BITS = U64(30)  # of a place within a slice, below the bits of the hash that order minimisers
 
 
@@ -225,27 +226,85 @@ def _groups(suffixes: list[tuple[int, int]], found: list[tuple[int, int, int]],
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "length", "pid", "begin"])
 
 
+RANGES, CLASSES = "array<struct<begin:int,end:int>>", "array<struct<fingerprint:long,pid:long,begin:int>>"
+
+
+def _outermost(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that lie in no other."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if not out or end > out[-1][1]:
+            out.append((begin, end))
+    return out
+
+
+def _packed(columns: dict[str, tuple[list | np.ndarray, pa.DataType]], at: np.ndarray) -> pa.Array:
+    """A list of structs per row; row i has the entries from ``at[i]`` to ``at[i + 1]``."""
+    entries = pa.StructArray.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), entries)
+
+
 def _repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """Occurrences of maximal repeats as (pid, begin, length), the key of their block's piece, and window classes of
-    dealt keys as (key, fingerprint, pid, begin); pid is null there if the block has the class more than once."""
+    """One row per piece with occurrences of maximal repeats, (key, pid, ranges), and for dealt keys a row per block and slot
+    of hashes, (key, slot, classes), with the block's window classes; a class's pid is null if the block has it more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"pid": pa.int64(), "begin": pa.int32(), "length": pa.int32(), "key": pa.int64(), "fingerprint": pa.int64()}
+        names = ["key", "pid", "ranges", "slot", "classes"]
+        no_ranges, no_classes = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("fingerprint", pa.int64()), ("pid", pa.int64()), ("begin", pa.int32())]))
         for heads, pids, windows, texts in _blocks(batches):
             suffixes, longest, _, fingerprint, (piece, offset) = maximal_repeats(texts, windows, length)
-            hits = [(pids[p], o, n, heads[p][0], None) for (p, o), n in zip(suffixes, longest, strict=True) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+            hits: dict[int, list[tuple[int, int]]] = {}
+            for (p, o), n in zip(suffixes, longest, strict=True):
+                if n:
+                    hits.setdefault(p, []).append((o, o + n))
+            kept = [_outermost(h) for h in hits.values()]
+            at = np.concatenate([[0], np.cumsum([len(k) for k in kept])])
+            ranges = _packed({"begin": ([x for k in kept for x, _ in k], pa.int32()), "end": ([x for k in kept for _, x in k], pa.int32())}, at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([heads[p][0] for p in hits], pa.int64()), pa.array([pids[p] for p in hits], pa.int64()), ranges, pa.nulls(len(hits), pa.int32()), pa.nulls(len(hits), no_classes)], names=names)
             dealt = np.array([h[2] for h in heads])[piece]
             if dealt.any():
                 piece, offset, fingerprint = piece[dealt], offset[dealt], fingerprint[dealt]
-                keys = np.array([h[0] for h in heads])
+                keys, own = np.array([h[0] for h in heads]), np.array(pids)
                 values, where, members = np.unique(fingerprint, return_index=True, return_counts=True)
-                pid = [pids[p] if n == 1 else None for p, n in zip(piece[where].tolist(), members.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pid, pa.int64()), pa.array(offset[where], pa.int32()), pa.nulls(len(where), pa.int32()), pa.array(keys[piece[where]], pa.int64()), pa.array(values.view(np.int64))],
-                    names=list(kinds))
+                slot = (values >> SLOT_SHIFT).astype(np.int64)
+                order = np.lexsort((slot, keys[piece[where]]))
+                values, where, members, slot = values[order], where[order], members[order], slot[order]
+                key = keys[piece[where]]
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])]))
+                pid = pa.array(own[piece[where]], pa.int64(), mask=members > 1)
+                classes = _packed({"fingerprint": (values.view(np.int64), pa.int64()), "pid": (pid, pa.int64()), "begin": (offset[where], pa.int32())}, np.append(first, len(values)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), no_ranges), pa.array(slot[first], pa.int32()), classes], names=names)
+
+    return _arranged(pieces).mapInArrow(run, f"key long, pid long, ranges {RANGES}, slot int, classes {CLASSES}")
+
 
-    return _arranged(pieces).mapInArrow(run, "pid long, begin int, length int, key long, fingerprint long")
+def _across(found: DataFrame, length: int) -> DataFrame:
+    """(key, pid, begin, end) of windows whose class several blocks of one key have; the classes of a slot meet in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for i, head in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if held and head != last:
+                    yield shared(last[0], held)
+                    held = []
+                last = head
+                held.append(batch.column(2)[i].values)
+        if held:
+            yield shared(last[0], held)
+
+    def shared(key: int, blocks: list[pa.StructArray]) -> pa.RecordBatch:
+        values = np.concatenate([b.field("fingerprint").to_numpy() for b in blocks])
+        _, group, members = np.unique(values, return_inverse=True, return_counts=True)
+        entries = pa.concat_arrays(blocks).filter(pa.array(members[group] > 1))
+        entries = entries.filter(entries.field("pid").is_valid())
+        found = _packed({"pid": (entries.field("pid"), pa.int64()), "begin": (entries.field("begin"), pa.int32())}, np.array([0, len(entries)]))
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), found], names=["key", "windows"])
+
+    slots = found.filter("slot IS NOT NULL").select("key", "slot", "classes").repartition("key", "slot").sortWithinPartitions("key", "slot")
+    windows = slots.mapInArrow(run, "key long, windows array<struct<pid:long,begin:int>>").select("key", F.explode("windows").alias("w"))
+    return windows.select("key", "w.pid", "w.begin", (F.col("w.begin") + length).alias("end"))
 
 
 def _arranged(pieces: DataFrame) -> DataFrame:
@@ -277,11 +336,8 @@ def find(stored: DataFrame, unit: Unit = Unit()) -> tuple[DataFrame, DataFrame]:
     same = written(scanned.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "same")
     places, distinct, dealt = _placed(stored, unit, scanned, same)
     found = written(_repeats(dealt, unit.window), "repeats")
-    inside = found.filter("length IS NOT NULL").select("key", "pid", "begin", (F.col("begin") + F.col("length")).alias("end"))
-    # classes that several blocks of one key have
-    crossing = found.filter("length IS NULL").groupBy("key", "fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    across = found.filter("pid IS NOT NULL AND length IS NULL").join(crossing, ["key", "fingerprint"], "left_semi").select(
-        "key", "pid", "begin", (F.col("begin") + unit.window).alias("end"))
+    inside = found.filter("slot IS NULL").select("key", "pid", F.explode("ranges").alias("r")).select("key", "pid", "r.begin", "r.end")
+    across = _across(found, unit.window)
     whole = distinct.filter("n > 1").select("key", "pid", F.lit(0).alias("begin"), (F.col("at.count") + unit.window - 1).alias("end"))
     marks = inside.unionByName(across).unionByName(whole)
     ranges = places.select("row", "start", "key", "pid").join(marks, ["key", "pid"]).select("row", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))

@@ -579,3 +579,26 @@ def test_items_without_ids_and_one_id_with_two_texts(spark):
     got = sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in containment.matches(docs, items).collect()), key=str)
     assert got == [(0, None, 26, 26), (1, None, 26, 26), (2, None, 26, 26), (3, 7, 26, 26), (4, 7, 26, 26), (5, 9, 26, 26)]
     assert [r.doc_id for r in containment.clean(docs, items).collect()] == [99]
+
+
+def test_repeats_of_a_large_group_are_rows_per_piece_and_slot(spark, monkeypatch):
+    """Near copies under one minimiser, dealt to several blocks: no row per window leaves a block, and all are found."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    common = "".join(rng.choices("abcdefghij", k=900))
+    texts = ["".join(rng.choices("klmnopqr", k=60)) + common[: 700 + i] + "".join(rng.choices("klmnopqr", k=60)) for i in range(120)]
+    monkeypatch.setattr(repeats, "BLOCK", 4 << 10)
+    stored = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    unit = repeats.Unit(1, 400)
+    scanned = repeats.written(repeats._scan(stored, unit), "scanned")
+    same = scanned.groupBy("sha").agg(F.min("row").alias("first"))
+    _, _, dealt = repeats._placed(stored, unit, scanned, same)
+    dealt = repeats.written(dealt, "dealt")
+    assert dealt.filter("dealt").select("lane").distinct().count() > 3
+    found = repeats._repeats(dealt, unit.window)
+    assert found.filter("slot IS NULL").count() <= dealt.count()
+    assert found.filter("slot IS NOT NULL").count() <= 256 * dealt.select("key", "lane").distinct().count()
+    assert found.filter("slot IS NOT NULL").select(F.explode("classes")).count() > found.count()
+    got = {r.doc_id: r.n_removed for r in repeats.spans(stored.withColumnRenamed("row", "doc_id")).collect()}
+    assert all(got[i] >= 700 + i - (i == 119) for i in range(119))
