@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemweave.plans.durable import written
+from stemweave.plans.durable import scratch, written
 
 
 def maximum_matching(pairs: DataFrame, keys: Sequence[str], start: DataFrame | None = None) -> DataFrame:
@@ -23,11 +23,18 @@ def maximum_matching(pairs: DataFrame, keys: Sequence[str], start: DataFrame | N
     are only as many as the longest open problem needs; problems without a free left or right take no part.
     """
     keys = list(keys)
-    pairs = written(pairs.select(*keys, "left", "right").distinct(), "pairs")
-    matched = written(_mutual(pairs, keys) if start is None else start.select(*keys, "left", "right"), "matched")
-    while (flips := _augment(pairs, matched, keys)) is not None:
-        kept = matched.join(flips.select(*keys, "left"), [*keys, "left"], "left_anti")
-        matched = written(kept.unionByName(flips), "matched")
+    spark = pairs.sparkSession
+    with scratch(spark) as tables:
+        pairs = written(pairs.select(*keys, "left", "right").distinct(), "pairs")
+        matched = written(_mutual(pairs, keys) if start is None else start.select(*keys, "left", "right"), "matched")
+        while True:
+            with scratch(spark) as phase:  # its layers go with it
+                flips = _augment(pairs, matched, keys)
+                if flips is None:
+                    break
+                kept = matched.join(flips.select(*keys, "left"), [*keys, "left"], "left_anti")
+                matched = phase.keep(written(kept.unionByName(flips), "matched"))
+        tables.keep(matched)
     return matched
 
 

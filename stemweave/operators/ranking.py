@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemweave.operators.matching import maximum_matching
-from stemweave.plans.durable import written
+from stemweave.plans.durable import scratch, written
 from stemweave.plans.skew import attach_groups, grouped_rank
 
 VIEW = ["model", "tree_id", "sample_id"]
@@ -134,23 +134,25 @@ def recommendation_metrics(df: DataFrame, adjacency: DataFrame, budgets: Sequenc
     segments are matched one to one with true ones that are the same or adjacent, as many as can be; a budget of a view
     is a matching problem of its own.
     """
-    truths = df.groupBy(*VIEW).agg(F.sum("label").alias("truth_cuts")).filter("truth_cuts > 0")
-    ranked = attach_groups(ranked_views(df.select(*VIEW, "segment_id", "label", "score")), truths, VIEW)
-    names = [*map(str, budgets), "b"]
-    slots = F.array(*[F.struct(F.lit(n).alias("slot"), size.cast("long").alias("size")) for n, size in zip(names, [*map(F.lit, budgets), F.col("truth_cuts")], strict=True)])
-    picked = ranked.withColumn("s", F.explode(slots)).filter("rank <= s.size").select(*VIEW, "truth_cuts", "s.slot", F.col("segment_id").alias("left"), "label")
-    picked = written(picked, "picked")
-    true = written(df.filter("label = 1").select(*VIEW, F.col("segment_id").alias("right")), "true")
-    problem = [*VIEW, "slot"]
-    exact = picked.filter("label = 1").select(*problem, "left", F.col("left").alias("right"))
-    near = picked.select(*problem, "left").join(adjacency.select("sample_id", F.col("src").alias("left"), F.col("dst").alias("right")), ["sample_id", "left"])
-    near = near.join(true, [*VIEW, "right"]).select(*problem, "left", "right")
-    matched = maximum_matching(exact.unionByName(near), problem, exact)
-    counts = picked.groupBy(*problem, "truth_cuts").agg(F.sum("label").alias("exact"))
-    hops = matched.groupBy(*problem).agg(F.count(F.lit(1)).alias("hop1"))
-    both = counts.join(hops, problem, "left").withColumn("hop1", F.coalesce("hop1", F.lit(0)))
-    at = lambda kind, name: F.sum(F.when(F.col("slot") == name, F.col(kind)).otherwise(0))
-    wide = both.groupBy(*VIEW, "truth_cuts").agg(*[at(kind, n).alias(f"{kind}_{n}") for kind in ("exact", "hop1") for n in names])
+    with scratch(df.sparkSession) as tables:
+        truths = df.groupBy(*VIEW).agg(F.sum("label").alias("truth_cuts")).filter("truth_cuts > 0")
+        # only views with a true segment are ranked
+        ranked = ranked_views(attach_groups(df.select(*VIEW, "segment_id", "label", "score"), truths, VIEW))
+        names = [*map(str, budgets), "b"]
+        slots = F.array(*[F.struct(F.lit(n).alias("slot"), size.cast("long").alias("size")) for n, size in zip(names, [*map(F.lit, budgets), F.col("truth_cuts")], strict=True)])
+        picked = ranked.withColumn("s", F.explode(slots)).filter("rank <= s.size").select(*VIEW, "truth_cuts", "s.slot", F.col("segment_id").alias("left"), "label")
+        picked = written(picked, "picked")
+        true = written(df.filter("label = 1").select(*VIEW, F.col("segment_id").alias("right")), "true")
+        problem = [*VIEW, "slot"]
+        exact = picked.filter("label = 1").select(*problem, "left", F.col("left").alias("right"))
+        near = picked.select(*problem, "left").join(adjacency.select("sample_id", F.col("src").alias("left"), F.col("dst").alias("right")), ["sample_id", "left"])
+        near = near.join(true, [*VIEW, "right"]).select(*problem, "left", "right")
+        matched = maximum_matching(exact.unionByName(near), problem, exact)
+        counts = picked.groupBy(*problem, "truth_cuts").agg(F.sum("label").alias("exact"))
+        hops = matched.groupBy(*problem).agg(F.count(F.lit(1)).alias("hop1"))
+        both = counts.join(hops, problem, "left").withColumn("hop1", F.coalesce("hop1", F.lit(0)))
+        at = lambda kind, name: F.sum(F.when(F.col("slot") == name, F.col(kind)).otherwise(0))
+        wide = tables.keep(written(both.groupBy(*VIEW, "truth_cuts").agg(*[at(kind, n).alias(f"{kind}_{n}") for kind in ("exact", "hop1") for n in names]), "wide"))
     share = lambda kind, n: F.col(f"{kind}_{n}") / F.col("truth_cuts")
     any_ = lambda kind, n: (F.col(f"{kind}_{n}") > 0).cast("double")
     return wide.select(
