@@ -5,15 +5,17 @@ Edges are rows ``(sample_id, segment_id, x0, y0, x1, y1)``; points are rows with
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemweave.functions.geometry import norm
+from stemweave.functions.geometry import EPSILON, norm
 from stemweave.plans.durable import written
-from stemweave.plans.grid import GROWTH, as_edges, crossings, nearest, nearest_within, within
+from stemweave.plans.grid import GROWTH, as_edges, crossings, met, nearest, nearest_within, parted, within
 from stemweave.plans.skew import attach_groups, running_totals
 
 S = ["sample_id"]
@@ -301,31 +303,65 @@ def map_cuts(cuts: DataFrame, edges: DataFrame, segments: DataFrame, cell: float
     return joined.select(*keys, status.alias("status"), n.alias("intersected"), m.alias("candidates"), F.when(status == "unique_candidate", F.col("candidate")).alias("suggested_segment_id"))
 
 
-def nearest_segments(lines: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
+def least_foot(ax0, ay0, ax1, ay1, x0, y0, x1, y1) -> np.ndarray:
+    """Least distance of an end of two segments to the other one, as ``project_point`` has it."""
+    def foot(px, py, qx, qy, rx, ry):
+        dx, dy = rx - qx, ry - qy
+        square = dx * dx + dy * dy
+        long = square > EPSILON
+        f = np.where(long, np.clip(((px - qx) * dx + (py - qy) * dy) / np.where(long, square, 1.0), 0.0, 1.0), 0.0)
+        u, v = px - (qx + f * dx), py - (qy + f * dy)
+        return np.sqrt(u * u + v * v)
+
+    line, edge = (ax0, ay0, ax1, ay1), (x0, y0, x1, y1)
+    return np.minimum.reduce([foot(*line[:2], *edge), foot(*line[2:], *edge), foot(*edge[:2], *line), foot(*edge[2:], *line)])
+
+
+def nearest_segments(lines: DataFrame, edges: DataFrame, radius: float, crossed: DataFrame | None = None) -> DataFrame:
     """(sample_id, cut_id, segment_id, distance): the segment nearest to every line ``(ax0, ay0, ax1, ay1)``, whole line against whole
     edge, the lowest id on ties (distances count to 1e-9); lines of samples without edges are left out.
 
-    The nearest points of two segments that don't cross are an end of one of them, so ends are searched within a
-    radius on both sides; lines without a hit go to the next, eight times wider round, as in ``nearest``.
+    The nearest points of two segments that don't cross are an end of one of them; ``crossed(sample_id, cut_id, segment_id)``
+    has those that do, if they are known. Where a sample has few edges, the ends of every pair are projected; elsewhere ends are searched within a radius on both sides, and lines without a hit go to the
+    next, eight times wider round, as in ``nearest``.
     """
     keys = ["sample_id", "cut_id"]
+    asked = written(lines.select(*keys, "ax0", "ay0", "ax1", "ay1"), "lines")
+    target = written(edges.select("sample_id", "segment_id", "x0", "y0", "x1", "y1"), "edges")
+    few, many = parted(asked, target, S)
+    if crossed is None:
+        crossed = crossings(asked, target, S, radius)
+    touched = crossed.select(*keys, F.lit(0.0).alias("distance"), "segment_id")
+    names = ["ax0", "ay0", "ax1", "ay1", "x0", "y0", "x1", "y1"]
+    kinds = ", ".join(f"{n} {t}" for n, t in few.join(target, "sample_id").select(*keys, "segment_id").dtypes)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [batch.column(3 + i).to_numpy(zero_copy_only=False) for i in range(8)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(least_foot(*ends), from_pandas=True)], names=[*keys, "segment_id", "distance"])
+
+    sides = met(few, target, S).select(*keys, "segment_id", *[F.col(n).cast("double").alias(n) for n in names])
+    pairs = sides.mapInArrow(apart, kinds + ", distance double").filter("distance IS NOT NULL").select(*keys, "distance", "segment_id")
+    # rounding goes through decimals, so pairs are ordered by a whole number of 1e-9 and only the least distance is rounded
+    order = F.struct(F.rint(F.col("distance") * 1e9).alias("step"), "segment_id")
+    best = lambda near: near.groupBy(*keys).agg(F.min(order).alias("b"), F.min("distance").alias("d")).select(*keys, "b.segment_id", F.round("d", 9).alias("distance"))
+    if many is None:
+        return best(pairs.unionByName(touched))
+    found = [best(pairs.unionByName(touched.join(many[0].select(*keys), keys, "left_anti")))]
     spots = F.explode(F.array(F.struct(F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.col("x1").alias("px"), F.col("y1").alias("py"))))
-    asked = lines.select(*keys, F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1"))
-    pending = written(asked.join(edges.select("sample_id").distinct(), "sample_id", "left_semi"), "lines")
-    ends = written(edges.withColumn("p", spots).select("sample_id", "segment_id", "p.px", "p.py").distinct(), "ends")
-    target = edges.select("sample_id", "segment_id", "x0", "y0", "x1", "y1")
-    crossed = crossings(lines, target, S, radius).select(*keys, F.lit(0.0).alias("distance"), "segment_id")
-    found: list[DataFrame] = []
+    target = written(many[1], "edges")
+    pending = many[0].select(*keys, F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1"))
+    pending = written(pending.join(target.select("sample_id").distinct(), "sample_id", "left_semi"), "lines")
+    ends = written(target.withColumn("p", spots).select("sample_id", "segment_id", "p.px", "p.py").distinct(), "ends")
+    near: DataFrame | None = touched.join(many[0].select(*keys), keys, "left_semi")
     while not pending.isEmpty():
         own = within(pending.withColumn("p", spots).select(*keys, "p.px", "p.py"), target, S, radius).select(*keys, "distance", "segment_id")
         other = within(ends, pending, S, radius).select(*keys, "distance", "segment_id")
-        near = own.unionByName(other) if found else own.unionByName(other).unionByName(crossed)
-        best = near.groupBy(*keys).agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "segment_id")).alias("b"))
-        hits = written(best.select(*keys, "b.segment_id", "b.distance"), "hits")
+        hits = written(best(own.unionByName(other) if near is None else own.unionByName(other).unionByName(near)), "hits")
         found.append(hits)
-        pending = written(pending.join(hits.select(*keys), keys, "left_anti"), "lines")
+        pending, near = written(pending.join(hits.select(*keys), keys, "left_anti"), "lines"), None
         radius *= GROWTH
-    return reduce(DataFrame.unionByName, found) if found else crossed.select(*keys, "segment_id", "distance").limit(0)
+    return reduce(DataFrame.unionByName, found)
 
 
 def label_cuts(cuts: DataFrame, edges: DataFrame, segments: DataFrame, radius: float, cell: float = 32.0) -> tuple[DataFrame, DataFrame]:
@@ -337,19 +373,38 @@ def label_cuts(cuts: DataFrame, edges: DataFrame, segments: DataFrame, radius: f
     segment the end farther along the normal, seen from the cut's middle, is pruned (the start on ties), and it is said
     whether that is its distal end.
     """
+    crossed = crossed_segments(cuts, edges, cell)
+    return match_cuts(cuts, edges, crossed, radius), check_cuts(cuts, segments, crossed)
+
+
+def crossed_segments(cuts: DataFrame, edges: DataFrame, cell: float = 32.0) -> DataFrame:
+    """(sample_id, cut_id, segment_id, intersections) of the segments that a cut crosses."""
+    keys = ["sample_id", "cut_id"]
+    lines = cuts.select(*keys, "ax0", "ay0", "ax1", "ay1")
+    hits = crossings(lines, edges.select("sample_id", "segment_id", "x0", "y0", "x1", "y1"), S, cell)
+    return written(hits.groupBy(*keys, "segment_id").agg(F.count(F.lit(1)).alias("intersections")), "crossed")
+
+
+def match_cuts(cuts: DataFrame, edges: DataFrame, crossed: DataFrame, radius: float) -> DataFrame:
+    """The first table of ``label_cuts``."""
     keys = ["sample_id", "cut_id"]
-    crossed = written(crossings(cuts, edges, S, cell).groupBy(*keys, "segment_id").agg(F.count(F.lit(1)).alias("intersections")), "crossed")
     count = crossed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    near = nearest_segments(cuts, edges, radius).withColumnRenamed("segment_id", "nearest_segment_id").withColumnRenamed("distance", "nearest_distance_px")
+    near = nearest_segments(cuts, edges, radius, crossed).withColumnRenamed("segment_id", "nearest_segment_id").withColumnRenamed("distance", "nearest_distance_px")
     n = F.coalesce("_n", F.lit(0))
     status = F.when(n == 1, "exact").when(n > 1, "ambiguous").otherwise("nonintersecting")
-    matches = cuts.select(*keys).join(count, keys, "left").join(near, keys, "left").select(*keys, status.alias("status"), n.alias("candidates"), "nearest_segment_id", "nearest_distance_px")
+    return cuts.select(*keys).join(count, keys, "left").join(near, keys, "left").select(*keys, status.alias("status"), n.alias("candidates"), "nearest_segment_id", "nearest_distance_px")
+
+
+def check_cuts(cuts: DataFrame, segments: DataFrame, crossed: DataFrame) -> DataFrame:
+    """The second table of ``label_cuts``, which needs no nearest segment."""
+    keys = ["sample_id", "cut_id"]
     middle = cuts.select(*keys, "nx", "ny", ((F.col("ax0") + F.col("ax1")) / 2).alias("mx"), ((F.col("ay0") + F.col("ay1")) / 2).alias("my"))
     dot = lambda end: F.col("nx") * (F.col(f"{end}_x") - F.col("mx")) + F.col("ny") * (F.col(f"{end}_y") - F.col("my"))
     checks = crossed.join(middle, keys).join(segments, ["sample_id", "segment_id"]).withColumns({"start_dot": dot("start"), "end_dot": dot("end")})
     pruned = F.when(F.col("start_dot") >= F.col("end_dot"), F.col("start_node")).otherwise(F.col("end_node"))
-    checks = checks.join(count.filter("_n = 1").select(*keys, F.lit(True).alias("_one")), keys, "left")
-    return matches, checks.select(*keys, "segment_id", "intersections", F.coalesce("_one", F.lit(False)).alias("exact"), "start_dot", "end_dot", pruned.alias("pruned_node"), (pruned == F.col("distal_node")).alias("direction_consistent"))
+    one = crossed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(*keys, F.lit(True).alias("_one"))
+    checks = checks.join(one, keys, "left")
+    return checks.select(*keys, "segment_id", "intersections", F.coalesce("_one", F.lit(False)).alias("exact"), "start_dot", "end_dot", pruned.alias("pruned_node"), (pruned == F.col("distal_node")).alias("direction_consistent"))
 
 
 # --- boxes, tiles, components ---------------------------------------------------------------------

@@ -105,3 +105,34 @@ def test_snapping_in_a_group_and_past_the_first_vertex(spark):
     assert snap() == {1: ("vertex", 0.0, 0.0), 2: ("vertex", 0.0, 0.0), 3: ("line", 40.0, 0.0)}
     assert snap(in_group=True) == {1: ("vertex", 0.0, 0.0), 2: ("none", 1.0, 1.0), 3: ("none", 40.0, 9.0)}
     assert snap(skip_first=True) == {1: ("vertex", 8.0, 0.0), 2: ("vertex", 8.0, 0.0), 3: ("line", 40.0, 0.0)}
+
+
+def test_keys_with_many_edges_take_the_grid(spark, monkeypatch):
+    """A key meets whole up to ``grid.WHOLE`` edges without a round of its own; beyond that the answers are the same."""
+    from stemweave.plans import grid
+
+    edges, points = scene(3)
+    e = spark.createDataFrame(edges + [(2, *x[1:]) for x in edges[:5]], EDGE)
+    p = spark.createDataFrame([(k, *q) for k in (1, 2) for q in points], "sample_id long, px double, py double")
+    tags, whole = [], grid.written
+    monkeypatch.setattr(grid, "written", lambda frame, tag="stage": tags.append(tag) or whole(frame, tag))
+    answer = lambda: {(r.sample_id, r.px, r.py, r.segment_id, r.distance) for r in nearest(p, e, ["sample_id"], 2.0, ["segment_id"]).collect()}
+    want = answer()
+    assert "hits" not in tags
+    monkeypatch.setattr(grid, "WHOLE", 10)
+    assert answer() == want and "hits" in tags
+    cuts = spark.createDataFrame([(k, f"c{i}", float(x), float(y), float(x + 30), float(y - 9)) for k in (1, 2) for i, (x, y) in enumerate(points)], "sample_id long, cut_id string, ax0 double, ay0 double, ax1 double, ay1 double")
+    found = lambda: {(r.sample_id, r.cut_id, r.segment_id, round(r.distance, 7)) for r in spatial.nearest_segments(cuts, e, 8.0).collect()}
+    far = found()
+    monkeypatch.setattr(grid, "WHOLE", 96)
+    assert found() == far and len(far) == 2 * len(points)
+
+
+def test_side_checks_search_no_nearest_segment(spark, monkeypatch):
+    from stemweave.catalog import all_queries
+
+    def no_search(*args, **kwargs):
+        raise AssertionError("the nearest segment is not asked for")
+
+    monkeypatch.setattr(spatial, "nearest_segments", no_search)
+    assert next(q.build for q in all_queries() if q.name == "cut_side_checks")(spark, "/root/testdata/sf0.001").count() > 0
