@@ -481,10 +481,12 @@ def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.monotonically_increasing_id().alias("row"))
     with scratch(docs.sparkSession) as tables:
         stored = tables.keep(written(whole, "docs")).withColumn("text", F.col("_row").getField(text_col))
-        rows, ranges = find(stored, unit)
+        with scratch(docs.sparkSession) as search:  # its tables go before the texts are cut
+            rows, ranges = find(stored, unit)
+            ranges = search.keep(written(ranges.distinct(), "ranges"))
+            gone = (F.col("copies") > 1) & (F.col("size") >= unit.length)
+            fate = tables.keep(search.keep(written(rows.filter(gone).select("row"), "gone")))
         cut = tables.keep(written(_cut(ranges, stored, unit, whole_characters=True).select("row", F.col("text").alias("rest")), "cut"))
-        gone = (F.col("copies") > 1) & (F.col("size") >= unit.length)
-        fate = tables.keep(written(rows.filter(gone).select("row"), "gone"))
     left = stored.join(fate, "row", "left_anti").join(cut, "row", "left")
     text = F.when(F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("text"))
     final = left.withColumn("_text", text).filter(F.col("rest").isNull() | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))

@@ -114,3 +114,24 @@ def test_a_clean_corpus_stays_as_it_is(spark, tmp_path):
     folder = stored(spark, tmp_path / "clean", rows, [prose(rnd, 20)])
     got = corpus_pipeline.run(spark, folder).select("doc_id", "text", F.size("token_ids").alias("n")).collect()
     assert sorted((r.doc_id, r.text) for r in got) == rows and np.all([r.n > 60 for r in got])
+
+
+def test_tables_of_the_search_are_gone_when_texts_are_cut(spark, monkeypatch):
+    import os
+
+    from stemweave.llm import repeats
+    from stemweave.plans.durable import shared_folder
+
+    folder, whole, left = shared_folder(spark), repeats._cut, []
+    before = set(os.listdir(folder))
+
+    def cut(*args, **kwargs):
+        left.extend(sorted({name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}))
+        return whole(*args, **kwargs)
+
+    monkeypatch.setattr(repeats, "_cut", cut)
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a b {passage} c d", 0), (2, f"e f {passage} g h", 0), (3, "alone", 5)]
+    got = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"), unit=repeats.words_of_length(51)).collect()}
+    assert got == {1: "a b  c d", 2: "e f  g h", 3: "alone"}
+    assert left == ["docs", "gone", "ranges"]
