@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stemweave.operators.graph import components, node_key
 from stemweave.plans.durable import written
-from stemweave.plans.grid import as_edges, nearest, nearest_within, within
+from stemweave.plans.grid import as_edges, nearest_of, nearest_within, within
 from stemweave.plans.skew import attach_groups, exact_quantiles, value_counts
 
 S = ["sample_id"]
@@ -64,11 +64,20 @@ def floating_components(pixels: DataFrame) -> DataFrame:
     return size.groupBy("sample_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest")).withColumn("floating", F.col("components") - 1)
 
 
+def _once(side: DataFrame) -> DataFrame:
+    """The pixels of a side, written for all that read them."""
+    return written(side.select(*PIXEL).distinct(), "pixels")
+
+
 def line_distances(pred: DataFrame, gt: DataFrame, radius: float = 4.0) -> DataFrame:
     """Nearest distance of every pixel to the other side: (sample_id, side, distance), written once."""
+    return _distances(_once(pred), _once(gt), radius)
+
+
+def _distances(pred: DataFrame, gt: DataFrame, radius: float = 4.0) -> DataFrame:
     def one(a: DataFrame, b: DataFrame, side: str) -> DataFrame:
-        spots = a.select("sample_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).distinct()
-        return nearest(spots, as_edges(b.select(*PIXEL).distinct()), S, radius, []).select("sample_id", F.lit(side).alias("side"), "distance")
+        spots = a.select("sample_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).filter("px IS NOT NULL AND py IS NOT NULL")
+        return nearest_of(spots, as_edges(b), S, radius, bare=True).select("sample_id", F.lit(side).alias("side"), "distance")
 
     return written(one(pred, gt, "pred").unionByName(one(gt, pred, "gt")), "distances")
 
@@ -83,7 +92,9 @@ def line_metrics(pred: DataFrame, gt: DataFrame, tolerance: float, distances: Da
     A sample with only one side scores 0; its Chamfer distance is the longer side of its image if
     ``images(sample_id, width, height)`` has it, else null.
     """
-    d = line_distances(pred, gt) if distances is None else distances
+    if distances is None:
+        pred, gt = _once(pred), _once(gt)
+    d = _distances(pred, gt) if distances is None else distances
     is_pred = F.col("side") == "pred"
     agg = d.groupBy("sample_id").agg(
         F.avg(F.when(is_pred, (F.col("distance") <= tolerance).cast("double"))).alias("precision"),
@@ -107,7 +118,9 @@ def line_metrics_sweep(pred: DataFrame, gt: DataFrame, tolerances: Sequence[floa
 
     The distances are found once; a sample's few (recall, precision) points are sorted in a row.
     """
-    d = line_distances(pred, gt) if distances is None else distances
+    if distances is None:
+        pred, gt = _once(pred), _once(gt)
+    d = _distances(pred, gt) if distances is None else distances
     is_pred = F.col("side") == "pred"
     aggs = []
     for t in tolerances:
@@ -127,7 +140,9 @@ def line_metrics_sweep(pred: DataFrame, gt: DataFrame, tolerances: Sequence[floa
 
 def hausdorff(pred: DataFrame, gt: DataFrame, percentile: float = 95.0, distances: DataFrame | None = None) -> DataFrame:
     """Percentile and maximum of the distances of both directions together; -1 with an empty side."""
-    d = line_distances(pred, gt) if distances is None else distances
+    if distances is None:
+        pred, gt = _once(pred), _once(gt)
+    d = _distances(pred, gt) if distances is None else distances
     counts = value_counts(d, S, "distance")
     q = exact_quantiles(counts, S, "distance", [percentile / 100.0], "q", weight="_n").select("sample_id", "q")
     top = d.groupBy("sample_id").agg(F.max("distance").alias("m"))

@@ -136,3 +136,13 @@ def test_side_checks_search_no_nearest_segment(spark, monkeypatch):
 
     monkeypatch.setattr(spatial, "nearest_segments", no_search)
     assert next(q.build for q in all_queries() if q.name == "cut_side_checks")(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_line_metrics_reads_its_pixels_once(spark, monkeypatch):
+    from stemweave.operators import pixels
+
+    tags, whole = [], pixels.written
+    monkeypatch.setattr(pixels, "written", lambda frame, tag="stage": tags.append(tag) or whole(frame, tag))
+    side = lambda rows: spark.createDataFrame(rows, "sample_id long, x long, y long")
+    row = pixels.line_metrics(side([(1, 0, 0), (1, 3, 4)]), side([(1, 0, 0)]), 2.0).collect()[0]
+    assert (row.precision, row.recall, row.chamfer) == (0.5, 1.0, 1.25) and tags == ["pixels", "pixels", "distances"]
