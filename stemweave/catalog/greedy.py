@@ -53,16 +53,11 @@ def _junctions(s, sf):
 
 
 def _detection(s, sf):
-    p, q = points(s, sf, 0), points(s, sf, 1)
-    from stemweave.plans.grid import as_edges, within
-
-    near = within(p.select("sample_id", c("point_id").alias("pred_id"), c("x").alias("px"), c("y").alias("py")), as_edges(q.withColumnRenamed("point_id", "gt_id")), ["sample_id"], 3.0)
-    n = boxes(s, sf).groupBy("sample_id").agg(F.count_if(c("label") == 0).alias("n_pred"), F.count_if(c("label") == 1).alias("n_gt"))
-    return rounded(greedy.branch_detection(near, n, 3.0))
+    return rounded(greedy.point_detection(points(s, sf, 0), points(s, sf, 1), 3.0))
 
 
 QUERIES = [
-    Query("nms", lambda s, sf: greedy.nms(boxes(s, sf), 0.5, 8.0).select("sample_id", "box_id")),
+    Query("nms", lambda s, sf: greedy.nms(boxes(s, sf).drop("label"), 0.5, 8.0).select("sample_id", "box_id")),
     Query("suppress_cross_class", lambda s, sf: greedy.suppress_cross_class(boxes(s, sf), 0.5, 8.0).select("sample_id", "box_id"),
           BX + "SELECT b.sample_id, b.box_id FROM b LEFT JOIN gn ON gn.sample_id = b.sample_id AND gn.l = b.box_id LEFT JOIN lost ON lost.sample_id = b.sample_id AND lost.f = b.box_id WHERE gn.l IS NULL AND lost.f IS NULL"),
     Query("sparsify", lambda s, sf: greedy.sparsify(all_points(s, sf).drop("label"), 4.0, 20).select("sample_id", "point_id")),

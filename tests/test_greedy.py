@@ -135,3 +135,44 @@ def test_short_paths_link_junctions_off_the_trunk(spark):
     seg = spark.createDataFrame([(1, 1, 2, 48.0), (1, 2, 3, 20.0), (1, 4, 5, 20.0), (1, 4, 6, 48.5), (1, 6, 1, 30.0)], "sample_id long, start_node long, end_node long, length_px double")
     # 3 is on the trunk, 5 has four arms, and 4 - 6 is too long
     assert {r.node_id: r.cluster_id for r in clusters.cluster_junctions(j, seg, 3.0).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
+
+
+def test_samples_that_fit_a_task_need_no_rounds(spark, monkeypatch):
+    """Whole samples give what the rounds give, without a pair or a round; big samples and missing values take the rounds."""
+    boxes = spark.createDataFrame(random_boxes(200, 3) + [(0, 900 + i, 1.0, 1.0, 9.0, 9.0, 0.5, 0) for i in range(3)], SCHEMA)
+    rng = np.random.default_rng(11)
+    schema = "sample_id long, point_id long, x double, y double"
+    sides = [spark.createDataFrame([(int(i % 3) if side else int(i % 4), i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 25, (120, 2)))], schema) for side in (0, 1)]
+    asked = {
+        "nms": lambda: greedy.nms(boxes, 0.4, 16.0).select("sample_id", "box_id"),
+        "sparsify": lambda: greedy.sparsify(sides[0], 5.0),
+        "limited": lambda: greedy.sparsify(sides[0], 3.0, 4),
+        "match": lambda: greedy.match_points(*sides, 4.0),
+        "detection": lambda: greedy.point_detection(*sides, 4.0),
+    }
+    rows = lambda: {n: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in q().collect()) for n, q in asked.items()}
+    with monkeypatch.context() as m:
+        for name in ("keep_strongest", "mutual_match", "within", "box_pairs"):
+            m.setattr(greedy, name, None)
+        whole = rows()
+    with monkeypatch.context() as m:
+        m.setattr(greedy, "WHOLE", 45)
+        m.setattr(greedy, "MEET", 65)
+        assert rows() == whole
+    odd = sides[0].unionByName(spark.createDataFrame([(0, 500, None, 3.0), (0, 501, float("nan"), 3.0), (None, 502, 1.0, 1.0)], schema))
+    assert {r.point_id for r in greedy.sparsify(odd, 5.0).collect()} == {r[1] for r in whole["sparsify"]} | {500, 501}
+    pairs = {r.sample_id: (r.pred_points, r.matched) for r in greedy.match_points(odd, sides[1], 4.0).collect()}
+    assert pairs == {s: (n + 2 * (s == 0), k) for s, n, _, k, *_ in whole["match"]} | {None: (1, 0)}
+
+
+def test_groups_of_any_length_are_whole():
+    import pyarrow as pa
+
+    from stemweave.plans.slices import whole_runs
+
+    key = np.repeat(np.arange(9), [1, 5, 1, 23, 2, 2, 11, 1, 4])
+    table = pa.table({"k": [f"g{k}" for k in key], "v": np.arange(len(key))})
+    for size in (1, 3, 7, 100):
+        seen = [(t["k"][int(a)].as_py(), t["v"][int(a):int(b)].to_pylist()) for t, cut in whole_runs(iter(table.to_batches(size)), ["k"]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        assert seen == [(f"g{k}", np.flatnonzero(key == k).tolist()) for k in range(9)]
+    assert list(whole_runs(iter([]), ["k"])) == []
