@@ -17,7 +17,7 @@ from stemweave.functions.geometry import linear_chain, norm
 from stemweave.plans.durable import written
 from stemweave.plans.fixpoint import fixpoint, rounds
 from stemweave.plans.skew import attach_groups, running_totals
-from stemweave.plans.slices import local_chains, local_labels, sliced
+from stemweave.plans.slices import LIMIT, fit_whole, in_tasks, local_chains, local_labels, local_owners, sliced
 
 S = ["sample_id"]
 # fixed values: coordinates are packed with 22 bits each and must stay below 2^20 in size
@@ -466,6 +466,24 @@ def assign_owners(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, max_ro
 
     ``anchors(sample_id, node_id, owner)``.
     """
+    none = F.lit(None).cast(anchors.schema["owner"].dataType)
+    rows = nodes.select("sample_id", F.lit(0).alias("kind"), F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst"), none.alias("owner"))
+    rows = rows.unionByName(edges.select("sample_id", F.lit(1).alias("kind"), "src", "dst", none.alias("owner")))
+    rows = rows.unionByName(anchors.select("sample_id", F.lit(2).alias("kind"), F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst"), "owner"))
+    rows = written(rows, "owned")
+    odd = F.col("src").isNull() | ((F.col("kind") == 1) & F.col("dst").isNull()) | ((F.col("kind") == 2) & F.col("owner").isNull())
+    few, many = fit_whole(rows, ["sample_id"], LIMIT, odd)
+    types = dict(rows.dtypes)
+    schema = f"sample_id {types['sample_id']}, node_id long, owner {types['owner']}, hops long"
+    found = in_tasks(few, ["sample_id"], [F.col("kind"), F.col("src")], local_owners, schema)
+    if many is None:
+        return found
+    part = lambda kind: many.filter(F.col("kind") == kind)
+    return found.unionByName(_owners_by_rounds(part(0).withColumnRenamed("src", "node_id"), part(1), part(2).withColumnRenamed("src", "node_id"), max_rounds))
+
+
+def _owners_by_rounds(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, max_rounds: int | None) -> DataFrame:
+    """``assign_owners`` of samples of any size: owners spread by a hop a round."""
     hops = written(half_edges(edges.select("sample_id", "src", "dst")), "hops")
     seeds = anchors.groupBy("sample_id", "node_id").agg(F.min("owner").alias("owner")).withColumn("hops", F.lit(0).cast("long"))
     start = nodes.select("sample_id", "node_id").join(seeds, ["sample_id", "node_id"], "left")

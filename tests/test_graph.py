@@ -149,3 +149,23 @@ def test_registered_is_dag_reads_every_group(spark):
         want[sample] = not left
     build = next(q.build for q in all_queries() if q.name == "is_dag")
     assert {r.sample_id: r.is_dag for r in build(spark, sf).collect()} == want
+
+
+def test_owners_of_whole_samples_need_no_rounds(spark, monkeypatch):
+    """Owners found in tasks are those of the rounds: ties, lone nodes, samples without an anchor, anchors off the graph."""
+    rng = np.random.default_rng(8)
+    edges = sorted({(int(i % 4), *sorted(map(int, e))) for i, e in enumerate(rng.integers(0, 60, (160, 2))) if e[0] != e[1]})
+    nodes = sorted({(s, v) for s, a, b in edges for v in (a, b)} | {(1, 777), (9, 5)})
+    anchors = [(int(s), int(v), f"o{k}") for k, (s, v) in enumerate(zip(rng.integers(0, 3, 12), rng.integers(0, 60, 12), strict=True))] + [(0, 999, "a"), (7, 1, "z")]
+    frames = (
+        spark.createDataFrame(nodes, "sample_id long, node_id long"),
+        spark.createDataFrame(edges, "sample_id long, src long, dst long"),
+        spark.createDataFrame(anchors, "sample_id long, node_id long, owner string"),
+    )
+    rows = lambda: sorted((r.sample_id, r.node_id, r.owner or "", -1 if r.owner is None else r.hops) for r in graph.assign_owners(*frames).collect())
+    with monkeypatch.context() as m:
+        m.setattr(graph, "fixpoint", None)
+        whole = rows()
+    monkeypatch.setattr(graph, "LIMIT", 0)
+    assert rows() == whole
+    assert (1, 777, "", -1) in whole and (9, 5, "", -1) in whole and len(whole) == len(nodes) and any(h > 1 for *_, h in whole)
