@@ -52,3 +52,16 @@ def test_attach_groups_keeps_unmatched_rows(spark):
     rows = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "k int, v int")
     groups = spark.createDataFrame([(1, "a")], "k int, name string")
     assert sorted(attach_groups(rows, groups, ["k"], "left").collect()) == [(1, 10, "a"), (1, 11, "a"), (2, 12, None)]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    from stemweave.plans.durable import CLEANUP, written
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    table = written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert sorted(map(tuple, table.collect()))[:2] == [(0, 143), (1, 143)]
+    assert shuffled() <= before and spark.conf.get(CLEANUP, None) == setting
