@@ -4,12 +4,15 @@ A group is a sample and a group id; its nodes are pixel keys, its edges ``(sampl
 ``src < dst``. Whatever the shape of a tree (a path of any length, a star, both), every step takes a number of
 rounds that grows with the logarithm of its size: forests grow by joining trees, a tree is oriented along its Euler
 tour, and what adds up along root paths is found by pointer doubling. Rows that have reached their root leave the rounds.
+Groups that fit a task (``slices.LIMIT``) are solved there, all that a task holds together, without rounds between tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from stemweave.operators import graph
 from stemweave.plans.durable import written
 from stemweave.plans.grid import as_edges, nearest
 from stemweave.plans.skew import running_totals
+from stemweave.plans.slices import LIMIT, fit_whole, in_tasks, local_blocks, local_forest, local_paths, local_search
 
 G = ["sample_id", "group_id"]
 c = F.col
@@ -31,6 +35,37 @@ def group_nodes(edges: DataFrame, keys: Sequence[str] = G) -> DataFrame:
     return edges.select(*keys, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
 
+def _odd(*ends: str) -> Column:
+    """Edges that a task is not given: without one of their ends, or not from the smaller to the larger node."""
+    a, b = (c(e) for e in ends)
+    return a.isNull() | b.isNull() | (a >= b)
+
+
+def _types(df: DataFrame, keys: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+
+def most(a, b):
+    """The larger one, of columns or of arrays."""
+    return F.greatest(a, b) if isinstance(a, Column) else np.maximum(a, b)
+
+
+def least(a, b):
+    return F.least(a, b) if isinstance(a, Column) else np.minimum(a, b)
+
+
+def _searched(edges: DataFrame, roots: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(keys, node_id, depth, parent) of the groups that fit a task, and edges and roots of the others, if there are any."""
+    rows = edges.select(*keys, F.lit(0).alias("kind"), "src", "dst").unionByName(roots.select(*keys, F.lit(1).alias("kind"), c("node_id").alias("src"), c("node_id").alias("dst")))
+    rows = written(rows, "searched")
+    few, many = fit_whole(rows, keys, LIMIT, c("src").isNull() | ((c("kind") == 0) & _odd("src", "dst")))
+    found = in_tasks(few, keys, [c("kind"), c("src")], local_search(keys), f"{_types(rows, keys)}, node_id long, depth long, parent long")
+    if many is None:
+        return found, None
+    return found, (many.filter("kind = 0").select(*keys, "src", "dst"), many.filter("kind = 1").select(*keys, c("src").alias("node_id")))
+
+
 def spanning_forest(edges: DataFrame, keys: Sequence[str] = G) -> DataFrame:
     """The edges of the minimum spanning forest of every group, by (length, src, dst).
 
@@ -38,7 +73,14 @@ def spanning_forest(edges: DataFrame, keys: Sequence[str] = G) -> DataFrame:
     another one; trees joined by these edges become one, so their number halves at least in a round.
     """
     keys = list(keys)
-    named = edges.select(*keys, "src", "dst").distinct().withColumn("w", edge_length(c("src"), c("dst")))
+    named = written(edges.select(*keys, "src", "dst").withColumn("w", edge_length(c("src"), c("dst"))), "weighted")
+    few, many = fit_whole(named, keys, LIMIT, _odd("src", "dst"))
+    found = in_tasks(few, keys, [c("w"), c("src"), c("dst")], local_forest(keys), f"{_types(named, keys)}, src long, dst long")
+    return found if many is None else found.unionByName(_forest_by_rounds(many.distinct(), keys))
+
+
+def _forest_by_rounds(named: DataFrame, keys: list[str]) -> DataFrame:
+    """``spanning_forest`` of groups of any size."""
     named = written(named, "weighted")
     nodes = group_nodes(named, keys)
     labels = written(graph.components(nodes, named, keys), "labels")
@@ -67,7 +109,9 @@ def spanning_forest(edges: DataFrame, keys: Sequence[str] = G) -> DataFrame:
 
 def oriented(forest: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -> DataFrame:
     """(keys, node_id, parent) of every node of the trees that hold a root; the parent of a root is null."""
-    return toured(forest, roots, keys).select(*keys, "node_id", "parent")
+    found, many = _searched(forest, roots, list(keys))
+    found = written(found.select(*keys, "node_id", "parent"), "parents")
+    return found if many is None else found.unionByName(toured(*many, keys).select(*keys, "node_id", "parent"))
 
 
 def toured(forest: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -> DataFrame:
@@ -116,18 +160,29 @@ def toured(forest: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -> Data
 
 
 def along_root_paths(
-    parents: DataFrame, start: Mapping[str, Column], merge: Callable[[Callable[[str], Column], Callable[[str], Column]], Mapping[str, Column]], keys: Sequence[str] = G
+    parents: DataFrame, start: Mapping[str, Column], merge: Callable[[Callable[[str], Column], Callable[[str], Column]], Mapping[str, Column]], keys: Sequence[str] = G,
+    arrays: bool = False,
 ) -> DataFrame:
     """Aggregates over the path from the root to every node, both included.
 
     ``parents(keys, node_id, parent, ...)`` is a table of trees, ``start`` the values of a single node, and ``merge`` gives
     the values of a path from those of its upper and its lower part (functions from a name to its column), which has to
     be associative. A row knows the part from below ``up`` to its node; a round puts the part that ends at ``up``
-    before it, so parts double. Rows whose part begins at the root are done and only looked up.
+    before it, so parts double. Rows whose part begins at the root are done and only looked up. Where ``merge`` takes ``arrays`` as
+    well as columns, groups that fit a task double there.
     """
     keys = list(keys)
     names = list(start)
     state = written(parents.select(*keys, "node_id", c("parent").alias("up"), *[start[n].alias(n) for n in names]), "paths")
+    if arrays:
+        few, many = fit_whole(state, keys, LIMIT, reduce(Column.__or__, [c(n).isNull() for n in ["node_id", *names]]))
+        found = in_tasks(few, keys, [c("node_id")], local_paths(keys, names, merge), _types(state, [*keys, "node_id", *names]))
+        return found if many is None else found.unionByName(_paths_by_rounds(many, merge, names, keys))
+    return _paths_by_rounds(state, merge, names, keys)
+
+
+def _paths_by_rounds(state: DataFrame, merge: Callable, names: list[str], keys: list[str]) -> DataFrame:
+    """``along_root_paths`` of groups of any size."""
     while True:
         moving = state.filter("up IS NOT NULL")
         if moving.isEmpty():
@@ -167,7 +222,7 @@ def hierarchy_levels(groups: DataFrame, spacing: float = 3.0, most: int = 3) ->
     labels = graph.components(group_nodes(edges), edges, G)
     parents = oriented(forest, _roots_by(first_positions(groups), labels, ["pos"]))
     forks = parents.join(tree_degrees(forest), [*G, "node_id"], "left").withColumn("fork", (F.coalesce("degree", F.lit(0)) >= 3).cast("long"))
-    counted = along_root_paths(forks, {"forks": c("fork"), "own": c("fork")}, lambda up, low: {"forks": up("forks") + low("forks"), "own": low("own")})
+    counted = along_root_paths(forks, {"forks": c("fork"), "own": c("fork")}, lambda up, low: {"forks": up("forks") + low("forks"), "own": low("own")}, arrays=True)
     lower = parents.filter("parent IS NOT NULL").join(counted, [*G, "node_id"])
     n = F.greatest(F.ceil(edge_length(c("parent"), c("node_id")) / spacing), F.lit(1)).cast("long")
     xy = lambda f: (f(c("parent")).cast("double"), f(c("node_id")).cast("double"))
@@ -206,8 +261,9 @@ def group_diagnostics(groups: DataFrame) -> DataFrame:
     fork = (c("degree") >= 3).cast("long")
     walked = along_root_paths(
         full, {"forks": fork, "high": c("trunk_px"), "low": c("trunk_px"), "fall": F.lit(0.0)},
-        lambda up, low: {"forks": up("forks") + low("forks"), "high": F.greatest(up("high"), low("high")), "low": F.least(up("low"), low("low")),
-                         "fall": F.greatest(up("fall"), low("fall"), up("high") - low("low"))},
+        lambda up, low: {"forks": up("forks") + low("forks"), "high": most(up("high"), low("high")), "low": least(up("low"), low("low")),
+                         "fall": most(most(up("fall"), low("fall")), up("high") - low("low"))},
+        arrays=True,
     )
     deep = walked.groupBy(*G).agg(F.max("forks").alias("fork_depth"), F.max("fall").alias("max_return_to_trunk_px"))
     # directions of the children of forks; one text names the group, as the angles are found per sample
@@ -249,6 +305,13 @@ def breadth_first(edges: DataFrame, roots: DataFrame, keys: Sequence[str] = G) -
     there are forks on a path; inside a chain the depth follows from both ends.
     """
     keys = list(keys)
+    found, many = _searched(edges, roots, keys)
+    return found if many is None else found.unionByName(_breadth_by_rounds(*many, keys))
+
+
+def _breadth_by_rounds(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """``breadth_first`` of groups of any size."""
+    edges = edges.distinct()
     key = F.to_json(F.struct(*keys))
     labels = graph.components(group_nodes(edges, keys), edges, keys)
     held = labels.join(roots, [*keys, "node_id"], "left_semi").select(*keys, "component_id").distinct()
@@ -313,8 +376,16 @@ def blocks(edges: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     smallest lower end.
     """
     keys = list(keys)
-    edges = written(edges.select(*keys, "src", "dst").distinct(), "edges")
-    forest = written(spanning_forest(edges, keys), "forest")
+    edges = written(edges.select(*keys, "src", "dst"), "edges")
+    few, many = fit_whole(edges, keys, LIMIT, _odd("src", "dst"))
+    found = in_tasks(few, keys, [c("src"), c("dst")], local_blocks(keys), f"{_types(edges, keys)}, src long, dst long, block long, size long")
+    return found if many is None else found.unionByName(_blocks_by_rounds(many.distinct(), keys))
+
+
+def _blocks_by_rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``blocks`` of groups of any size."""
+    edges = written(edges, "edges")
+    forest = written(_forest_by_rounds(edges.withColumn("w", edge_length(c("src"), c("dst"))), keys), "forest")
     labels = graph.components(group_nodes(edges, keys), edges, keys)
     tree = toured(forest, labels.filter("node_id = component_id").select(*keys, "node_id"), keys)
     when = tree.select(*keys, "node_id", "enter", "leave")

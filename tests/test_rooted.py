@@ -225,3 +225,21 @@ def test_trunk_cycles(spark):
     assert {(r.src, r.dst): r.kind for r in kinds.collect()} == {(0, 1): "trunk", (1, 2): "branch", (2, 3): "branch", (0, 3): "branch"}
     assert [(r.cluster_id, r.shared_nodes) for r in mapped.collect()] == [(7, 2)]
     assert sorted(map(tuple, stats.collect())) == [(1, 1, 1, 0), (2, 0, 0, 0)]
+
+
+def test_groups_that_fit_a_task_are_solved_as_by_rounds(spark, monkeypatch):
+    """Without rounds; with a limit of one row the same results come from the rounds."""
+    groups = spark.createDataFrame(random_groups(7, n=8), GROUP)
+    edges = graph.build_graph(groups)[1].select("sample_id", "src", "dst")
+    edges = edges.unionByName(edges.limit(3))
+
+    def results():
+        frames = [rooted.blocks(edges), rooted.hierarchy_levels(groups), rooted.group_diagnostics(groups), rooted.directed_topology(groups)]
+        return [sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in f.collect()), key=str) for f in frames]
+
+    with monkeypatch.context() as only:
+        for name in ("_forest_by_rounds", "_paths_by_rounds", "_breadth_by_rounds", "_blocks_by_rounds", "toured"):
+            only.setattr(rooted, name, None)
+        got = results()
+    monkeypatch.setattr(rooted, "LIMIT", 1)
+    assert got == results() and all(got)
