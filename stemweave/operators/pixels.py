@@ -189,7 +189,7 @@ def coverage(line: DataFrame, edges: DataFrame, wide: float = 24.0, tight: float
     ``line(sample_id, component_label, x, y)``.
     """
     spots = line.select("sample_id", "component_label", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    hit = nearest_within(spots, edges, S, wide, []).select("sample_id", "px", "py", "distance")
+    hit = nearest_within(spots, edges.select(*S, "x0", "y0", "x1", "y1").distinct(), S, wide, [], bare=True)
     seen = attach_groups(spots, hit, ["sample_id", "px", "py"], "left")
     per = seen.groupBy("sample_id", "component_label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") <= wide).alias("w"), F.count_if(F.col("distance") <= tight).alias("t"))
     return per.groupBy("sample_id").agg(

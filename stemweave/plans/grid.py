@@ -136,17 +136,18 @@ def _sides(points: DataFrame, edges: DataFrame, keys: Sequence[str], used: Seque
 
 
 def nearest_within(
-    points: DataFrame, edges: DataFrame, keys: Sequence[str], radius: float, order: Sequence[str], carry: Sequence[str] = ()
+    points: DataFrame, edges: DataFrame, keys: Sequence[str], radius: float, order: Sequence[str], carry: Sequence[str] = (), bare: bool = False
 ) -> DataFrame:
     """The nearest edge within ``radius`` per (keys, px, py); equal distances by ``order``.
 
-    Result: keys, px, py, distance, ``order`` and ``carry`` columns of the edge, fx, fy, fraction.
+    Result: keys, px, py, distance, ``order`` and ``carry`` columns of the edge, fx, fy, fraction; ``bare`` leaves only the distance,
+    whose minimum needs no sorting of the pairs.
     """
     used = list(dict.fromkeys([*order, *carry]))
     spots, target = _sides(points, edges, keys, used)
     few, many = parted(spots, target, keys)
-    found = _whole(few, target, keys, radius, used, False)
-    return found if many is None else found.unionByName(_closest(within(*many, keys, radius), keys, used, False))
+    found = _whole(few, target, keys, radius, used, bare)
+    return found if many is None else found.unionByName(_closest(within(*many, keys, radius), keys, used, bare))
 
 
 def nearest(

@@ -146,3 +146,13 @@ def test_line_metrics_reads_its_pixels_once(spark, monkeypatch):
     side = lambda rows: spark.createDataFrame(rows, "sample_id long, x long, y long")
     row = pixels.line_metrics(side([(1, 0, 0), (1, 3, 4)]), side([(1, 0, 0)]), 2.0).collect()[0]
     assert (row.precision, row.recall, row.chamfer) == (0.5, 1.0, 1.25) and tags == ["pixels", "pixels", "distances"]
+
+
+def test_coverage_takes_minima_without_sorting_pairs(spark):
+    from stemweave.operators import pixels
+
+    line = spark.createDataFrame([(1, 0, x, 0) for x in range(40)], "sample_id long, component_label long, x long, y long")
+    edges = spark.createDataFrame([(1, 0.0, 3.0, 9.0, 3.0)] * 200, "sample_id long, x0 double, y0 double, x1 double, y1 double")
+    found = pixels.coverage(line, edges, 12.0, 4.0, 10)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 21 / 40, 12 / 40, 1)]
