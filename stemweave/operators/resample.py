@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -24,11 +24,19 @@ PART, LANE = 1024, 4096
 
 def draws(spark: SparkSession, size: int, n: int, seed: int) -> DataFrame:
     """How often each of the trees 0, ..., ``size``-1 is drawn in each of ``n`` resamples: (part, times), times a list of
-    (block, times) with the counts of a block of resamples for the part's trees, 16 bits each, tree after tree.
+    (block, times) as in ``_block_draws``."""
+    return _block_draws(spark, size, n, seed).groupBy("part").agg(F.collect_list(F.struct("block", "times")).alias("times"))
+
+
+def _block_draws(spark: SparkSession, size: int, n: int, seed: int, lanes: Mapping[int, int] | None = None) -> DataFrame:
+    """(part, lane, block, times): the counts of a block of resamples for the part's trees, 16 bits each, tree after tree, once
+    for each of the part's ``lanes`` (one if it has no number there).
 
     A task draws a block of resamples at a time and counts them by tree in one array, so no row per draw arises: a
-    resample slot is hashed and counted where it is. The more trees, the fewer resamples are in a block.
+    resample slot is hashed and counted where it is. The more trees, the fewer resamples are in a block. A plan can't see how
+    long the rows are: join them by a shuffle.
     """
+    lanes = lanes or {}
     width = max(1, min(HELD // max(size, 1), -(-n // max(8, spark.sparkContext.defaultParallelism))))
     blocks = -(-n // width)
 
@@ -42,10 +50,11 @@ def draws(spark: SparkSession, size: int, n: int, seed: int) -> DataFrame:
                 for begin in range(0, size, 64 * PART):
                     times = [np.ascontiguousarray(counts[:, i : i + PART].T).tobytes() for i in range(begin, min(begin + 64 * PART, size), PART)]
                     parts = np.arange(len(times)) + begin // PART
-                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([block] * len(times), pa.int64()), pa.array(times, pa.binary())], names=["part", "block", "times"])
+                    for lane in range(max([1, *[lanes.get(p, 1) for p in parts.tolist()]])):
+                        own = [i for i, p in enumerate(parts.tolist()) if lane < lanes.get(p, 1)]
+                        yield pa.RecordBatch.from_arrays([pa.array(parts[own]), pa.array([lane] * len(own), pa.int64()), pa.array([block] * len(own), pa.int64()), pa.array([times[i] for i in own], pa.binary())], names=["part", "lane", "block", "times"])
 
-    counted = spark.range(0, blocks if size else 0, 1, max(1, blocks)).mapInArrow(run, "part long, block long, times binary")
-    return counted.groupBy("part").agg(F.collect_list(F.struct("block", "times")).alias("times"))
+    return spark.range(0, blocks if size else 0, 1, max(1, blocks)).mapInArrow(run, "part long, lane long, block long, times binary")
 
 
 def _times(blocks: list[dict], trees: int) -> np.ndarray:
@@ -72,7 +81,7 @@ def tree_draws(trees: DataFrame, key: str, n: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own), rows], names=["_index", "times"])
 
     whole = draws(trees.sparkSession, size, n, seed).mapInArrow(run, "_index long, times array<smallint>")
-    return whole.join(indexed, "_index").select(key, "times")
+    return whole.hint("merge").join(indexed, "_index").select(key, "times")
 
 
 def _interval(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -95,9 +104,9 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "tree_id", by: Sequence[str] = ("model",)) -> DataFrame:
     """Intervals of average precision and AUROC when trees are resampled.
 
-    A part of the trees brings one matrix of multiplicities. Rows are counted per (tree, score), the counts of a part meet its
-    matrix once and give a vector per score, summed first inside each task; a tree with very many scores has them in several
-    lanes. Scores are then cut into ranges; a range needs of the scores above it only their sum, one vector a range, to add
+    A part of the trees brings one matrix of multiplicities. The rows of a part meet its matrix once, in order of their trees, and
+    give a vector per score, summed first inside each task; a tree with very many rows has them counted per score, in several lanes.
+    Scores are then cut into ranges; a range needs of the scores above it only their sum, one vector a range, to add
     up its share of the areas of all n resamples. No row per resample arises before the areas themselves.
     """
     with scratch(df.sparkSession) as tables:
@@ -107,40 +116,57 @@ def cluster_bootstrap(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "
 
 def _ranged_sums(df: DataFrame, n: int, seed: int, key: str, by: list[str]) -> DataFrame:
     """(grp, score, n, pos, part): rows and positives of each score as vectors over the resamples, in ranges of falling score."""
-    group = F.struct(*by)
-    counts = df.groupBy(*by, key, "score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("pos"))
-    counts = written(counts, "counts")
-    trees = counts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = written(df.select(*by, key, "score", "label"), "rows")
+    trees = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.count("label").alias("_known"))
     indexed = written(_indexed(trees, key), "indexed")
     size = indexed.count()
-    lane = F.pmod(F.hash("score"), F.ceil(F.col("_rows") / LANE))
-    entry = F.struct(F.to_json(group).alias("grp"), "score", (F.col("_index") % PART).alias("at"), "n", "pos")
-    entries = counts.join(indexed, key).groupBy(F.floor(F.col("_index") / PART).alias("part"), lane.alias("lane")).agg(F.collect_list(entry).alias("entries"))
-    dealt = entries.join(draws(df.sparkSession, size, n, seed), "part")
+    part, many = F.floor(F.col("_index") / PART).alias("part"), (F.col("_rows") > LANE) | (F.col("_known") < F.col("_rows"))
+    lanes = indexed.filter(many).groupBy(part).agg(F.ceil(F.max("_rows") / LANE).alias("lanes")).filter("lanes > 1").collect()
+    placed = rows.join(indexed, key)
+    ones = placed.filter(~many).select(*by, "_index", F.lit(0).alias("lane"), "score", F.lit(1.0).alias("n"), F.col("label").cast("double").alias("pos"))
+    amounts = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("pos")]
+    counts = placed.filter(many).groupBy(*by, "_index", "_rows", "score").agg(*amounts)
+    counts = counts.select(*by, "_index", F.pmod(F.hash("score"), F.ceil(F.col("_rows") / LANE)).alias("lane"), "score", "n", "pos")
+    entries = (ones.unionByName(counts) if indexed.filter(many).limit(1).count() else ones).select(
+        part, F.col("lane").cast("long"), F.lit(1).alias("kind"), (F.col("_index") % PART).alias("at"), F.lit(None).cast("binary").alias("times"), F.to_json(F.struct(*by)).alias("grp"), "score", "n", "pos")
+    drawn = _block_draws(df.sparkSession, size, n, seed, {r["part"]: r["lanes"] for r in lanes}).select(
+        "part", "lane", F.lit(0).alias("kind"), F.col("block").alias("at"), "times", *[F.lit(None).cast(t).alias(c) for c, t in (("grp", "string"), ("score", "double"), ("n", "double"), ("pos", "double"))])
+    # a row of draws is long and means much work, so tasks are not merged by their bytes
+    deal = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 * PART)))
+    dealt = drawn.unionByName(entries).repartition(deal, "part", "lane").sortWithinPartitions("part", "lane", "kind", "at")
     sums = "grp string, score double, n array<double>, pos array<double>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
+        here, blocks, times = None, [], None
         for batch in batches:
-            for i, part in enumerate(batch.column(0).to_pylist()):
-                grp, score, *rest = batch.column(1)[i].values.flatten()
-                at, *weight = (c.to_numpy() for c in rest)
-                times = _times(batch.column(2)[i].as_py(), min(PART, size - part * PART)).astype(np.float64)
-                codes: dict[tuple, int] = {}
-                code = np.array([codes.setdefault(k, len(codes)) for k in zip(grp.to_pylist(), score.to_pylist(), strict=True)], dtype=np.int64)
+            place = [batch.column(i).to_numpy() for i in (0, 1)]
+            bounds = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([p[1:] != p[:-1] for p in place])) + 1, [batch.num_rows]])
+            for begin, end in itertools.pairwise(bounds.tolist()):
+                if here != (here := (place[0][begin], place[1][begin])):
+                    blocks, times = [], None
+                first = begin + int(np.searchsorted(batch.column(2).to_numpy()[begin:end], 1))
+                blocks += [{"block": b, "times": t} for b, t in zip(batch.column(3)[begin:first].to_pylist(), batch.column(4)[begin:first].to_pylist(), strict=True)]
+                if first == end:
+                    continue
+                if times is None:
+                    times = _times(blocks, min(PART, size - here[0] * PART)).astype(np.float64)
+                    blocks = []
+                at, *weight = (batch.column(i)[first:end].to_numpy(zero_copy_only=False) for i in (3, 7, 8))
+                grp, score = (batch.column(i)[first:end].dictionary_encode(null_encoding="encode") for i in (5, 6))
+                found, code = np.unique(grp.indices.to_numpy().astype(np.int64) * len(score.dictionary) + score.indices.to_numpy(), return_inverse=True)
+                both = [x.tolist() for x in np.divmod(found, len(score.dictionary))]
+                names = [(g, v) for g, v in zip(grp.dictionary.take(pa.array(both[0])).to_pylist(), score.dictionary.take(pa.array(both[1])).to_pylist(), strict=True)]
                 order = np.argsort(code, kind="stable")
-                names = list(codes)
-                for begin in range(0, len(names), 32):
-                    own = order[slice(*np.searchsorted(code[order], (begin, begin + 32)))]
+                for low in range(0, len(names), 32):
+                    own = order[slice(*np.searchsorted(code[order], (low, low + 32)))]
                     trees_here, column = np.unique(at[own], return_inverse=True)
-                    both = np.zeros((2, 32, len(trees_here)))
-                    for side, values in zip(both, weight, strict=True):
-                        np.add.at(side, (code[own] - begin, column), values[own])
-                    for k, vectors in zip(names[begin : begin + 32], (both @ times[trees_here]).swapaxes(0, 1), strict=False):
+                    side = np.stack([np.bincount((code[own] - low) * len(trees_here) + column, w[own], 32 * len(trees_here)) for w in weight]).reshape(2, 32, -1)
+                    for k, vectors in zip(names[low : low + 32], (side @ times[trees_here]).swapaxes(0, 1), strict=False):
                         held[k] = held[k] + vectors if k in held else vectors.copy()
-                    if len(held) > SCORES:
-                        yield from told(held)
-                        held = {}
+                if len(held) > SCORES:
+                    yield from told(held)
+                    held = {}
         yield from told(held)
 
     def told(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +175,7 @@ def _ranged_sums(df: DataFrame, n: int, seed: int, key: str, by: list[str]) -> D
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names], pa.string()), pa.array([k[1] for k in names], pa.float64()), _vector(both[:, 0]), _vector(both[:, 1])], names=["grp", "score", "n", "pos"])
 
     # ranges are sampled before they are cut, so the sums are written first
-    partial = written(dealt.select("part", "entries", "times").mapInArrow(gather, sums), "sums")
+    partial = written(dealt.mapInArrow(gather, sums), "sums")
     return written(partial.repartitionByRange(F.col("grp"), F.col("score").desc()).withColumn("part", F.spark_partition_id()), "ranged")
 
 
@@ -275,7 +301,7 @@ def _drawn_sums(ranked: DataFrame, size: int, n: int, seed: int) -> DataFrame:
         for name, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.array(total)], names=["metric", "rep", "total"])
 
-    whole = entries.join(draws(ranked.sparkSession, size, n, seed), "part").select("part", "entries", "times")
+    whole = entries.hint("merge").join(draws(ranked.sparkSession, size, n, seed), "part").select("part", "entries", "times")
     return whole.mapInArrow(run, "metric string, rep long, total double")
 
 

@@ -112,3 +112,15 @@ def test_a_tree_with_many_scores_is_dealt_to_lanes(spark):
     finally:
         resample.LANE = before
     assert all(abs(whole[c] - one[c]) < 1e-9 for c in whole.asDict() if c != "model")
+
+
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    """A plan takes the draws for a few short rows; with many trees they are gigabytes."""
+    plans = {}
+    keep = resample.written
+    monkeypatch.setattr(resample, "written", lambda df, tag="stage": plans.setdefault(tag, df._jdf.queryExecution().toString()) and keep(df, tag))
+    rows = [("A", t, (t * 7 % 11) / 11, t % 3 % 2) for t in range(3000)]
+    got = resample.cluster_bootstrap(spark.createDataFrame(rows, "model string, tree_id long, score double, label long"), n=20, seed=3).first()
+    assert 0 < got["auroc_low"] < got["auroc_high"] < 1
+    resample.bootstrap_mean(spark.createDataFrame(rows, "model string, tree_id long, score double, label long"), ["score"], n=20, seed=3).first()
+    assert all("MapInArrow" in plans[t] and "BroadcastHashJoin [part" not in plans[t] for t in ("sums", "drawn"))
