@@ -1,6 +1,6 @@
-"""One-to-one matchings of many small and large problems at once, as joins.
+"""One-to-one matchings of many small and large problems at once, as joins and, where a task holds whole problems, in arrays.
 
-A problem is named by its keys; its pairs are rows (keys, left, right). All problems advance together, a problem
+As joins a problem is named by its keys; its pairs are rows (keys, left, right). All problems advance together, a problem
 leaves the work when it is done, and no problem is ever collected into one task.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +81,43 @@ def _augment(pairs: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame
         back = step.filter("left <> root").select(*keys, "root", "left")
         current = back.join(matched, [*keys, "left"]).select(*keys, "root", "right")
     return written(flips.select(*keys, "left", "right"), "flips")
+
+
+def grown(left: np.ndarray, right: np.ndarray, partner: np.ndarray, taker: np.ndarray) -> np.ndarray:
+    """The right of every left (-1 without one) in a matching with the most pairs, for all problems whose pairs are in the arrays.
+
+    ``partner`` is a matching to begin with and ``taker`` its inverse. The same phases as in ``maximum_matching``.
+    """
+    partner, taker, lefts = partner.copy(), taker.copy(), len(partner)
+    if not len(left):
+        return partner
+    free = np.zeros(lefts, dtype=bool)
+    free[left] = partner[left] < 0
+    while True:
+        root, by = np.full(lefts, -1), np.full(len(taker), -1)
+        root[free] = np.flatnonzero(free)
+        frontier, edges, ends = free, np.arange(len(left)), np.full(lefts, -1)
+        while True:
+            edges = edges[by[right[edges]] < 0]
+            reach = edges[frontier[left[edges]]]
+            if not len(reach):
+                break
+            best = np.full(len(taker), lefts * lefts)
+            np.minimum.at(best, right[reach], root[left[reach]] * lefts + left[reach])
+            new = np.unique(right[reach])
+            by[new] = best[new] % lefts
+            tree, open_ = best[new] // lefts, taker[new] < 0
+            ends[tree[open_][::-1]] = new[open_][::-1]
+            going = ends[tree] < 0
+            frontier = np.zeros(lefts, dtype=bool)
+            frontier[taker[new[going]]] = True
+            root[taker[new[going]]] = tree[going]
+        end = ends[ends >= 0]
+        if not len(end):
+            return partner
+        free[ends >= 0] = False
+        while len(end):
+            here = by[end]
+            before = partner[here]
+            partner[here], taker[end] = end, here
+            end = before[before >= 0]

@@ -7,15 +7,22 @@ score descending, then ``segment_id``; the reference order of ties is unspecifie
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemweave.operators.matching import maximum_matching
+from stemweave.operators.matching import grown, maximum_matching
 from stemweave.plans.durable import scratch, written
 from stemweave.plans.skew import attach_groups, grouped_rank
+from stemweave.plans.slices import fit_whole, in_tasks
 
-VIEW = ["model", "tree_id", "sample_id"]
+VIEW, S = ["model", "tree_id", "sample_id"], ["sample_id"]
+#: Predictions of a sample whose views are matched in one task.
+WHOLE = 20_000
 
 
 def _place() -> Column:
@@ -133,26 +140,28 @@ def recommendation_metrics(df: DataFrame, adjacency: DataFrame, budgets: Sequenc
     ``adjacency(sample_id, src, dst)`` lists adjacent segments in both directions. With a hop of slack the picked
     segments are matched one to one with true ones that are the same or adjacent, as many as can be; a budget of a view
     is a matching problem of its own.
+
+    Samples that fit a task meet their adjacent segments there, once; bigger ones and those with missing values or with a segment that
+    stands twice in a view are ranked and matched by rounds of joins.
     """
+    names = [*map(str, budgets), "b"]
+    counts = [f"{kind}_{n}" for kind in ("exact", "hop1") for n in names]
+    rows = df.select(*VIEW, "segment_id", "label", "score")
+    null = reduce(Column.__or__, [F.col(k).isNull() for k in rows.columns if k != "sample_id"])
     with scratch(df.sparkSession) as tables:
-        truths = df.groupBy(*VIEW).agg(F.sum("label").alias("truth_cuts")).filter("truth_cuts > 0")
-        # only views with a true segment are ranked
-        ranked = ranked_views(attach_groups(df.select(*VIEW, "segment_id", "label", "score"), truths, VIEW))
-        names = [*map(str, budgets), "b"]
-        slots = F.array(*[F.struct(F.lit(n).alias("slot"), size.cast("long").alias("size")) for n, size in zip(names, [*map(F.lit, budgets), F.col("truth_cuts")], strict=True)])
-        picked = ranked.withColumn("s", F.explode(slots)).filter("rank <= s.size").select(*VIEW, "truth_cuts", "s.slot", F.col("segment_id").alias("left"), "label")
-        picked = written(picked, "picked")
-        true = written(df.filter("label = 1").select(*VIEW, F.col("segment_id").alias("right")), "true")
-        problem = [*VIEW, "slot"]
-        exact = picked.filter("label = 1").select(*problem, "left", F.col("left").alias("right"))
-        near = picked.select(*problem, "left").join(adjacency.select("sample_id", F.col("src").alias("left"), F.col("dst").alias("right")), ["sample_id", "left"])
-        near = near.join(true, [*VIEW, "right"]).select(*problem, "left", "right")
-        matched = maximum_matching(exact.unionByName(near), problem, exact)
-        counts = picked.groupBy(*problem, "truth_cuts").agg(F.sum("label").alias("exact"))
-        hops = matched.groupBy(*problem).agg(F.count(F.lit(1)).alias("hop1"))
-        both = counts.join(hops, problem, "left").withColumn("hop1", F.coalesce("hop1", F.lit(0)))
-        at = lambda kind, name: F.sum(F.when(F.col("slot") == name, F.col(kind)).otherwise(0))
-        wide = tables.keep(written(both.groupBy(*VIEW, "truth_cuts").agg(*[at(kind, n).alias(f"{kind}_{n}") for kind in ("exact", "hop1") for n in names]), "wide"))
+        whole, others = fit_whole(rows, S, WHOLE, null | F.isnan(F.col("score").cast("double")) | ~F.col("label").isin(0, 1))
+        ours = whole.select(*VIEW, F.lit(0).alias("kind"), "segment_id", F.lit(None).cast(df.schema["segment_id"].dataType).alias("dst"), F.col("label").cast("long"), "score")
+        pairs = adjacency.filter(F.col("sample_id").isNotNull()).select(
+            *[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in VIEW[:2]], "sample_id", F.lit(1).alias("kind"), F.col("src").alias("segment_id"), "dst", F.lit(None).cast("long").alias("label"), F.lit(None).cast(df.schema["score"].dataType).alias("score"))
+        schema = ", ".join([f"{k} {t}" for k, t in rows.select(*VIEW).dtypes] + ["odd boolean", "truth_cuts long"] + [f"{c} long" for c in counts])
+        order = [F.col("kind"), *[F.col(k) for k in VIEW[:2]], F.col("score").desc(), F.col("segment_id")]
+        solved = tables.keep(written(in_tasks(ours.unionByName(pairs), S, order, _local_recommendations(list(budgets), counts), schema), "wide"))
+        wide, odd = solved.filter("not odd").drop("odd"), solved.filter("odd").select(*S)
+        if odd.limit(1).count():
+            twice = rows.join(odd, S, "left_semi")
+            others = twice if others is None else others.unionByName(twice)
+        if others is not None:
+            wide = wide.unionByName(tables.keep(written(_recommendation_rounds(written(others, "others"), adjacency, budgets), "wide")))
     share = lambda kind, n: F.col(f"{kind}_{n}") / F.col("truth_cuts")
     any_ = lambda kind, n: (F.col(f"{kind}_{n}") > 0).cast("double")
     return wide.select(
@@ -164,6 +173,96 @@ def recommendation_metrics(df: DataFrame, adjacency: DataFrame, budgets: Sequenc
     )
 
 
+def _recommendation_rounds(df: DataFrame, adjacency: DataFrame, budgets: Sequence[int]) -> DataFrame:
+    """Counts of hits per view by joins, for samples of any size."""
+    truths = df.groupBy(*VIEW).agg(F.sum("label").alias("truth_cuts")).filter("truth_cuts > 0")
+    # only views with a true segment are ranked
+    ranked = ranked_views(attach_groups(df.select(*VIEW, "segment_id", "label", "score"), truths, VIEW))
+    names = [*map(str, budgets), "b"]
+    slots = F.array(*[F.struct(F.lit(n).alias("slot"), size.cast("long").alias("size")) for n, size in zip(names, [*map(F.lit, budgets), F.col("truth_cuts")], strict=True)])
+    picked = ranked.withColumn("s", F.explode(slots)).filter("rank <= s.size").select(*VIEW, "truth_cuts", "s.slot", F.col("segment_id").alias("left"), "label")
+    picked = written(picked, "picked")
+    true = written(df.filter("label = 1").select(*VIEW, F.col("segment_id").alias("right")), "true")
+    problem = [*VIEW, "slot"]
+    exact = picked.filter("label = 1").select(*problem, "left", F.col("left").alias("right"))
+    near = picked.select(*problem, "left").join(adjacency.select("sample_id", F.col("src").alias("left"), F.col("dst").alias("right")), ["sample_id", "left"])
+    near = near.join(true, [*VIEW, "right"]).select(*problem, "left", "right")
+    matched = maximum_matching(exact.unionByName(near), problem, exact)
+    counts = picked.groupBy(*problem, "truth_cuts").agg(F.sum("label").alias("exact"))
+    hops = matched.groupBy(*problem).agg(F.count(F.lit(1)).alias("hop1"))
+    both = counts.join(hops, problem, "left").withColumn("hop1", F.coalesce("hop1", F.lit(0)))
+    at = lambda kind, name: F.sum(F.when(F.col("slot") == name, F.col(kind)).otherwise(0))
+    return both.groupBy(*VIEW, "truth_cuts").agg(*[at(kind, n).alias(f"{kind}_{n}") for kind in ("exact", "hop1") for n in names])
+
+
+def _local_recommendations(budgets: list[int], counts: list[str]):
+    """For ``in_tasks``: counts of hits per view of whole samples, whose rows come as predictions (kind 0) in the order of their
+    views and ranks and then as adjacent segments (kind 1, from ``segment_id`` to ``dst``)."""
+
+    def solve(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        kind = table.column("kind").to_numpy()
+        rows, links = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        ours, near = table.take(pa.array(rows)), table.take(pa.array(links))
+        group, of = group[rows], group[links]
+        if not len(rows):
+            return pa.Table.from_arrays([*[ours.column(k) for k in VIEW], pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * (1 + len(counts))], names=[*VIEW, "odd", "truth_cuts", *counts])
+        differ = [pc.not_equal(ours.column(k).slice(1), ours.column(k).slice(0, len(ours) - 1)).to_numpy() for k in VIEW]
+        first = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce(differ)) + 1])
+        view = np.repeat(np.arange(len(first)), np.diff([*first, len(rows)]))
+        rank = np.arange(len(rows)) - first[view] + 1
+        label = ours.column("label").to_numpy()
+        truths = np.add.reduceat(label, first)
+        # segments as numbers
+        named = pa.concat_arrays([ours.column("segment_id").combine_chunks(), near.column("segment_id").combine_chunks(), near.column("dst").combine_chunks()]).dictionary_encode()
+        code, src, dst = np.split(named.indices.fill_null(-1).to_numpy().astype(np.int64), [len(rows), len(rows) + len(links)])
+        n = len(named.dictionary) + 1
+        here = np.argsort(view * n + code, kind="stable")
+        known = (view * n + code)[here]
+        twice = np.zeros(int(group[-1]) + 1, dtype=bool)
+        twice[group[here[1:][known[1:] == known[:-1]]]] = True
+        # every view of the sample takes an adjacent pair if it lists both, the second one as true
+        begins = np.append(np.flatnonzero(np.diff(group[first], prepend=-1)), len(first))
+        spans = np.full((int(group[-1]) + 1, 2), 0)
+        spans[group[first[begins[:-1]]]] = np.stack([begins[:-1], begins[1:]], axis=1)
+        inside = (of <= group[-1]) & (src >= 0) & (dst >= 0)
+        of, src, dst = of[inside], src[inside], dst[inside]
+        many = spans[of, 1] - spans[of, 0]
+        at = np.repeat(np.arange(len(of)), many)
+        its = spans[of[at], 0] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+
+        def place(names: np.ndarray) -> np.ndarray:
+            wanted = its * n + names[at]
+            found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            return np.where(known[found] == wanted, here[found], -1)
+
+        left, right = place(src), place(dst)
+        fine = (left >= 0) & (right >= 0)
+        left, right = left[fine], right[fine]
+        fine = label[right] == 1
+        true = np.flatnonzero(label == 1)
+        left, right = np.concatenate([left[fine], true]), np.concatenate([right[fine], true])
+        # a budget of a view is a problem of its own; what is picked and true begins with itself
+        sizes = [np.full(len(first), b) for b in budgets] + [truths]
+        exact, hop1 = [], []
+        for size in sizes:
+            picked = rank <= size[view]
+            partner = np.where(picked & (label == 1), np.arange(len(rows)), -1)
+            idle = np.zeros((2, len(first)), dtype=bool)  # views with a free left and those with a free right
+            idle[0, view[picked & (label == 0)]] = True
+            idle[1, view[~picked & (label == 1)]] = True
+            use = picked[left] & (idle[0] & idle[1])[view[left]]
+            exact.append(np.bincount(view[partner >= 0], minlength=len(first)))
+            hop1.append(np.bincount(view[grown(left[use], right[use], partner, partner) >= 0], minlength=len(first)))
+        keep = np.flatnonzero((truths > 0) & ~twice[group[first]])
+        bad = first[begins[:-1]][twice[group[first[begins[:-1]]]]]
+        out = pa.array(np.concatenate([first[keep], bad]))
+        fill = lambda v: pa.array(np.concatenate([v[keep], np.zeros(len(bad), dtype=np.int64)]).astype(np.int64))
+        return pa.Table.from_arrays([*[ours.column(k).take(out) for k in VIEW], pa.array(np.arange(len(out)) >= len(keep)), fill(truths), *[fill(v) for v in exact + hop1]], names=[*VIEW, "odd", "truth_cuts", *counts])
+
+    return solve
+
+
 def recommendation_summary(views: DataFrame) -> DataFrame:
     """Per model: mean over views within a tree, then over trees, and (``pooled_``) the mean over all views."""
     measures = [c for c in views.columns if c.startswith(("exact_", "hop1_", "budget_"))]
