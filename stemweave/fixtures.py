@@ -6,7 +6,7 @@ Each view is a row-wise projection (or a key join), so its size follows the tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemweave.catalog.base import table
@@ -80,9 +80,11 @@ JOIN ({SQL["lines"]}) b ON a.sample_id = b.sample_id AND abs(a.l_linenumber - b.
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a view are adjacent when their line numbers differ by one at most."""
-    a = lines(spark, sf_dir).select("sample_id", F.col("segment_id").alias("src"), F.explode(F.array(*[F.col("l_linenumber") + i for i in (-1, 0, 1)])).alias("at"))
-    b = lines(spark, sf_dir).select("sample_id", F.col("segment_id").alias("dst"), F.col("l_linenumber").alias("at"))
-    return a.join(b, ["sample_id", "at"]).filter("src <> dst").select("sample_id", "src", "dst")
+    rows = lines(spark, sf_dir).select("sample_id", "segment_id", "l_linenumber").filter("sample_id IS NOT NULL AND l_linenumber IS NOT NULL")
+    # lines come dealt by sample from their join, so a frame over the line numbers needs no shuffle of its own
+    frame = Window.partitionBy("sample_id").orderBy("l_linenumber").rangeBetween(-1, 1)
+    near = rows.select("sample_id", F.col("segment_id").alias("src"), F.collect_list("segment_id").over(frame).alias("near"))
+    return near.select("sample_id", "src", F.explode("near").alias("dst")).filter("src <> dst")
 
 
 # --- events as strokes, marks and cut lines ----------------------------------------------------
