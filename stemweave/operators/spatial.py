@@ -17,8 +17,10 @@ from stemweave.functions.geometry import EPSILON, norm
 from stemweave.plans.durable import written
 from stemweave.plans.grid import GROWTH, as_edges, crossings, met, nearest, nearest_within, parted, within
 from stemweave.plans.skew import attach_groups, running_totals
+from stemweave.plans.slices import LIMIT, fit_whole, in_tasks
 
 S = ["sample_id"]
+FAR = 1 << 20  # coordinates of samples whose points and pixels meet in one task are smaller
 
 
 def _back(points: DataFrame, hits: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -455,8 +457,69 @@ def aligned_components(root: DataFrame, components: DataFrame, limit: float) ->
 def nearest_component(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     """Component with most pixels in the square window of a point, smallest label on ties.
 
-    A pixel reaches the points of the 3x3 cells around it; only counts per label leave the join.
+    Samples that fit a task meet there, rows of points and pixels dealt once; bigger ones and those with missing values or far
+    coordinates meet by cells.
     """
+    whole_numbers = {"tinyint", "smallint", "int", "bigint"}
+    types = dict(pixels.dtypes)
+    if not {dict(points.dtypes)[k] for k in ("px", "py")} | {types[k] for k in ("x", "y", "component_label")} <= whole_numbers or points.schema["sample_id"].dataType != pixels.schema["sample_id"].dataType:
+        return _component_by_cells(points, pixels, radius)
+    pixels = written(pixels.select("sample_id", "component_label", "x", "y").filter("sample_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), "pixels")
+    here = points.withColumns({"_kind": F.lit(0), "_x": F.col("px").cast("long"), "_y": F.col("py").cast("long"), "_label": F.lit(0).cast("long")})
+    there = pixels.select("sample_id", F.lit(1).alias("_kind"), F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), F.col("component_label").cast("long").alias("_label"))
+    far = lambda v: F.col(v).isNull() | ~F.col(v).between(radius - FAR, FAR - radius)
+    whole, others = fit_whole(here.unionByName(there, allowMissingColumns=True), S, LIMIT, far("_x") | far("_y") | F.col("_label").isNull())
+    schema = ", ".join([f"`{k}` {t}" for k, t in points.dtypes] + ["component_label long", "votes long"])
+    solved = in_tasks(whole, S, [F.col("_kind")], _local_votes(points.columns, radius), schema).withColumn("component_label", F.col("component_label").cast(types["component_label"]))
+    if others is None:
+        return solved
+    others = written(others, "others")
+    spots = others.filter("_kind = 0").select(*points.columns)
+    areas = others.filter("_kind = 1").select("sample_id", F.col("_label").cast(types["component_label"]).alias("component_label"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    return solved.unionByName(_component_by_cells(spots, areas, radius))
+
+
+def _local_votes(columns: Sequence[str], radius: int):
+    """For ``in_tasks``: the points (kind 0) of whole samples with the label that most pixels (kind 1) of their windows have.
+
+    Pixels stand by (sample, x, y), so a window is one stretch of them per x.
+    """
+
+    def solve(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        kind, x, y, label = (table.column(k).to_numpy() for k in ("_kind", "_x", "_y", "_label"))
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        place = lambda g, x, y: ((g * 2 * FAR) + x + FAR) * 2 * FAR + y + FAR
+        rows, dots = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        spot, back = np.unique(place(group[rows], x[rows], y[rows]), return_inverse=True)
+        known = place(group[dots], x[dots], y[dots])
+        order = np.argsort(known, kind="stable")
+        known, (names, code) = known[order], np.unique(label[dots][order], return_inverse=True)
+        side = np.arange(-radius, radius + 1) * 2 * FAR
+        low = np.searchsorted(known, spot[:, None] + side - radius, "left")
+        many = np.searchsorted(known, spot[:, None] + side + radius, "right") - low
+        best, votes = np.full(len(spot), -1), np.zeros(len(spot), dtype=np.int64)
+        total = np.cumsum(many.sum(axis=1))
+        begin = 0
+        while begin < len(spot):  # as many windows at once as hold about a million pixels
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 1_000_000, "right")))
+            n = many[begin:end].ravel()
+            at = np.repeat(low[begin:end].ravel() - np.cumsum(n) + n, n) + np.arange(n.sum())
+            of = np.repeat(np.repeat(np.arange(begin, end), many.shape[1]), n)
+            pair, count = np.unique(of * max(len(names), 1) + code[at], return_counts=True)
+            which, what = np.divmod(pair, max(len(names), 1))
+            first = np.lexsort((what, -count, which))
+            first = first[np.flatnonzero(np.diff(which[first], prepend=-1))]
+            best[which[first]], votes[which[first]] = what[first], count[first]
+            begin = end
+        none = (best < 0)[back]
+        found = pa.array(np.append(names, 0)[best][back], mask=none)
+        return pa.Table.from_arrays([*[table.column(k).take(pa.array(rows)) for k in columns], found, pa.array(votes[back], mask=none)], names=[*columns, "component_label", "votes"])
+
+    return solve
+
+
+def _component_by_cells(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
+    """A pixel reaches the points of the 3x3 cells around it; only counts per label leave the join."""
     size = 2 * radius + 1
     cell = lambda v: F.floor(v / size).cast("long")
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))

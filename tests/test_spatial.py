@@ -156,3 +156,17 @@ def test_coverage_takes_minima_without_sorting_pairs(spark):
     found = pixels.coverage(line, edges, 12.0, 4.0, 10)
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [(1, 21 / 40, 12 / 40, 1)]
+
+
+def test_component_votes_in_tasks_equal_those_by_cells(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    points = spark.createDataFrame([(rnd.randrange(5), f"p{i}", rnd.randrange(-6, 30), rnd.randrange(20)) for i in range(300)] + [(None, "n", 1, 1), (9, "alone", 2, 2)], "sample_id long, name string, px long, py long")
+    dots = [(rnd.randrange(5), rnd.randrange(4), rnd.randrange(-5, 25), rnd.randrange(20)) for _ in range(700)]
+    pixels = spark.createDataFrame([*dots, dots[0], (None, 1, 1, 1), (8, 1, 1, 1)], "sample_id long, component_label int, x long, y long")
+    far = points.unionByName(spark.createDataFrame([(7, "far", 1 << 40, 3), (6, "none", None, 3)], points.schema))
+    want = [sorted(map(repr, spatial._component_by_cells(p, pixels, 2).collect())) for p in (points, far)]
+    assert sorted(map(repr, spatial.nearest_component(far, pixels, 2).collect())) == want[1]
+    monkeypatch.setattr(spatial, "_component_by_cells", lambda points, *_: points.filter("sample_id IS NULL").selectExpr("*", "CAST(NULL AS int) AS component_label", "CAST(NULL AS bigint) AS votes"))
+    assert sorted(map(repr, spatial.nearest_component(points, pixels, 2).collect())) == want[0]
